@@ -1,6 +1,6 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's embedding is the sum of the rows that the word and its first 3, 4 and 5 characters hash to. Filters of widths
+A word's embedding is the sum of the rows that the word and its first 4, 5, 6 and 8 characters hash to. Filters of widths
 1, 2 and 3 slide over the whole text; each is max-pooled, and a logistic unit reads the pooled values (Kim 2014). The
 first embedding column starts at the smoothed log-odds of a bucket's document frequency, the others at small noise.
 Thresholds are calibrated by language on rows that the gradient didn't see; the language is guessed from function words
@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import fold, labelled_sample, table
 
-BUCKETS, DIM, FILTERS, WIDTHS, HASHES = 1 << 17, 8, 8, (1, 2, 3), 4
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
+#: What of a word is hashed: 0 is the word, other numbers its first characters.
+PREFIXES = (0, 4, 5, 6, 8)
+HASHES = len(PREFIXES)
 #: Frequent function words by language, from public stop-word lists.
 FUNCTION_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "was"],
@@ -52,7 +55,7 @@ class Words:
             sizes.append(len(flat) - before)
             votes = np.bincount([_VOTE[w] for w in ws if w in _VOTE], minlength=len(FUNCTION_WORDS))
             langs.append(int(votes.argmax()) if votes.any() else len(FUNCTION_WORDS))
-        hashed = np.array([[zlib.crc32(f"{k}:{w[:k] if k else w}".encode()) % (BUCKETS - 1) + 1 for k in (0, 3, 4, 5)] for w in seen], dtype=np.int32).reshape(len(seen), HASHES)
+        hashed = np.array([[zlib.crc32(f"{k}:{w[:k] if k else w}".encode()) % (BUCKETS - 1) + 1 for k in PREFIXES] for w in seen], dtype=np.int32).reshape(len(seen), HASHES)
         return hashed, np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int64), np.array(langs, dtype=np.int64)
 
 
@@ -179,7 +182,7 @@ def _fit_on(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int) ->
     return fit(*Words()([r.text for r in rows]), np.array([r.label for r in rows], dtype=np.int64))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = 8000, text_bytes: int = 4 << 20) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = 6000, text_bytes: int = 4 << 20) -> DataFrame:
     """All columns of docs, with toxic_score and toxic_predicted beside them. ``train`` admits label rows to the fit,
     which uses at most max_rows of them; labels must have doc_id and toxic. Texts are scored in slices of about
     text_bytes, each text whole."""
