@@ -1,4 +1,524 @@
-"""The registered raster queries and their SQL."""
+"""The registered raster queries and the SQL that DuckDB runs against them."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from gridloom.functions import metadata as M
+from gridloom.operators import raster, stack
+from gridloom.operators.resample import FOOTPRINT, REACH
+from gridloom.operators.warp import dense, gather, mosaic, scatter
+from gridloom.plans import fixtures as X
+from gridloom.plans import windows as W
+from gridloom.plans.spec import METHODS, OutGrid, WarpSpec
+from gridloom.sources import dispatch as D
+from gridloom.streaming import batch as B
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str):
+    def keep(f):
+        QUERIES[name] = f
+        ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 6, column: str = "value") -> DataFrame:
+    return df.withColumn(column, F.round(column, digits))
+
+
+# --- source strings ---------------------------------------------------------------------------------------------------
+
+URLS = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN url || '?AccessKeyId=a&Signature=b' WHEN 1 THEN url || '?x-amz-signature=b'
+  WHEN 2 THEN 'https://acct.blob.core.windows.net/c/f.tif?sp=r&sig=x' WHEN 3 THEN 'https://acct.dfs.core.windows.net/c/f.tif?Sig=x'
+  WHEN 4 THEN 's3://bucket/' || page_id || '.tif' WHEN 5 THEN 'C://data/f.tif' WHEN 6 THEN 'https://Host.example:8443/a/b.tif?X-Goog-Signature=1&z' ELSE url END AS src FROM pages"""
+PARTS = rf"""u AS ({URLS}),
+s AS (SELECT page_id, src, CASE WHEN length(regexp_extract(src, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) > 1 THEN lower(regexp_extract(src, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) END AS scheme,
+  lower(regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS auth, regexp_extract(src, '^[^?#]*\?([^#]*)', 1) AS q,
+  regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)', 1) AS container FROM u),
+h AS (SELECT *, regexp_replace(regexp_replace(auth, '^.*@', ''), ':\d*$', '') AS host, list_transform(string_split(q, '&'), lambda x: lower(split_part(x, '=', 1))) AS keys FROM s),
+k AS (SELECT *, coalesce(scheme IN ('http', 'https'), false) AND NOT regexp_matches(host, '\.(blob|dfs)\.core\.windows\.net$')
+  AND ((list_contains(keys, 'accesskeyid') AND list_contains(keys, 'signature')) OR list_contains(keys, 'x-amz-signature') OR list_contains(keys, 'x-goog-signature')) AS presigned,
+  coalesce(scheme = 'https', false) AND regexp_matches(host, '\.(blob|dfs)\.core\.windows\.net$') AND len(list_filter(string_split(q, '&'), lambda x: starts_with(x, 'sig='))) > 0 AS azure_sas,
+  scheme || '://' || host || ':' || regexp_extract(auth, ':(\d+)$', 1) || '/' || container || '#' || q AS store_key FROM h)"""
+
+
+@register("dispatch_kind", f"WITH {PARTS} SELECT page_id, CASE WHEN presigned THEN 'http' WHEN scheme IS NOT NULL AND scheme <> 'file' THEN 'store' ELSE 'local' END AS kind FROM k")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return X.urls(spark, sf).select("page_id", D.kind(F.col("src")).alias("kind"))
+
+
+@register("presigned", f"WITH {PARTS} SELECT page_id, presigned FROM k")
+def _(spark, sf):
+    return X.urls(spark, sf).select("page_id", D.presigned(F.col("src")).alias("presigned"))
+
+
+@register("azure_sas", f"WITH {PARTS} SELECT page_id, azure_sas FROM k")
+def _(spark, sf):
+    return X.urls(spark, sf).select("page_id", D.azure_sas(F.col("src")).alias("azure_sas"))
+
+
+@register("store_key", f"WITH {PARTS} SELECT page_id, store_key FROM k")
+def _(spark, sf):
+    return X.urls(spark, sf).select("page_id", D.store_key(F.col("src")).alias("store_key"))
+
+
+@register("sources_per_store", f"WITH {PARTS} SELECT coalesce(store_key, 'local') AS store_key, count(*) AS n_sources FROM k GROUP BY 1")
+def _(spark, sf):
+    return D.per_store(X.urls(spark, sf))
+
+
+# --- metadata ---------------------------------------------------------------------------------------------------------
+
+
+@register("geotransform", """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 5e5 + s_suppkey ELSE 4e5 + s_suppkey - 3 * 20e0 END - b * CASE WHEN s_suppkey % 2 = 0 THEN 10e0 + 0.5e0 ELSE 20e0 END AS gt0,
+  CASE WHEN s_suppkey % 2 = 0 THEN 10e0 ELSE 20e0 END AS gt1, CASE WHEN s_suppkey % 2 = 0 THEN 0.5e0 ELSE 0e0 END AS gt2,
+  CASE WHEN s_suppkey % 2 = 0 THEN 4e6 ELSE 5e6 + 2 * 25e0 END - b * CASE WHEN s_suppkey % 2 = 0 THEN 0.25e0 - 10e0 ELSE -25e0 END AS gt3,
+  CASE WHEN s_suppkey % 2 = 0 THEN 0.25e0 ELSE 0e0 END AS gt4, CASE WHEN s_suppkey % 2 = 0 THEN -10e0 ELSE -25e0 END AS gt5
+  FROM (SELECT *, CASE WHEN s_suppkey % 3 = 2 THEN 0.5e0 ELSE 0e0 END AS b FROM supplier)""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    num = lambda *xs: F.array(*[x.cast("double") if hasattr(x, "cast") else F.lit(float(x)) for x in xs])
+    matrix = F.when(k % 2 == 0, num(10, 0.5, 0, k + 500000, 0.25, -10, 0, 4000000, *[0] * 7, 1)).otherwise(F.array().cast("array<double>"))
+    return X.table(spark, sf, "supplier").select("s_suppkey", M.geotransform(matrix, num(20, 25, 0), num(3, 2, 0, k + 400000, 5000000, 0), F.when(k % 3 == 2, 2).otherwise(1)).alias("gt")).select("s_suppkey", "gt.*")
+
+
+CITATIONS = ["PROJCS[\"a\"]", "a note", "  GEOGCS (x", "PROJCSX[1]"]
+
+
+@register("crs_resolve", """WITH t AS (SELECT *, CASE s_suppkey % 4 WHEN 0 THEN 'PROJCS["a"]' WHEN 1 THEN 'a note' WHEN 2 THEN '  GEOGCS (x' ELSE 'PROJCSX[1]' END AS cit,
+  CASE s_suppkey % 5 WHEN 0 THEN 32631 WHEN 1 THEN 32767 WHEN 2 THEN 0 END AS epsg FROM supplier)
+SELECT s_suppkey, CASE WHEN epsg NOT IN (0, 32767) THEN 'EPSG:' || epsg WHEN regexp_matches(cit, '^\\s*(PROJCS|GEOGCS)[\\[( ]') THEN cit WHEN s_suppkey % 3 = 0 THEN '+proj=longlat' END AS crs FROM t""".replace("\\\\", "\\"))
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    epsg = F.when(k % 5 == 0, 32631).when(k % 5 == 1, 32767).when(k % 5 == 2, 0)
+    cite = F.get(F.array(*map(F.lit, CITATIONS)), (k % 4).cast("int"))
+    return X.table(spark, sf, "supplier").select("s_suppkey", M.crs(epsg, [F.lit(None).cast("string"), cite], F.when(k % 3 == 0, "+proj=longlat")).alias("crs"))
+
+
+def _case(names: dict, col: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in names.items()) + " END"
+
+
+def _n(e: str) -> str:
+    return f"CASE WHEN {e} = floor({e}) THEN ({e})::BIGINT::VARCHAR ELSE ({e})::VARCHAR END"
+
+
+@register("proj_string", f"""WITH t AS (SELECT p_partkey, p_partkey % 29 AS code, CASE WHEN p_partkey % 7 < 4 THEN 3.5e0 + p_partkey % 5 END AS lon, CASE WHEN p_partkey % 2 = 0 THEN 47e0 END AS lat,
+  CASE WHEN p_partkey % 3 = 0 THEN 500000e0 END AS x, CASE WHEN p_partkey % 3 = 1 THEN -0.25e0 END AS y, CASE WHEN p_partkey % 5 < 3 THEN 45.5e0 END AS l1, CASE WHEN p_partkey % 4 < 3 THEN 60e0 END AS l2,
+  CASE WHEN p_partkey % 2 = 1 THEN 0.9996e0 END AS k, 8900 + p_partkey % 16 AS pm, CASE WHEN p_partkey % 11 = 0 THEN 2.5e0 END AS pd, 7000 + p_partkey % 50 AS el,
+  CASE WHEN p_partkey % 3 = 0 THEN 6378137e0 END AS a, CASE WHEN p_partkey % 2 = 0 THEN 6356752.5e0 END AS b, CASE WHEN p_partkey % 5 = 0 THEN 298.25e0 END AS rf FROM part),
+u AS (SELECT *, {_case(M.PROJECTIONS, 'code')} AS name, '+k_0=' || {_n('coalesce(k, 1e0)')} AS scaled, '+lat_ts=' || {_n('l1')} AS ts, '+lat_1=' || {_n('l1')} || ' +lat_2=' || {_n('l2')} AS pp, {_case(M.PRIME_MERIDIANS, 'pm')} AS pn, {_case(M.ELLIPSOIDS, 'el')} AS en FROM t)
+SELECT p_partkey, CASE WHEN name IS NULL OR (code IN (8, 11, 13) AND pp IS NULL) THEN NULL ELSE concat_ws(' ', '+proj=' || name, '+lon_0=' || {_n('lon')}, '+lat_0=' || {_n('lat')}, '+x_0=' || {_n('x')}, '+y_0=' || {_n('y')},
+  CASE WHEN code IN (1, 9, 14, 16) THEN scaled WHEN code IN (7, 15) THEN coalesce(ts, scaled) WHEN code IN (8, 11, 13) THEN pp WHEN code IN (17, 28) THEN ts END,
+  CASE WHEN pm = 8901 THEN NULL WHEN pn IS NOT NULL THEN '+pm=' || pn WHEN pd <> 0 THEN '+pm=' || {_n('pd')} END,
+  CASE WHEN en IS NOT NULL THEN '+ellps=' || en WHEN a IS NOT NULL AND rf IS NOT NULL THEN '+a=' || {_n('a')} || ' +rf=' || {_n('rf')} WHEN a IS NOT NULL AND b IS NOT NULL THEN '+a=' || {_n('a')} || ' +b=' || {_n('b')} WHEN a IS NOT NULL THEN '+a=' || {_n('a')} ELSE '+ellps=WGS84' END, '+no_defs') END AS proj FROM u""")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    v = lambda cond, x: F.when(cond, x if hasattr(x, "cast") else F.lit(float(x)))
+    pm, el = (k % 16 + 8900).cast("int"), (k % 50 + 7000).cast("int")
+    meridian = M.prime_meridian(pm, v(k % 11 == 0, 2.5))
+    ellps = M.ellipsoid(el, v(k % 3 == 0, 6378137), v(k % 2 == 0, 6356752.5), v(k % 5 == 0, 298.25))
+    proj = M.proj_string(k % 29, v(k % 7 < 4, k % 5 + 3.5), v(k % 2 == 0, 47), v(k % 3 == 0, 500000), v(k % 3 == 1, -0.25), v(k % 5 < 3, 45.5), v(k % 4 < 3, 60), v(k % 2 == 1, 0.9996), meridian, ellps)
+    return X.table(spark, sf, "part").select("p_partkey", proj.alias("proj"))
+
+
+@register("nodata_parse", """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN -9999e0 WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 1000e0 WHEN 3 THEN NULL WHEN 4 THEN '-inf'::DOUBLE ELSE s_suppkey + 0.5e0 END AS nodata FROM supplier""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    text = F.when(k % 6 == 0, " -9999 ").when(k % 6 == 1, "INF").when(k % 6 == 2, "1E3").when(k % 6 == 3, "none").when(k % 6 == 4, "-inf").otherwise(F.concat(k.cast("string"), F.lit(".5")))
+    return X.table(spark, sf, "supplier").select("s_suppkey", M.nodata(text).alias("nodata"))
+
+
+@register("band_names", """SELECT s_suppkey, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN i = 0 AND s_suppkey % 2 = 0 THEN 'red ' || s_suppkey WHEN i = 2 THEN 'nir' ELSE 'band_0' || (i + 1) END), ';') AS names FROM supplier""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    xml = F.concat(F.lit("<GDALMetadata>"), F.when(k % 2 == 0, F.concat(F.lit('<Item name="DESCRIPTION" sample="0" role="description">red '), k.cast("string"), F.lit("</Item>"))).otherwise(""), F.lit('<Item name="SCALE" sample="1">2</Item><Item name="DESCRIPTION" sample="2" role="description">nir</Item></GDALMetadata>'))
+    return X.table(spark, sf, "supplier").select("s_suppkey", F.array_join(M.band_names(xml, F.lit(4)), ";").alias("names"))
+
+
+@register("dtype_size", """WITH t AS (SELECT p_partkey, 1 + p_partkey % 4 AS f, [1, 8, 16, 32, 64, 128][1 + p_partkey % 6] AS b FROM part),
+u AS (SELECT *, CASE WHEN f = 1 AND b IN (1, 8) THEN 'Byte' WHEN f = 1 AND b < 128 THEN 'UInt' || b WHEN f = 2 AND b IN (8, 16, 32, 64) THEN 'Int' || b WHEN f = 3 AND b IN (32, 64) THEN 'Float' || b ELSE 'Float64' END AS dtype FROM t)
+SELECT p_partkey, dtype, CASE WHEN dtype IN ('Byte', 'Int8') THEN 1 WHEN dtype IN ('UInt16', 'Int16') THEN 2 WHEN dtype IN ('UInt32', 'Int32', 'Float32') THEN 4 ELSE 8 END AS n_bytes FROM u""")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    name = M.dtype((k % 4 + 1).cast("int"), F.get(F.array(*map(F.lit, [1, 8, 16, 32, 64, 128])), (k % 6).cast("int")))
+    return X.table(spark, sf, "part").select("p_partkey", name.alias("dtype"), M.sample_bytes(name).alias("n_bytes"))
+
+
+@register("fill_cast", "SELECT event_id, CASE WHEN value IS NULL THEN 0 ELSE trunc(greatest(0e0, least(255e0, value * 8 - 20)))::SMALLINT END AS filled FROM events")
+def _(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", F.coalesce(M.saturate(F.col("value") * 8 - 20, 0.0, 255.0, "smallint"), F.lit(0).cast("smallint")).alias("filled"))
+
+
+# --- catalog ----------------------------------------------------------------------------------------------------------
+
+SRC = """SELECT 's3://bucket/scene_' || s_suppkey || '.tif?v=1' AS src, s_suppkey::INT AS src_idx, 128 AS width, 128 AS height, (s_suppkey % 3 + 1)::INT AS n_bands, CASE WHEN s_suppkey % 2 = 0 THEN 'Int16' ELSE 'Float32' END AS dtype,
+  CASE s_nationkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN -9999e0 END AS nodata, 'EPSG:32631' AS crs, 5e5 + 1280e0 * (s_suppkey % 10) AS gt0, 4002560e0 - 1280e0 * floor(s_suppkey / 10) AS gt3 FROM supplier"""
+
+
+@register("catalog_flat", f"SELECT src, width, height, n_bands, dtype, nodata, crs, 10e0 AS res_x, 10e0 AS res_y, gt0 AS xmin, gt3 - 1280 AS ymin, gt0 + 1280 AS xmax, gt3 AS ymax, 3 AS n_levels, 32 AS tile_width, 32 AS tile_height FROM ({SRC})")
+def _(spark, sf):
+    return W.flat(X.sources(spark, sf))
+
+
+@register("catalog_summary", f"""SELECT count(*) AS n_sources, 128 AS shared_width, 128 AS shared_height, CASE WHEN count(DISTINCT n_bands) = 1 THEN min(n_bands) END AS shared_n_bands, CASE WHEN count(DISTINCT dtype) = 1 THEN min(dtype) END AS shared_dtype,
+  'EPSG:32631' AS shared_crs, count(DISTINCT nodata) AS n_nodata, min(gt0) AS xmin, min(gt3) - 1280 AS ymin, max(gt0) + 1280 AS xmax, max(gt3) AS ymax FROM ({SRC})""")
+def _(spark, sf):
+    return W.summary(X.sources(spark, sf))
+
+
+@register("grid_signature", f"SELECT src_idx, printf('%.10f', gt0) || '|10.0000000000|0.0000000000|' || printf('%.10f', gt3) || '|0.0000000000|-10.0000000000|EPSG:32631|128,64,32|128,64,32' AS sig FROM ({SRC})")
+def _(spark, sf):
+    return X.sources(spark, sf).select("src_idx", M.grid_signature(F.col("gt"), F.col("crs"), F.col("levels")).alias("sig"))
+
+
+# --- planning ---------------------------------------------------------------------------------------------------------
+
+TE = (501000.0, 3992560.0, 509004.0, 4001004.0)
+
+
+def plan_sql(te: tuple | None, level: str, margin: int, n_sel: str = "n_bands", copy: bool = False) -> str:
+    """Windows of same-system sources, from the arithmetic alone."""
+    x0, y0, x1, y1 = [f"{v!r}::DOUBLE" for v in te] if te else ("gt0", "(gt3 - 1280)", "(gt0 + 1280)", "gt3")
+    return f"""WITH s AS ({SRC}), l AS (SELECT *, ({level})::INT AS level FROM s), f AS (SELECT *, 2 ** (level - 1) AS f, (128 // (2 ** (level - 1)))::BIGINT AS n FROM l),
+o AS (SELECT *, greatest(0, floor(({x0} - gt0) / 10 / f) - {margin})::BIGINT AS xoff, greatest(0, floor((gt3 - {y1}) / 10 / f) - {margin})::BIGINT AS yoff,
+  least(n, ceil(({x1} - gt0) / 10 / f) + {margin})::BIGINT AS xend, least(n, ceil((gt3 - {y0}) / 10 / f) + {margin})::BIGINT AS yend FROM f),
+p AS (SELECT *, xend - xoff AS xsize, yend - yoff AS ysize, ((xend - xoff) * (yend - yoff) * {n_sel} * CASE dtype WHEN 'Int16' THEN 2 ELSE 4 END)::BIGINT AS n_bytes,
+  gt0 + xoff * f * 10 AS win_x, 10e0 * f AS win_px, gt3 - yoff * f * 10 AS win_y, {str(copy).lower()} AS is_copy FROM o WHERE xend > xoff AND yend > yoff)"""
+
+
+def _plan_rows(df: DataFrame) -> DataFrame:
+    return df.select("src_idx", "level", "xoff", "yoff", "xsize", "ysize", F.col("win_gt.gt0").alias("win_x"), F.col("win_gt.gt1").alias("win_px"), F.col("win_gt.gt3").alias("win_y"), "is_copy", "n_bytes")
+
+
+PLAN_COLS = " SELECT src_idx, level, xoff, yoff, xsize, ysize, win_x, win_px, win_y, is_copy, n_bytes FROM p"
+
+
+@register("plan_window", plan_sql(TE, "1", 8) + PLAN_COLS)
+def _(spark, sf):
+    return _plan_rows(W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))))
+
+
+@register("plan_overview", plan_sql(TE, "3", 8) + PLAN_COLS)
+def _(spark, sf):
+    return _plan_rows(W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(45, 45))))
+
+
+@register("plan_ts_level", plan_sql(TE, "2", 8) + PLAN_COLS)
+def _(spark, sf):
+    return _plan_rows(W.plan(X.sources(spark, sf), WarpSpec(te=TE, ts=(320, 320))))
+
+
+@register("plan_forced_level", plan_sql(TE, "least(3, 9)", 2) + PLAN_COLS)
+def _(spark, sf):
+    return _plan_rows(W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15), overview=9, margin=2)))
+
+
+@register("plan_copy", plan_sql(TE, "1", 0, copy=True) + PLAN_COLS)
+def _(spark, sf):
+    return _plan_rows(W.plan(X.sources(spark, sf), WarpSpec(te=TE, t_srs="EPSG:32631")))
+
+
+@register("plan_skip", plan_sql(TE, "1", 8) + " SELECT s.src_idx, p.src_idx IS NULL AS skipped FROM s LEFT JOIN p USING (src_idx)")
+def _(spark, sf):
+    src = X.sources(spark, sf)
+    planned = W.plan(src, WarpSpec(te=TE, tr=(15, 15))).select("src_idx", F.lit(1).alias("hit"))
+    return src.select("src_idx").join(planned, "src_idx", "left").select("src_idx", F.col("hit").isNull().alias("skipped"))
+
+
+@register("plan_guard", plan_sql(None, "1", 8, "2") + " SELECT src_idx, n_bytes, n_bytes > 100000 AS over_limit FROM p")
+def _(spark, sf):
+    return W.plan(X.sources(spark, sf), WarpSpec(ts=(64, 64), bands=(1, 1), overview=1, max_bytes=1e5)).select("src_idx", "n_bytes", "over_limit")
+
+
+@register("plan_shared_grid", plan_sql(TE, "1", 8) + " SELECT src_idx, nodata, level, xoff, yoff, xsize, ysize FROM p")
+def _(spark, sf):
+    return W.plan_by_grid(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))).select("src_idx", "nodata", "level", "xoff", "yoff", "xsize", "ysize")
+
+
+COVER = ", c AS (SELECT src_idx, level, unnest(range(yoff // 32, (yoff + ysize - 1) // 32 + 1)) AS ty, xoff, xsize FROM p), t AS (SELECT src_idx, level, ty, unnest(range(xoff // 32, (xoff + xsize - 1) // 32 + 1)) AS tx FROM c)"
+
+
+@register("tile_cover", plan_sql(TE, "1", 8) + COVER + " SELECT src_idx, level, ty, tx FROM t")
+def _(spark, sf):
+    return W.tile_cover(W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))))
+
+
+@register("band_ranges", plan_sql(TE, "2", 8) + COVER + " SELECT src_idx, level, ty, tx, b.i AS out_band, b.b AS band, (b.b - 1) * 4 + ty * 2 + tx AS range_no FROM t, (VALUES (1, 3), (2, 1)) b(i, b)")
+def _(spark, sf):
+    src = X.sources(spark, sf)
+    return W.band_ranges(W.tile_cover(W.plan(src, WarpSpec(te=TE, tr=(25, 25)))), src, [3, 1])
+
+
+def emb_sql(bands: tuple) -> str:
+    return f"SELECT 0 AS src_idx, b.b AS band, vec_id // 25 AS row, vec_id % 25 AS col, embedding[b.b]::DOUBLE AS value FROM embeddings, (VALUES {', '.join(f'({b})' for b in bands)}) b(b)"
+
+
+@register("band_select", f"SELECT src_idx, b.i AS band, row, col, value FROM ({emb_sql((11, 9))}) e JOIN (VALUES (1, 9), (2, 11), (3, 9)) b(i, b) ON e.band = b.b")
+def _(spark, sf):
+    return raster.select_bands(X.emb64(spark, sf, tuple(range(1, 65))), [9, 11, 9])
+
+
+# --- windows ----------------------------------------------------------------------------------------------------------
+
+WIN = (500030.0, 4002410.0, 500180.0, 4002530.0)
+
+
+@register("window_blit", f"SELECT src_idx, band, row - 3 AS row, col - 3 AS col, value FROM ({emb_sql((11, 10, 9))}) WHERE row BETWEEN 3 AND 14 AND col BETWEEN 3 AND 17")
+def _(spark, sf):
+    return raster.cut_window(X.emb64(spark, sf), W.plan(X.emb_catalog(spark), WarpSpec(te=WIN)))
+
+
+@register("window_tiles", f"SELECT src_idx, b.i AS band, row - 3 AS row, col - 3 AS col, value FROM ({emb_sql((11, 10))}) e JOIN (VALUES (1, 10), (2, 11)) b(i, b) ON e.band = b.b WHERE row BETWEEN 3 AND 14 AND col BETWEEN 3 AND 17")
+def _(spark, sf):
+    tiles = raster.to_tiles(X.emb64(spark, sf), 8)
+    return raster.read_window(tiles, W.plan(X.emb_catalog(spark), WarpSpec(te=WIN)), 8, [10, 11])
+
+
+@register("window_fill", f"SELECT 0 AS src_idx, b AS band, r AS row, c AS col, coalesce(value, -1e0) AS value FROM range(0, 12) x(r), range(0, 15) y(c), (VALUES (11), (10)) z(b) LEFT JOIN ({emb_sql((11, 10))}) e ON e.row = r + 3 AND e.col = c + 3 AND e.band = b AND value > 0")
+def _(spark, sf):
+    planned = W.plan(X.one_source(spark, 0, X.EMB_GT, X.EMB_WIDTH, X.EMB_HEIGHT, 3, nodata=-1.0), WarpSpec(te=WIN))
+    return raster.fill_window(raster.cut_window(X.emb64(spark, sf).where("value > 0"), planned), planned, [11, 10])
+
+
+@register("vrt_offsets", plan_sql(TE, "1", 8) + " SELECT src_idx, b AS band, ((b - 1) * xsize * ysize * 2)::BIGINT AS image_offset, 2::BIGINT AS pixel_offset, (xsize * 2)::BIGINT AS line_offset FROM p, range(1, 3) r(b)")
+def _(spark, sf):
+    planned = W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))).withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
+    return planned.select("src_idx", "band", *raster.plane_offsets(F.col("xsize"), F.col("ysize"), F.lit(2), F.col("band")))
+
+
+def _grid_rows(spark: SparkSession, g: OutGrid) -> DataFrame:
+    cells = spark.range(g.width * g.height)
+    r, c = F.expr(f"id div {g.width}"), F.col("id") % g.width
+    return cells.select(r.alias("orow"), c.alias("ocol"), F.round((c + 0.5) * g.xres + g.xmin, 6).alias("x"), F.round(F.lit(g.ymax) - (r + 0.5) * g.yres, 6).alias("y"))
+
+
+def _grid_sql(xmin: float, ymax: float, xres: float, yres: float, w: int, h: int) -> str:
+    return f"SELECT r AS orow, c AS ocol, round({xmin!r}::DOUBLE + (c + 0.5e0) * {xres!r}::DOUBLE, 6) AS x, round({ymax!r}::DOUBLE - (r + 0.5e0) * {yres!r}::DOUBLE, 6) AS y FROM range({h}) a(r), range({w}) b(c)"
+
+
+@register("grid_tr", _grid_sql(340000.0, 8960000.0, 30.0, 30.0, 267, 267))
+def _(spark, sf):
+    return _grid_rows(spark, WarpSpec(te=(340000, 8952000, 348000, 8960000), tr=(30, 30), tap=False).grid())
+
+
+@register("grid_ts", _grid_sql(340000.0, 8960000.0, 80.0, 125.0, 100, 64))
+def _(spark, sf):
+    return _grid_rows(spark, WarpSpec(te=(340000, 8952000, 348000, 8960000), ts=(100, 64)).grid())
+
+
+@register("grid_tap", _grid_sql(340005.0, 8960010.0, 15.0, 30.0, 66, 34))
+def _(spark, sf):
+    return _grid_rows(spark, WarpSpec(te=(340007, 8959001, 340988, 8960001), tr=(15, 30)).grid())
+
+
+# --- warping ----------------------------------------------------------------------------------------------------------
+
+
+def kernel_sql(method: str, d: str) -> str:
+    inner = {
+        "bilinear": f"1 - {d}",
+        "cubic": f"CASE WHEN {d} <= 1 THEN 1.5e0 * {d} * {d} * {d} - 2.5e0 * {d} * {d} + 1 ELSE -0.5e0 * {d} * {d} * {d} + 2.5e0 * {d} * {d} - 4 * {d} + 2 END",
+        "cubicspline": f"CASE WHEN {d} < 1 THEN 2e0 / 3 - {d} * {d} + {d} * {d} * {d} / 2 ELSE (2 - {d}) ** 3 / 6 END",
+        "lanczos": f"CASE WHEN {d} = 0 THEN 1e0 ELSE sin(pi() * {d}) / (pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d} / 3) END",
+    }[method]
+    return f"CASE WHEN {d} < {REACH[method]} THEN {inner} ELSE 0e0 END"
+
+
+def axis_sql(method: str, off: float, ratio: float, n: int, most: int) -> str:
+    """(o, c, w): output index, pixel index, weight."""
+    off_s, ratio_s, s = f"{off!r}::DOUBLE", f"{ratio!r}::DOUBLE", max(1.0, abs(ratio))
+    base = f"SELECT o, c, round({off_s} + (o + 0.5e0) * {ratio_s}, 9) AS u, round({off_s} + o * {ratio_s}, 9) AS a, round({off_s} + (o + 1) * {ratio_s}, 9) AS b FROM range({n}) x(o), range({most}) y(c)"
+    if method == "near":
+        return f"SELECT o, c, 1e0 AS w FROM ({base}) WHERE floor(u) = c"
+    if method in FOOTPRINT:
+        return f"SELECT * FROM (SELECT o, c, least(c + 1, greatest(a, b)) - greatest(c, least(a, b)) AS w FROM ({base})) WHERE w > 1e-9"
+    return f"SELECT * FROM (SELECT o, c, {kernel_sql(method, 'd')} AS w FROM (SELECT o, c, abs(c + 0.5e0 - u) / {s!r}::DOUBLE AS d FROM ({base}))) WHERE w <> 0"
+
+
+def value_sql(method: str) -> str:
+    quantile = lambda p: f"list_sort(list(value))[ceil({p} * count(*))::INT]"
+    return {"rms": "sqrt(sum(w * value * value) / sum(w))", "sum": "sum(w * value)", "min": "min(value)", "max": "max(value)", "q1": quantile("0.25e0"), "med": quantile("0.5e0"), "q3": quantile("0.75e0"), "near": "any_value(value)"}.get(method, "sum(w * value) / sum(w)")
+
+
+def warp_sql(method: str, pixels: str, gt: tuple, g: OutGrid, most: tuple[int, int]) -> str:
+    x, y = axis_sql(method, (g.xmin - gt[0]) / gt[1], g.xres / gt[1], g.width, most[0]), axis_sql(method, (g.ymax - gt[3]) / gt[5], -g.yres / gt[5], g.height, most[1])
+    head = f"WITH wx AS ({x}), wy AS ({y}), px AS ({pixels}), j AS (SELECT band, wy.o AS orow, wx.o AS ocol, row, col, value, wx.w * wy.w AS w FROM px JOIN wx ON wx.c = px.col JOIN wy ON wy.c = px.row)"
+    if method == "mode":
+        return head + ", n AS (SELECT band, orow, ocol, value, count(*) AS n, min(row * 100000 + col) AS pos FROM j GROUP BY ALL) SELECT band, orow, ocol, round(value, 6) AS value FROM n QUALIFY row_number() OVER (PARTITION BY band, orow, ocol ORDER BY n DESC, pos) = 1"
+    return head + f" SELECT band, orow, ocol, round({value_sql(method)}, 6) AS value FROM j GROUP BY band, orow, ocol"
+
+
+FINE = X.grid((500003.0, 4002367.0, 500241.0, 4002553.0), 40, 31)
+COARSE = X.grid((500003.0, 4002361.0, 500233.0, 4002557.0), 7, 6)
+PART_GT = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
+
+
+def _register_warp(method: str) -> None:
+    # Area averages run over the embeddings, order statistics over the parts, whose values repeat.
+    if method in ("mode", "med", "q1", "q3", "min", "max"):
+        g = X.grid((0.3, -39.7, 49.9, -0.2), 9, 7)
+
+        def run(spark, sf):
+            src = X.one_source(spark, 1, PART_GT, 50, 40, 2, nodata=50.0)
+            return rounded(scatter(X.part2(spark, sf), src, g, method)).drop("src_idx")
+
+        pixels = "SELECT b.b AS band, p_partkey // 50 AS row, p_partkey % 50 AS col, CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END AS value FROM part, (VALUES (1), (2)) b(b) WHERE NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)"
+        sql = warp_sql(method, pixels, PART_GT, g, (50, 45))
+    else:
+        g = COARSE if method in FOOTPRINT else FINE
+
+        def run(spark, sf):
+            return rounded(scatter(X.emb64(spark, sf), X.emb_catalog(spark), g, method)).drop("src_idx")
+
+        sql = warp_sql(method, emb_sql((11, 10, 9)), X.EMB_GT, g, (25, 100))
+    register(f"warp_{method}", sql)(run)
+
+
+for _method in METHODS:
+    _register_warp(_method)
+
+
+@register("warp_cubic_coarse", warp_sql("cubic", emb_sql((11, 10, 9)), X.EMB_GT, COARSE, (25, 100)))
+def _(spark, sf):
+    return rounded(scatter(X.emb64(spark, sf), X.emb_catalog(spark), COARSE, "cubic")).drop("src_idx")
+
+
+ORD_GT = (0.0, 2.0, 0.0, 0.0, 0.0, -2.0)
+ORD_GRID = X.grid((1.0, -197.0, 297.0, -3.0), 60, 40)
+ORD_PX = "SELECT 1 AS band, o_orderkey // 150 AS row, o_orderkey % 150 AS col, o_totalprice AS value FROM orders"
+
+
+@register("warp_orders_average", warp_sql("average", ORD_PX, ORD_GT, ORD_GRID, (150, 1100)))
+def _(spark, sf):
+    return rounded(scatter(X.ord1(spark, sf), X.one_source(spark, 2, ORD_GT, 150, 1100), ORD_GRID, "average")).drop("src_idx")
+
+
+@register("gather_bilinear", warp_sql("bilinear", emb_sql((11, 10, 9)), X.EMB_GT, FINE, (25, 20)).replace("px AS (", "px AS (SELECT * FROM (", 1).replace("), j AS", ") WHERE row < 20), j AS", 1))
+def _(spark, sf):
+    return rounded(gather(X.emb64(spark, sf), X.emb_catalog(spark), FINE, "bilinear")).drop("src_idx")
+
+
+# Degrees to Web Mercator: the parts as a raster of 50 x 40 cells of 0.1 degrees from 5 E, 50 N.
+DEG_GT = (5.0, 0.1, 0.0, 50.0, 0.0, -0.1)
+MERC = X.grid((560013.0, 5790029.0, 1110041.0, 6440017.0), 37, 41, "EPSG:3857")
+
+
+@register("reproject_3857_near", f"""WITH g AS (SELECT r AS orow, c AS ocol, {MERC.xmin!r}::DOUBLE + (c + 0.5e0) * {MERC.xres!r}::DOUBLE AS x, {MERC.ymax!r}::DOUBLE - (r + 0.5e0) * {MERC.yres!r}::DOUBLE AS y FROM range({MERC.height}) a(r), range({MERC.width}) b(c)),
+i AS (SELECT orow, ocol, floor(round((x / 6378137e0 * 180 / pi() - 5e0) / 0.1e0, 9))::BIGINT AS col, floor(round((atan(sinh(y / 6378137e0)) * 180 / pi() - 50e0) / -0.1e0, 9))::BIGINT AS row FROM g)
+SELECT b.b AS band, orow, ocol, round(CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END, 6) AS value FROM i, (VALUES (1), (2)) b(b), part WHERE p_partkey // 50 = row AND p_partkey % 50 = col AND row < 40 AND NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)""")
+def _(spark, sf):
+    src = X.one_source(spark, 1, DEG_GT, 50, 40, 2, nodata=50.0, crs="EPSG:4326")
+    return rounded(gather(X.part2(spark, sf), src, MERC, "near")).drop("src_idx")
+
+
+@register("bounds_densified", """WITH e AS (SELECT s_suppkey AS id, (s_suppkey % 10)::DOUBLE AS x0, 40e0 + s_suppkey // 10 * 0.1e0 AS y0 FROM supplier), s AS (SELECT id, x0, y0, k / 20e0 AS s FROM e, range(21) t(k)),
+p AS (SELECT id, x0 + s AS x, y0 + d AS y FROM s, (VALUES (0e0), (0.5e0)) v(d) UNION ALL SELECT id, x0 + d AS x, y0 + s * 0.5e0 AS y FROM s, (VALUES (0e0), (1e0)) v(d))
+SELECT id, round(min(x * 6378137e0 * pi() / 180), 3) AS xmin, round(min(asinh(tan(y * pi() / 180)) * 6378137e0), 3) AS ymin, round(max(x * 6378137e0 * pi() / 180), 3) AS xmax, round(max(asinh(tan(y * pi() / 180)) * 6378137e0), 3) AS ymax FROM p GROUP BY id""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    x, y = (k % 10).cast("double"), F.floor(k / 10) * 0.1 + 40.0
+    e = W.densified(X.table(spark, sf, "supplier").select(k.alias("id"), x.alias("xmin"), y.alias("ymin"), (x + 1).alias("xmax"), (y + 0.5).alias("ymax")), "EPSG:4326", "EPSG:3857")
+    return e.select("id", *[F.round(c, 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def _two_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The orders twice, the second shifted by 40 cells and missing where the price is odd."""
+    first = X.ord1(spark, sf)
+    second = first.where("cast(value as long) % 2 = 0").withColumn("src_idx", F.lit(3)).withColumn("value", F.col("value") * 2)
+    src = X.one_source(spark, 2, ORD_GT, 150, 1100).unionAll(X.one_source(spark, 3, (80.0, 2.0, 0.0, 0.0, 0.0, -2.0), 150, 1100))
+    return first.unionByName(second), src
+
+
+MOSAIC_GRID = X.grid((1.0, -59.0, 381.0, -3.0), 95, 14)
+MOSAIC_PX = """WITH a AS (SELECT o_orderkey // 150 AS r, o_orderkey % 150 AS c, o_totalprice AS v FROM orders),
+g AS (SELECT r AS orow, c AS ocol, floor((3 + (r + 0.5e0) * 4) / 2)::BIGINT AS row, floor((1 + (c + 0.5e0) * 4) / 2)::BIGINT AS col FROM range(14) x(r), range(95) y(c)),
+m AS (SELECT orow, ocol, p.v AS v2, q.v * 2 AS v3 FROM g LEFT JOIN a p ON p.r = g.row AND p.c = g.col LEFT JOIN a q ON q.r = g.row AND q.c = g.col - 40 AND trunc(q.v)::BIGINT % 2 = 0)"""
+
+
+@register("mosaic_last_wins", MOSAIC_PX + " SELECT 1 AS band, orow, ocol, round(coalesce(v3, v2), 6) AS value FROM m WHERE coalesce(v3, v2) IS NOT NULL")
+def _(spark, sf):
+    pixels, src = _two_sources(spark, sf)
+    return rounded(mosaic(scatter(pixels, src, MOSAIC_GRID, "near")))
+
+
+@register("init_dest", MOSAIC_PX + " SELECT 1 AS band, orow, ocol, round(coalesce(v3, v2, -7e0), 6) AS value FROM m")
+def _(spark, sf):
+    pixels, src = _two_sources(spark, sf)
+    return rounded(dense(mosaic(scatter(pixels, src, MOSAIC_GRID, "near")), MOSAIC_GRID, [1], -7.0))
+
+
+@register("copy_window", f"SELECT 0 AS src_idx, band, row - 3 AS row, col - 3 AS col, value FROM ({emb_sql((9,))}) WHERE row BETWEEN 3 AND 14 AND col BETWEEN 3 AND 17")
+def _(spark, sf):
+    planned = W.plan(X.emb_catalog(spark), WarpSpec(te=(500034.0, 4002414.0, 500176.0, 4002526.0), t_srs="EPSG:32631", bands=(9,)))
+    return raster.cut_window(X.emb64(spark, sf, (9,)), planned.where("is_copy"))
+
+
+@register("stack_bands", MOSAIC_PX + " SELECT b AS band, orow, ocol, round(CASE b WHEN 1 THEN v2 ELSE v3 END, 6) AS value FROM m, range(1, 3) t(b) WHERE CASE b WHEN 1 THEN v2 ELSE v3 END IS NOT NULL")
+def _(spark, sf):
+    pixels, src = _two_sources(spark, sf)
+    return rounded(stack.stack(pixels, src, MOSAIC_GRID, "near", scatter))
+
+
+@register("stack_labels", f"""WITH s AS ({SRC}), o AS (SELECT *, coalesce(sum(n_bands) OVER (PARTITION BY src_idx % 7 ORDER BY src_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s), b AS (SELECT *, unnest(range(1, n_bands + 1)) AS band FROM o)
+SELECT src_idx % 7 AS g, src_idx, band, (off + band)::BIGINT AS out_band, 'scene_' || src_idx || CASE WHEN n_bands > 1 THEN '_b' || band ELSE '' END AS label FROM b""")
+def _(spark, sf):
+    return stack.labels(X.sources(spark, sf).withColumn("g", F.col("src_idx") % 7), ["g"])
+
+
+def _per_source_sql() -> str:
+    near, mean = (warp_sql(m, ORD_PX, gt, MOSAIC_GRID, (150, 1100)) for m, gt in (("near", ORD_GT), ("average", (80.0, *ORD_GT[1:]))))
+    mean = mean.replace("AS value FROM orders", "* 2 AS value FROM orders WHERE trunc(o_totalprice)::BIGINT % 2 = 0", 1)
+    return f"SELECT 1 AS band, orow, ocol, value FROM ({near}) UNION ALL SELECT 2 AS band, orow, ocol, value FROM ({mean})"
+
+
+@register("stack_per_source_r", _per_source_sql())
+def _(spark, sf):
+    pixels, src = _two_sources(spark, sf)
+    return rounded(stack.stack(pixels, src, MOSAIC_GRID, ["near", "average"], scatter))
+
+
+# --- groups -----------------------------------------------------------------------------------------------------------
+
+
+@register("batch_unstacked", "SELECT user_id AS group_idx, event_id AS band_pos, CASE WHEN event_type <> 'error' THEN event_id::VARCHAR END AS payload, event_type = 'error' AS failed FROM events")
+def _(spark, sf):
+    return B.unstacked(X.windows_done(spark, sf))
+
+
+@register("batch_stacked", "SELECT user_id AS group_idx, bool_or(event_type = 'error') AS failed, count(*) AS n_windows, CASE WHEN NOT bool_or(event_type = 'error') THEN string_agg(event_id::VARCHAR, ',' ORDER BY event_id) END AS payloads FROM events WHERE event_id % 64 = user_id % 64 GROUP BY 1")
+def _(spark, sf):
+    done = X.windows_done(spark, sf).where("band_pos % 64 = group_idx % 64")  # small groups, as a request has
+    return B.stacked(done).withColumn("payloads", F.array_join("payloads", ","))
+
+
+@register("batch_failures", "SELECT user_id AS group_idx, count(*) FILTER (WHERE event_type = 'error') AS n_failed, count(*) AS n_windows FROM events GROUP BY 1")
+def _(spark, sf):
+    return B.failures(X.windows_done(spark, sf))
+
+
+@register("batch_paths", """WITH p AS (SELECT DISTINCT user_id AS group_idx, event_id AS band_pos, 'out/aoi_' || CASE WHEN user_id % 3 = 0 THEN user_id::VARCHAR ELSE 'g' || user_id % 50 END || '_' || CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE 'b' || event_id % 100 END || '.tif' AS path FROM events)
+SELECT group_idx, band_pos, path, count(*) OVER (PARTITION BY path) AS n_same FROM p""")
+def _(spark, sf):
+    named = X.windows_done(spark, sf).select("group_idx", "band_pos", F.when(F.col("group_idx") % 3 != 0, F.concat(F.lit("g"), (F.col("group_idx") % 50).cast("string"))).otherwise("").alias("group_name"), F.when(F.col("band_pos") % 2 == 1, F.concat(F.lit("b"), (F.col("band_pos") % 100).cast("string"))).alias("band_name"))
+    return B.output_paths(named, "out/aoi.tif", stack=False)
+
+
+@register("batch_relist", "SELECT user_id AS group_idx, string_agg('p' || event_id, ',' ORDER BY event_id) AS paths FROM events GROUP BY 1")
+def _(spark, sf):
+    done = X.windows_done(spark, sf).select("group_idx", "band_pos", F.concat(F.lit("p"), F.col("payload")).alias("path"))
+    return B.relist(done).withColumn("paths", F.array_join("paths", ","))
+
+
+@register("describe_sources", f"SELECT src_idx, printf('%d x %d', width, height) AS size, round(width * height / 1e6, 3) AS megapixels, printf('%.10f', 10e0) AS resolution FROM ({SRC})")
+def _(spark, sf):
+    s = X.sources(spark, sf)
+    return s.select("src_idx", F.format_string("%d x %d", "width", "height").alias("size"), F.round(F.col("width") * F.col("height") / 1e6, 3).alias("megapixels"), F.format_string("%.10f", F.abs("gt.gt1")).alias("resolution"))
