@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     roots = written(components(link_fingerprints(firsts.select("fp"), radius)))
     named = roots.join(firsts, roots.node == firsts.fp).groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = firsts.join(roots.join(named, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    by_print = written(by_print)  # so that the join below reads two plain exchanges, which Spark splits at hot prints
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
