@@ -39,7 +39,8 @@ def kernel(method: str, d: Column) -> Column:
 def combine(weighted: DataFrame, keys: list[str], method: str) -> DataFrame:
     """One value for each key from rows (keys, row, col, value, w) of valid pixels, with partial aggregation."""
     if method in ("average", *REACH):
-        return weighted.groupBy(*keys).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+        sums = weighted.groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("n"))
+        return sums.where(F.abs("n") > LEAST_OVERLAP).select(*keys, (F.col("s") / F.col("n")).alias("value"))
     if method == "rms":
         return weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("value") * F.col("value")) / F.sum("w")).alias("value"))
     if method == "sum":

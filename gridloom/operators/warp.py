@@ -68,8 +68,9 @@ def scatter(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str =
     return combine(rows, CELL, method)
 
 
-def cells(catalog: DataFrame, grid: OutGrid, source: str | None) -> DataFrame:
-    """The output cells under the extent of each source of one coordinate system, one cell wider."""
+def cells(catalog: DataFrame, grid: OutGrid, source: str | None, reach: int) -> DataFrame:
+    """The output cells under the extent of each source of one coordinate system, wider by ``reach`` source pixels and a
+    cell."""
     e = extent(F.col("gt"), F.col("width"), F.col("height"))
     rows = catalog.withColumn("e", e)
     if source is not None and grid.crs is not None and source != grid.crs:
@@ -82,14 +83,16 @@ def cells(catalog: DataFrame, grid: OutGrid, source: str | None) -> DataFrame:
         rows = rows.drop("e").join(images, "src_idx")
     lo = lambda v, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.floor(v) - 1))
     hi = lambda v, n: F.least(F.lit(n - 1).cast("long"), F.ceil(v) + 1)
-    c0, c1 = lo((F.col("e.xmin") - grid.xmin) / grid.xres, grid.width), hi((F.col("e.xmax") - grid.xmin) / grid.xres, grid.width)
-    r0, r1 = lo((grid.ymax - F.col("e.ymax")) / grid.yres, grid.height), hi((grid.ymax - F.col("e.ymin")) / grid.yres, grid.height)
+    # What a kernel reaches beyond the extent, in output cells; it stretches if these are larger than source pixels.
+    px, py = [reach * F.greatest(F.lit(1.0), (F.col(f"e.{a}max") - F.col(f"e.{a}min")) / F.col(n) / res) for a, n, res in (("x", "width", grid.xres), ("y", "height", grid.yres))]
+    c0, c1 = lo((F.col("e.xmin") - grid.xmin) / grid.xres - px, grid.width), hi((F.col("e.xmax") - grid.xmin) / grid.xres + px, grid.width)
+    r0, r1 = lo((grid.ymax - F.col("e.ymax")) / grid.yres - py, grid.height), hi((grid.ymax - F.col("e.ymin")) / grid.yres + py, grid.height)
     wide = rows.where((c0 <= c1) & (r0 <= r1)).withColumns({"_r": F.sequence(r0, r1), "_c": F.sequence(c0, c1)})
     return wide.withColumn("orow", F.explode("_r")).withColumn("ocol", F.explode("_c")).select("src_idx", "gt", "width", "height", "orow", "ocol")
 
 
 def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str, source: str | None) -> DataFrame:
-    out, gt = cells(catalog, grid, source), F.col("gt")
+    out, gt = cells(catalog, grid, source, REACH.get(method, 0)), F.col("gt")
     det = gt["gt1"] * gt["gt5"] - gt["gt2"] * gt["gt4"]
 
     def back(dx: float, dy: float) -> tuple[Column, Column]:
