@@ -103,7 +103,7 @@ def sample_bytes(name: Column) -> Column:
 
 
 def saturate(value: Column, low: float, high: float, kind: str) -> Column:
-    """Cast as Rust does: towards zero, to the nearest limit, NaN to 0."""
+    """A saturating cast: towards zero, to the nearest limit, NaN to 0."""
     return F.greatest(F.lit(low), F.least(F.lit(high), F.nanvl(value, F.lit(0.0)))).cast(kind)
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from gridloom.functions import metadata as M
 from gridloom.operators import raster, stack
 from gridloom.operators.resample import FOOTPRINT, REACH
