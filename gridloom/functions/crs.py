@@ -1,4 +1,5 @@
-"""Coordinate transforms as column expressions: EPSG:4326, EPSG:3857 and the UTM zones of WGS84 (EPSG:326xx, 327xx).
+"""Coordinate transforms as column expressions: EPSG:4326, EPSG:3857, the UTM zones of WGS84 (EPSG:326xx, 327xx) and the
+equal-area and conic systems of ``regional``.
 
 Web Mercator is closed form on the sphere; UTM is the transverse Mercator series in the third flattening to the fourth
 order (Krueger 1912; Karney 2011). Any other pair of different systems raises: nothing is passed through unchanged.
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions import regional
+
 RADIUS = 6378137.0
 FLATTENING = 1 / 298.257223563
 _N = FLATTENING / (2 - FLATTENING)
@@ -28,7 +31,7 @@ def normalise(name: str) -> str:
     if not code.isdigit():
         raise ValueError(f"unknown coordinate system {name!r}")
     code = {"900913": "3857", "102100": "3857"}.get(code, code)
-    if code not in ("4326", "3857") and not (len(code) == 5 and code[:3] in ("326", "327") and 1 <= int(code[3:]) <= 60):
+    if code not in ("4326", "3857", *regional.SYSTEMS) and not (len(code) == 5 and code[:3] in ("326", "327") and 1 <= int(code[3:]) <= 60):
         raise ValueError(f"unsupported coordinate system {name!r}")
     return f"EPSG:{code}"
 
@@ -43,6 +46,8 @@ def to_degrees(code: str, x: Column, y: Column) -> tuple[Column, Column]:
         return x, y
     if code == "EPSG:3857":
         return x / RADIUS * (180 / math.pi), F.atan(F.sinh(y / RADIUS)) * (180 / math.pi)
+    if code[5:] in regional.SYSTEMS:
+        return regional.to_degrees(code[5:], x, y)
     lon0, north = _utm(code)
     xi, eta = (y - north) / (0.9996 * _A), (x - 500_000.0) / (0.9996 * _A)
     xi1 = xi - sum(b * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) for j, b in enumerate(_BETA, 1))
@@ -57,6 +62,8 @@ def from_degrees(code: str, lon: Column, lat: Column) -> tuple[Column, Column]:
         return lon, lat
     if code == "EPSG:3857":
         return lon * (RADIUS * math.pi / 180), F.asinh(F.tan(lat * (math.pi / 180))) * RADIUS
+    if code[5:] in regional.SYSTEMS:
+        return regional.from_degrees(code[5:], lon, lat)
     lon0, north = _utm(code)
     phi, lam = lat * (math.pi / 180), (lon - lon0) * (math.pi / 180)
     t = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * _E) * _E)
@@ -71,4 +78,13 @@ def transform(source: str, target: str, x: Column, y: Column) -> tuple[Column, C
     if source == target:
         return x, y
     a, b = normalise(source), normalise(target)
-    return (x, y) if a == b else from_degrees(b, *to_degrees(a, x, y))
+    if a == b:
+        return x, y
+    lon, lat = to_degrees(a, x, y)
+    if a == "EPSG:4326" or b in ("EPSG:4326", "EPSG:3857"):
+        return from_degrees(b, lon, lat)
+    # Formulas that read their input many times take it from a lambda's argument; nested into each other they would
+    # multiply to expressions too large to analyse.
+    at = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
+    image = F.get(F.transform(at, lambda p: F.struct(*(c.alias(n) for c, n in zip(from_degrees(b, p["lon"], p["lat"]), "xy", strict=True)))), F.lit(0))
+    return image["x"], image["y"]

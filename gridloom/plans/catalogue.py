@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import crs as projections
 from gridloom.functions import metadata as M
 from gridloom.operators import raster, stack
 from gridloom.operators.resample import FOOTPRINT, REACH
@@ -418,6 +419,50 @@ def _(spark, sf):
     return rounded(gather(X.part2(spark, sf), src, MERC, "near")).drop("src_idx")
 
 
+# GRS80, and Snyder's formulas in their printed form.
+GRS80 = "e2 AS (SELECT f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM (SELECT 1e0 / 298.257222101e0 AS f))"
+
+
+def _q_sql(sine: str) -> str:
+    return f"((1 - e2) * ({sine} / (1 - e2 * {sine} * {sine}) - ln((1 - e * {sine}) / (1 + e * {sine})) / (2 * e)))"
+
+
+EUROPE = X.grid((3950013.0, 2560029.0, 4320041.0, 3000017.0), 37, 44, "EPSG:3035")
+
+
+@register("reproject_3035_near", f"""WITH {GRS80}, k0 AS (SELECT *, {_q_sql("1e0")} AS qp, {_q_sql("sin(radians(52e0))")} AS q1 FROM e2),
+k AS (SELECT *, asin(q1 / qp) AS b1, 6378137e0 * sqrt(qp / 2) AS rq, 6378137e0 * cos(radians(52e0)) / sqrt(1 - e2 * sin(radians(52e0)) ** 2) / (6378137e0 * sqrt(qp / 2) * cos(asin(q1 / qp))) AS d FROM k0),
+g AS (SELECT r AS orow, c AS ocol, {EUROPE.xmin!r}::DOUBLE + (c + 0.5e0) * {EUROPE.xres!r}::DOUBLE - 4321000 AS u, {EUROPE.ymax!r}::DOUBLE - (r + 0.5e0) * {EUROPE.yres!r}::DOUBLE - 3210000 AS v FROM range({EUROPE.height}) a(r), range({EUROPE.width}) b(c)),
+h AS (SELECT *, 2 * asin(rho / (2 * rq)) AS ce FROM (SELECT *, sqrt((u / d) ** 2 + (d * v) ** 2) AS rho FROM g, k)),
+b AS (SELECT orow, ocol, e2, asin(cos(ce) * sin(b1) + d * v * sin(ce) * cos(b1) / rho) AS beta, 10 + degrees(atan2(u * sin(ce), d * rho * cos(b1) * cos(ce) - d * d * v * sin(b1) * sin(ce))) AS lon FROM h),
+l AS (SELECT orow, ocol, lon, degrees(beta + (e2 / 3 + 31 * e2 ** 2 / 180 + 517 * e2 ** 3 / 5040) * sin(2 * beta) + (23 * e2 ** 2 / 360 + 251 * e2 ** 3 / 3780) * sin(4 * beta) + 761 * e2 ** 3 / 45360 * sin(6 * beta)) AS lat FROM b),
+i AS (SELECT orow, ocol, floor(round((lon - 5e0) / 0.1e0, 9))::BIGINT AS col, floor(round((lat - 50e0) / -0.1e0, 9))::BIGINT AS row FROM l)
+SELECT b.b AS band, orow, ocol, round(CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END, 6) AS value FROM i, (VALUES (1), (2)) b(b), part WHERE p_partkey // 50 = row AND p_partkey % 50 = col AND row < 40 AND NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)""")
+def _(spark, sf):
+    src = X.one_source(spark, 1, DEG_GT, 50, 40, 2, nodata=50.0, crs="EPSG:4326")
+    return rounded(gather(X.part2(spark, sf), src, EUROPE, "near")).drop("src_idx")
+
+
+def _m_sql(lat: str) -> str:
+    return f"(cos(radians({lat})) / sqrt(1 - e2 * sin(radians({lat})) ** 2))"
+
+
+def _t_sql(lat: str) -> str:
+    return f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - e * sin(radians({lat}))) / (1 + e * sin(radians({lat}))), e / 2))"
+
+
+@register("project_conics", f"""WITH {GRS80}, p AS (SELECT c_custkey, -125e0 + c_custkey % 590 * 0.1e0 AS lon, 25e0 + c_custkey % 240 * 0.1e0 AS lat FROM customer),
+a AS (SELECT *, ({_m_sql("29.5e0")} ** 2 - {_m_sql("45.5e0")} ** 2) / ({_q_sql("sin(radians(45.5e0))")} - {_q_sql("sin(radians(29.5e0))")}) AS n, ln({_m_sql("49e0")} / {_m_sql("77e0")}) / ln({_t_sql("49e0")} / {_t_sql("77e0")}) AS nl FROM e2),
+c AS (SELECT *, {_m_sql("29.5e0")} ** 2 + n * {_q_sql("sin(radians(29.5e0))")} AS c, {_m_sql("49e0")} / (nl * pow({_t_sql("49e0")}, nl)) AS fl FROM a),
+r AS (SELECT *, 6378137e0 * sqrt(c - n * {_q_sql("sin(radians(lat))")}) / n AS ra, 6378137e0 * sqrt(c - n * {_q_sql("sin(radians(23e0))")}) / n AS ra0, 6378137e0 * fl * pow({_t_sql("lat")}, nl) AS rl, 6378137e0 * fl * pow({_t_sql("63.390675e0")}, nl) AS rl0 FROM p, c)
+SELECT c_custkey, round(ra * sin(n * radians(lon + 96)), 3) AS albers_x, round(ra0 - ra * cos(n * radians(lon + 96)), 3) AS albers_y, round(6200000 + rl * sin(nl * radians(lon + 91.86666666666666e0)), 3) AS lambert_x, round(3000000 + rl0 - rl * cos(nl * radians(lon + 91.86666666666666e0)), 3) AS lambert_y FROM r""")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    at = X.table(spark, sf, "customer").select("c_custkey", (k % 590 * 0.1 - 125.0).alias("lon"), (k % 240 * 0.1 + 25.0).alias("lat"))
+    images = [c for code in ("EPSG:5070", "EPSG:3347") for c in projections.transform("EPSG:4326", code, F.col("lon"), F.col("lat"))]
+    return at.select("c_custkey", *[F.round(c, 3).alias(n) for c, n in zip(images, ("albers_x", "albers_y", "lambert_x", "lambert_y"), strict=True)])
+
+
 @register("bounds_densified", """WITH e AS (SELECT s_suppkey AS id, (s_suppkey % 10)::DOUBLE AS x0, 40e0 + s_suppkey // 10 * 0.1e0 AS y0 FROM supplier), s AS (SELECT id, x0, y0, k / 20e0 AS s FROM e, range(21) t(k)),
 p AS (SELECT id, x0 + s AS x, y0 + d AS y FROM s, (VALUES (0e0), (0.5e0)) v(d) UNION ALL SELECT id, x0 + d AS x, y0 + s * 0.5e0 AS y FROM s, (VALUES (0e0), (1e0)) v(d))
 SELECT id, round(min(x * 6378137e0 * pi() / 180), 3) AS xmin, round(min(asinh(tan(y * pi() / 180)) * 6378137e0), 3) AS ymin, round(max(x * 6378137e0 * pi() / 180), 3) AS xmax, round(max(asinh(tan(y * pi() / 180)) * 6378137e0), 3) AS ymax FROM p GROUP BY id""")
