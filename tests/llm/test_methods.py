@@ -89,6 +89,54 @@ def test_links_of_crowded_groups(spark, crowded):
     assert [find(i) for i in range(len(prints))] == classes(prints)
 
 
+def shingle_set(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def against_brute_force(texts, found):
+    """Pairs at 0.8 or more share a component; no document is in one without a text at 0.7 or more beside it; a component
+    is named by its smallest id."""
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    best = dict.fromkeys(sets, 0.0)
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a].isdisjoint(sets[b]):
+            continue
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert j < 0.8 or found[a] == found[b], (a, b, j)
+        if found[a] == found[b]:
+            best[a], best[b] = max(best[a], j), max(best[b], j)
+    groups: dict = {}
+    for d, c in found.items():
+        groups.setdefault(c, []).append(d)
+    assert set(found) == set(texts) and all(min(g) == c for c, g in groups.items())
+    assert all(best[d] >= 0.7 for g in groups.values() if len(g) > 1 for d in g)
+
+
+def test_similar_documents(spark):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    against_brute_force({r.doc_id: r.text for r in docs.collect()}, found)
+
+
+def test_similar_documents_in_crowded_groups(spark):
+    """Near copies of one text, in groups walked in chunks; a second family and loners beside them."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows, family = [], [[word() for _ in range(200)] for _ in range(2)]
+    for i in range(120):
+        w = list(family[i % 2]) if i % 6 else [word() for _ in range(60)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "short one"), (204, "Short  ONE"), (205, "short two"), (1, rows[1][1])]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), crowded=8).collect()
+    assert len(got) == len(rows)
+    found = {r.doc_id: r.component_id for r in got}
+    assert [found[i] for i in range(200, 206)] == [200, 200, 200, 203, 203, 205]
+    against_brute_force({i: t for i, t in rows if i < 200}, {i: c for i, c in found.items() if i < 200})
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(1)
     for _ in range(30):
@@ -164,10 +212,12 @@ def test_pipeline_stages(spark):
     assert got == {k: (t, len(t)) for k, t in want.items()}
     three = p.remove_near_copies(spark, two, SMALL)
     ids = sorted(want)
-    roots = classes([naive_print(want[i]) for i in ids])
-    assert {r.doc_id for r in three.collect()} == {ids[k] for k in roots}
+    kept = [r.doc_id for r in three.collect()]
+    assert len(kept) == len(set(kept))
+    against_brute_force(want, {r.doc_id: r.component_id for r in simhash.similar_documents(two).collect()})
+    assert set(kept) == {r.component_id for r in simhash.similar_documents(two).collect()} and set(kept) <= set(ids)
     four = p.mix_sources(spark, three, SMALL)
-    assert four.columns == p.COLUMNS and {r.doc_id for r in four.collect()} == {ids[k] for k in roots}
+    assert four.columns == p.COLUMNS and {r.doc_id for r in four.collect()} == set(kept)
     five = p.pack_sequences(spark, four, SMALL).toPandas()
     assert five.groupby("bin_id").n_tokens.sum().max() <= 2048
     assert five[five.piece == 0].groupby("doc_id").size().to_dict() == four.toPandas().groupby("doc_id").size().to_dict()
