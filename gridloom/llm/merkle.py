@@ -34,8 +34,9 @@ def root(sections: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """Short digests of the pieces of each paragraph, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(".{1,%d}" % PIECE), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, DIGITS))
+    """Short digests of the pieces of each paragraph, in order. Only \\n ends a paragraph; a dot would also stop at other
+    line ends."""
+    return F.transform(F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % PIECE), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, DIGITS))
 
 
 def edited_branches(a: Column, b: Column) -> Column:
@@ -114,8 +115,8 @@ n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (OR
 e AS (SELECT *, text[1 : length(text) - length(text) // 4] || nxt[1 : length(text) // 4] AS edited FROM n),
 t AS (SELECT *, list_transform(list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))), lambda ps: {{'d': sha256(array_to_string(ps, '')), 'p': ps}}) AS tt,
   list_transform(list_transform(string_split(edited, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))), lambda ps: {{'d': sha256(array_to_string(ps, '')), 'p': ps}}) AS te,
-  list_transform(regexp_extract_all(text, '.{{1,{PIECE}}}'), lambda p: md5(p)[1:{DIGITS}]) AS pt, list_transform(regexp_extract_all(edited, '.{{1,{PIECE}}}'), lambda p: md5(p)[1:{DIGITS}]) AS pe,
-  list_transform(regexp_extract_all(nxt, '.{{1,{PIECE}}}'), lambda p: md5(p)[1:{DIGITS}]) AS pn FROM e),
+  list_transform(regexp_extract_all(text, '[^\n]{{1,{PIECE}}}'), lambda p: md5(p)[1:{DIGITS}]) AS pt, list_transform(regexp_extract_all(edited, '[^\n]{{1,{PIECE}}}'), lambda p: md5(p)[1:{DIGITS}]) AS pe,
+  list_transform(regexp_extract_all(nxt, '[^\n]{{1,{PIECE}}}'), lambda p: md5(p)[1:{DIGITS}]) AS pn FROM e),
 r AS (SELECT *, sha256(array_to_string(list_transform(tt, lambda s: s.d), '')) AS rt, sha256(array_to_string(list_transform(te, lambda s: s.d), '')) AS re FROM t)
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, rt || ':' || array_to_string(pt, '') AS fingerprint, re || ':' || array_to_string(pe, '') AS edited_fingerprint,
   CASE WHEN text = edited THEN 1e0 WHEN greatest(len(list_distinct(pt)), len(list_distinct(pe))) = 0 THEN 1e0 ELSE len(list_intersect(pt, pe)) / greatest(len(list_distinct(pt)), len(list_distinct(pe))) END AS near_edited,

@@ -10,7 +10,8 @@ Plain text: script, style, template, noscript, head but its title, and comments
 other tags vanish; character references are decoded; runs of blanks become one, empty lines go.
 
 Defined cases: null html is an empty body, a null url an empty target; rows that repeat keep their rows, with equal record
-ids; extra columns are ignored; an empty table gives no rows; text that isn't HTML is its own plain text.
+ids; extra columns are ignored; an empty table gives no rows; text that isn't HTML is its own plain text; a comment or
+script that isn't closed ends with the page, a title that isn't closed is none.
 """
 
 from __future__ import annotations
@@ -29,18 +30,26 @@ from gridloom.llm.common import table
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gridloom:warc")
 DATE = "1970-01-01T00:00:00Z"
-_GONE = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)(</title\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!?/a-zA-Z][^>]*>")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ANCHOR = re.compile(r"<a\b[^>]*>?", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v ]+")
 SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, payload_digest string, record binary"
 
 
+def untagged(text: str) -> str:
+    """A page without its tags. What follows the last ``>`` holds none and isn't searched, so that signs that open a tag
+    over and over cost no more than their length."""
+    end = text.rfind(">") + 1
+    return _TAG.sub("", _BLOCK.sub("\n", text[:end])) + text[end:]
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page, a line for each block."""
-    body = _TAG.sub("", _BLOCK.sub("\n", _GONE.sub(" ", page)))
+    body = untagged(_GONE.sub(" ", page))
     lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape(body).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -65,10 +74,13 @@ def derive(refers_to: str, target: str, date: str, http_head: list[tuple[str, st
     payload = body.encode()
     source = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http_head)
     of_payload, of_block = digest(payload), digest(source.encode() + b"\r\n" + payload)
-    title = _TITLE.search(_GONE.sub(" ", body))
+    shown = _GONE.sub(" ", body)
+    title = _TITLE.search(shown[: shown.rfind(">") + 1])
+    title = title if title and title[2] else None  # one that isn't closed is no title
+    anchors = (_HREF.search(m[0]) for m in _ANCHOR.finditer(body[: body.rfind(">") + 1]))
     about = [("source-block-digest", of_block), ("source-payload-digest", of_payload), ("source-length", str(len(payload))), *((f"source-header-{k.lower()}", v) for k, v in http_head)]
     about += [("title", " ".join(html.unescape(_TAG.sub("", title[1])).split()))] if title else []
-    about += [("outlink", html.unescape(next(x for x in m.groups() if x is not None))) for m in _LINK.finditer(body)]
+    about += [("outlink", html.unescape(next(x for x in m.groups() if x is not None))) for m in anchors if m]
     out = []
     meta_id, text_id = record_id(refers_to, "metadata"), record_id(refers_to, "conversion")
     meta = "".join(f"{k}: {v.replace(chr(13), '%0D').replace(chr(10), '%0A')}\r\n" for k, v in [*about, ("conversion", text_id)]).encode()

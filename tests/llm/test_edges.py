@@ -1,5 +1,6 @@
 """Every operator over nulls, empty and long texts, ties, repeated rows, clashing columns, and empty tables."""
 
+import hashlib
 import random
 
 import pytest
@@ -140,3 +141,18 @@ def test_warc(spark):
     assert of[(1, "conversion")][0]["WARC-Record-ID"] in meta
     assert of[(None, "conversion")][1].decode() == "plain < text & é"
     assert of[(5, "conversion")][1].decode() == LONG
+
+
+def test_warc_of_unclosed_signs():
+    """Signs that open something and never close it, very often: linear time, and text beside them stays."""
+    for sign in ("<a ", "<!-- ", "<script ", "<title>", "<p", "<a>", "<b"):
+        for end in ("", ">", " x"):
+            warc.derive("r", "u", warc.DATE, [], "<p>one</p>" + sign * 200_000 + end)
+    assert warc.plain_text("<p>one</p><!-- a > b") == "one" and warc.plain_text("<p>one</p>2 < 3") == "one\n2 < 3"
+    assert warc.plain_text("<p>one</p><script> x > y") == "one"
+
+
+def test_pieces_end_at_line_feeds_only(spark):
+    text = "a\u2028b\rc\x85d\n" + "e" * 40
+    out = spark.createDataFrame([(text,)], "t string").select(merkle.pieces(F.col("t")).alias("p")).first().p
+    assert out == [hashlib.md5(x.encode()).hexdigest()[:8] for x in ("a\u2028b\rc\x85d", "e" * 32, "e" * 8)]
