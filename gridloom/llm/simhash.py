@@ -10,15 +10,11 @@ linked member to linked member and emits a spanning tree, not all its pairs, so
 of more than ``crowded`` members are first split by cells of pivot distances that overlap by the radius, which loses no
 pair. Components come from alternating stars.
 
-Three bits admit only pairs that are nearly equal. similar_documents() links at a similarity of word shingles instead
-(0.8 of five words): the fingerprint is that of the distinct shingles, where such a pair differs in 9.7 of 64 bits on
-average and in over 18 once in some 500 times. Groups then come from shared least hashes of shingles (BANDS keys of ROWS
-hashes; a pair at 0.8 shares none once in 2,800 times); pivot tables and fingerprints discard within a group, and survivors
-are verified by the share of equal least hashes (HASHES of them, standard error 0.018 at 0.8). As that is an estimate, it
-is held against 0.03 less: of pairs at 0.8 about 19 in 20 pass, at 0.84 all but one in ten thousand, at 0.7 one in 2,000.
-Texts of equal words are one node. A group of over ``crowded`` texts is walked in chunks, then the chunks' leaders (the
-smallest of each component) are walked together; chunks differ between groups, so that a link between two chunks that
-one group misses is found in others.
+Three bits admit only pairs that are nearly equal. similar_documents() links at a Jaccard similarity of word shingles
+instead (0.8 of five words). Groups then come from shared least hashes of shingles (BANDS keys of ROWS hashes; a pair at
+0.8 shares none once in 2,800 times), and within a group every pair is decided exactly, by its sets of shingle hashes,
+unless links connect it already. Texts of equal words are one node. A group of over ``crowded`` texts or two million shingles
+is compared in blocks of that size, then block against block, each pair of blocks a task of its own.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows keep their rows; a null
 doc_id is fingerprinted and gets its component's smallest id, null if there is none; extra columns are ignored; an empty
@@ -35,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_written, table, written
+from gridloom.llm.common import table, written
 from gridloom.llm.components import components
 
 #: Where the five stretches of the 64 bits begin and end.
@@ -44,8 +40,9 @@ PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
 #: Reference fingerprints: XXH64 of their numbers.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(16)], dtype=np.uint64)
 
-#: Least hashes of a text, and how many groups of how many of them make keys.
-HASHES, BANDS, ROWS = 512, 20, 5
+#: How many keys of how many least hashes a text has.
+BANDS, ROWS = 20, 5
+HASHES = BANDS * ROWS
 MULTIPLIERS = np.array([xxhash.xxh32_intdigest(f"multiplier {i}", 42) | 1 for i in range(HASHES)], dtype=np.uint32)
 MASKS = np.array([xxhash.xxh32_intdigest(f"mask {i}", 42) for i in range(HASHES)], dtype=np.uint32)
 
@@ -177,110 +174,156 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
     return least
 
 
+def _id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def _node(ws: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(ws), 7)
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (a hash of the words), fp, keys and sig, a byte of each least hash, of every row; texts without words
-    have no keys."""
+    """doc_id, node (a hash of the words), size (the number of distinct shingles) and keys of every row; texts without
+    words have no keys."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            nodes, prints, keys, sigs = [], [], [], []
+            nodes, sizes, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 ws = (t or b"").lower().split()
                 h = np.unique(shingle_hashes(ws, width))
                 least = least_hashes(h)
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(ws), 7))
-                prints.append(majority(h))
-                keys.append([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least[: BANDS * ROWS].reshape(BANDS, ROWS)] if ws else [])
-                sigs.append((least >> np.uint32(8)).astype(np.uint8).tobytes())
+                nodes.append(_node(ws))
+                sizes.append(len(h))
+                keys.append([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)] if ws else [])
             flat = np.array([x for ks in keys for x in ks], dtype=np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sigs, pa.binary())],
-                ["doc_id", "node", "fp", "keys", "sig"],
+                [batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "node", "size", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, keys array<long>, sig binary")
+    return _id_and_text(docs).mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
 
 
-def walk(nodes: np.ndarray, fps: np.ndarray, sigs: np.ndarray, radius: int, least: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect a group's similar texts, and the smallest node of each component."""
-    bits = fps.view(np.uint64)
-    pivots = np.bitwise_count(bits[:, None] ^ PIVOTS[None, :]).astype(np.int16)
-    left = np.argsort(nodes)
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """node and shingles (the distinct hashes, eight bytes each) of every row."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            split = [(t or b"").lower().split() for t in batch.column(1).to_pylist()]
+            nodes = np.array([_node(ws) for ws in split], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([np.unique(shingle_hashes(ws, width)).tobytes() for ws in split], pa.binary())], ["node", "shingles"])
+
+    return _id_and_text(docs).mapInArrow(run, "node long, shingles binary")
+
+
+def exact_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what the links among all of a block pair connect. Members of equal roots are connected already.
+    With two sides only pairs across them are compared, as another task has those within."""
+    n = len(nodes)
+    sizes = np.array([len(s) // 8 for s in sets], dtype=np.int64)
+    _, tokens = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    holders = owner[np.argsort(tokens, kind="stable")]  # who has a shingle, shingle by shingle
+    ends = np.cumsum(np.bincount(tokens))
+    starts = ends - np.diff(ends, prepend=0)
+    at = np.cumsum(sizes) - sizes
+    two, later = bool((sides != sides[0]).any()), np.arange(n)
+    roots = roots.copy()
     links: list[tuple[int, int]] = []
-    leaders = []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        leaders.append(int(nodes[todo[0]]))
-        while todo and len(left):
-            x = todo.pop()
-            ok = (np.abs(pivots[left] - pivots[x]) <= radius).all(1)  # survivors of the pivot table
-            ok[ok] = np.bitwise_count(bits[left[ok]] ^ bits[x]) <= radius
-            ok[ok] = (sigs[left[ok]] == sigs[x]).mean(1) >= least
-            links += [(int(nodes[y]), int(nodes[x])) for y in left[ok]]
-            todo += left[ok].tolist()
-            left = left[~ok]
-    return links, leaders
-
-
-def link_similar(texts: DataFrame, similarity: float, radius: int = 18, crowded: int = 4000) -> DataFrame:
-    """Edges (a, b) between distinct texts (node, fp, keys, sig) that connect the similar ones."""
-    dealt = texts.select("node", F.posexplode("keys").alias("t", "k"))
-    many = written(dealt.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"))
-    members = written(dealt.join(many, ["t", "k"]))
-    sketches = texts.select("node", "fp", "sig")
+    for x in np.flatnonzero(sides == sides[0]).tolist():
+        open_ = (roots != roots[x]) & ((sides != sides[0]) if two else (later > x))
+        open_ &= np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]) - 1e-6  # else the sizes alone are too unlike
+        if not open_.any():
+            continue
+        own = tokens[at[x] : at[x] + sizes[x]]
+        both = np.bincount(np.concatenate([holders[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]), minlength=n)
+        near = np.flatnonzero(open_ & (both / (sizes + sizes[x] - both) >= similarity))
+        links += [(int(nodes[y]), int(nodes[x])) for y in near]
+        if len(near):
+            roots[np.isin(roots, roots[near])] = roots[x]
+    return links
+
+
+def block_pairs(members: DataFrame, most: int, most_shingles: int) -> DataFrame:
+    """members (t, k, node, size, root) dealt to tasks (i, j): every two members of a group whose roots differ meet in one.
+    A group's most frequent root has blocks of its own, below zero, which needn't meet each other."""
+    at = ["t", "k"]
+    tops = members.groupBy(*at, "root").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max_by("root", F.struct("n", "root")).alias("top"))
+    flagged = members.join(written(tops), at).withColumn("in_top", F.col("root") == F.col("top"))
+    count = lambda own: F.ceil(F.greatest(F.count(F.when(own, 1)) / most, F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)) / most_shingles))
+    sizes = flagged.groupBy(*at).agg(count(F.col("in_top")).alias("tops"), count(~F.col("in_top")).alias("others")).where("others > 0")
+    block = lambda n: F.pmod(F.xxhash64("node", "t", "k"), F.col(n))
+    side = F.when(F.col("in_top"), -1 - block("tops")).otherwise(block("others"))
+    dealt = flagged.join(written(sizes), at).withColumn("side", side)
+    others = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
+    with_top = F.sequence(-F.col("tops"), F.lit(-1).cast("long"))
+    partners = F.when(F.col("in_top"), others).otherwise(F.concat(with_top, others))
+    return dealt.select(*at, "node", "root", "side", F.explode(partners).alias("partner")).select(*at, F.least("side", "partner").alias("i"), F.greatest("side", "partner").alias("j"), "node", "root", "side")
+
+
+def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within the tasks (t, k, i, j) that members (node, root, side) were dealt to."""
+    task = ["t", "k", "i", "j"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; a group may go over several batches. A leader is a row whose b is null."""
+        """Rows come sorted by task; a task may go over several batches."""
         held: list[tuple] = []
         key = None
 
         def flush() -> pa.RecordBatch:
-            links, leaders = ([], [])
+            links: list[tuple[int, int]] = []
             if held:
-                links, leaders = walk(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, similarity - 0.03)
-            at = key or (0, 0, 0)
-            n = len(links) + len(leaders)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int64()), pa.array([x for x, _ in links] + leaders, pa.int64()), pa.array([y for _, y in links] + [None] * len(leaders), pa.int64())], ["t", "k", "a", "b"])
+                links = exact_links(*(np.concatenate([h[n] for h in held]) for n in range(3)), [s for h in held for s in h[3]], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in it:
             if not batch.num_rows:
                 continue
-            t, k, s, node, fp = (batch.column(n).to_numpy() for n in ("t", "k", "salt", "node", "fp"))
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            new = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1])) + 1
-            bounds = [0, *new.tolist(), len(t)]
+            cols = [batch.column(n).to_numpy() for n in task]
+            own = [batch.column(n).to_numpy() for n in ("node", "root", "side")]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            bounds = [0, *new.tolist(), batch.num_rows]
+            sets_ = batch.column("shingles").to_pylist()
             for a, b in zip(bounds, bounds[1:], strict=False):
-                now = (int(t[a]), int(k[a]), int(s[a]))
+                now = tuple(int(c[a]) for c in cols)
                 if now != key:
                     yield flush()
                     held, key = [], now
-                held.append((node[a:b], fp[a:b], sig[a:b]))
+                held.append((*(x[a:b] for x in own), sets_[a:b]))
         yield flush()
 
-    links = None
-    while True:
-        chunks = F.ceil(F.col("n") / crowded)
-        salted = members.withColumn("salt", F.pmod(F.xxhash64("node", "t", "k"), chunks)).join(sketches, "node")
-        rows = salted.select("t", "k", "salt", "node", "fp", "sig").repartition("t", "k", "salt").sortWithinPartitions("t", "k", "salt")
-        out = written(rows.mapInArrow(run, "t int, k long, a long, b long"))
-        found = out.where("b is not null").select("a", "b")
-        links = found if links is None else links.unionAll(found)
-        large = members.where(F.col("n") > crowded).groupBy("t", "k").agg(F.first("n").alias("was"))
-        leaders = out.where("b is null").select("t", "k", F.col("a").alias("node")).join(large, ["t", "k"])
-        if leaders.isEmpty():
-            return links
-        left = leaders.groupBy("t", "k").agg(F.count("*").alias("now"))
-        # A group whose leaders aren't half as many is walked whole next, its n set so that it makes one chunk.
-        members = written(leaders.join(left, ["t", "k"]).select("t", "k", "node", F.when(2 * F.col("now") <= F.col("was"), F.col("now")).otherwise(F.lit(1)).cast("long").alias("n")))
+    rows = dealt.join(sets, "node").select(*task, "node", "root", "side", "shingles")
+    return written(rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, "a long, b long"))
+
+
+def link_similar(texts: DataFrame, shingles: DataFrame, similarity: float, crowded: int = 4000, most_shingles: int = 2_000_000) -> DataFrame:
+    """Edges (a, b) between distinct texts (node, size, keys) that connect the similar ones among those that share a key."""
+    dealt = texts.select("node", "size", F.posexplode("keys").alias("t", "k"))
+    mark = [F.sum(F.col("node").cast("decimal(38,0)")).alias("m1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("m2")]
+    many = dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *mark).where("n > 1")
+    # Groups of the same members are one.
+    many = written(many.groupBy("n", "total", "m1", "m2").agg(F.min(F.struct("t", "k")).alias("g")).select("g.t", "g.k", F.ceil(F.greatest(F.col("n") / crowded, F.col("total") / most_shingles)).alias("blocks")))
+    members = written(dealt.join(many, ["t", "k"]))
+    sets = written(shingles.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    block = F.pmod(F.xxhash64("node", "t", "k"), F.col("blocks"))
+    links = compared(members.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side")), sets, similarity)
+    large = members.where("blocks > 1").select("t", "k", "node", "size")
+    if large.isEmpty():
+        return links
+    # What the blocks of a large group have connected so far needn't be compared; all else meets, block by block.
+    roots = written(components(links))
+    rooted = written(large.join(roots, "node", "left").select("t", "k", "node", "size", F.coalesce("root", "node").alias("root")))
+    return links.unionAll(compared(block_pairs(rooted, crowded, most_shingles), sets, similarity))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, crowded: int = 4000) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links, of every row. Cases as in near_duplicates; texts
     without words are of one component."""
     rows = written(sketched(docs, width))
-    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sig").alias("sig")))
-    roots = written(components(link_similar(texts, similarity, crowded=crowded)))
+    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"), F.min("keys").alias("keys")))
+    roots = written(components(link_similar(texts, shingled(docs, width), similarity, crowded=crowded)))
     firsts = texts.select("node", "first")
     in_class = roots.join(firsts, "node")
     named = in_class.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -137,6 +137,23 @@ def test_similar_documents_in_crowded_groups(spark):
     against_brute_force({i: t for i, t in rows if i < 200}, {i: c for i, c in found.items() if i < 200})
 
 
+def test_star_shaped_family(spark):
+    """Copies at 0.8 or more to one original, but hardly to each other, in groups of many blocks."""
+    rng = random.Random(11)
+    original = [f"o{i}" for i in range(400)]
+    rows = [(500, " ".join(original))]
+    for i in range(300):
+        w = list(original)
+        for at in rng.sample(range(2, 398), 8):
+            w[at] = f"c{i}-{at}"
+        rows.append((i, " ".join(w)))
+    sets = {d: shingle_set(t) for d, t in rows}
+    near = {d for d in sets if len(sets[d] & sets[500]) / len(sets[d] | sets[500]) >= 0.8}
+    assert len(near) > 250
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), crowded=8).collect()}
+    assert {found[d] for d in near} == {found[500]}
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(1)
     for _ in range(30):
