@@ -154,6 +154,17 @@ def test_star_shaped_family(spark):
     assert {found[d] for d in near} == {found[500]}
 
 
+def test_similarity_is_exact(spark):
+    """Of pairs of 100 shingles each that differ in the last words, those at 89/111 link and those at 88/112 do not."""
+    rows = []
+    for i in range(120):
+        w = [f"p{i}w{n}" for n in range(104)]
+        cut = 104 - (11 if i % 2 else 12)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:cut] + [f"q{i}w{n}" for n in range(cut, 104)]))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(120) if (found[2 * i + 1] == 2 * i) != (i % 2 == 1)] == []
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(1)
     for _ in range(30):
