@@ -165,6 +165,23 @@ def test_similarity_is_exact(spark):
     assert [i for i in range(120) if (found[2 * i + 1] == 2 * i) != (i % 2 == 1)] == []
 
 
+def test_unlinked_groups_stay_in_blocks(spark):
+    """Members of a group that nothing links meet pair by pair, in tasks of bounded size; a root's own blocks don't meet."""
+    members = [(0, 7, n, 30, n) for n in range(200)] + [(1, 9, n, 30, 1000 if n < 150 else n) for n in range(200)]
+    rows = simhash.block_pairs(spark.createDataFrame(members, "t int, k long, node long, size long, root long"), 20, 100_000).collect()
+    tasks: dict = {}
+    for r in rows:
+        tasks.setdefault((r.t, r.i, r.j), []).append((r.node, r.root, r.side))
+    assert max(map(len, tasks.values())) <= 80
+    met: list = [set(), set()]
+    for (t, i, j), held in tasks.items():
+        met[t] |= {frozenset((a, b)) for (a, ra, sa), (b, rb, sb) in itertools.combinations(held, 2) if ra != rb and (i == j or sa != sb)}
+    for t in (0, 1):
+        roots = {n: r for g, _, n, _, r in members if g == t}
+        assert met[t] == {frozenset(x) for x in itertools.combinations(roots, 2) if roots[x[0]] != roots[x[1]]}
+    assert all(j >= 0 for t, _, j in tasks)
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(1)
     for _ in range(30):
