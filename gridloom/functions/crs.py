@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import regional
@@ -36,6 +36,14 @@ def normalise(name: str) -> str:
     return f"EPSG:{code}"
 
 
+def distinct_names(catalog: DataFrame, most: int) -> list[str | None]:
+    """The names of the systems of a catalog; more than ``most`` raise, so that no source is left out unsaid."""
+    names = [r[0] for r in catalog.select("crs").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} names of coordinate systems in a catalog")
+    return names
+
+
 def _utm(code: str) -> tuple[float, float]:
     """Central meridian in degrees and false northing."""
     return int(code[-2:]) * 6 - 183.0, 10_000_000.0 if code[5:8] == "327" else 0.0

@@ -131,7 +131,7 @@ def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: st
 
 def gather(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str = "near") -> DataFrame:
     """As scatter(), for any transform and any pair of supported systems. Each system among the sources is a branch."""
-    names = [r[0] for r in catalog.select("crs").distinct().limit(200).collect()]
+    names = projections.distinct_names(catalog, 200)
     parts = [_gather_one(pixels, catalog.where(F.col("crs").eqNullSafe(F.lit(n))), grid, method, n) for n in names]
     return reduce(DataFrame.unionByName, parts)
 

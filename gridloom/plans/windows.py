@@ -70,7 +70,7 @@ def plan(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
         want = [F.lit(float(v)) for v in spec.te]
     else:
         # Sources share few systems; each gets its own image of the extent.
-        names = [r[0] for r in catalog.select("crs").distinct().limit(1000).collect()]
+        names = projections.distinct_names(catalog, 1000)
         images = {n: bounds(spec.te, projections.normalise(te_srs), n and projections.normalise(n)) for n in names}
         want = [F.coalesce(*[F.when(F.col("crs").eqNullSafe(F.lit(n)), image[i]) for n, image in images.items()]) for i in range(4)]
     rows = catalog.withColumns({"copy": copy, "wx0": want[0], "wy0": want[1], "wx1": want[2], "wy1": want[3]})

@@ -82,6 +82,16 @@ def ramp(spark, width, height, src=0, value="id * 7 % 101 + 1"):
     return spark.range(width * height).select(F.lit(src).alias("src_idx"), F.lit(1).alias("band"), F.expr(f"id div {width}").alias("row"), (F.col("id") % width).alias("col"), F.expr(value).cast("double").alias("value"))
 
 
+def test_too_many_systems_raise(spark):
+    """More names of systems than are handled raise; no source vanishes."""
+    src = X.one_source(spark, 0, (0, 1, 0, 12, 0, -1), 16, 12).drop("crs")
+    many = src.crossJoin(spark.range(1001).select(F.concat(F.lit("EPSG:4326"), F.expr("repeat(' ', cast(id as int))")).alias("crs")))
+    with pytest.raises(ValueError, match="more than 200 names"):
+        gather(ramp(spark, 16, 12), many, X.grid((0, 0, 4, 4), 4, 4))
+    with pytest.raises(ValueError, match="more than 1000 names"):
+        W.plan(many, WarpSpec(te=TE, te_srs="EPSG:4326"))
+
+
 @pytest.mark.parametrize("method", METHODS)
 @pytest.mark.parametrize("gt", [(0, 1, 0, 12, 0, -1), (0, 1, 0, 0, 0, 1)])
 def test_both_plans_agree(spark, method, gt):
