@@ -4,6 +4,9 @@ A line (surrounding ASCII white space trimmed, blank ones left aside) counts onc
 divided by the host's number of pages is its ratio; lines above ``ratio`` on at least ``min_pages`` pages are
 boilerplate of that host and are dropped from its pages, wherever they stand.
 
+The host is a column or an expression: host_of() takes it from an address. A host's boilerplate set is joined to its
+pages; it is small, as at most 1 / ratio lines of average page length can be boilerplate of a host.
+
 Defined cases: a null text stays null and an empty one empty; both count as pages of their host; a null host is a host
 of its own; repeated rows are pages each; a page all of whose lines go stays, with an empty text; a page on which
 nothing goes keeps its text byte by byte; extra columns stay as they are, but n_lines_dropped is replaced; an empty
@@ -15,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE_CHARS, table, written
+from gridloom.llm.common import SPACE_CHARS, column, fresh, table, written
 
-#: Rows of the boilerplate table up to which it is broadcast; beyond, it is joined by shuffling.
+#: Rows of the boilerplate table up to which it is broadcast. Beyond, only the sets of hosts with over a thousandth of all
+#: pages are (a thousand hosts at most), so their pages stay in place; the other hosts' pages are shuffled.
 BROADCAST_ROWS = 20_000
 
 
@@ -25,31 +29,45 @@ def _print(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
-def boilerplate(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
-    """(_host, _print) of each host's boilerplate lines. Counts are summed on the map side, so a host or a line with a
-    third of all rows sends one row a task."""
+def host_of(url: Column) -> Column:
+    """The lower-case host of an address, null if it has none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, print) of the boilerplate lines of pages (host, text). Counts are summed on the map side, so a host or a line
+    with a third of all rows sends one row a task."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    each = docs.select(F.col(host).alias("_host"), F.explode(F.array_distinct(F.transform(lines, _print))).alias("_print"))
-    counts = each.groupBy("_host", "_print").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = docs.groupBy(F.col(host).alias("_site")).agg(F.count("*").alias("pages"))
-    return counts.join(totals, F.col("_host").eqNullSafe(F.col("_site"))).where(F.col("n") > ratio * F.col("pages")).select("_host", "_print")
+    each = pages.select("host", F.explode(F.array_distinct(F.transform(lines, _print))).alias("print"))
+    counts = each.groupBy("host", "print").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = pages.groupBy(F.col("host").alias("site")).agg(F.count("*").alias("pages"))
+    return counts.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("n") > ratio * F.col("pages")).select("host", "print")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", ratio: float = 0.05, min_pages: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with cleaned text and n_lines_dropped."""
     docs = docs.drop("n_lines_dropped")
-    found = written(boilerplate(docs, host, ratio, min_pages))
-    # At most 1 / ratio lines of average page length are boilerplate of a host, so its array stays small.
-    by_host = found.groupBy("_host").agg(F.collect_list("_print").alias("_prints"))
-    if found.count() <= BROADCAST_ROWS:
-        by_host = F.broadcast(by_host)
     own = docs.columns
-    joined = docs.join(by_host, docs[host].eqNullSafe(by_host["_host"]), "left")
+    at, prints, kept, of, big_of = fresh(docs, "host", "prints", "kept", "of", "big_of")
+    pages = docs.withColumn(at, column(host) if isinstance(host, str) else host)
+    found = written(boilerplate(pages.select(F.col(at).alias("host"), "text"), ratio, min_pages))
+    by_host = found.groupBy(F.col("host").alias(of)).agg(F.collect_list("print").alias(prints))
+    match = F.col(at).eqNullSafe(F.col(of))
+    if found.count() <= broadcast_rows:
+        joined = pages.join(F.broadcast(by_host), match, "left")
+    else:
+        n = pages.groupBy(F.col(at).alias(big_of)).agg(F.count("*").alias("n_pages"))
+        big = written(n.where(F.col("n_pages") > pages.count() / 1000).select(big_of))
+        is_big = F.col(at).eqNullSafe(F.col(big_of))
+        of_big = by_host.join(F.broadcast(big), F.col(of).eqNullSafe(F.col(big_of)), "left_semi")
+        joined = pages.join(F.broadcast(big), is_big, "left_semi").join(F.broadcast(of_big), match, "left")
+        joined = joined.unionAll(pages.join(F.broadcast(big), is_big, "left_anti").join(by_host, match, "left"))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_prints", _print(x)) | (F.btrim(x, F.lit(SPACE_CHARS)) == ""))
-    cut = joined.select(*own, F.when(F.col("_prints").isNotNull() & F.col("text").isNotNull(), kept).alias("_kept"))
-    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
-    return cut.select(*[F.when(dropped > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in own], dropped.alias("n_lines_dropped"))
+    stays = F.filter(lines, lambda x: ~F.array_contains(prints, _print(x)) | (F.btrim(x, F.lit(SPACE_CHARS)) == ""))
+    cut = joined.select(*map(column, own), F.when(F.col(prints).isNotNull() & F.col("text").isNotNull(), stays).alias(kept))
+    dropped = F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    text = F.when(dropped > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text")
+    return cut.select(*[text if c == "text" else column(c) for c in own], dropped.alias("n_lines_dropped"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

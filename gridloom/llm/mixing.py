@@ -4,8 +4,10 @@ A source's weight is its token share to the power of an exponent, normalised. Th
 round) to the smallest in [0, 1] that keeps every source's repetition within a limit, or to the largest that reaches a
 target entropy. The weights times the token budget are then realised as block permutations: a source's documents are
 dealt to blocks by hash; each whole epoch draws all blocks, the last one draws blocks in that epoch's permutation until
-the budget is met, and of the block at which it is met the documents that come first in hash order. Only one threshold
-of each block is needed for that, so no source's documents meet in one task.
+the budget is met, and of the block at which it is met the documents that come first in hash order. A source's last
+block and document say which documents its last epoch draws, so texts are joined with a row for each source only, and no
+source's documents meet in one task. A block holds about ``block_docs`` documents, more in sources of over MOST_BLOCKS
+such blocks. A target that no exponent in [0, 1] meets raises.
 
 Without a budget it is the least one that draws every source once at least; then no document is left out.
 
@@ -20,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gridloom.llm.common import table, words, written
+from gridloom.llm.common import column, drop_written, fresh, table, words, written
 
+MOST_BLOCKS = 65_536
 OWN = ("n_tokens", "epoch", "block", "block_key", "doc_key")
 
 
@@ -44,14 +47,18 @@ def exponent(sources: DataFrame, repetition: float | None, entropy: float | None
         )
         if repetition is not None:  # tokens drawn over tokens there, of the source that is repeated most
             drawn = F.col("most") / F.col("least") if budget is None else F.col("most") / F.col("z") * (budget / total)
-            fits = {r.a: r.x <= repetition for r in row.select("a", drawn.alias("x")).collect()}
-            first = next((i for i, x in enumerate(grid) if fits[x]), 16)
+            fits = {r.a: r.x <= repetition + 1e-12 for r in row.select("a", drawn.alias("x")).collect()}
+            first = next((i for i, x in enumerate(grid) if fits[x]), None)
+            if first is None:
+                raise ValueError(f"no exponent keeps every source's repetition within {repetition}")
             lo, hi = grid[max(0, first - 1)], grid[first]
             if first == 0:
                 return lo
         else:
-            fits = {r.a: r.h >= entropy for r in row.select("a", (F.log("z") - F.col("a") * F.col("zl") / F.col("z")).alias("h")).collect()}
-            last = max((i for i, x in enumerate(grid) if fits[x]), default=0)
+            fits = {r.a: r.h >= entropy - 1e-12 for r in row.select("a", (F.log("z") - F.col("a") * F.col("zl") / F.col("z")).alias("h")).collect()}
+            last = max((i for i, x in enumerate(grid) if fits[x]), default=None)
+            if last is None:
+                raise ValueError(f"no exponent reaches an entropy of {entropy}")
             lo, hi = grid[last], grid[min(16, last + 1)]
             if last == 16:
                 return hi
@@ -64,8 +71,17 @@ def mix(docs: DataFrame, source: str = "source", repetition: float | None = 2.0,
     if (repetition is None) == (entropy is None):
         raise ValueError("give a repetition limit or a target entropy")
     docs = docs.drop(*OWN)
-    light = docs.select(F.col(source).alias("_source"), "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
-    sources = written(light.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
+
+    def hashes() -> list[Column]:
+        doc = F.coalesce(column("doc_id").cast("string"), F.lit(""))
+        return [F.size(words(column("text"))).cast("long"), _key(F.lit(f"block{seed}"), doc), _key(F.lit(f"doc{seed}"), doc)]
+
+    def block_key(epoch: Column, of: Column, block: Column) -> Column:
+        return _key(F.lit(f"order{seed}"), epoch.cast("string"), F.coalesce(of.cast("string"), F.lit("")), block.cast("string"))
+
+    # Sizes and hashes of every document, written once; all counts come from these.
+    light = written(docs.select(column(source).alias("s"), *[c.alias(n) for c, n in zip(hashes(), ("n_tokens", "deal", "doc_key"), strict=True)]))
+    sources = written(light.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
     some = sources.where("tokens > 0")
     a = exponent(some, repetition, entropy, budget)
     total = some.agg(F.sum("tokens")).first()[0] or 1
@@ -73,39 +89,39 @@ def mix(docs: DataFrame, source: str = "source", repetition: float | None = 2.0,
     z, least = some.agg(F.sum(F.pow(share, F.lit(a))), F.min(F.pow(share, F.lit(a - 1)))).first()
     budget = total * z / least if budget is None and z else budget
     drawn = F.round(F.pow(share, F.lit(a)) / F.lit(z or 1.0) * F.lit(float(budget or 0))).cast("long")
-    sources = written(
-        sources.withColumn("_drawn", F.when(F.col("tokens") > 0, drawn).otherwise(0))
-        .withColumn("_whole", F.when(F.col("tokens") > 0, F.expr("_drawn div tokens")).otherwise(1))
-        .select("_source", "_whole", F.when(F.col("tokens") > 0, F.col("_drawn") - F.col("_whole") * F.col("tokens")).otherwise(0).alias("_rest"), F.ceil(F.col("n") / block_docs).alias("_blocks"))
-    )
-
-    def placed(rows: DataFrame, name: str) -> DataFrame:
-        """Each row's block and document key; sources are few next to documents, and Spark picks the join by size."""
-        to = sources.withColumnRenamed("_source", "_of")
-        doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-        return rows.join(to, rows[name].eqNullSafe(to["_of"])).withColumn("block", _key(F.lit(f"block{seed}"), doc) % F.col("_blocks")).withColumn("doc_key", _key(F.lit(f"doc{seed}"), doc)).drop("_of", "_blocks")
-
-    def block_key(epoch: Column) -> Column:
-        return _key(F.lit(f"order{seed}"), epoch.cast("string"), F.coalesce(F.col("_source"), F.lit("")), F.col("block").cast("string"))
-
-    sized = placed(light, "_source")
-    blocks = sized.groupBy("_source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("_whole").alias("_whole"), F.first("_rest").alias("_rest"))
-    before = Window.partitionBy("_source").orderBy(block_key(F.col("_whole") + 1), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = written(blocks.withColumn("_before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("_left", F.col("_rest") - F.col("_before")))
-    # The block where a source's budget ends: its documents up to a key.
-    edge = blocks.where("_left > 0 and _left < tokens").select(F.col("_source").alias("_at"), F.col("block").alias("_edge"), "_left")
-    inside = sized.join(edge, sized["_source"].eqNullSafe(edge["_at"]) & (sized["block"] == edge["_edge"])).select("_at", "_edge", "_left", "doc_key", "n_tokens")
-    up_to = Window.partitionBy("_at", "_edge").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = inside.withColumn("_sum", F.sum("n_tokens").over(up_to)).where("_sum <= _left").groupBy("_at", "_edge").agg(F.max("doc_key").alias("_cut"))
-    plan = blocks.join(cuts, blocks["_source"].eqNullSafe(cuts["_at"]) & (blocks["block"] == cuts["_edge"]), "left").select(
-        F.col("_source").alias("_from"), F.col("block").alias("_block"), F.when(F.col("_left") >= F.col("tokens"), F.when(F.col("_rest") > 0, F.lit(1 << 60)).otherwise(-1)).otherwise(F.coalesce("_cut", F.lit(-1))).alias("_upto")
-    )
-    plan = written(plan)
-    rows = placed(docs.withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")), source)
-    joined = rows.join(plan, rows[source].eqNullSafe(plan["_from"]) & (rows["block"] == plan["_block"]))
-    copies = F.col("_whole") + F.when(F.col("doc_key") <= F.col("_upto"), 1).otherwise(0)
-    out = joined.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).withColumn("_source", F.col(source))
-    return out.withColumn("block_key", block_key(F.col("epoch"))).select(*docs.columns, *OWN)
+    weighed = sources.withColumn("drawn", F.when(F.col("tokens") > 0, drawn).otherwise(0)).select(
+        "s", F.when(F.col("tokens") > 0, F.expr("drawn div tokens")).otherwise(1).alias("whole"), F.when(F.col("tokens") > 0, F.col("drawn") % F.col("tokens")).otherwise(0).alias("rest"),
+        F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / block_docs)).alias("blocks"),
+    )
+    weighed = written(weighed)
+    of = weighed.withColumnRenamed("s", "of")
+    sized = light.join(of, F.col("s").eqNullSafe(F.col("of"))).where("rest > 0").select("s", "whole", "rest", (F.col("deal") % F.col("blocks")).alias("block"), "doc_key", "n_tokens")
+    blocks = sized.groupBy("s", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
+    blocks = blocks.withColumn("key", block_key(F.col("whole") + 1, F.col("s"), F.col("block")))
+    before = Window.partitionBy("s").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1)
+    summed = blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    # The first block that doesn't fit as a whole, and of its documents those up to a key.
+    edges = written(summed.where("tokens > left").groupBy(F.col("s").alias("of")).agg(F.min(F.struct("key", "block", "left")).alias("e")).select("of", "e.*"))
+    inside = sized.join(edges.withColumnRenamed("block", "edge"), F.col("s").eqNullSafe(F.col("of")) & (F.col("block") == F.col("edge"))).select("of", "left", "doc_key", "n_tokens")
+    up_to = Window.partitionBy("of").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, 0)
+    cuts = inside.withColumn("upto", F.sum("n_tokens").over(up_to)).where("upto <= left").groupBy(F.col("of").alias("cut_of")).agg(F.max("doc_key").alias("cut"))
+    ends = edges.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").select(F.col("of").alias("end_of"), F.col("key").alias("end_key"), F.col("block").alias("end_block"), F.coalesce("cut", F.lit(-1)).alias("cut"))
+    plan = written(weighed.join(ends, F.col("s").eqNullSafe(F.col("end_of")), "left").select(F.struct("whole", "blocks", "end_key", "end_block", "cut").alias("plan"), "s"))
+    for t in (light, sources, weighed, edges):
+        drop_written(t)
+
+    n_tokens, deal, doc_key, at, to = fresh(docs, "n_tokens", "deal", "doc_key", "plan", "of")
+    rows = docs.withColumns(dict(zip((n_tokens, deal, doc_key), hashes(), strict=True)))
+    # Sources are few next to documents; Spark picks the join by size.
+    joined = rows.join(plan.select(F.col("plan").alias(at), F.col("s").alias(to)), column(source).eqNullSafe(F.col(to)))
+    own = column(at)
+    block = F.col(deal) % own["blocks"]
+    key = block_key(own["whole"] + 1, column(source), block)
+    again = (F.struct(key.alias("a"), block.alias("b")) < F.struct(own["end_key"].alias("a"), own["end_block"].alias("b"))) | ((block == own["end_block"]) & (F.col(doc_key) <= own["cut"]))
+    copies = own["whole"] + F.when(own["end_block"].isNotNull() & again, 1).otherwise(0)
+    epoch, in_block = fresh(joined, "epoch", "block")
+    out = joined.withColumn(in_block, block).withColumn(epoch, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies.cast("long")))))
+    return out.select(*map(column, docs.columns), F.col(n_tokens).alias("n_tokens"), F.col(epoch).alias("epoch"), F.col(in_block).alias("block"), block_key(F.col(epoch), column(source), F.col(in_block)).alias("block_key"), F.col(doc_key).alias("doc_key"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +133,7 @@ OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n FROM d GROUP BY ALL),
 e AS (SELECT greatest(0e0, 1e0 - ln(2e0) / nullif(ln(max(tokens)::DOUBLE / min(tokens)), 0)) AS a, max(tokens) AS most FROM s WHERE tokens > 0),
-w AS (SELECT source, tokens, ceil(n / 1024e0)::BIGINT AS blocks, round(CASE WHEN a IS NULL THEN tokens ELSE pow(tokens::DOUBLE / most, a) * most END)::BIGINT AS drawn FROM s, e),
+w AS (SELECT source, tokens, least(65536, ceil(n / 1024e0))::BIGINT AS blocks, round(CASE WHEN a IS NULL THEN tokens ELSE pow(tokens::DOUBLE / most, a) * most END)::BIGINT AS drawn FROM s, e),
 x AS (SELECT *, CASE WHEN tokens > 0 THEN drawn // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN drawn % tokens ELSE 0 END AS rest FROM w),
 p AS (SELECT d.*, whole, rest, ('0x' || substr(md5('block0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % blocks AS block,
   ('0x' || substr(md5('doc0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS doc_key FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),

@@ -5,7 +5,7 @@ largest first. Its bins are ordered by residual capacity and carry bitmaps: one
 ``per_source`` planes of their sources. A piece goes to the tightest bin that has room and no conflict: the search starts
 at the first residual that fits and goes on to the next larger one while a bin already holds the piece's cluster, or its
 source in every plane; a piece that fits nowhere opens a bin. There is a shard for every
-``shard_docs`` documents, at any input size.
+``shard_pieces`` pieces, at any input size and however long the documents are.
 
 Defined cases: null and empty texts are pieces of no tokens and go to a bin like any other; pieces of one document are
 of one cluster, and so are repeated rows and exact copies, so none of these share a bin; a null source is a source of its
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, words
+from gridloom.llm.common import column, table, words, written
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int) -> tuple[list[int], list[int]]:
@@ -55,14 +55,16 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
     return bins, offsets
 
 
-def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_docs: int = 2048, source: str = "source", cluster: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_pieces: int = 2048, source: str = "source", cluster: Column | None = None) -> DataFrame:
     """doc_id, source, piece, first_token, n_tokens, bin_id and bin_offset of every piece. ``cluster`` says which
     documents are duplicates; by default those whose words are equal."""
     ws = words(F.col("text"))
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(ws).alias("n"), (F.xxhash64(F.array_join(ws, " ")) if cluster is None else cluster).cast("long").alias("cluster"))
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), column(source).cast("string").alias("source"), F.size(ws).alias("n"), (F.xxhash64(F.array_join(ws, " ")) if cluster is None else cluster).cast("long").alias("cluster"))
+    light = written(light)  # sizes only; the texts are read once
     pieces = light.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).cast("long").alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long").alias("n_tokens"))
-    shards = max(1, -(-docs.count() // shard_docs))
+    total = light.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)))).first()[0] or 0
+    shards = max(1, -(-total // shard_pieces))
     # By a hash of the row alone, so that a task that runs again deals its rows alike; with the cluster, as ids may be null.
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
 

@@ -14,6 +14,8 @@ columns are ignored; an empty table gives no rows, and without labels only the b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,14 @@ CANDIDATES = {
 }
 
 
-def _repeated_words(w: Column) -> Column:
-    """Words that stand in a 3-word window found twice or more. Windows are compared by 64-bit hashes; texts whose
-    windows are all distinct, most of them, need no sorting."""
-    h = F.when(F.size(w) >= 3, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    return h
+def _window_hashes(w: Column) -> Column:
+    """64-bit hashes of a text's 3-word windows, in order."""
+    return F.when(F.size(w) >= 3, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of each whole text."""
+    """The kept columns, n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (words in 3-word windows
+    found twice or more) of each whole text. Only texts with repeated windows sort theirs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     one = docs.select(
@@ -46,7 +47,7 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("_lines"), words(F.col("text")).alias("_w"),
     )
-    two = one.select(*keep, "word_chars", "n_symbols", F.size("_w").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), _repeated_words(F.col("_w")).alias("_h"))
+    two = one.select(*keep, "word_chars", "n_symbols", F.size("_w").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), _window_hashes(F.col("_w")).alias("_h"))
     ordered = F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     three = two.select(*keep, "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered).otherwise(F.slice(ordered, 1, 0)).alias("_o"))
     twice = F.filter("_o", lambda x, j: (x["h"] == F.get("_o", j - 1)["h"]) | (x["h"] == F.get("_o", j + 1)["h"]))
@@ -63,17 +64,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def log_gamma(x: Column) -> Column:
+    """Of x >= 1: Stirling's series at x + 8, taken back by the recurrence."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - sum(F.log(x + i) for i in range(8))
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of a binomial; summed from the first term up, in logarithms. Above the mean it isn't needed: 1."""
-    first = n.cast("double") * F.log1p(F.lit(-p))
-    step = F.log(F.lit(p)) - F.log1p(F.lit(-p))
-    start = F.struct(first.alias("t"), F.exp(first).alias("s"))
+    """P(X <= k) of a binomial; above the mean it isn't needed: 1. Terms are summed from k down. Below the mean they fall at
+    least as fast as a normal density, so those beyond twelve standard deviations and fifty more add nothing."""
+    n, k = n.cast("double"), k.cast("double")
+    first = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    steps = F.least(k, F.ceil(12 * F.sqrt(n * p)) + 50).cast("long")
 
     def add(acc: Column, i: Column) -> Column:
-        t = acc["t"] + F.log((n - i + 1) / i) + step
-        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+        at = k - i + 1  # the term of at - 1 from that of at
+        t = acc["t"] * at * (1 - p) / ((n - at + 1) * p)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
-    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long"))).otherwise(F.array().cast("array<bigint>")), start, add, lambda acc: acc["s"])
+    below = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(below, F.struct(first.alias("t"), first.alias("s")), add, lambda acc: acc["s"])
     return F.when(k > n * p, 1.0).otherwise(total)
 
 
@@ -127,7 +138,7 @@ x AS ({feats}),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
 c AS (SELECT rule, cut FROM (VALUES {grid}) v(rule, cut)),
 t AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (WHERE x > cut) AS k FROM x JOIN c USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-s AS (SELECT *, count(DISTINCT coalesce(lang, '')) OVER () AS strata FROM t),
+s AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM t)) AS strata FROM t),
 b AS (SELECT lang, rule, cut, strata, CASE WHEN k > n * {p} THEN 1e0 ELSE list_sum(list_transform(range(0, k + 1),
   lambda i: exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({p}) + (n - i) * ln(1e0 - {p})))) END AS tail FROM s),
 u AS (SELECT lang, rule, min(cut) AS cut FROM b WHERE tail <= 0.05e0 / (strata * {m}) GROUP BY ALL),

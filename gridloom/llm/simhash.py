@@ -8,13 +8,16 @@ its members to many reference fingerprints (the pivots); by the triangle inequal
 differ by more than the radius can't link and are discarded; the survivors are verified bit by bit. A group walks from
 linked member to linked member and emits a spanning tree, not all its pairs, so a dense group of n costs about n. Groups
 of more than ``crowded`` members are first split by cells of pivot distances that overlap by the radius, which loses no
-pair. Components come from alternating stars.
+pair; a cell that is still crowded is dealt to blocks, and every two blocks meet in a task of their own. Components come
+from alternating stars.
 
 Three bits admit only pairs that are nearly equal. similar_documents() links at a Jaccard similarity of word shingles
 instead (0.8 of five words). Groups then come from shared least hashes of shingles (BANDS keys of ROWS hashes; a pair at
-0.8 shares none once in 2,800 times), and within a group every pair is decided exactly, by its sets of shingle hashes,
-unless links connect it already. Texts of equal words are one node. A group of over ``crowded`` texts or two million shingles
-is compared in blocks of that size, then block against block, each pair of blocks a task of its own.
+0.8 shares none once in 2,800 times). Within a group, members themselves are the reference fingerprints: pairs whose
+distances to one of them differ by over WIDE bits are discarded (at 0.8 two fingerprints differ by more than that less
+than once in 100,000 times), and every survivor is decided exactly, by its sets of shingle hashes, unless links connect
+it already. Texts of equal words are one node. A group of over ``crowded`` texts or two million shingles is compared in
+blocks of that size, then block against block, each pair of blocks a task of its own.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows keep their rows; a null
 doc_id is fingerprinted and gets its component's smallest id, null if there is none; extra columns are ignored; an empty
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, written
+from gridloom.llm.common import column, drop_written, fresh, lookup, table, written
 from gridloom.llm.components import components
 
 #: Where the five stretches of the 64 bits begin and end.
@@ -40,6 +43,8 @@ PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
 #: Reference fingerprints: XXH64 of their numbers.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(16)], dtype=np.uint64)
 
+#: Bits by which fingerprints of similar documents differ at most, and how many members of a group are its pivots.
+WIDE, REFERENCES = 24, 32
 #: How many keys of how many least hashes a text has.
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
@@ -122,7 +127,17 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, crowded: int = 4000)
         lo, hi = F.floor(d / width), F.floor((d + radius) / width)
         own = F.array_distinct(F.array(lo, hi))
         cells = F.flatten(F.transform(cells.cast("array<long>"), lambda c: F.transform(own, lambda x: c * 10 + x)))  # noqa: B023
-    shared = shared.select("t", "k", "fp", F.explode(F.when(F.col("n") > crowded, cells.cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))).alias("cell"))
+    in_cells = written(shared.select("t", "k", "fp", F.explode(F.when(F.col("n") > crowded, cells.cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))).alias("cell")))
+    at = ["t", "k", "cell"]
+    blocks = written(in_cells.groupBy(*at).agg(F.ceil(F.count("*") / crowded).alias("blocks")).where("blocks > 1"))
+    lone = F.lit(0).cast("long")
+    if blocks.isEmpty():
+        tasks = in_cells.select(*at, lone.alias("i"), lone.alias("j"), "fp")
+    else:
+        own = F.pmod(F.xxhash64("fp", *at), F.coalesce("blocks", F.lit(1)))
+        placed = in_cells.join(blocks, at, "left").withColumn("block", own)
+        met = placed.withColumn("partner", F.explode(F.sequence(lone, F.coalesce("blocks", F.lit(1)) - 1)))
+        tasks = met.select(*at, F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "fp")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group may go over several batches."""
@@ -133,14 +148,14 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, crowded: int = 4000)
             return spanning_links(np.concatenate(held), radius) if held else []
 
         for batch in it:
-            t, k, c, f = (batch.column(n).to_numpy() for n in ("t", "k", "cell", "fp"))
+            *cols, f = (batch.column(n).to_numpy() for n in (*at, "i", "j", "fp"))
             if not len(f):
                 continue
-            new = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])) + 1
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             bounds = [0, *new.tolist(), len(f)]
             links: list[tuple[int, int]] = []
             for a, b in zip(bounds, bounds[1:], strict=False):
-                now = (t[a], k[a], c[a])
+                now = tuple(int(c[a]) for c in cols)
                 if now != key:
                     links += flush()
                     held, key = [], now
@@ -149,18 +164,31 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, crowded: int = 4000)
         links = flush()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    return shared.repartition("t", "k", "cell").sortWithinPartitions("t", "k", "cell").mapInArrow(run, "a long, b long")
+    task = [*at, "i", "j"]
+    links = written(tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, "a long, b long"))
+    for t in (many, in_cells, blocks):
+        drop_written(t)
+    return links
+
+
+def _named(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """key and component_id of every row of nodes (key, first): the smallest ``first`` of those with its root."""
+    in_class = roots.withColumnRenamed("node", key).join(nodes, key)
+    named = in_class.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = lookup(in_class.select(key, "root"), named, "root").select(key, "component_id")
+    return nodes.join(linked, key, "left").select(key, F.coalesce("component_id", "first").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the smallest doc_id reachable over links, of every row."""
     prints = written(with_fingerprint(docs, width))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = written(components(link_fingerprints(firsts.select("fp"), radius)))
-    named = roots.join(firsts, roots.node == firsts.fp).groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = firsts.join(roots.join(named, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    by_print = written(by_print)  # so that the join below reads two plain exchanges, which Spark splits at hot prints
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    links = link_fingerprints(firsts.select("fp"), radius)
+    roots = written(components(links))
+    by_print = written(_named(firsts, roots, "fp"))
+    for t in (firsts, links, roots):
+        drop_written(t)
+    return lookup(prints, by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def least_hashes(h: np.ndarray) -> np.ndarray:
@@ -183,27 +211,28 @@ def _node(ws: list[bytes]) -> int:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (a hash of the words), size (the number of distinct shingles) and keys of every row; texts without
-    words have no keys."""
+    """doc_id, node (a hash of the words), size (the number of distinct shingles), fp (the fingerprint over these) and keys
+    of every row; texts without words have no keys."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
                 ws = (t or b"").lower().split()
                 h = np.unique(shingle_hashes(ws, width))
                 least = least_hashes(h)
                 nodes.append(_node(ws))
                 sizes.append(len(h))
+                prints.append(majority(h) if len(h) else np.uint64(0))
                 keys.append([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(BANDS, ROWS)] if ws else [])
             flat = np.array([x for ks in keys for x in ks], dtype=np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "node", "size", "keys"],
+                [batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "node", "size", "fp", "keys"],
             )
 
-    return _id_and_text(docs).mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+    return _id_and_text(docs).mapInArrow(run, "doc_id long, node long, size long, fp long, keys array<long>")
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
@@ -218,10 +247,14 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     return _id_and_text(docs).mapInArrow(run, "node long, shingles binary")
 
 
-def exact_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+def exact_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, prints: np.ndarray, sets: list[bytes], similarity: float, wide: int = WIDE, tally: list | None = None) -> list[tuple[int, int]]:
     """Links that connect what the links among all of a block pair connect. Members of equal roots are connected already.
-    With two sides only pairs across them are compared, as another task has those within."""
+    With two sides only pairs across them are compared, as another task has those within. tally, if given, gets the
+    numbers of pairs that the pivot table was asked about and that it discarded."""
     n = len(nodes)
+    bits = prints.view(np.uint64)
+    references = bits[np.linspace(0, n - 1, min(n, REFERENCES)).astype(int)]
+    pivots = np.bitwise_count(bits[:, None] ^ references[None, :]).astype(np.int16)
     sizes = np.array([len(s) // 8 for s in sets], dtype=np.int64)
     _, tokens = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -235,6 +268,11 @@ def exact_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: l
     for x in np.flatnonzero(sides == sides[0]).tolist():
         open_ = (roots != roots[x]) & ((sides != sides[0]) if two else (later > x))
         open_ &= np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]) - 1e-6  # else the sizes alone are too unlike
+        asked = int(open_.sum())
+        if asked:
+            open_ &= (np.abs(pivots - pivots[x]) <= wide).all(1)
+        if tally is not None and asked:
+            tally.append((asked, asked - int(open_.sum())))
         if not open_.any():
             continue
         own = tokens[at[x] : at[x] + sizes[x]]
@@ -247,7 +285,7 @@ def exact_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: l
 
 
 def block_pairs(members: DataFrame, most: int, most_shingles: int) -> DataFrame:
-    """members (t, k, node, size, root) dealt to tasks (i, j): every two members of a group whose roots differ meet in one.
+    """members (t, k, node, size, fp, root) dealt to tasks (i, j): every two members of a group whose roots differ meet in one.
     A group's most frequent root has blocks of its own, below zero, which needn't meet each other."""
     at = ["t", "k"]
     tops = members.groupBy(*at, "root").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max_by("root", F.struct("n", "root")).alias("top"))
@@ -260,11 +298,11 @@ def block_pairs(members: DataFrame, most: int, most_shingles: int) -> DataFrame:
     others = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
     with_top = F.sequence(-F.col("tops"), F.lit(-1).cast("long"))
     partners = F.when(F.col("in_top"), others).otherwise(F.concat(with_top, others))
-    return dealt.select(*at, "node", "root", "side", F.explode(partners).alias("partner")).select(*at, F.least("side", "partner").alias("i"), F.greatest("side", "partner").alias("j"), "node", "root", "side")
+    return dealt.select(*at, "node", "root", "side", "fp", F.explode(partners).alias("partner")).select(*at, F.least("side", "partner").alias("i"), F.greatest("side", "partner").alias("j"), "node", "root", "side", "fp")
 
 
 def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) within the tasks (t, k, i, j) that members (node, root, side) were dealt to."""
+    """Links (a, b) within the tasks (t, k, i, j) that members (node, root, side, fp) were dealt to."""
     task = ["t", "k", "i", "j"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +313,14 @@ def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         def flush() -> pa.RecordBatch:
             links: list[tuple[int, int]] = []
             if held:
-                links = exact_links(*(np.concatenate([h[n] for h in held]) for n in range(3)), [s for h in held for s in h[3]], similarity)
+                links = exact_links(*(np.concatenate([h[n] for h in held]) for n in range(4)), [s for h in held for s in h[4]], similarity)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in it:
             if not batch.num_rows:
                 continue
             cols = [batch.column(n).to_numpy() for n in task]
-            own = [batch.column(n).to_numpy() for n in ("node", "root", "side")]
+            own = [batch.column(n).to_numpy() for n in ("node", "root", "side", "fp")]
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             bounds = [0, *new.tolist(), batch.num_rows]
             sets_ = batch.column("shingles").to_pylist()
@@ -294,13 +332,13 @@ def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 held.append((*(x[a:b] for x in own), sets_[a:b]))
         yield flush()
 
-    rows = dealt.join(sets, "node").select(*task, "node", "root", "side", "shingles")
+    rows = dealt.join(sets, "node").select(*task, "node", "root", "side", "fp", "shingles")
     return written(rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, "a long, b long"))
 
 
 def link_similar(texts: DataFrame, shingles: DataFrame, similarity: float, crowded: int = 4000, most_shingles: int = 2_000_000) -> DataFrame:
-    """Edges (a, b) between distinct texts (node, size, keys) that connect the similar ones among those that share a key."""
-    dealt = texts.select("node", "size", F.posexplode("keys").alias("t", "k"))
+    """Edges (a, b) between distinct texts (node, size, fp, keys) that connect the similar ones among those that share a key."""
+    dealt = texts.select("node", "size", "fp", F.posexplode("keys").alias("t", "k"))
     mark = [F.sum(F.col("node").cast("decimal(38,0)")).alias("m1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("m2")]
     many = dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *mark).where("n > 1")
     # Groups of the same members are one.
@@ -308,38 +346,49 @@ def link_similar(texts: DataFrame, shingles: DataFrame, similarity: float, crowd
     members = written(dealt.join(many, ["t", "k"]))
     sets = written(shingles.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
     block = F.pmod(F.xxhash64("node", "t", "k"), F.col("blocks"))
-    links = compared(members.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side")), sets, similarity)
-    large = members.where("blocks > 1").select("t", "k", "node", "size")
+    links = compared(members.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side"), "fp"), sets, similarity)
+    large = members.where("blocks > 1").select("t", "k", "node", "size", "fp")
     if large.isEmpty():
+        for t in (many, members, sets):
+            drop_written(t)
         return links
     # What the blocks of a large group have connected so far needn't be compared; all else meets, block by block.
     roots = written(components(links))
-    rooted = written(large.join(roots, "node", "left").select("t", "k", "node", "size", F.coalesce("root", "node").alias("root")))
-    return links.unionAll(compared(block_pairs(rooted, crowded, most_shingles), sets, similarity))
+    rooted = written(large.join(roots, "node", "left").select("t", "k", "node", "size", "fp", F.coalesce("root", "node").alias("root")))
+    across = compared(block_pairs(rooted, crowded, most_shingles), sets, similarity)
+    for t in (many, members, sets, roots, rooted):
+        drop_written(t)
+    return links.unionAll(across)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, crowded: int = 4000) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links, of every row. Cases as in near_duplicates; texts
     without words are of one component."""
     rows = written(sketched(docs, width))
-    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"), F.min("keys").alias("keys")))
+    texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     roots = written(components(link_similar(texts, shingled(docs, width), similarity, crowded=crowded)))
-    firsts = texts.select("node", "first")
-    in_class = roots.join(firsts, "node")
-    named = in_class.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = firsts.join(in_class.join(named, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.select("doc_id", "node").join(written(by_node), "node").select("doc_id", "component_id")
+    by_node = written(_named(texts.select("node", "first"), roots, "node"))
+    for t in (texts, roots):
+        drop_written(t)
+    return lookup(rows.select("doc_id", "node"), by_node, "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """One row of each component of similar documents: the one with the smallest id (of repeated rows one). Rows of null
-    id stay."""
-    ids = similar_documents(docs, similarity, width).where("doc_id = component_id").select("doc_id").distinct()
-    cols = docs.columns
-    order = F.struct(*[F.col(c) for c in cols if c != "doc_id"])
-    firsts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(order).alias("_row"))
-    kept = firsts.join(ids, "doc_id", "left_semi").select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in cols])
-    return kept.unionAll(docs.where("doc_id is null"))
+    """One row of each component of similar documents: the one with the smallest id (of repeated ids the row that comes
+    first as JSON). Rows of null id stay. Columns may be of any type."""
+    classes = similar_documents(docs, similarity, width).where("doc_id is not null")
+    light = written(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first").select("doc_id", "n"))
+    key, row = fresh(docs, "key", "row")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    ids = light.select(F.col("doc_id").alias(key), "n")
+    once = keyed.join(ids.where("n = 1").select(key).hint("shuffle_hash"), key, "left_semi").drop(key)
+    kept = once.unionAll(docs.where("doc_id is null"))
+    if light.where("n > 1").isEmpty():
+        return kept
+    whole = F.struct(*map(column, docs.columns))
+    again = keyed.join(ids.where("n > 1").select(key), key, "left_semi")
+    chosen = again.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return kept.unionAll(chosen.select(*[column(row)[c].alias(c) for c in docs.columns]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

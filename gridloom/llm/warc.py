@@ -1,26 +1,37 @@
 """WARC derivative builder.
 
-Each response (its HTTP head, body and target) becomes two derived records as WARC/1.1 defines them: a metadata record
-(fields about the capture, ``application/warc-fields``) and a conversion record (the page's plain text). Both refer to the
-response's record id (WARC-Refers-To) and carry its target URI and date; the conversion names the response's payload
-digest, and the metadata block keeps the source's headers, length, title, links and digests. Record ids are name-based UUIDs of the
-response id and the kind, so a run again yields the same records. Digests are SHA-1 in Base32, as is usual in WARC files.
+Each response record becomes two derived records as WARC/1.1 defines them: a metadata record (fields about the capture,
+``application/warc-fields``) and a conversion record (the page's plain text). derivatives() reads whole response records and
+keeps what they say: both derived records refer to the response's record id (WARC-Refers-To) and carry its target URI and
+date; the metadata block keeps the status line, every HTTP header in its order, the length, title and links, and the
+response's own block and payload digests; the conversion names the payload digest too. Digests that the response doesn't
+state are computed, and metadata says so of stated ones that don't match (``source-payload-digest-mismatch``). Record ids
+are name-based UUIDs of the response id and the kind, so a run again yields the same records. Own digests are SHA-1 in
+Base32, as is usual in WARC files. Bodies with a transfer or content coding of gzip, deflate or chunks are decoded for the
+text; what can't be decoded is read as it is.
+
+responses() makes response records of a table of pages, which has neither headers nor dates: there the head, the date and
+the record id are made up from the page's id and address.
 
 Plain text: script, style, template, noscript, head but its title, and comments go; block elements and line breaks become line feeds;
 other tags vanish; character references are decoded; runs of blanks become one, empty lines go.
 
 Defined cases: null html is an empty body, a null url an empty target; rows that repeat keep their rows, with equal record
 ids; extra columns are ignored; an empty table gives no rows; text that isn't HTML is its own plain text; a comment or
-script that isn't closed ends with the page, a title that isn't closed is none.
+script that isn't closed ends with the page, a title that isn't closed is none; a null record, one that isn't a response
+or one that can't be parsed gives no rows of its own but one whose ``error`` says why.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +48,7 @@ _TAG = re.compile(r"<[!?/a-zA-Z][^>]*>")
 _ANCHOR = re.compile(r"<a\b[^>]*>?", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v ]+")
-SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, payload_digest string, record binary"
+SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, payload_digest string, record binary, error string"
 
 
 def untagged(text: str) -> str:
@@ -69,51 +80,132 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def derive(refers_to: str, target: str, date: str, http_head: list[tuple[str, str]], body: str) -> list[dict]:
-    """The metadata and the conversion record of one response."""
-    payload = body.encode()
-    source = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http_head)
-    of_payload, of_block = digest(payload), digest(source.encode() + b"\r\n" + payload)
-    shown = _GONE.sub(" ", body)
+def parse(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """The fields, in order, and the block of a record. Folded lines belong to the field before them."""
+    head, sep, rest = data.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not sep or not first.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    fields: list[tuple[str, str]] = []
+    for x in lines:
+        if x[:1] in (" ", "\t") and fields:
+            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {x.strip()}")
+        else:
+            name, _, value = x.partition(":")
+            fields.append((name.strip(), value.strip()))
+    length = int(value_of(fields, "Content-Length") or 0)
+    if len(rest) < length:
+        raise ValueError("the record is cut short")
+    return fields, rest[:length]
+
+
+def value_of(fields: list[tuple[str, str]], name: str) -> str | None:
+    """The first value of a name, whatever its case."""
+    return next((v for k, v in fields if k.lower() == name.lower()), None)
+
+
+def unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16) if end >= 0 else 0
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def decoded(http: list[tuple[str, str]], body: bytes) -> str:
+    """The payload as text: codings undone as far as they can be, then the stated character set, else UTF-8."""
+    codings = f"{value_of(http, 'Content-Encoding') or ''},{value_of(http, 'Transfer-Encoding') or ''}".lower()
+    undo = {"chunked": unchunked, "gzip": gzip.decompress, "x-gzip": gzip.decompress, "deflate": lambda b: zlib.decompress(b, 47 if b[:2] == b"\x1f\x8b" else 15)}
+    for coding in reversed([c.strip() for c in codings.split(",") if c.strip() in undo]):
+        try:
+            body = undo[coding](body)
+        except (OSError, EOFError, ValueError, zlib.error):
+            break
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value_of(http, "Content-Type") or "", re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def response(target: str, date: str, own_id: str, status: str, http: list[tuple[str, str]], body: bytes) -> bytes:
+    """A whole response record."""
+    clean = lambda v: v.replace("\r", "%0D").replace("\n", "%0A")
+    block = f"{clean(status)}\r\n{''.join(f'{k}: {clean(v)}\r\n' for k, v in http)}\r\n".encode() + body
+    return record([("WARC-Type", "response"), ("WARC-Record-ID", own_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body)), ("Content-Type", "application/http; msgtype=response")], block)
+
+
+def derive(data: bytes) -> list[dict]:
+    """The metadata and the conversion record of one response record."""
+    fields, block = parse(data)
+    if (value_of(fields, "WARC-Type") or "").lower() != "response":
+        raise ValueError("not a response record")
+    refers_to, target, date = (value_of(fields, n) or "" for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
+    head, _, body = block.partition(b"\r\n\r\n")
+    status, *lines = head.decode("latin-1").split("\r\n")
+    http = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+    about = []
+    stated = {}
+    for kind, own in (("block", digest(block)), ("payload", digest(body))):
+        stated[kind] = value_of(fields, f"WARC-{kind}-Digest") or own
+        about.append((f"source-{kind}-digest", stated[kind]))
+        if stated[kind].lower().startswith("sha1:") and stated[kind] != own:
+            about.append((f"source-{kind}-digest-mismatch", own))
+    about += [("source-length", str(len(body))), ("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http)]
+    page = decoded(http, body)
+    shown = _GONE.sub(" ", page)
     title = _TITLE.search(shown[: shown.rfind(">") + 1])
     title = title if title and title[2] else None  # one that isn't closed is no title
-    anchors = (_HREF.search(m[0]) for m in _ANCHOR.finditer(body[: body.rfind(">") + 1]))
-    about = [("source-block-digest", of_block), ("source-payload-digest", of_payload), ("source-length", str(len(payload))), *((f"source-header-{k.lower()}", v) for k, v in http_head)]
+    anchors = (_HREF.search(m[0]) for m in _ANCHOR.finditer(page[: page.rfind(">") + 1]))
     about += [("title", " ".join(html.unescape(_TAG.sub("", title[1])).split()))] if title else []
     about += [("outlink", html.unescape(next(x for x in m.groups() if x is not None))) for m in anchors if m]
     out = []
     meta_id, text_id = record_id(refers_to, "metadata"), record_id(refers_to, "conversion")
     meta = "".join(f"{k}: {v.replace(chr(13), '%0D').replace(chr(10), '%0A')}\r\n" for k, v in [*about, ("conversion", text_id)]).encode()
-    for kind, own, content, block in (("metadata", meta_id, "application/warc-fields", meta), ("conversion", text_id, "text/plain; charset=utf-8", plain_text(body).encode())):
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", refers_to), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest(block))]
-        fields += [("WARC-Payload-Digest", of_payload)] if kind == "metadata" else [("WARC-Refers-To-Payload-Digest", of_payload), ("WARC-Concurrent-To", meta_id)]
-        fields.append(("Content-Type", content))
-        out.append({"record_type": kind, "record_id": own, "refers_to": refers_to, "target_uri": target, "content_type": content, "content_length": len(block), "block_digest": digest(block), "payload_digest": of_payload, "record": record(fields, block)})
+    for kind, own, content, made in (("metadata", meta_id, "application/warc-fields", meta), ("conversion", text_id, "text/plain; charset=utf-8", plain_text(page).encode())):
+        named = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", refers_to), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest(made))]
+        named += [("WARC-Payload-Digest", stated["payload"])] if kind == "metadata" else [("WARC-Refers-To-Payload-Digest", stated["payload"]), ("WARC-Concurrent-To", meta_id)]
+        named.append(("Content-Type", content))
+        out.append({"record_type": kind, "record_id": own, "refers_to": refers_to, "target_uri": target, "content_type": content, "content_length": len(made), "block_digest": digest(made), "payload_digest": stated["payload"], "record": record(named, made)})
     return out
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """The fields and the block of a record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """page_id and record: a response record for each page (page_id, url, html)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            made = []
+            for page, url, text in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
+                body = (text or "").encode()
+                http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
+                made.append(response(url or "", date, record_id(f"{page}:{url or ''}", "response"), "HTTP/1.1 200 OK", http, body))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(made, pa.binary())], ["page_id", "record"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, record binary")
 
 
-def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Two rows for each page (page_id, url, html); ``record`` is the whole record, ready to be appended to a file."""
+def derivatives(records: DataFrame) -> DataFrame:
+    """Two rows for each response record (page_id, record); ``record`` is the whole derived record, ready to be appended to
+    a file."""
+    names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split(" ")[1]] for f in SCHEMA.split(", ")]
 
-    def run(it):
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = []
-            for page, url, body in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
-                of = record_id(f"{page}:{url or ''}", "response")
-                rows += [{"page_id": page} | r for r in derive(of, url or "", date, [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len((body or "").encode())))], body or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[t.split(" ")[1]]) for n, t in zip(names, SCHEMA.split(", "), strict=True)], names)
+            rows: list[dict] = []
+            for page, data in zip(batch.column("page_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
+                try:
+                    rows += [{"page_id": page} | r for r in derive(data or b"")]
+                except ValueError as e:
+                    rows.append({"page_id": page, "error": str(e)})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), F.col("record").cast("binary").alias("record")).mapInArrow(run, SCHEMA)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return derivatives(table(spark, sf_dir, "pages"))
+    return derivatives(responses(table(spark, sf_dir, "pages")))
