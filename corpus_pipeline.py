@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fold, table, written
+from gridloom.llm.common import drop_written, fold, swept, table
 from gridloom.llm.lines import drop_boilerplate
 from gridloom.llm.mixing import mix
 from gridloom.llm.packing import pack
@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = swept(lambda: stage(spark, before, sf_dir))  # noqa: B023
+        drop_written(before)  # the input tables themselves stay: only folders of written() go
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
