@@ -176,20 +176,24 @@ def fit(hashed: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray,
 
 def joined_words(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hashed, flat and sizes of texts (ids, hashed) that were numbered one by one: words of equal hashes are one."""
-    each = [np.asarray(r.hashed, dtype=np.int32).reshape(-1, HASHES) for r in rows]
+    each = [np.frombuffer(r.hashed, dtype=np.int32).reshape(-1, HASHES) for r in rows]
+    ids = [np.frombuffer(r.ids, dtype=np.int32) for r in rows]
     before = np.cumsum([0, *map(len, each)])
     hashed = np.concatenate([*each, np.zeros((0, HASHES), np.int32)])
-    mark = (hashed.astype(np.uint64) * np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(HASHES)], np.uint64)).sum(1, dtype=np.uint64)
+    mark = np.zeros(len(hashed), np.uint64)
+    for k in range(HASHES):
+        mark += hashed[:, k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)
     _, first, to = np.unique(mark, return_index=True, return_inverse=True)
-    flat = np.concatenate([*(to[np.asarray(r.ids, dtype=np.int64) + b] for r, b in zip(rows, before[:-1], strict=True)), np.zeros(0, np.int64)])
-    return hashed[first], flat.astype(np.int32), np.array([len(r.ids) for r in rows], dtype=np.int64)
+    to = to.astype(np.int32)
+    flat = np.concatenate([*(to[x + b] for x, b in zip(ids, before[:-1], strict=True)), np.zeros(0, np.int32)])
+    return hashed[first], flat, np.array([len(x) for x in ids], dtype=np.int64)
 
 
 def _hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in it:
         each = [words([t]) for t in batch.column("text").to_pylist()]
-        cols = [pa.array([len(x[1]) for x in each], pa.int64()), pa.array([x[1] for x in each], pa.list_(pa.int32())), pa.array([x[0].ravel() for x in each], pa.list_(pa.int32()))]
+        cols = [pa.array([len(x[1]) for x in each], pa.int64()), pa.array([x[1].tobytes() for x in each], pa.binary()), pa.array([x[0].tobytes() for x in each], pa.binary())]
         yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "label"]).columns, *cols], ["doc_id", "label", "n", "ids", "hashed"])
 
 
@@ -198,7 +202,7 @@ def _fit_on(docs: DataFrame, agreed: DataFrame, max_rows: int, max_words: int) -
     for the thresholds none is among them. Texts of over an eighth of max_words come last."""
     own = sampled(agreed.where(F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) != 0), max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
-    found = texts.select("doc_id", "label", "text").mapInArrow(_hashed, "doc_id long, label int, n long, ids array<int>, hashed array<int>")
+    found = texts.select("doc_id", "label", "text").mapInArrow(_hashed, "doc_id long, label int, n long, ids binary, hashed binary")
     sample = written(found.groupBy("doc_id").agg(F.min(F.struct("n", "ids", "hashed", "label")).alias("m")).select("doc_id", "m.*"))
     in_turn = Window.orderBy(F.col("n") > max_words // 8, F.xxhash64("doc_id"), "doc_id")  # over max_rows numbers at most
     used = sample.select("doc_id", "n").withColumn("upto", F.sum("n").over(in_turn)).where(F.col("upto") <= max_words).select("doc_id")
