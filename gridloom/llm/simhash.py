@@ -210,12 +210,19 @@ def _node(ws: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(ws), 7)
 
 
+def _parts(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a task holds the words and hashes of few texts at a time."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, node (a hash of the words), size (the number of distinct shingles), fp (the fingerprint over these) and keys
     of every row; texts without words have no keys."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _parts(it):
             nodes, sizes, prints, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
                 ws = (t or b"").lower().split()
@@ -239,10 +246,13 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     """node and shingles (the distinct hashes, eight bytes each) of every row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            split = [(t or b"").lower().split() for t in batch.column(1).to_pylist()]
-            nodes = np.array([_node(ws) for ws in split], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([np.unique(shingle_hashes(ws, width)).tobytes() for ws in split], pa.binary())], ["node", "shingles"])
+        for batch in _parts(it):
+            nodes, sets = [], []
+            for t in batch.column(1).to_pylist():
+                ws = (t or b"").lower().split()
+                nodes.append(_node(ws))
+                sets.append(np.unique(shingle_hashes(ws, width)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return _id_and_text(docs).mapInArrow(run, "node long, shingles binary")
 
