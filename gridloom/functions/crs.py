@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import regional
@@ -36,12 +36,27 @@ def normalise(name: str) -> str:
     return f"EPSG:{code}"
 
 
-def distinct_names(catalog: DataFrame, most: int) -> list[str | None]:
-    """The names of the systems of a catalog; more than ``most`` raise, so that no source is left out unsaid."""
-    names = [r[0] for r in catalog.select("crs").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} names of coordinate systems in a catalog")
-    return names
+#: Every system that transform() knows, under its normal name.
+SUPPORTED = [f"EPSG:{code}" for code in ("4326", "3857", *regional.SYSTEMS)] + [f"EPSG:{north}{zone:02d}" for north in (326, 327) for zone in range(1, 61)]
+
+
+def normalised(name: Column) -> Column:
+    """normalise() of a column; texts that don't name a supported system stay as they are."""
+    code = F.regexp_extract(F.upper(F.trim(name)), r"^(?:EPSG:)?(\d+)$", 1)
+    known = F.concat(F.lit("EPSG:"), F.when(code.isin("900913", "102100"), "3857").otherwise(code))
+    return F.when(known.isin(SUPPORTED), known).otherwise(name)
+
+
+def systems(catalog: DataFrame) -> list[str | None]:
+    """The systems of a catalog, normalised: there can't be more than are supported, and any other raises. A source
+    without one is None."""
+    name = normalised(F.col("crs"))
+    known, other, none = catalog.agg(
+        F.array_sort(F.collect_set(F.when(name.isin(SUPPORTED), name))), F.min(F.when(~name.isin(SUPPORTED), name)), F.coalesce(F.bool_or(name.isNull()), F.lit(False))
+    ).first()
+    if other is not None:
+        raise ValueError(f"unsupported coordinate system {other!r}")
+    return [*known, *([None] if none else [])]
 
 
 def _utm(code: str) -> tuple[float, float]:
@@ -96,3 +111,39 @@ def transform(source: str, target: str, x: Column, y: Column) -> tuple[Column, C
     at = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
     image = F.get(F.transform(at, lambda p: F.struct(*(c.alias(n) for c, n in zip(from_degrees(b, p["lon"], p["lat"]), "xy", strict=True)))), F.lit(0))
     return image["x"], image["y"]
+
+
+def _edges(extent: Column, per_edge: int) -> Column:
+    """Points along an extent's edges, whose images may bulge: array of struct x, y."""
+    at = lambda a, b, s: extent[a] + s * (extent[b] - extent[a])
+
+    def points(i: Column) -> Column:
+        x, y = at("xmin", "xmax", i / (per_edge - 1)), at("ymin", "ymax", i / (per_edge - 1))
+        sides = [(x, extent["ymin"]), (x, extent["ymax"]), (extent["xmin"], y), (extent["xmax"], y)]
+        return F.array(*[F.struct(u.alias("x"), v.alias("y")) for u, v in sides])
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(per_edge - 1)), points))
+
+
+def with_image(rows: DataFrame, name: str, extent: Column, sources: list[str], target: str, per_edge: int = 21) -> DataFrame:
+    """rows (src_idx, crs and whatever else) with an extent's image (struct xmin, ymin, xmax, ymax) in another system. The
+    points are rows, so that a plan doesn't repeat the formulas wherever it reads the image."""
+    if all(s == target for s in sources):
+        return rows.withColumn(name, extent)
+    points = rows.select("src_idx", normalised(F.col("crs")).alias("system"), F.explode(_edges(extent, per_edge)).alias("p"))
+    moved = {s: transform(s, target, F.col("p.x"), F.col("p.y")) for s in sources}
+    u, v = (F.coalesce(*[F.when(F.col("system") == s, xy[i]) for s, xy in moved.items()], F.lit(None)) for i in (0, 1))
+    box = F.struct(F.min(u).alias("xmin"), F.min(v).alias("ymin"), F.max(u).alias("xmax"), F.max(v).alias("ymax"))
+    return rows.join(points.groupBy("src_idx").agg(box.alias(name)), "src_idx", "left")
+
+
+def boxes(spark: SparkSession, te: tuple, source: str, targets: list[str], per_edge: int = 21) -> dict[str, tuple]:
+    """The images of one extent in several systems."""
+    extent = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), te, strict=True)])
+    out = {t: tuple(map(float, te)) for t in targets if t == source}
+    points = spark.range(1).select(F.explode(_edges(extent, per_edge)).alias("p"))
+    moved = {t: transform(source, t, F.col("p.x"), F.col("p.y")) for t in targets if t != source}
+    if moved:
+        found = points.agg(*[f(xy[i]) for xy in moved.values() for f, i in ((F.min, 0), (F.min, 1), (F.max, 0), (F.max, 1))]).first()
+        out |= {t: tuple(found[4 * k : 4 * k + 4]) for k, t in enumerate(moved)}
+    return out

@@ -85,11 +85,15 @@ def nodata(text: Column) -> Column:
 
 
 def band_names(xml: Column, n_bands: Column) -> Column:
-    """Descriptions by sample number; band_01, band_02 and so on where there is none."""
-    item = r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)</Item>'
-    text = F.coalesce(xml, F.lit(""))
-    named = F.map_from_entries(F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(item), F.lit(1)), lambda x: x.cast("int")).alias("k"), F.regexp_extract_all(text, F.lit(item), F.lit(2)).alias("v")))
-    return F.transform(F.sequence(F.lit(0), n_bands - 1), lambda i: F.coalesce(F.try_element_at(named, i), F.format_string("band_%02d", i + 1)))
+    """Descriptions by sample number, without blanks around them; band_01, band_02 and so on where there is none. An item's
+    attributes come in any order, and of several items of a sample the last one counts."""
+    text, item = F.coalesce(xml, F.lit("")), F.lit(r"(?s)<Item([^>]*)>(.*?)</Item>")
+    heads, bodies = F.regexp_extract_all(text, item, F.lit(1)), F.regexp_extract_all(text, item, F.lit(2))
+    both = F.transform(heads, lambda h, i: F.struct(h.alias("head"), F.btrim(F.get(bodies, i), F.lit(" \t\r\n")).alias("body")))
+    named = F.filter(both, lambda x: F.regexp_extract(x["head"], r'\bname="([^"]*)"', 1) == "DESCRIPTION")
+    numbered = F.transform(named, lambda x: F.struct(F.regexp_extract(x["head"], r'\bsample="(\d+)"', 1).try_cast("int").alias("sample"), x["body"].alias("body")))
+    last = lambda i: F.try_element_at(F.filter(numbered, lambda x: x["sample"] == i), F.lit(-1))["body"]
+    return F.transform(F.sequence(F.lit(0), n_bands - 1), lambda i: F.coalesce(last(i), F.format_string("band_%02d", i + 1)))
 
 
 def dtype(sample_format: Column, bits: Column) -> Column:

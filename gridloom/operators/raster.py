@@ -47,21 +47,24 @@ def from_tiles(tiles: DataFrame, tile: int) -> DataFrame:
 
 
 def read_window(tiles: DataFrame, planned: DataFrame, tile: int, bands: list[int]) -> DataFrame:
-    """A window straight from tiles: only the tiles and bands that it touches are unpacked."""
-    w = planned.select("src_idx", "xoff", "yoff", "xsize", "ysize")
-    touched = tiles.where(F.col("band").isin(bands)).join(w, "src_idx").where(
-        F.col("tx").between(F.expr(f"xoff div {tile}"), F.expr(f"(xoff + xsize - 1) div {tile}")) & F.col("ty").between(F.expr(f"yoff div {tile}"), F.expr(f"(yoff + ysize - 1) div {tile}"))
-    )
-    return select_bands(cut_window(from_tiles(touched.select("src_idx", "band", "ty", "tx", "data"), tile), planned), bands)
-
-
-def to_numpy(dense_cells: DataFrame, width: int, height: int, bands: int, most_bytes: float = 1e9):
-    """bands x height x width; raises before anything is collected if that is larger than most_bytes."""
+    """A window straight from tiles, counted from its corner: only the tiles and bands that it touches are unpacked. Tiles
+    are matched by source, row and column, so a source of many tiles isn't one key."""
+    span = lambda off, size: F.sequence(F.expr(f"{off} div {tile}"), F.expr(f"({off} + {size} - 1) div {tile}"))
+    cover = planned.select("src_idx", "xoff", "yoff", "xsize", "ysize", F.explode(span("yoff", "ysize")).alias("ty")).withColumn("tx", F.explode(span("xoff", "xsize")))
+    touched = tiles.where(F.col("band").isin(bands)).join(cover, ["src_idx", "ty", "tx"])
+    pixels = touched.select("src_idx", "band", "ty", "tx", "xoff", "yoff", "xsize", "ysize", F.explode("data").alias("p"))
+    row, col = F.col("ty") * tile + F.expr(f"p.at div {tile}") - F.col("yoff"), F.col("tx") * tile + F.col("p.at") % tile - F.col("xoff")
+    placed = pixels.select("src_idx", "band", row.alias("row"), col.alias("col"), F.col("p.value").alias("value"), "xsize", "ysize")
+    return select_bands(placed.where("row >= 0 and row < ysize and col >= 0 and col < xsize").drop("xsize", "ysize"), bands)
+
+
+def to_numpy(dense_cells: DataFrame, width: int, height: int, bands: int, most_bytes: float = 1e9, fill: float = float("nan")):
+    """bands x height x width, fill where there is no cell; raises before anything is collected if that is larger than most_bytes."""
     import numpy as np
 
     if width * height * bands * 8 > most_bytes:
         raise MemoryError(f"the array would take {width * height * bands * 8} bytes")
     rows = dense_cells.select("band", "orow", "ocol", "value").toPandas()
-    out = np.full((bands, height, width), np.nan)
+    out = np.full((bands, height, width), fill)
     out[rows.band - 1, rows.orow, rows.ocol] = rows.value
     return out

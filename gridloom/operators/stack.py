@@ -22,13 +22,25 @@ def stem(src: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(src, r"\?.*$", ""), r"^.*/", ""), r"\.[A-Za-z0-9]+$", "")
 
 
+def label(src: Column, n_bands: Column, band: Column) -> Column:
+    """A band's label: its source's stem, and the band's number if there are several."""
+    return F.when(n_bands == 1, stem(src)).otherwise(F.concat(stem(src), F.lit("_b"), band.cast("string")))
+
+
 def labels(catalog: DataFrame, group: list[str] | None = None) -> DataFrame:
     """out_band and label of every band of a stack; sources of several bands count them."""
     each = band_offsets(catalog, group).withColumn("band", F.explode(F.sequence(F.lit(1), F.col("n_bands"))))
-    name = F.when(F.col("n_bands") == 1, stem(F.col("src"))).otherwise(F.concat(stem(F.col("src")), F.lit("_b"), F.col("band").cast("string")))
+    name = label(F.col("src"), F.col("n_bands"), F.col("band"))
     return each.select(*(group or []), "src_idx", "band", (F.col("band_offset") + F.col("band")).cast("long").alias("out_band"), name.alias("label"))
 
 
+def label_list(catalog: DataFrame, total: int, own: list[str] | None = None) -> list[str]:
+    """The labels of a stack's bands in order: one's own, which must be as many, or those of labels()."""
+    if own is not None and len(own) != total:
+        raise ValueError(f"{len(own)} labels for {total} bands")
+    return own if own is not None else [r.label for r in labels(catalog).orderBy("out_band").collect()]
+
+
 def stack(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, r: str | list[str] | None = None, warp=gather) -> DataFrame:
     """(band, orow, ocol, value) with renumbered bands; r is a method or one for each source, in order of src_idx."""
     methods = methods_for(r, catalog.count() if isinstance(r, list) and len(r) > 1 else 1)

@@ -27,8 +27,9 @@ CELL = ["src_idx", "band", "orow", "ocol"]
 
 
 def valid(pixels: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Pixels that aren't nodata of their source (NaN equals NaN), with the source's transform."""
-    own = pixels.join(catalog.select("src_idx", "gt", "nodata"), "src_idx")
+    """Pixels that aren't nodata of their source (NaN equals NaN), with the source's transform. Pixels that carry both
+    already, as a reader's do, aren't joined."""
+    own = pixels if {"gt", "nodata"} <= set(pixels.columns) else pixels.join(catalog.select("src_idx", "gt", "nodata"), "src_idx")
     return own.where(F.col("value").isNotNull() & (F.col("nodata").isNull() | (F.col("value") != F.col("nodata")))).drop("nodata")
 
 
@@ -73,14 +74,8 @@ def cells(catalog: DataFrame, grid: OutGrid, source: str | None, reach: int) ->
     cell."""
     e = extent(F.col("gt"), F.col("width"), F.col("height"))
     rows = catalog.withColumn("e", e)
-    if source is not None and grid.crs is not None and source != grid.crs:
-        steps = F.sequence(F.lit(0), F.lit(20))
-        along = lambda a, b, s: a + (b - a) * s / 20
-        edge = F.flatten(F.transform(steps, lambda s: F.array(*[F.struct(p.alias("x"), q.alias("y")) for p, q in ((along(F.col("e.xmin"), F.col("e.xmax"), s), F.col("e.ymin")), (along(F.col("e.xmin"), F.col("e.xmax"), s), F.col("e.ymax")), (F.col("e.xmin"), along(F.col("e.ymin"), F.col("e.ymax"), s)), (F.col("e.xmax"), along(F.col("e.ymin"), F.col("e.ymax"), s)))])))
-        points = rows.select("src_idx", F.explode(edge).alias("p"))
-        u, v = projections.transform(source, grid.crs, F.col("p.x"), F.col("p.y"))
-        images = points.groupBy("src_idx").agg(F.struct(F.min(u).alias("xmin"), F.min(v).alias("ymin"), F.max(u).alias("xmax"), F.max(v).alias("ymax")).alias("e"))
-        rows = rows.drop("e").join(images, "src_idx")
+    if source is not None and grid.crs is not None:
+        rows = projections.with_image(rows.drop("e"), "e", e, [projections.normalise(source)], projections.normalise(grid.crs))
     lo = lambda v, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.floor(v) - 1))
     hi = lambda v, n: F.least(F.lit(n - 1).cast("long"), F.ceil(v) + 1)
     # What a kernel reaches beyond the extent, in output cells; it stretches if these are larger than source pixels.
@@ -116,8 +111,10 @@ def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: st
         out = out.withColumns({"sx": F.greatest(F.lit(1.0), _q(F.greatest(F.abs(ub - ua), F.abs(ud - uc)))), "sy": F.greatest(F.lit(1.0), _q(F.greatest(F.abs(vb - va), F.abs(vd - vc))))})
         spans = [(F.floor(F.col(p) - 0.5 - REACH[method] * F.col(s)), F.ceil(F.col(p) - 0.5 + REACH[method] * F.col(s))) for p, s in (("u", "sx"), ("v", "sy"))]
     (c0, c1), (r0, r1) = [(F.greatest(F.lit(0).cast("long"), a), F.least(F.col(n).cast("long") - 1, b)) for (a, b), n in zip(spans, ("width", "height"), strict=True)]
-    out = out.withColumns({"c0": c0, "c1": c1, "r0": r0, "r1": r1}).where("c0 <= c1 and r0 <= r1")
-    taps = out.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    # Cells without taps go after they are made: a filter before would be pushed down and repeat the formulas.
+    out = out.withColumns({"c0": c0, "c1": c1, "r0": r0, "r1": r1})
+    within = lambda a, b: F.explode_outer(F.when(F.col(a) <= F.col(b), F.sequence(a, b)))
+    taps = out.withColumn("row", within("r0", "r1")).where("row is not null").withColumn("col", within("c0", "c1")).where("col is not null")
     if method in FOOTPRINT:
         over = lambda c, a, b: F.least(F.col(c) + 1, F.col(b)) - F.greatest(F.col(c), F.col(a))
         taps = taps.withColumns({"wx": over("col", "u0", "u1"), "wy": over("row", "v0", "v1")}).where((F.col("wx") > LEAST_OVERLAP) & (F.col("wy") > LEAST_OVERLAP)).withColumn("w", F.col("wx") * F.col("wy"))
@@ -130,12 +127,32 @@ def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: st
 
 
 def gather(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str = "near") -> DataFrame:
-    """As scatter(), for any transform and any pair of supported systems. Each system among the sources is a branch."""
-    names = projections.distinct_names(catalog, 200)
-    parts = [_gather_one(pixels, catalog.where(F.col("crs").eqNullSafe(F.lit(n))), grid, method, n) for n in names]
+    """As scatter(), for any transform and any pair of supported systems. Each system among the sources is a branch; a
+    source without one raises if the grid has one."""
+    if grid.crs is None:
+        return _gather_one(pixels, catalog, grid, method, None)
+    names = projections.systems(catalog)
+    if None in names:
+        raise ValueError("a source has no coordinate system")
+    crs = projections.normalised(F.col("crs"))
+    parts = [_gather_one(pixels, catalog.where(crs == n), grid, method, n) for n in names or [projections.normalise(grid.crs)]]
     return reduce(DataFrame.unionByName, parts)
 
 
+def warp_windows(pixels: DataFrame, windows: DataFrame, grid: OutGrid, method: str = "near") -> DataFrame:
+    """scatter() of the windows that lie parallel to the grid in its own system, gather() of all others."""
+    if grid.crs is None:
+        return gather(pixels, windows, grid, method)
+    parallel = (projections.normalised(F.col("crs")) == projections.normalise(grid.crs)) & (F.col("gt.gt2") == 0) & (F.col("gt.gt4") == 0)
+    straight, other = windows.agg(F.bool_or(parallel), F.bool_or(~F.coalesce(parallel, F.lit(False)))).first()
+    if not other:
+        return scatter(pixels, windows, grid, method)
+    if not straight:
+        return gather(pixels, windows, grid, method)
+    parts = [f(pixels.join(w.select("src_idx"), "src_idx", "left_semi"), w, grid, method) for f, w in ((scatter, windows.where(parallel)), (gather, windows.where(~F.coalesce(parallel, F.lit(False)))))]
+    return parts[0].unionByName(parts[1])
+
+
 def mosaic(warped: DataFrame) -> DataFrame:
     """(band, orow, ocol, value): of overlapping sources the last one's valid value."""
     return warped.groupBy("band", "orow", "ocol").agg(F.max_by("value", "src_idx").alias("value"))

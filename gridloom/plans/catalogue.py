@@ -9,7 +9,7 @@ from gridloom.functions import crs as projections
 from gridloom.functions import metadata as M
 from gridloom.operators import raster, stack
 from gridloom.operators.resample import FOOTPRINT, REACH
-from gridloom.operators.warp import dense, gather, mosaic, scatter
+from gridloom.operators.warp import dense, gather, mosaic, scatter, warp_windows
 from gridloom.plans import fixtures as X
 from gridloom.plans import windows as W
 from gridloom.plans.spec import METHODS, OutGrid, WarpSpec
@@ -238,9 +238,16 @@ def _(spark, sf):
     return W.plan(X.sources(spark, sf), WarpSpec(ts=(64, 64), bands=(1, 1), overview=1, max_bytes=1e5)).select("src_idx", "n_bytes", "over_limit")
 
 
-@register("plan_shared_grid", plan_sql(TE, "1", 8) + " SELECT src_idx, nodata, level, xoff, yoff, xsize, ysize FROM p")
+SHARED = "CASE WHEN src_idx % 3 = 0 THEN 64 ELSE 32 END"
+
+
+@register("plan_shared_grid", plan_sql(TE, "1", 8) + f" SELECT src_idx, nodata, level, xoff, yoff, xsize, ysize, win_x, win_y, is_copy, n_bytes, n_bytes > 100000 AS over_limit, {SHARED} AS tile_width, {SHARED} AS tile_height FROM p")
 def _(spark, sf):
-    return W.plan_by_grid(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))).select("src_idx", "nodata", "level", "xoff", "yoff", "xsize", "ysize")
+    """Sources of one grid that differ in bands, sample type and tiles."""
+    tile = F.when(F.col("src_idx") % 3 == 0, 64).otherwise(32)
+    levels = F.transform("levels", lambda v: F.struct(v["level"], v["width"], v["height"], tile.alias("tile_width"), tile.alias("tile_height")))
+    planned = W.plan_by_grid(X.sources(spark, sf).withColumn("levels", levels), WarpSpec(te=TE, tr=(15, 15), max_bytes=1e5))
+    return planned.select("src_idx", "nodata", "level", "xoff", "yoff", "xsize", "ysize", F.col("win_gt.gt0").alias("win_x"), F.col("win_gt.gt3").alias("win_y"), "is_copy", "n_bytes", "over_limit", "tile_width", "tile_height")
 
 
 COVER = ", c AS (SELECT src_idx, level, unnest(range(yoff // 32, (yoff + ysize - 1) // 32 + 1)) AS ty, xoff, xsize FROM p), t AS (SELECT src_idx, level, ty, unnest(range(xoff // 32, (xoff + xsize - 1) // 32 + 1)) AS tx FROM c)"
@@ -273,18 +280,18 @@ WIN = (500030.0, 4002410.0, 500180.0, 4002530.0)
 
 @register("window_blit", f"SELECT src_idx, band, row - 3 AS row, col - 3 AS col, value FROM ({emb_sql((11, 10, 9))}) WHERE row BETWEEN 3 AND 14 AND col BETWEEN 3 AND 17")
 def _(spark, sf):
-    return raster.cut_window(X.emb64(spark, sf), W.plan(X.emb_catalog(spark), WarpSpec(te=WIN)))
+    return raster.cut_window(X.emb64(spark, sf), W.plan(X.emb_catalog(spark, sf), WarpSpec(te=WIN)))
 
 
 @register("window_tiles", f"SELECT src_idx, b.i AS band, row - 3 AS row, col - 3 AS col, value FROM ({emb_sql((11, 10))}) e JOIN (VALUES (1, 10), (2, 11)) b(i, b) ON e.band = b.b WHERE row BETWEEN 3 AND 14 AND col BETWEEN 3 AND 17")
 def _(spark, sf):
     tiles = raster.to_tiles(X.emb64(spark, sf), 8)
-    return raster.read_window(tiles, W.plan(X.emb_catalog(spark), WarpSpec(te=WIN)), 8, [10, 11])
+    return raster.read_window(tiles, W.plan(X.emb_catalog(spark, sf), WarpSpec(te=WIN)), 8, [10, 11])
 
 
 @register("window_fill", f"SELECT 0 AS src_idx, b AS band, r AS row, c AS col, coalesce(value, -1e0) AS value FROM range(0, 12) x(r), range(0, 15) y(c), (VALUES (11), (10)) z(b) LEFT JOIN ({emb_sql((11, 10))}) e ON e.row = r + 3 AND e.col = c + 3 AND e.band = b AND value > 0")
 def _(spark, sf):
-    planned = W.plan(X.one_source(spark, 0, X.EMB_GT, X.EMB_WIDTH, X.EMB_HEIGHT, 3, nodata=-1.0), WarpSpec(te=WIN))
+    planned = W.plan(X.emb_catalog(spark, sf).withColumn("nodata", F.lit(-1.0)), WarpSpec(te=WIN))
     return raster.fill_window(raster.cut_window(X.emb64(spark, sf).where("value > 0"), planned), planned, [11, 10])
 
 
@@ -332,8 +339,13 @@ def kernel_sql(method: str, d: str) -> str:
     return f"CASE WHEN {d} < {REACH[method]} THEN {inner} ELSE 0e0 END"
 
 
-def axis_sql(method: str, off: float, ratio: float, n: int, most: int) -> str:
-    """(o, c, w): output index, pixel index, weight."""
+def rows_sql(name: str, key: str, width: int) -> str:
+    """How many rows of pixels a table makes, as X.rows_of()."""
+    return f"(SELECT max({key}) // {width} + 1 FROM {name})"
+
+
+def axis_sql(method: str, off: float, ratio: float, n: int | str, most: int | str) -> str:
+    """(o, c, w): output index, pixel index, weight. Counts are numbers or subqueries."""
     off_s, ratio_s, s = f"{off!r}::DOUBLE", f"{ratio!r}::DOUBLE", max(1.0, abs(ratio))
     base = f"SELECT o, c, round({off_s} + (o + 0.5e0) * {ratio_s}, 9) AS u, round({off_s} + o * {ratio_s}, 9) AS a, round({off_s} + (o + 1) * {ratio_s}, 9) AS b FROM range({n}) x(o), range({most}) y(c)"
     if method == "near":
@@ -348,37 +360,47 @@ def value_sql(method: str) -> str:
     return {"rms": "sqrt(sum(w * value * value) / sum(w))", "sum": "sum(w * value)", "min": "min(value)", "max": "max(value)", "q1": quantile("0.25e0"), "med": quantile("0.5e0"), "q3": quantile("0.75e0"), "near": "any_value(value)"}.get(method, "sum(w * value) / sum(w)")
 
 
-def warp_sql(method: str, pixels: str, gt: tuple, g: OutGrid, most: tuple[int, int]) -> str:
-    x, y = axis_sql(method, (g.xmin - gt[0]) / gt[1], g.xres / gt[1], g.width, most[0]), axis_sql(method, (g.ymax - gt[3]) / gt[5], -g.yres / gt[5], g.height, most[1])
+def warp_sql(method: str, pixels: str, gt: tuple, g: OutGrid, most: tuple, height: str | None = None) -> str:
+    """The grid's own height, or one that comes from a table."""
+    x, y = axis_sql(method, (g.xmin - gt[0]) / gt[1], g.xres / gt[1], g.width, most[0]), axis_sql(method, (g.ymax - gt[3]) / gt[5], -g.yres / gt[5], height or g.height, most[1])
     head = f"WITH wx AS ({x}), wy AS ({y}), px AS ({pixels}), j AS (SELECT band, wy.o AS orow, wx.o AS ocol, row, col, value, wx.w * wy.w AS w FROM px JOIN wx ON wx.c = px.col JOIN wy ON wy.c = px.row)"
     if method == "mode":
         return head + ", n AS (SELECT band, orow, ocol, value, count(*) AS n, min(row * 100000 + col) AS pos FROM j GROUP BY ALL) SELECT band, orow, ocol, round(value, 6) AS value FROM n QUALIFY row_number() OVER (PARTITION BY band, orow, ocol ORDER BY n DESC, pos) = 1"
     return head + f" SELECT band, orow, ocol, round({value_sql(method)}, 6) AS value FROM j GROUP BY band, orow, ocol"
 
 
-FINE = X.grid((500003.0, 4002367.0, 500241.0, 4002553.0), 40, 31)
-COARSE = X.grid((500003.0, 4002361.0, 500233.0, 4002557.0), 7, 6)
+# Grids reach over the whole of their rasters, whatever the size of the tables. A table's rows of pixels give the height.
+FINE, COARSE = X.tall(499997.0, 4002563.0, 5.95, 6.0, 44), X.tall(499990.0, 4002570.0, 32.5, 33.0, 9)
+PARTS, ORDERS = X.tall(-0.4, 0.3, 5.6, 5.64, 10), X.tall(-1.0, 1.0, 5.1, 4.85, 60)
+EMB_ROWS, PART_ROWS, ORD_ROWS = rows_sql("embeddings", "vec_id", 25), rows_sql("part", "p_partkey", 50), rows_sql("orders", "o_orderkey", 150)
+FINE_ROWS, COARSE_ROWS = f"({EMB_ROWS} * 2)", f"({EMB_ROWS} // 3 + 2)"
+PART_CELLS, ORD_CELLS = f"({PART_ROWS} // 5 + 2)", f"({ORD_ROWS} // 2 + 2)"
 PART_GT = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
 
 
+def _emb_rows(spark: SparkSession, sf: str) -> int:
+    return X.rows_of(spark, sf, "embeddings", "vec_id", 25)
+
+
 def _register_warp(method: str) -> None:
     # Area averages run over the embeddings, order statistics over the parts, whose values repeat.
     if method in ("mode", "med", "q1", "q3", "min", "max"):
-        g = X.grid((0.3, -39.7, 49.9, -0.2), 9, 7)
 
         def run(spark, sf):
-            src = X.one_source(spark, 1, PART_GT, 50, 40, 2, nodata=50.0)
-            return rounded(scatter(X.part2(spark, sf), src, g, method)).drop("src_idx")
+            n = X.rows_of(spark, sf, "part", "p_partkey", 50)
+            src = X.one_source(spark, 1, PART_GT, 50, n, 2, nodata=50.0)
+            return rounded(scatter(X.part2(spark, sf), src, PARTS(n // 5 + 2), method)).drop("src_idx")
 
         pixels = "SELECT b.b AS band, p_partkey // 50 AS row, p_partkey % 50 AS col, CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END AS value FROM part, (VALUES (1), (2)) b(b) WHERE NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)"
-        sql = warp_sql(method, pixels, PART_GT, g, (50, 45))
+        sql = warp_sql(method, pixels, PART_GT, PARTS(1), (50, PART_ROWS), PART_CELLS)
     else:
-        g = COARSE if method in FOOTPRINT else FINE
+        coarse = method in FOOTPRINT
 
         def run(spark, sf):
-            return rounded(scatter(X.emb64(spark, sf), X.emb_catalog(spark), g, method)).drop("src_idx")
+            n = _emb_rows(spark, sf)
+            return rounded(scatter(X.emb64(spark, sf), X.emb_catalog(spark, sf), COARSE(n // 3 + 2) if coarse else FINE(n * 2), method)).drop("src_idx")
 
-        sql = warp_sql(method, emb_sql((11, 10, 9)), X.EMB_GT, g, (25, 100))
+        sql = warp_sql(method, emb_sql((11, 10, 9)), X.EMB_GT, (COARSE if coarse else FINE)(1), (25, EMB_ROWS), COARSE_ROWS if coarse else FINE_ROWS)
     register(f"warp_{method}", sql)(run)
 
 
@@ -386,37 +408,89 @@ for _method in METHODS:
     _register_warp(_method)
 
 
-@register("warp_cubic_coarse", warp_sql("cubic", emb_sql((11, 10, 9)), X.EMB_GT, COARSE, (25, 100)))
+@register("warp_cubic_coarse", warp_sql("cubic", emb_sql((11, 10, 9)), X.EMB_GT, COARSE(1), (25, EMB_ROWS), COARSE_ROWS))
 def _(spark, sf):
-    return rounded(scatter(X.emb64(spark, sf), X.emb_catalog(spark), COARSE, "cubic")).drop("src_idx")
+    return rounded(scatter(X.emb64(spark, sf), X.emb_catalog(spark, sf), COARSE(_emb_rows(spark, sf) // 3 + 2), "cubic")).drop("src_idx")
 
 
 ORD_GT = (0.0, 2.0, 0.0, 0.0, 0.0, -2.0)
-ORD_GRID = X.grid((1.0, -197.0, 297.0, -3.0), 60, 40)
 ORD_PX = "SELECT 1 AS band, o_orderkey // 150 AS row, o_orderkey % 150 AS col, o_totalprice AS value FROM orders"
 
 
-@register("warp_orders_average", warp_sql("average", ORD_PX, ORD_GT, ORD_GRID, (150, 1100)))
+def _ord_rows(spark: SparkSession, sf: str) -> int:
+    return X.rows_of(spark, sf, "orders", "o_orderkey", 150)
+
+
+@register("warp_orders_average", warp_sql("average", ORD_PX, ORD_GT, ORDERS(1), (150, ORD_ROWS), ORD_CELLS))
 def _(spark, sf):
-    return rounded(scatter(X.ord1(spark, sf), X.one_source(spark, 2, ORD_GT, 150, 1100), ORD_GRID, "average")).drop("src_idx")
+    n = _ord_rows(spark, sf)
+    return rounded(scatter(X.ord1(spark, sf), X.one_source(spark, 2, ORD_GT, 150, n), ORDERS(n // 2 + 2), "average")).drop("src_idx")
 
 
-@register("gather_bilinear", warp_sql("bilinear", emb_sql((11, 10, 9)), X.EMB_GT, FINE, (25, 20)).replace("px AS (", "px AS (SELECT * FROM (", 1).replace("), j AS", ") WHERE row < 20), j AS", 1))
+@register("gather_bilinear", warp_sql("bilinear", emb_sql((11, 10, 9)), X.EMB_GT, FINE(1), (25, EMB_ROWS), FINE_ROWS))
 def _(spark, sf):
-    return rounded(gather(X.emb64(spark, sf), X.emb_catalog(spark), FINE, "bilinear")).drop("src_idx")
+    return rounded(gather(X.emb64(spark, sf), X.emb_catalog(spark, sf), FINE(_emb_rows(spark, sf) * 2), "bilinear")).drop("src_idx")
+
+
+# A source whose second level are the embeddings, 10 m a pixel; its first level, of 5 m, is never read.
+OVER = OutGrid(500000.0, 4002560.0, 20.0, 20.0, 13, 1)
+
+
+@register("warp_overview", warp_sql("average", emb_sql((11, 10)), X.EMB_GT, OVER, (25, EMB_ROWS), f"(({EMB_ROWS} + 1) // 2)"))
+def _(spark, sf):
+    n = _emb_rows(spark, sf)
+    src = X.one_source(spark, 0, (500000.0, 5.0, 0.0, 4002560.0, 0.0, -5.0), 50, n * 2, 64)
+    spec = WarpSpec(te=(500000.0, 4002560.0 - 10 * n, 500250.0, 4002560.0), tr=(20, 20), overview=2, method="average")
+    planned = W.plan(src, spec)
+    pixels = raster.read_window(raster.to_tiles(X.emb64(spark, sf, (11, 10)), 8), planned, 8, [11, 10])
+    named = pixels.withColumn("band", F.get(F.array(F.lit(11), F.lit(10)), F.col("band") - 1))
+    return rounded(mosaic(scatter(named, W.as_catalog(planned), W.output_grid(src, spec), "average")))
+
+
+# Degrees to Web Mercator: the parts as a raster 50 cells of 0.02 degrees wide, from 5 E, 50 N.
+DEG_GT = (5.0, 0.02, 0.0, 50.0, 0.0, -0.02)
+MERC = X.tall(556013.0, 6447017.0, 2200.0, 2200.0, 60, "EPSG:3857")
+PART_NEAR = "SELECT b.b AS band, orow, ocol, round(CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END, 6) AS value FROM i, (VALUES (1), (2)) b(b), part WHERE p_partkey // 50 = row AND p_partkey % 50 = col AND NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)"
+FROM_MERC = "i AS (SELECT orow, ocol, floor(round((x / 6378137e0 * 180 / pi() - 5e0) / 0.02e0, 9))::BIGINT AS col, floor(round((atan(sinh(y / 6378137e0)) * 180 / pi() - 50e0) / -0.02e0, 9))::BIGINT AS row FROM g)"
 
 
-# Degrees to Web Mercator: the parts as a raster of 50 x 40 cells of 0.1 degrees from 5 E, 50 N.
-DEG_GT = (5.0, 0.1, 0.0, 50.0, 0.0, -0.1)
-MERC = X.grid((560013.0, 5790029.0, 1110041.0, 6440017.0), 37, 41, "EPSG:3857")
+def _degrees(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    n = X.rows_of(spark, sf, "part", "p_partkey", 50)
+    return X.one_source(spark, 1, DEG_GT, 50, n, 2, nodata=50.0, crs="EPSG:4326"), n
 
 
-@register("reproject_3857_near", f"""WITH g AS (SELECT r AS orow, c AS ocol, {MERC.xmin!r}::DOUBLE + (c + 0.5e0) * {MERC.xres!r}::DOUBLE AS x, {MERC.ymax!r}::DOUBLE - (r + 0.5e0) * {MERC.yres!r}::DOUBLE AS y FROM range({MERC.height}) a(r), range({MERC.width}) b(c)),
-i AS (SELECT orow, ocol, floor(round((x / 6378137e0 * 180 / pi() - 5e0) / 0.1e0, 9))::BIGINT AS col, floor(round((atan(sinh(y / 6378137e0)) * 180 / pi() - 50e0) / -0.1e0, 9))::BIGINT AS row FROM g)
-SELECT b.b AS band, orow, ocol, round(CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END, 6) AS value FROM i, (VALUES (1), (2)) b(b), part WHERE p_partkey // 50 = row AND p_partkey % 50 = col AND row < 40 AND NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)""")
+@register("reproject_3857_near", f"""WITH g AS (SELECT r AS orow, c AS ocol, 556013e0 + (c + 0.5e0) * 2200 AS x, 6447017e0 - (r + 0.5e0) * 2200 AS y FROM range({PART_ROWS} * 2 + 4) a(r), range(60) b(c)), {FROM_MERC} {PART_NEAR}""")
 def _(spark, sf):
-    src = X.one_source(spark, 1, DEG_GT, 50, 40, 2, nodata=50.0, crs="EPSG:4326")
-    return rounded(gather(X.part2(spark, sf), src, MERC, "near")).drop("src_idx")
+    src, n = _degrees(spark, sf)
+    return rounded(gather(X.part2(spark, sf), src, MERC(n * 2 + 4), "near")).drop("src_idx")
+
+
+# The same rasters by requests: an extent in degrees that goes to metres, and none at all, which is the whole extent's.
+METRES = "radians({0}) * 6378137e0"
+NORTHING = "asinh(tan(radians({0}))) * 6378137e0"
+SNAPPED = f"""WITH n AS (SELECT {PART_ROWS} AS n), q AS (SELECT floor({METRES.format("5.1e0")} / 2200) AS x0, ceil({METRES.format("5.9e0")} / 2200) AS x1, floor({NORTHING.format("(50e0 - 0.02e0 * n)")} / 2200) AS y0, ceil({NORTHING.format("50e0")} / 2200) AS y1 FROM n),
+r AS (SELECT *, unnest(range(0, (y1 - y0)::BIGINT)) AS orow FROM q), g AS (SELECT orow, ocol, (x0 + ocol + 0.5e0) * 2200 AS x, (y1 - orow - 0.5e0) * 2200 AS y FROM (SELECT *, unnest(range(0, (x1 - x0)::BIGINT)) AS ocol FROM r))"""
+
+
+def _requested(spark: SparkSession, sf: str, spec: WarpSpec) -> DataFrame:
+    src, _ = _degrees(spark, sf)
+    planned = W.plan(src, spec)
+    return rounded(mosaic(warp_windows(raster.cut_window(X.part2(spark, sf), planned), W.as_catalog(planned), W.output_grid(src, spec))))
+
+
+@register("warp_te_srs", f"{SNAPPED}, {FROM_MERC} {PART_NEAR}")
+def _(spark, sf):
+    n = X.rows_of(spark, sf, "part", "p_partkey", 50)
+    return _requested(spark, sf, WarpSpec(te=(5.1, 50 - 0.02 * n, 5.9, 50.0), te_srs="EPSG:4326", t_srs="EPSG:3857", tr=(2200, 2200)))
+
+
+WHOLE = f"""WITH n AS (SELECT {PART_ROWS} AS n), q AS (SELECT {METRES.format("5e0")} AS x0, {METRES.format("6e0")} AS x1, {NORTHING.format("(50e0 - 0.02e0 * n)")} AS y0, {NORTHING.format("50e0")} AS y1 FROM n),
+g AS (SELECT r AS orow, c AS ocol, x0 + (c + 0.5e0) * (x1 - x0) / 37 AS x, y1 - (r + 0.5e0) * (y1 - y0) / 61 AS y FROM q, range(61) a(r), range(37) b(c))"""
+
+
+@register("warp_whole_extent", f"{WHOLE}, {FROM_MERC} {PART_NEAR}")
+def _(spark, sf):
+    return _requested(spark, sf, WarpSpec(t_srs="EPSG:3857", ts=(37, 61), overview=1))
 
 
 # GRS80, and Snyder's formulas in their printed form.
@@ -427,20 +501,20 @@ def _q_sql(sine: str) -> str:
     return f"((1 - e2) * ({sine} / (1 - e2 * {sine} * {sine}) - ln((1 - e * {sine}) / (1 + e * {sine})) / (2 * e)))"
 
 
-EUROPE = X.grid((3950013.0, 2560029.0, 4320041.0, 3000017.0), 37, 44, "EPSG:3035")
+EUROPE = X.tall(3800013.0, 3010017.0, 1700.0, 1700.0, 150, "EPSG:3035")
 
 
 @register("reproject_3035_near", f"""WITH {GRS80}, k0 AS (SELECT *, {_q_sql("1e0")} AS qp, {_q_sql("sin(radians(52e0))")} AS q1 FROM e2),
 k AS (SELECT *, asin(q1 / qp) AS b1, 6378137e0 * sqrt(qp / 2) AS rq, 6378137e0 * cos(radians(52e0)) / sqrt(1 - e2 * sin(radians(52e0)) ** 2) / (6378137e0 * sqrt(qp / 2) * cos(asin(q1 / qp))) AS d FROM k0),
-g AS (SELECT r AS orow, c AS ocol, {EUROPE.xmin!r}::DOUBLE + (c + 0.5e0) * {EUROPE.xres!r}::DOUBLE - 4321000 AS u, {EUROPE.ymax!r}::DOUBLE - (r + 0.5e0) * {EUROPE.yres!r}::DOUBLE - 3210000 AS v FROM range({EUROPE.height}) a(r), range({EUROPE.width}) b(c)),
+g AS (SELECT r AS orow, c AS ocol, 3800013e0 + (c + 0.5e0) * 1700 - 4321000 AS u, 3010017e0 - (r + 0.5e0) * 1700 - 3210000 AS v FROM range({PART_ROWS} * 2 + 20) a(r), range(150) b(c)),
 h AS (SELECT *, 2 * asin(rho / (2 * rq)) AS ce FROM (SELECT *, sqrt((u / d) ** 2 + (d * v) ** 2) AS rho FROM g, k)),
 b AS (SELECT orow, ocol, e2, asin(cos(ce) * sin(b1) + d * v * sin(ce) * cos(b1) / rho) AS beta, 10 + degrees(atan2(u * sin(ce), d * rho * cos(b1) * cos(ce) - d * d * v * sin(b1) * sin(ce))) AS lon FROM h),
 l AS (SELECT orow, ocol, lon, degrees(beta + (e2 / 3 + 31 * e2 ** 2 / 180 + 517 * e2 ** 3 / 5040) * sin(2 * beta) + (23 * e2 ** 2 / 360 + 251 * e2 ** 3 / 3780) * sin(4 * beta) + 761 * e2 ** 3 / 45360 * sin(6 * beta)) AS lat FROM b),
-i AS (SELECT orow, ocol, floor(round((lon - 5e0) / 0.1e0, 9))::BIGINT AS col, floor(round((lat - 50e0) / -0.1e0, 9))::BIGINT AS row FROM l)
-SELECT b.b AS band, orow, ocol, round(CASE b.b WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END, 6) AS value FROM i, (VALUES (1), (2)) b(b), part WHERE p_partkey // 50 = row AND p_partkey % 50 = col AND row < 40 AND NOT (b.b = 1 AND p_size = 50) AND NOT (b.b = 2 AND p_retailprice = 50)""")
+i AS (SELECT orow, ocol, floor(round((lon - 5e0) / 0.02e0, 9))::BIGINT AS col, floor(round((lat - 50e0) / -0.02e0, 9))::BIGINT AS row FROM l)
+{PART_NEAR}""")
 def _(spark, sf):
-    src = X.one_source(spark, 1, DEG_GT, 50, 40, 2, nodata=50.0, crs="EPSG:4326")
-    return rounded(gather(X.part2(spark, sf), src, EUROPE, "near")).drop("src_idx")
+    src, n = _degrees(spark, sf)
+    return rounded(gather(X.part2(spark, sf), src, EUROPE(n * 2 + 20), "near")).drop("src_idx")
 
 
 def _m_sql(lat: str) -> str:
@@ -473,42 +547,46 @@ def _(spark, sf):
     return e.select("id", *[F.round(c, 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def _two_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The orders twice, the second shifted by 40 cells and missing where the price is odd."""
+MOSAIC = X.tall(-1.0, 0.0, 4.0, 4.0, 96)
+
+
+def _two_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, OutGrid]:
+    """The orders twice, the second shifted by 40 cells and missing where the price is odd; and a grid over both."""
+    n = _ord_rows(spark, sf)
     first = X.ord1(spark, sf)
     second = first.where("cast(value as long) % 2 = 0").withColumn("src_idx", F.lit(3)).withColumn("value", F.col("value") * 2)
-    src = X.one_source(spark, 2, ORD_GT, 150, 1100).unionAll(X.one_source(spark, 3, (80.0, 2.0, 0.0, 0.0, 0.0, -2.0), 150, 1100))
-    return first.unionByName(second), src
+    src = X.one_source(spark, 2, ORD_GT, 150, n).unionAll(X.one_source(spark, 3, (80.0, 2.0, 0.0, 0.0, 0.0, -2.0), 150, n))
+    return first.unionByName(second), src, MOSAIC(n // 2 + 1)
 
 
-MOSAIC_GRID = X.grid((1.0, -59.0, 381.0, -3.0), 95, 14)
-MOSAIC_PX = """WITH a AS (SELECT o_orderkey // 150 AS r, o_orderkey % 150 AS c, o_totalprice AS v FROM orders),
-g AS (SELECT r AS orow, c AS ocol, floor((3 + (r + 0.5e0) * 4) / 2)::BIGINT AS row, floor((1 + (c + 0.5e0) * 4) / 2)::BIGINT AS col FROM range(14) x(r), range(95) y(c)),
+MOSAIC_CELLS = f"({ORD_ROWS} // 2 + 1)"
+MOSAIC_PX = f"""WITH a AS (SELECT o_orderkey // 150 AS r, o_orderkey % 150 AS c, o_totalprice AS v FROM orders),
+g AS (SELECT r AS orow, c AS ocol, floor((r + 0.5e0) * 4 / 2)::BIGINT AS row, floor((-1 + (c + 0.5e0) * 4) / 2)::BIGINT AS col FROM range({MOSAIC_CELLS}) x(r), range(96) y(c)),
 m AS (SELECT orow, ocol, p.v AS v2, q.v * 2 AS v3 FROM g LEFT JOIN a p ON p.r = g.row AND p.c = g.col LEFT JOIN a q ON q.r = g.row AND q.c = g.col - 40 AND trunc(q.v)::BIGINT % 2 = 0)"""
 
 
 @register("mosaic_last_wins", MOSAIC_PX + " SELECT 1 AS band, orow, ocol, round(coalesce(v3, v2), 6) AS value FROM m WHERE coalesce(v3, v2) IS NOT NULL")
 def _(spark, sf):
-    pixels, src = _two_sources(spark, sf)
-    return rounded(mosaic(scatter(pixels, src, MOSAIC_GRID, "near")))
+    pixels, src, grid = _two_sources(spark, sf)
+    return rounded(mosaic(scatter(pixels, src, grid, "near")))
 
 
 @register("init_dest", MOSAIC_PX + " SELECT 1 AS band, orow, ocol, round(coalesce(v3, v2, -7e0), 6) AS value FROM m")
 def _(spark, sf):
-    pixels, src = _two_sources(spark, sf)
-    return rounded(dense(mosaic(scatter(pixels, src, MOSAIC_GRID, "near")), MOSAIC_GRID, [1], -7.0))
+    pixels, src, grid = _two_sources(spark, sf)
+    return rounded(dense(mosaic(scatter(pixels, src, grid, "near")), grid, [1], -7.0))
 
 
 @register("copy_window", f"SELECT 0 AS src_idx, band, row - 3 AS row, col - 3 AS col, value FROM ({emb_sql((9,))}) WHERE row BETWEEN 3 AND 14 AND col BETWEEN 3 AND 17")
 def _(spark, sf):
-    planned = W.plan(X.emb_catalog(spark), WarpSpec(te=(500034.0, 4002414.0, 500176.0, 4002526.0), t_srs="EPSG:32631", bands=(9,)))
+    planned = W.plan(X.emb_catalog(spark, sf), WarpSpec(te=(500034.0, 4002414.0, 500176.0, 4002526.0), t_srs="EPSG:32631", bands=(9,)))
     return raster.cut_window(X.emb64(spark, sf, (9,)), planned.where("is_copy"))
 
 
 @register("stack_bands", MOSAIC_PX + " SELECT b AS band, orow, ocol, round(CASE b WHEN 1 THEN v2 ELSE v3 END, 6) AS value FROM m, range(1, 3) t(b) WHERE CASE b WHEN 1 THEN v2 ELSE v3 END IS NOT NULL")
 def _(spark, sf):
-    pixels, src = _two_sources(spark, sf)
-    return rounded(stack.stack(pixels, src, MOSAIC_GRID, "near", scatter))
+    pixels, src, grid = _two_sources(spark, sf)
+    return rounded(stack.stack(pixels, src, grid, "near", scatter))
 
 
 @register("stack_labels", f"""WITH s AS ({SRC}), o AS (SELECT *, coalesce(sum(n_bands) OVER (PARTITION BY src_idx % 7 ORDER BY src_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s), b AS (SELECT *, unnest(range(1, n_bands + 1)) AS band FROM o)
@@ -518,15 +596,15 @@ def _(spark, sf):
 
 
 def _per_source_sql() -> str:
-    near, mean = (warp_sql(m, ORD_PX, gt, MOSAIC_GRID, (150, 1100)) for m, gt in (("near", ORD_GT), ("average", (80.0, *ORD_GT[1:]))))
+    near, mean = (warp_sql(m, ORD_PX, gt, MOSAIC(1), (150, ORD_ROWS), MOSAIC_CELLS) for m, gt in (("near", ORD_GT), ("average", (80.0, *ORD_GT[1:]))))
     mean = mean.replace("AS value FROM orders", "* 2 AS value FROM orders WHERE trunc(o_totalprice)::BIGINT % 2 = 0", 1)
     return f"SELECT 1 AS band, orow, ocol, value FROM ({near}) UNION ALL SELECT 2 AS band, orow, ocol, value FROM ({mean})"
 
 
 @register("stack_per_source_r", _per_source_sql())
 def _(spark, sf):
-    pixels, src = _two_sources(spark, sf)
-    return rounded(stack.stack(pixels, src, MOSAIC_GRID, ["near", "average"], scatter))
+    pixels, src, grid = _two_sources(spark, sf)
+    return rounded(stack.stack(pixels, src, grid, ["near", "average"], scatter))
 
 
 # --- groups -----------------------------------------------------------------------------------------------------------
@@ -537,10 +615,9 @@ def _(spark, sf):
     return B.unstacked(X.windows_done(spark, sf))
 
 
-@register("batch_stacked", "SELECT user_id AS group_idx, bool_or(event_type = 'error') AS failed, count(*) AS n_windows, CASE WHEN NOT bool_or(event_type = 'error') THEN string_agg(event_id::VARCHAR, ',' ORDER BY event_id) END AS payloads FROM events WHERE event_id % 64 = user_id % 64 GROUP BY 1")
+@register("batch_stacked", "SELECT user_id AS group_idx, bool_or(event_type = 'error') AS failed, count(*) AS n_windows, CASE WHEN NOT bool_or(event_type = 'error') THEN string_agg(event_id::VARCHAR, ',' ORDER BY event_id) END AS payloads FROM events GROUP BY 1")
 def _(spark, sf):
-    done = X.windows_done(spark, sf).where("band_pos % 64 = group_idx % 64")  # small groups, as a request has
-    return B.stacked(done).withColumn("payloads", F.array_join("payloads", ","))
+    return B.stacked(X.windows_done(spark, sf)).withColumn("payloads", F.array_join("payloads", ","))
 
 
 @register("batch_failures", "SELECT user_id AS group_idx, count(*) FILTER (WHERE event_type = 'error') AS n_failed, count(*) AS n_windows FROM events GROUP BY 1")
@@ -561,7 +638,7 @@ def _(spark, sf):
     return B.relist(done).withColumn("paths", F.array_join("paths", ","))
 
 
-@register("describe_sources", f"SELECT src_idx, printf('%d x %d', width, height) AS size, round(width * height / 1e6, 3) AS megapixels, printf('%.10f', 10e0) AS resolution FROM ({SRC})")
+@register("describe_sources", f"""SELECT src, src_idx, '128 x 128' AS size, 0e0 AS megapixels, n_bands || ' ' || dtype AS bands, '10' AS resolution, crs, CASE nodata WHEN 0 THEN '0' WHEN -9999 THEN '-9999' ELSE '<none>' END AS nodata, '2 (128x128, 64x64, 32x32)' AS overviews,
+  CASE n_bands WHEN 1 THEN 'band_01' WHEN 2 THEN 'band_01, band_02' ELSE 'band_01, band_02 and 1 more' END AS band_names FROM ({SRC})""")
 def _(spark, sf):
-    s = X.sources(spark, sf)
-    return s.select("src_idx", F.format_string("%d x %d", "width", "height").alias("size"), F.round(F.col("width") * F.col("height") / 1e6, 3).alias("megapixels"), F.format_string("%.10f", F.abs("gt.gt1")).alias("resolution"))
+    return W.described(X.sources(spark, sf).withColumn("band_names", M.band_names(F.lit(None).cast("string"), F.col("n_bands"))), 2)

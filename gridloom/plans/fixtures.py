@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.spec import OutGrid
 
-EMB_WIDTH, EMB_HEIGHT = 25, 20
+EMB_WIDTH = 25
 EMB_GT = (500000.0, 10.0, 0.0, 4002560.0, 0.0, -10.0)
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_of(spark: SparkSession, sf_dir: str, name: str, key: str, width: int) -> int:
+    """How many rows of pixels a table makes as a raster of this width."""
+    return table(spark, sf_dir, name).agg(F.max(key)).first()[0] // width + 1
+
+
 def gt_struct(values: tuple):
     return F.struct(*[F.lit(float(v)).alias(f"gt{i}") for i, v in enumerate(values)])
 
@@ -49,8 +54,8 @@ def one_source(spark: SparkSession, src_idx: int, gt: tuple, width: int, height:
     )
 
 
-def emb_catalog(spark: SparkSession) -> DataFrame:
-    return one_source(spark, 0, EMB_GT, EMB_WIDTH, EMB_HEIGHT, 3)
+def emb_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_source(spark, 0, EMB_GT, EMB_WIDTH, rows_of(spark, sf_dir, "embeddings", "vec_id", EMB_WIDTH), 3)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +85,10 @@ def windows_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("group_idx"), F.col("event_id").alias("band_pos"), F.col("event_id").cast("string").alias("payload"), F.when(F.col("event_type") == "error", "failed").alias("error"))
 
 
+def tall(xmin: float, ymax: float, xres: float, yres: float, width: int, crs: str | None = None):
+    """Grids of this corner, cell size and width, for any height."""
+    return lambda height: OutGrid(xmin, ymax, xres, yres, width, height, crs)
+
+
 def grid(te: tuple, width: int, height: int, crs: str | None = None) -> OutGrid:
     return OutGrid(te[0], te[3], (te[2] - te[0]) / width, (te[3] - te[1]) / height, width, height, crs)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from gridloom.functions.crs import normalise
 
@@ -38,7 +38,6 @@ class WarpSpec:
     overview: int | None = None
     margin: int = 8
     max_bytes: float = 4e9
-    options: dict = field(default_factory=dict)
 
     def __post_init__(self):
         for name in (self.t_srs, self.te_srs):
@@ -62,7 +61,9 @@ class WarpSpec:
         """The output grid of an explicit extent: tr rounds the cell count, tap first moves the extent out to multiples
         of tr, ts is taken as it is."""
         if self.te is None or (self.tr is None and self.ts is None):
-            raise ValueError("an output grid needs te and one of tr and ts")
+            raise ValueError("an output grid needs te and one of tr and ts; windows.output_grid finds them from a catalog")
+        if self.te_srs is not None and (self.t_srs is None or normalise(self.te_srs) != normalise(self.t_srs)):
+            raise ValueError("te is in another system; windows.output_grid transforms it")
         xmin, ymin, xmax, ymax = self.te
         if self.ts is not None:
             width, height = self.ts
@@ -75,7 +76,7 @@ class WarpSpec:
             width, height = round((xmax - xmin) / xres), round((ymax - ymin) / yres)
         if width < 1 or height < 1 or width * height >= 2**31 - 1:
             raise ValueError("the output would be empty or too large")
-        return OutGrid(xmin, ymax, xres, yres, width, height, self.t_srs)
+        return OutGrid(xmin, ymax, xres, yres, width, height, self.t_srs and normalise(self.t_srs))
 
 
 def methods_for(r: str | list[str] | None, n: int) -> list[str]:

@@ -6,12 +6,14 @@ level, width, height, tile_width, tile_height, the full resolution first).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import crs as projections
-from gridloom.functions.metadata import extent, grid_signature, sample_bytes
-from gridloom.plans.spec import WarpSpec
+from gridloom.functions.metadata import extent, grid_signature, number, sample_bytes
+from gridloom.plans.spec import OutGrid, WarpSpec
 
 
 def flat(catalog: DataFrame) -> DataFrame:
@@ -28,16 +30,19 @@ def summary(catalog: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_sources"), *shared, F.count_distinct("nodata").alias("n_nodata"), *[F.when(one, f(c)).alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))])
 
 
-def bounds(te: tuple, source: str | None, target: str | None, per_edge: int = 21) -> tuple | None:
-    """Expressions of an extent in another system; edges are sampled, as their images may bulge."""
-    if source is None or target is None or source == target:
-        return tuple(map(F.lit, map(float, te)))
-    xmin, ymin, xmax, ymax = map(float, te)
-    steps = [i / (per_edge - 1) for i in range(per_edge)]
-    points = [(xmin + s * (xmax - xmin), y) for s in steps for y in (ymin, ymax)] + [(x, ymin + s * (ymax - ymin)) for s in steps for x in (xmin, xmax)]
-    images = [projections.transform(source, target, F.lit(x), F.lit(y)) for x, y in points]
-    xs, ys = [p[0] for p in images], [p[1] for p in images]
-    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+def described(catalog: DataFrame, most_names: int = 8) -> DataFrame:
+    """Eight facts of each source as text: size, megapixels, bands, resolution, crs, nodata, overviews, band names (the
+    first ones, then how many more)."""
+    x, y = number(F.abs("gt.gt1")), number(F.abs("gt.gt5"))
+    sizes = F.array_join(F.transform("levels", lambda v: F.concat(v["width"].cast("string"), F.lit("x"), v["height"].cast("string"))), ", ")
+    n = F.size("band_names")
+    names = F.concat(F.array_join(F.slice("band_names", 1, most_names), ", "), F.when(n > most_names, F.concat(F.lit(" and "), (n - most_names).cast("string"), F.lit(" more"))).otherwise(""))
+    return catalog.select(
+        "src", "src_idx", F.format_string("%d x %d", "width", "height").alias("size"), F.round(F.col("width") * F.col("height") / 1e6, 1).alias("megapixels"),
+        F.concat(F.col("n_bands").cast("string"), F.lit(" "), F.col("dtype")).alias("bands"), F.when(x == y, x).otherwise(F.concat(x, F.lit(" x "), y)).alias("resolution"),
+        F.coalesce("crs", F.lit("<none>")).alias("crs"), F.coalesce(number(F.col("nodata")), F.lit("<none>")).alias("nodata"),
+        F.concat((F.size("levels") - 1).cast("string"), F.lit(" ("), sizes, F.lit(")")).alias("overviews"), names.alias("band_names"),
+    )
 
 
 def densified(extents: DataFrame, source: str, target: str, per_edge: int = 21) -> DataFrame:
@@ -57,54 +62,125 @@ def pick_level(levels: Column, decimation: Column) -> Column:
     return F.when(decimation.isNull() | F.isnan(decimation) | (decimation < 1), 1).otherwise(F.coalesce(F.array_max(F.transform(fits, lambda x: x["level"])), F.lit(1)))
 
 
-def plan(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
-    """src_idx, level, xoff, yoff, xsize, ysize, the window's transform (win_gt), is_copy, n_bytes, over_limit and sig of
-    each source that the request overlaps; a source without overlap has no row. A request without te wants whole sources."""
-    gt, span = F.col("gt"), extent(F.col("gt"), F.col("width"), F.col("height"))
-    same = F.lit(True) if spec.t_srs is None else F.coalesce(F.upper(F.col("crs")) == projections.normalise(spec.t_srs), F.lit(False))
-    te_srs = spec.te_srs or spec.t_srs
-    copy = same & F.lit(spec.tr is None and spec.ts is None)
+def _box(values: tuple) -> Column:
+    return F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), values, strict=True)])
+
+
+def extents(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
+    """The catalog with two extents a row: ``want``, what is asked of a source, in its own system, and ``target``, the same
+    in the output's. te is in te_srs, else t_srs, else the source's system; the output's is t_srs, else the source's."""
+    own = extent(F.col("gt"), F.col("width"), F.col("height"))
+    t_srs, te_srs = spec.t_srs and projections.normalise(spec.t_srs), spec.te_srs and projections.normalise(spec.te_srs)
+    given = te_srs or t_srs
+    if spec.te is None and t_srs is None:
+        return catalog.withColumns({"want": own, "target": own})
+    if given is None:
+        return catalog.withColumns({"want": _box(spec.te), "target": _box(spec.te)})
+    names = [n for n in projections.systems(catalog) if n is not None]
     if spec.te is None:
-        want = [span[k] for k in ("xmin", "ymin", "xmax", "ymax")]
-    elif te_srs is None:
-        want = [F.lit(float(v)) for v in spec.te]
-    else:
-        # Sources share few systems; each gets its own image of the extent.
-        names = projections.distinct_names(catalog, 1000)
-        images = {n: bounds(spec.te, projections.normalise(te_srs), n and projections.normalise(n)) for n in names}
-        want = [F.coalesce(*[F.when(F.col("crs").eqNullSafe(F.lit(n)), image[i]) for n, image in images.items()]) for i in range(4)]
-    rows = catalog.withColumns({"copy": copy, "wx0": want[0], "wy0": want[1], "wx1": want[2], "wy1": want[3]})
+        return projections.with_image(catalog, "target", own, names or [t_srs], t_srs).withColumn("want", own)
+    images = projections.boxes(catalog.sparkSession, spec.te, given, list({*names, *([t_srs] if t_srs else []), given}))
+    crs = projections.normalised(F.col("crs"))
+    want = F.coalesce(*[F.when(crs == n, _box(images[n])) for n in names], _box(images[given]))
+    return catalog.withColumns({"want": want, "target": _box(images[t_srs]) if t_srs else want})
+
+
+def problem(spec: WarpSpec) -> Column:
+    """Why a source of the catalog can't be planned, null if it can."""
+    most = max(spec.bands, default=0)
+    return (
+        F.when(F.col("gt.gt0").isNull() | F.col("gt.gt1").isNull(), F.concat(F.lit("no georeference in "), F.col("src")))
+        .when(F.col("crs").isNull(), F.concat(F.lit("no coordinate system in "), F.col("src")))
+        .when(F.col("n_bands") < most, F.concat(F.lit(f"no band {most} in "), F.col("src")))
+    )
+
+
+def plan(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> DataFrame:
+    """src_idx, level, xoff, yoff, xsize, ysize, the window's transform (win_gt), is_copy, n_bytes, over_limit and sig of
+    each source that the request overlaps; a source without overlap has no row. A request without te wants whole sources.
+    A source without georeference, system or a band that is asked for raises, or has no row if not strict (see problem)."""
+    unfit = problem(spec)
+    sound = catalog.where(F.when(unfit.isNotNull(), F.raise_error(unfit).cast("boolean")).otherwise(F.lit(True)) if strict else unfit.isNull())
+    gt = F.col("gt")
+    same = F.lit(True) if spec.t_srs is None else projections.normalised(F.col("crs")) == projections.normalise(spec.t_srs)
+    rows = extents(sound, spec).withColumn("copy", same & F.lit(spec.tr is None and spec.ts is None))
     det = gt["gt1"] * gt["gt5"] - gt["gt2"] * gt["gt4"]
     col = lambda x, y: (gt["gt5"] * (x - gt["gt0"]) - gt["gt2"] * (y - gt["gt3"])) / det
     row = lambda x, y: (gt["gt1"] * (y - gt["gt3"]) - gt["gt4"] * (x - gt["gt0"])) / det
-    corners = [(F.col(a), F.col(b)) for a in ("wx0", "wx1") for b in ("wy0", "wy1")]
-    rows = rows.withColumns({"c0": F.least(*[col(*p) for p in corners]), "c1": F.greatest(*[col(*p) for p in corners]), "r0": F.least(*[row(*p) for p in corners]), "r1": F.greatest(*[row(*p) for p in corners])})
+    corners = [(F.col(f"want.{a}"), F.col(f"want.{b}")) for a in ("xmin", "xmax") for b in ("ymin", "ymax")]
+    cols, lines = [col(*p) for p in corners], [row(*p) for p in corners]
+    rows = rows.withColumns({"c0": F.least(*cols), "c1": F.greatest(*cols), "r0": F.least(*lines), "r1": F.greatest(*lines)})
     # Output cell size in source units, over the source's cell size; the x axis decides.
-    target = abs(spec.te[2] - spec.te[0]) if spec.te is not None else None
-    source_span = F.col("wx1") - F.col("wx0")
-    cell = F.lit(float(spec.tr[0])) if spec.tr else F.lit(float(target) / spec.ts[0]) if spec.ts and target else source_span / spec.ts[0] if spec.ts else F.lit(None).cast("double")
-    decimation = cell * (source_span / F.lit(float(target)) if target else F.lit(1.0)) / F.abs(gt["gt1"])
-    level = F.greatest(F.lit(1), F.least(F.size("levels"), F.lit(spec.overview))) if spec.overview else pick_level(F.col("levels"), decimation)
+    target_span, source_span = F.col("target.xmax") - F.col("target.xmin"), F.col("want.xmax") - F.col("want.xmin")
+    cell = F.lit(float(spec.tr[0])) if spec.tr else target_span / spec.ts[0] if spec.ts else F.lit(None).cast("double")
+    decimation = cell * F.when(target_span != 0, source_span / target_span).otherwise(1.0) / F.abs(gt["gt1"])
+    forced = F.greatest(F.lit(1), F.least(F.size("levels"), F.lit(spec.overview)))
+    level = forced if spec.overview else pick_level(F.col("levels"), F.round(decimation, 9))
     rows = rows.withColumn("level", level.cast("int")).withColumn("lv", F.get("levels", F.col("level") - 1))
-    rows = rows.withColumns({"fx": F.col("width") / F.col("lv.width"), "fy": F.col("height") / F.col("lv.height"), "m": F.when(F.col("copy"), 0).otherwise(spec.margin)})
+    margin = F.when(F.col("copy"), 0).otherwise(spec.margin)
+    rows = rows.withColumns({"fx": F.col("width") / F.col("lv.width"), "fy": F.col("height") / F.col("lv.height"), "m": margin})
     lo = lambda v, f: F.greatest(F.lit(0), F.floor(F.round(F.col(v) / F.col(f), 9)) - F.col("m"))
     hi = lambda v, f, most: F.least(F.col(most), F.ceil(F.round(F.col(v) / F.col(f), 9)) + F.col("m"))
-    rows = rows.withColumns({"xoff": lo("c0", "fx"), "yoff": lo("r0", "fy"), "xend": hi("c1", "fx", "lv.width"), "yend": hi("r1", "fy", "lv.height")}).where("xend > xoff and yend > yoff")
-    xs, ys = F.col("xend") - F.col("xoff"), F.col("yend") - F.col("yoff")
-    n_sel = F.lit(len(spec.bands)) if spec.bands else F.col("n_bands")
-    size = (xs * ys * n_sel * sample_bytes(F.col("dtype"))).cast("long")
-    win = F.struct(
-        (gt["gt0"] + F.col("xoff") * F.col("fx") * gt["gt1"] + F.col("yoff") * F.col("fy") * gt["gt2"]).alias("gt0"), (gt["gt1"] * F.col("fx")).alias("gt1"), (gt["gt2"] * F.col("fy")).alias("gt2"),
-        (gt["gt3"] + F.col("xoff") * F.col("fx") * gt["gt4"] + F.col("yoff") * F.col("fy") * gt["gt5"]).alias("gt3"), (gt["gt4"] * F.col("fx")).alias("gt4"), (gt["gt5"] * F.col("fy")).alias("gt5"),
+    rows = rows.withColumns({"xoff": lo("c0", "fx"), "yoff": lo("r0", "fy"), "xend": hi("c1", "fx", "lv.width"), "yend": hi("r1", "fy", "lv.height")})
+    # A plain filter on these would be pushed down and repeat all the arithmetic; this one stays where it is.
+    overlap = F.filter(F.array(F.lit(True)), lambda _: (F.col("xend") > F.col("xoff")) & (F.col("yend") > F.col("yoff")))
+    rows = rows.withColumn("overlaps", F.explode_outer(overlap)).where("overlaps is not null")
+    rows = rows.withColumns({"xsize": F.col("xend") - F.col("xoff"), "ysize": F.col("yend") - F.col("yoff")})
+    # The columns of a transform scale by fx (gt1, gt4) and fy (gt2, gt5): a level's pixel covers fx by fy pixels.
+    scaled = {"gt1": gt["gt1"] * F.col("fx"), "gt2": gt["gt2"] * F.col("fy"), "gt4": gt["gt4"] * F.col("fx"), "gt5": gt["gt5"] * F.col("fy")}
+    origin = lambda o, a, b: gt[o] + F.col("xoff") * scaled[a] + F.col("yoff") * scaled[b]
+    win = {"gt0": origin("gt0", "gt1", "gt2"), "gt3": origin("gt3", "gt4", "gt5"), **scaled}
+    return rows.select(
+        "src", "src_idx", "level", *[F.col(c).cast("long").alias(c) for c in ("xoff", "yoff", "xsize", "ysize")],
+        F.struct(*[win[f"gt{i}"].alias(f"gt{i}") for i in range(6)]).alias("win_gt"), F.col("copy").alias("is_copy"), "nodata", *_costs(spec),
+        grid_signature(gt, F.col("crs"), F.col("levels")).alias("sig"), F.col("lv.tile_width").alias("tile_width"), F.col("lv.tile_height").alias("tile_height"), "n_bands", "dtype", "crs",
     )
-    return rows.select("src", "src_idx", "level", F.col("xoff").cast("long").alias("xoff"), F.col("yoff").cast("long").alias("yoff"), xs.cast("long").alias("xsize"), ys.cast("long").alias("ysize"), win.alias("win_gt"), F.col("copy").alias("is_copy"), "nodata", size.alias("n_bytes"), (size > spec.max_bytes).alias("over_limit"), grid_signature(gt, F.col("crs"), F.col("levels")).alias("sig"), F.col("lv.tile_width").alias("tile_width"), F.col("lv.tile_height").alias("tile_height"))
+
+
+def _costs(spec: WarpSpec) -> list[Column]:
+    """n_bytes of a window at its source's own sample type, and whether that is over the limit."""
+    n = F.lit(len(spec.bands)) if spec.bands else F.col("n_bands")
+    size = (F.col("xsize") * F.col("ysize") * n * sample_bytes(F.col("dtype"))).cast("long")
+    return [size.alias("n_bytes"), (size > spec.max_bytes).alias("over_limit")]
 
 
 def plan_by_grid(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
-    """plan(), computed once for each distinct grid and joined back; src and nodata stay the source's own."""
+    """plan(), computed once for each distinct grid and joined back. What depends on a source's bands, sample type, nodata
+    or tiles stays its own."""
     own = catalog.withColumn("sig", grid_signature(F.col("gt"), F.col("crs"), F.col("levels")))
-    shared = plan(own.drop("sig").dropDuplicates(["gt", "crs", "levels", "n_bands", "dtype"]), spec).drop("src", "src_idx", "nodata").dropDuplicates(["sig"])
-    return own.select("src", "src_idx", "nodata", "sig").join(shared, "sig")
+    grids = own.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("src", "src_idx", "width", "height", "dtype", "nodata", "gt", "crs", "levels")], F.max("n_bands").alias("n_bands"))
+    windows = plan(grids.drop("sig"), spec).select("sig", "level", "xoff", "yoff", "xsize", "ysize", "win_gt", "is_copy")
+    rows = own.select("src", "src_idx", "nodata", "n_bands", "dtype", "crs", "levels", "sig").join(windows, "sig")
+    lv = F.get("levels", F.col("level") - 1)
+    return rows.select(*windows.columns, "src", "src_idx", "nodata", "n_bands", "dtype", "crs", *_costs(spec), lv["tile_width"].alias("tile_width"), lv["tile_height"].alias("tile_height"))
+
+
+def as_catalog(planned: DataFrame) -> DataFrame:
+    """The planned windows as rasters of their own: what was read of a window lies on its transform, at the level that was
+    picked, and is counted from its corner."""
+    return planned.select("src", "src_idx", F.col("xsize").cast("int").alias("width"), F.col("ysize").cast("int").alias("height"), "n_bands", "dtype", "nodata", "crs", F.col("win_gt").alias("gt"))
+
+
+def output_grid(catalog: DataFrame, spec: WarpSpec) -> OutGrid:
+    """The output grid of a request over a catalog. te comes in te_srs and goes to t_srs (else the first source's system);
+    without te it is the joint extent of all sources there. Without tr and ts cells are square, and as many along an
+    extent's diagonal as the finest source has pixels there. One small aggregation over the catalog."""
+    if not spec.t_srs:
+        first = catalog.agg(F.min_by(projections.normalised(F.col("crs")), "src_idx")).first()[0]
+        if first is None:
+            raise ValueError("no source, or no coordinate system")
+        spec = replace(spec, t_srs=first)
+    whole = extents(catalog, replace(spec, te=None))
+    e = lambda n: F.col(f"target.{n}")
+    diagonal = F.sqrt((e("xmax") - e("xmin")) ** 2 + (e("ymax") - e("ymin")) ** 2) / F.sqrt(F.col("width") ** 2 + F.col("height") ** 2)
+    *te, finest = whole.agg(F.min(e("xmin")), F.min(e("ymin")), F.max(e("xmax")), F.max(e("ymax")), F.min(diagonal)).first()
+    if te[0] is None:
+        raise ValueError("no source gives an extent")
+    if spec.te is not None:
+        t_srs = projections.normalise(spec.t_srs)
+        te = projections.boxes(catalog.sparkSession, spec.te, projections.normalise(spec.te_srs or spec.t_srs), [t_srs])[t_srs]
+    cells = {} if spec.tr or spec.ts else {"tr": (finest, finest), "tap": False}
+    return replace(spec, te=tuple(te), te_srs=None, **cells).grid()
 
 
 def require_one_grid(catalog: DataFrame) -> None:
@@ -119,8 +195,16 @@ def require_overlap(planned: DataFrame) -> DataFrame:
     return planned
 
 
+def require_limit(planned: DataFrame) -> DataFrame:
+    """Raises if a window would take more bytes than the request allows. Looks at the plan only."""
+    over = planned.where("over_limit").select("src", "n_bytes").head()
+    if over is not None:
+        raise MemoryError(f"the window of {over.src} would take {over.n_bytes} bytes; ask for fewer bands or larger cells, or raise max_bytes")
+    return planned
+
+
 def tile_cover(planned: DataFrame) -> DataFrame:
-    """A row for each tile that a window touches."""
+    """A row for each tile that a window touches, with the level's grid of tiles numbered from 0."""
     tx = F.sequence(F.floor(F.col("xoff") / F.col("tile_width")), F.floor((F.col("xoff") + F.col("xsize") - 1) / F.col("tile_width")))
     ty = F.sequence(F.floor(F.col("yoff") / F.col("tile_height")), F.floor((F.col("yoff") + F.col("ysize") - 1) / F.col("tile_height")))
     return planned.withColumn("ty", F.explode(ty)).withColumn("tx", F.explode(tx)).select("src_idx", "level", "ty", "tx")

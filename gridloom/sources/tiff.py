@@ -2,8 +2,9 @@
 
 Reading: a table of paths becomes a catalog (only headers are read, by range), and a table of planned tiles becomes pixels
 (only the byte ranges of those tiles and bands are read). Spark deals paths and tiles to tasks; a task opens its files
-through pyarrow's file systems (local, s3, gs, hdfs). Writing: tiles are compressed in parallel, and one task a file puts
-them together. Compressions: none, deflate, zstd; predictors: none, horizontal. Strips, and anything else, raise.
+through pyarrow's file systems (local, s3, gs, hdfs). A file that can't be read raises, or is a row whose ``error`` says
+why. Writing: tiles are compressed in parallel, and one task a file puts them together. Compressions: none, deflate, zstd,
+LZW, PackBits; predictors: none, horizontal, floating point. Strips, and anything else, are errors.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from gridloom.plans.spec import OutGrid
 TAGS = {254: "subfile", 256: "width", 257: "height", 258: "bits", 259: "compression", 277: "bands", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "offsets", 325: "sizes", 339: "format", 33550: "scale", 33922: "tie", 34264: "matrix", 34735: "keys", 34736: "doubles", 34737: "ascii", 42112: "xml", 42113: "nodata"}
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 RASTER_TYPE, CITATION, GEOGRAPHIC, GEOG_CITATION, PROJECTED, PROJ_CITATION, TRANSFORM = 1025, 1026, 2048, 2049, 3072, 3073, 3075
-HEADER = "src string, width int, height int, n_bands int, bits int, format int, matrix array<double>, scale array<double>, tie array<double>, keys map<int,double>, texts map<int,string>, xml string, nodata_text string, levels array<struct<level:int,width:int,height:int,tile_width:int,tile_height:int>>"
+HEADER = "src string, src_idx int, width int, height int, n_bands int, bits int, format int, matrix array<double>, scale array<double>, tie array<double>, keys map<int,double>, texts map<int,string>, xml string, nodata_text string, levels array<struct<level:int,width:int,height:int,tile_width:int,tile_height:int>>, error string"
 
 
 def open_file(path: str):
@@ -52,8 +54,10 @@ def directories(f) -> tuple[str, list[dict]]:
         raise ValueError("not a TIFF file")
     big = version == 43
     where = struct.unpack(f"{order}Q", head[8:16])[0] if big else struct.unpack(f"{order}I", head[4:8])[0]
-    found = []
-    while where and len(found) < 64:
+    found: list[dict] = []
+    visited: set[int] = set()
+    while where and where not in visited:  # a chain that leads back to itself ends there
+        visited.add(where)
         n = struct.unpack(f"{order}{'Q' if big else 'H'}", at(where, 8 if big else 2))[0]
         size, start = (20, where + 8) if big else (12, where + 2)
         table = at(start, n * size + (8 if big else 4))
@@ -86,99 +90,204 @@ def geo_keys(own: dict) -> tuple[dict[int, float], dict[int, str]]:
     return numbers, texts
 
 
-def catalog(paths: DataFrame) -> DataFrame:
-    """The catalog of the files in ``paths`` (src, src_idx); one that can't be read raises."""
+def header(src: str) -> dict:
+    """What the catalog needs of a file, as HEADER names it."""
+    with open_file(src) as f:
+        _, images = directories(f)
+    if not images:
+        raise ValueError("no image directory")
+    own = images[0]
+    numbers, texts = geo_keys(own)
+    sizes = lambda d: {"width": d["width"][0], "height": d["height"][0], "tile_width": d.get("tile_width", (None,))[0], "tile_height": d.get("tile_height", (None,))[0]}
+    levels = [{"level": i, **sizes(d)} for i, d in enumerate(images, 1)]
+    floats = {k: list(map(float, own.get(k, ()))) for k in ("matrix", "scale", "tie")}
+    return {"width": own["width"][0], "height": own["height"][0], "n_bands": own["bands"][0], "bits": own["bits"][0], "format": own["format"][0], **floats, "keys": numbers, "texts": texts, "xml": own.get("xml"), "nodata_text": own.get("nodata"), "levels": levels}
+
+
+def catalog(paths: DataFrame, strict: bool = True) -> DataFrame:
+    """The catalog of the files in ``paths`` (src, src_idx, and whatever else, which stays). A path may come twice. One that
+    can't be read raises, or if not strict is a row of nulls with an error."""
+    names = [x.split(" ")[0] for x in HEADER.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for src in rows.src:
-                with open_file(src) as f:
-                    _, images = directories(f)
-                own = images[0]
-                numbers, texts = geo_keys(own)
-                levels = [{"level": i, "width": d["width"][0], "height": d["height"][0], "tile_width": d.get("tile_width", (None,))[0], "tile_height": d.get("tile_height", (None,))[0]} for i, d in enumerate(images, 1)]
-                floats = {k: list(map(float, own.get(k, ()))) for k in ("matrix", "scale", "tie")}
-                out.append({"src": src, "width": own["width"][0], "height": own["height"][0], "n_bands": own["bands"][0], "bits": own["bits"][0], "format": own["format"][0], **floats, "keys": numbers, "texts": texts, "xml": own.get("xml"), "nodata_text": own.get("nodata"), "levels": levels})
-            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in HEADER.split(", ")])
-
-    read = paths.select("src").mapInPandas(run, HEADER)
+            for src, idx in zip(rows.src, rows.src_idx, strict=True):
+                try:
+                    out.append({"src": src, "src_idx": idx, **header(src), "error": None})
+                except Exception as e:
+                    if strict:
+                        raise ValueError(f"{src}: {e}") from e
+                    out.append(dict.fromkeys(names) | {"src": src, "src_idx": idx, "error": f"{src}: {e}"})
+            frame = pd.DataFrame(out, columns=names)
+            yield frame.astype({n: "Int32" for n in ("width", "height", "n_bands", "bits", "format")})
+
+    read = paths.select("src", "src_idx").mapInPandas(run, HEADER)
     key = lambda *ks: F.coalesce(*[F.try_element_at("keys", F.lit(k)) for k in ks])
     code = lambda k: key(k).cast("int")
     meridian, ellps = M.prime_meridian(code(2051), key(2061)), M.ellipsoid(code(2056), key(2057), key(2058), key(2059))
     proj = M.proj_string(code(TRANSFORM), key(3080, 3088, 3084, 3095), key(3081, 3089, 3085), key(3082, 3086), key(3083, 3087), key(3078), key(3079), key(3092), meridian, ellps)
     name = M.crs(F.coalesce(code(PROJECTED), code(GEOGRAPHIC)), [F.try_element_at("texts", F.lit(k)) for k in (PROJ_CITATION, GEOG_CITATION, CITATION)], proj)
     done = read.select(
-        "src", "width", "height", "n_bands", M.dtype(F.col("format"), F.col("bits")).alias("dtype"), M.nodata(F.col("nodata_text")).alias("nodata"), name.alias("crs"),
-        M.geotransform(F.col("matrix"), F.col("scale"), F.col("tie"), F.coalesce(code(RASTER_TYPE), F.lit(1))).alias("gt"), M.band_names(F.col("xml"), F.col("n_bands")).alias("band_names"), "levels",
+        "src", "src_idx", "width", "height", "n_bands", M.dtype(F.col("format"), F.col("bits")).alias("dtype"), M.nodata(F.col("nodata_text")).alias("nodata"), name.alias("crs"),
+        M.geotransform(F.col("matrix"), F.col("scale"), F.col("tie"), F.coalesce(code(RASTER_TYPE), F.lit(1))).alias("gt"), M.band_names(F.col("xml"), F.col("n_bands")).alias("band_names"), "levels", "error",
     )
-    return paths.join(done, "src")
+    more = [c for c in paths.columns if c not in ("src", "src_idx")]
+    return done.join(paths.select("src_idx", *more), "src_idx") if more else done
+
+
+def unpacked_lzw(raw: bytes) -> bytes:
+    """Codes of 9 to 12 bits, the highest bit first; their width grows one code early, as TIFF has it."""
+    clear, end = 256, 257
+    table = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, held, bits, at, width, before = [], 0, 0, 0, 9, b""
+    while True:
+        while bits < width and at < len(raw):
+            held, bits, at = (held << 8 | raw[at]) & 0xFFFFFFFF, bits + 8, at + 1
+        if bits < width:
+            return b"".join(out)
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == end:
+            return b"".join(out)
+        if code == clear:
+            del table[258:]
+            width, before = 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not before):
+            raise ValueError("damaged LZW data")
+        now = table[code] if code < len(table) else before + before[:1]
+        out.append(now)
+        if before:
+            table.append(before + now[:1])
+        before = now
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+
+
+def unpacked_bits(raw: bytes) -> bytes:
+    """PackBits: runs of literals and of repeats."""
+    out, at = [], 0
+    while at < len(raw):
+        n, at = raw[at], at + 1
+        if n < 128:
+            out.append(raw[at : at + n + 1])
+            at += n + 1
+        elif n > 128:
+            out.append(raw[at : at + 1] * (257 - n))
+            at += 1
+    return b"".join(out)
+
+
+def _zstd(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+
+
+DECODERS = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits, 50000: _zstd}
 
 
 def decode(raw: bytes, own: dict, order: str, bands: int) -> np.ndarray:
     """tile_height x tile_width x bands."""
-    how = own["compression"][0]
-    if how in (8, 32946):
-        raw = zlib.decompress(raw)
-    elif how == 50000:
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    elif how != 1:
+    how, predictor, bits = own["compression"][0], own["predictor"][0], own["bits"][0]
+    if how not in DECODERS:
         raise ValueError(f"unsupported compression {how}")
-    bits, kind = own["bits"][0], {1: "u", 2: "i", 3: "f"}.get(own["format"][0])
-    if bits < 8 or kind is None or own["predictor"][0] not in (1, 2):
+    if len(set(own["bits"])) > 1 or len(set(own["format"])) > 1:
+        raise ValueError("bands of different sample types")
+    raw = DECODERS[how](raw)
+    h, w, kind = own["tile_height"][0], own["tile_width"][0], {1: "u", 2: "i", 3: "f"}.get(own["format"][0])
+    line = -(-w * bands * bits // 8)
+    if len(raw) != h * line:
+        raise ValueError(f"a tile of {len(raw)} bytes instead of {h * line}")
+    if bits == 1 and predictor == 1:
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(h, line), axis=1)[:, : w * bands].reshape(h, w, bands)
+    if bits % 8 or kind is None or predictor not in (1, 2, 3) or (predictor == 3 and kind != "f"):
         raise ValueError("unsupported samples or predictor")
-    tile = np.frombuffer(raw, np.dtype(f"{order}{kind}{bits // 8}")).reshape(own["tile_height"][0], own["tile_width"][0], bands)
-    return np.cumsum(tile, axis=1, dtype=tile.dtype) if own["predictor"][0] == 2 else tile
-
-
-def read_pixels(planned: DataFrame, bands: list[int]) -> DataFrame:
-    """The pixels of planned windows (windows.plan), counted from the level's corner, bands in the order asked for. Only
-    the tiles that a window touches are read, of band-separate files only the wanted bands."""
-    tx = F.sequence(F.expr("xoff div tile_width"), F.expr("(xoff + xsize - 1) div tile_width"))
-    ty = F.sequence(F.expr("yoff div tile_height"), F.expr("(yoff + ysize - 1) div tile_height"))
-    wanted = planned.withColumn("ty", F.explode(ty)).withColumn("tx", F.explode(tx)).select("src", "src_idx", "level", "ty", "tx").repartition("src", "ty", "tx")
+    if predictor == 3:  # bytes of a line by significance, each the difference to the one a pixel before
+        sums = np.cumsum(np.frombuffer(raw, np.uint8).reshape(h, -1, bands), axis=1, dtype=np.uint8)
+        planes = sums.reshape(h, bits // 8, w * bands).transpose(0, 2, 1)
+        return np.ascontiguousarray(planes).view(f">f{bits // 8}").reshape(h, w, bands)
+    tile = np.frombuffer(raw, np.dtype(f"{order}{kind}{bits // 8}")).reshape(h, w, bands)
+    return np.cumsum(tile, axis=1, dtype=tile.dtype) if predictor == 2 else tile
+
+
+def tiles_of(f, directory: tuple[str, list[dict]], level: int, places: list[tuple[int, int]], bands: list[int], fill: float) -> Iterator[tuple]:
+    """(band, row, col, width, values) of each wanted tile and band, as far as they lie within the level."""
+    order, images = directory
+    own = images[level - 1]
+    if "tile_width" not in own:
+        raise ValueError("the file is not tiled")
+    tw, th, width, height = (own[n][0] for n in ("tile_width", "tile_height", "width", "height"))
+    across, apart = -(-width // tw), own["planar"][0] == 2
+    per_band = across * -(-height // th)
+    for ty, tx in places:
+        whole = None
+        for b in bands:
+            n = ty * across + tx + ((b - 1) * per_band if apart else 0)
+            if apart or whole is None:
+                f.seek(own["offsets"][n])
+                size = own["sizes"][n]
+                # A tile without bytes is one that was never written.
+                whole = decode(f.read(size), own, order, 1 if apart else own["bands"][0]) if size else np.full((th, tw, 1 if apart else own["bands"][0]), fill)
+            data = whole[: height - ty * th, : width - tx * tw, 0 if apart else b - 1]
+            yield b, ty * th, tx * tw, data.shape[1], data.astype(float).ravel()
+
+
+def read_tiles(planned: DataFrame, bands: list[int]) -> DataFrame:
+    """src_idx, band, row0, col0, w and data of the tiles that the planned windows touch, counted from the level's corner; of
+    band-separate files only the wanted bands are read, as far as a source has them. What can't be read is a row with nothing but src_idx and error."""
+    span = lambda off, size, tile: F.sequence(F.expr(f"{off} div {tile}"), F.expr(f"({off} + {size} - 1) div {tile}"))
+    tiled = planned.withColumns({t: F.coalesce(t, F.lit(1 << 30)) for t in ("tile_width", "tile_height")})  # strips fail when read
+    wanted = tiled.withColumn("ty", F.explode(span("yoff", "ysize", "tile_height"))).withColumn("tx", F.explode(span("xoff", "xsize", "tile_width")))
+    wanted = wanted.select("src", "src_idx", "level", "ty", "tx", "n_bands", F.coalesce("nodata", F.lit(0.0)).alias("fill")).repartition("src", "ty", "tx")
+    chosen, cols = sorted(set(bands)), ["src_idx", "band", "row0", "col0", "w", "data", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for (src, level), part in rows.groupby(["src", "level"]):
-                out = []
-                with open_file(src) as f:
-                    order, images = directories(f)
-                    own = images[level - 1]
-                    if "tile_width" not in own:
-                        raise ValueError(f"{src} is not tiled")
-                    tw, th = own["tile_width"][0], own["tile_height"][0]
-                    per_row, per_band = -(-own["width"][0] // tw), -(-own["width"][0] // tw) * -(-own["height"][0] // th)
-                    for r in part.itertuples():
-                        chunky = None
-                        for b in sorted(set(bands)):
-                            n = r.ty * per_row + r.tx + ((b - 1) * per_band if own["planar"][0] == 2 else 0)
-                            if own["planar"][0] == 2 or chunky is None:
-                                f.seek(own["offsets"][n])
-                                chunky = decode(f.read(own["sizes"][n]), own, order, 1 if own["planar"][0] == 2 else own["bands"][0])
-                            data = chunky[:, :, 0 if own["planar"][0] == 2 else b - 1]
-                            data = data[: own["height"][0] - r.ty * th, : own["width"][0] - r.tx * tw]
-                            out.append((r.src_idx, b, r.ty * th, r.tx * tw, data.shape[1], data.astype(float).ravel()))
-                yield pd.DataFrame(out, columns=["src_idx", "band", "row0", "col0", "w", "data"])
-
-    tiles = wanted.mapInPandas(run, "src_idx int, band int, row0 long, col0 long, w int, data array<double>")
-    pixels = tiles.select("src_idx", "band", "row0", "col0", "w", F.posexplode("data").alias("at", "value"))
-    pixels = pixels.select("src_idx", "band", (F.col("row0") + F.expr("at div w")).alias("row"), (F.col("col0") + F.col("at") % F.col("w")).alias("col"), "value")
-    window = planned.select("src_idx", "xoff", "yoff", "xsize", "ysize")
-    inside = pixels.join(window, "src_idx").where("col >= xoff and col < xoff + xsize and row >= yoff and row < yoff + ysize")
-    return select_bands(inside.select("src_idx", "band", "row", "col", "value"), bands)
-
-
-def write(values: DataFrame, grid: OutGrid, folder: str, bands: int, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None) -> DataFrame:
-    """Writes a deflated, tiled, band-separate file for each ``name`` and returns (path, n_bytes). values has name, band,
-    orow, ocol and value; absent cells get nodata, else 0. Lazily: an action on the result writes."""
+            for (src, level, idx), part in rows.groupby(["src", "level", "src_idx"]):
+                out: list[tuple] = []
+                try:
+                    with open_file(src) as f:
+                        places = list(zip(part.ty.tolist(), part.tx.tolist(), strict=True))
+                        out = [(idx, *t, None) for t in tiles_of(f, directories(f), level, places, [b for b in chosen if b <= part.n_bands.iloc[0]], float(part.fill.iloc[0]))]
+                except Exception as e:
+                    out = [(idx, None, None, None, None, None, f"{src}: {e}")]
+                yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in ("band", "row0", "col0", "w")})
+
+    return wanted.mapInPandas(run, "src_idx int, band int, row0 long, col0 long, w int, data array<double>, error string")
+
+
+def pixels_of(tiles: DataFrame, planned: DataFrame, bands: list[int]) -> DataFrame:
+    """The pixels of planned windows from their tiles, counted from the window's corner, bands in the order asked for, with
+    the window's transform and nodata. A tile with an error raises."""
+    sound = tiles.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(F.lit(True)))
+    window = planned.select("src_idx", "xoff", "yoff", "xsize", "ysize", F.col("win_gt").alias("gt"), "nodata")
+    own = ["src_idx", "band", "gt", "nodata"]
+    each = sound.join(window, "src_idx").select(*own, "row0", "col0", "w", "xoff", "yoff", "xsize", "ysize", F.posexplode("data").alias("at", "value"))
+    row, col = F.col("row0") + F.expr("at div w") - F.col("yoff"), F.col("col0") + F.col("at") % F.col("w") - F.col("xoff")
+    inside = each.withColumns({"row": row, "col": col}).where("col >= 0 and col < xsize and row >= 0 and row < ysize")
+    return select_bands(inside.select("src_idx", "band", "row", "col", "value", "gt", "nodata"), bands)
+
+
+def read_pixels(planned: DataFrame, bands: list[int]) -> DataFrame:
+    """pixels_of() of the tiles that the planned windows (windows.plan) touch."""
+    return pixels_of(read_tiles(planned, bands), planned, bands)
+
+
+def write(values: DataFrame, grid: OutGrid, folder: str | None, bands: int | DataFrame, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None, compress: str = "deflate", labels: DataFrame | None = None) -> DataFrame:
+    """Writes a tiled, band-separate file for each ``name`` and returns (name, path, n_bytes); an existing one is replaced.
+    values has name, band, orow, ocol and value; absent cells get nodata, else 0. The file is folder/name.tif, or without a
+    folder the name itself. bands is the number of bands, or a table (name, bands) of all files to be made. labels (name,
+    band, label), if given, become the bands' descriptions. Lazily: an action on the result writes."""
+    if compress not in ("deflate", "none"):
+        raise ValueError(f"unsupported compression {compress!r}")
+    squeeze = zlib.compress if compress == "deflate" else bytes
+    fixed = bands if isinstance(bands, int) else None
     kind, fill = np.dtype(dtype).newbyteorder("<"), float(nodata or 0)
     place = (F.col("orow") % tile) * tile + F.col("ocol") % tile
     blocks = values.groupBy(F.col(name).alias("name"), "band", F.expr(f"orow div {tile}").alias("ty"), F.expr(f"ocol div {tile}").alias("tx")).agg(F.collect_list(F.struct(place.cast("int").alias("at"), F.col("value").cast("double").alias("value"))).alias("data"))
 
-    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for cells in rows.data:
@@ -186,22 +295,26 @@ def write(values: DataFrame, grid: OutGrid, folder: str, bands: int, name: str =
                 block[[c["at"] for c in cells]] = [c["value"] for c in cells]
                 if kind.kind != "f":
                     block = np.clip(np.nan_to_num(block), np.iinfo(kind).min, np.iinfo(kind).max)
-                out.append(zlib.compress(block.astype(kind).tobytes()))
+                out.append(squeeze(block.astype(kind).tobytes()))
             yield rows.drop(columns="data").assign(data=out)
 
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
         across, down = -(-grid.width // tile), -(-grid.height // tile)
-        empty = zlib.compress(np.full(tile * tile, fill).astype(kind).tobytes())
+        empty = squeeze(np.full(tile * tile, fill).astype(kind).tobytes())
         have = {(r.band, r.ty, r.tx): bytes(r.data) for r in rows.itertuples()}
-        body = [have.get((b, y, x), empty) for b in range(1, bands + 1) for y in range(down) for x in range(across)]
+        names = {b: bytes(d).decode() for (b, y, _), d in have.items() if y == -1}
+        n_bands = fixed if fixed is not None else next(b for (b, y, _) in have if y == -2)
+        body = [have.get((b, y, x), empty) for b in range(1, n_bands + 1) for y in range(down) for x in range(across)]
         epsg = int(grid.crs.split(":")[1]) if grid.crs else 32767
         keys = [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
         tags = [
-            (256, 4, [grid.width]), (257, 4, [grid.height]), (258, 3, [kind.itemsize * 8] * bands), (259, 3, [8]), (262, 3, [1]), (277, 3, [bands]), (284, 3, [2]), (322, 4, [tile]), (323, 4, [tile]),
-            (324, 16, [0] * len(body)), (325, 4, [len(x) for x in body]), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * bands), (33550, 12, [grid.xres, grid.yres, 0.0]), (33922, 12, [0.0, 0.0, 0.0, grid.xmin, grid.ymax, 0.0]), (34735, 3, keys),
+            (256, 4, [grid.width]), (257, 4, [grid.height]), (258, 3, [kind.itemsize * 8] * n_bands), (259, 3, [8 if compress == "deflate" else 1]), (262, 3, [1]), (277, 3, [n_bands]), (284, 3, [2]), (322, 4, [tile]), (323, 4, [tile]),
+            (324, 16, [0] * len(body)), (325, 4, [len(x) for x in body]), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * n_bands), (33550, 12, [grid.xres, grid.yres, 0.0]), (33922, 12, [0.0, 0.0, 0.0, grid.xmin, grid.ymax, 0.0]), (34735, 3, keys),
         ]
+        items = "".join(f'<Item name="DESCRIPTION" sample="{b - 1}" role="description">{escape(t)}</Item>' for b, t in sorted(names.items()))
+        tags += [(42112, 2, [f"<GDALMetadata>{items}</GDALMetadata>\0".encode()])] if names else []
         tags += [(42113, 2, [f"{nodata!r}\0".encode()])] if nodata is not None else []
 
         def layout(offsets: list[int]) -> bytes:
@@ -218,17 +331,24 @@ def write(values: DataFrame, grid: OutGrid, folder: str, bands: int, name: str =
         offsets = [len(layout([0] * len(body)))]
         for x in body[:-1]:
             offsets.append(offsets[-1] + len(x))
-        path = f"{folder}/{rows['name'].iloc[0]}.tif"
+        path = rows["name"].iloc[0] if folder is None else f"{folder}/{rows['name'].iloc[0]}.tif"
         system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        if "/" in inner.strip("/"):
+            system.create_dir(inner.rpartition("/")[0], recursive=True)
         with system.open_output_stream(inner) as f:
             f.write(layout(offsets))
             for x in body:
                 f.write(x)
-        return pd.DataFrame({"path": [path], "n_bytes": [offsets[-1] + len(body[-1])]})
-
-    packed = blocks.mapInPandas(compress, "name string, band int, ty long, tx long, data binary")
-    return packed.groupBy("name").applyInPandas(assemble, "path string, n_bytes long")
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "path": [path], "n_bytes": [offsets[-1] + len(body[-1])]})
+
+    packed = blocks.mapInPandas(packing, "name string, band int, ty long, tx long, data binary")
+    # Labels and numbers of bands travel as tiles above the first row.
+    above = lambda ty, band, data: [F.col("name"), F.col(band).cast("int").alias("band"), F.lit(ty).cast("long").alias("ty"), F.lit(0).cast("long").alias("tx"), data.cast("binary").alias("data")]
+    if labels is not None:
+        packed = packed.unionByName(labels.select(*above(-1, "band", F.col("label"))))
+    if fixed is None:
+        packed = packed.unionByName(bands.select(*above(-2, "bands", F.lit(""))))
+    return packed.groupBy("name").applyInPandas(assemble, "name string, path string, n_bytes long")
 
 
 def numbered(spark, paths: list[str]) -> DataFrame:

@@ -42,6 +42,50 @@ def output_paths(sources: DataFrame, template: str, stack: bool) -> DataFrame:
     return out.withColumn("n_same", F.count("*").over(Window.partitionBy("path")))
 
 
+def explicit_paths(sources: DataFrame, stack: bool) -> DataFrame:
+    """Paths as given in ``out``: one for each source, or with stack one for each group (of its first source)."""
+    if stack:
+        out = sources.groupBy("group_idx").agg(F.min_by("out", "band_pos").alias("path"))
+    else:
+        out = sources.select("group_idx", "band_pos", F.col("out").alias("path"))
+    return out.withColumn("n_same", F.count("*").over(Window.partitionBy("path")))
+
+
+def fetched(planned: DataFrame, bands: list[int]) -> DataFrame:
+    """Completed windows, batch or stream: group_idx, band_pos, need, payload (the window's values as bands x ysize x xsize
+    little-endian doubles, null if it failed) and error of planned windows that carry the first three. A task reads a
+    window at a time, which the request's limit of bytes bounds."""
+    import numpy as np
+
+    from gridloom.sources import tiff
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                payload, error = None, None
+                try:
+                    out = np.zeros((len(bands), r.ysize, r.xsize), "<f8")
+                    ty = range(r.yoff // r.tile_height, (r.yoff + r.ysize - 1) // r.tile_height + 1)
+                    tx = range(r.xoff // r.tile_width, (r.xoff + r.xsize - 1) // r.tile_width + 1)
+                    with tiff.open_file(r.src) as f:
+                        for b, row, col, w, values in tiff.tiles_of(f, tiff.directories(f), r.level, [(y, x) for y in ty for x in tx], sorted(set(bands)), 0.0 if pd.isna(r.nodata) else r.nodata):
+                            part, top, left = values.reshape(-1, w), row - r.yoff, col - r.xoff
+                            cut = part[max(0, -top) : r.ysize - top, max(0, -left) : r.xsize - left]
+                            for k in [k for k, x in enumerate(bands) if x == b]:
+                                out[k, max(0, top) : max(0, top) + cut.shape[0], max(0, left) : max(0, left) + cut.shape[1]] = cut
+                    payload = out.tobytes()
+                except Exception as e:
+                    error = f"{r.src}: {e}"
+                yield pd.DataFrame({"group_idx": [r.group_idx], "band_pos": [r.band_pos], "need": [r.need], "payload": [payload], "error": [error]})
+
+    return planned.mapInPandas(run, "group_idx long, band_pos long, need long, payload binary, error string")
+
+
+def needed(planned: DataFrame) -> DataFrame:
+    """Planned windows with ``need``, the number of windows of their group: only sources that overlap have one."""
+    return planned.withColumn("need", F.count("*").over(Window.partitionBy("group_idx")))
+
+
 def require_distinct(paths: DataFrame) -> DataFrame:
     if not paths.where("n_same > 1").isEmpty():
         raise ValueError("the template expands to duplicate output paths; give groups and bands distinct names")
@@ -53,7 +97,7 @@ def relist(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("group_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("band_pos", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def stack_stream(done: DataFrame, group_type: str = "long") -> DataFrame:
+def stack_stream(done: DataFrame, group_type: str = "long", payload_type: str = "string") -> DataFrame:
     """As stacked(), over a stream whose rows also carry ``need``, the group's number of windows: a group comes out once,
     when its last window arrives, and its state is freed. The order of arrival and the batch size don't matter."""
 
@@ -62,14 +106,15 @@ def stack_stream(done: DataFrame, group_type: str = "long") -> DataFrame:
         need = None
         for rows in batches:
             positions += rows.band_pos.tolist()
-            payloads += [str(p) for p in rows.payload]
+            payloads += [None if p is None or p is pd.NA or p != p else p for p in rows.payload]
             failed = bool(failed) or bool(rows.error.notna().any())
             need = int(rows.need.max())
         if need is not None and len(positions) >= need:
             state.remove()
-            order = sorted(range(len(positions)), key=lambda i: (positions[i], payloads[i]))
+            order = sorted(range(len(positions)), key=lambda i: (positions[i], payloads[i] is not None, payloads[i]) if payloads[i] is not None else (positions[i], False))
             yield pd.DataFrame({"group_idx": [key[0]], "failed": [failed], "n_windows": [len(positions)], "payloads": [None if failed else [payloads[i] for i in order]]})
         elif need is not None:
             state.update((positions, payloads, failed))
 
-    return done.groupBy("group_idx").applyInPandasWithState(collect, f"group_idx {group_type}, failed boolean, n_windows long, payloads array<string>", "positions array<long>, payloads array<string>, failed boolean", "append", "NoTimeout")
+    out = f"group_idx {group_type}, failed boolean, n_windows long, payloads array<{payload_type}>"
+    return done.groupBy("group_idx").applyInPandasWithState(collect, out, f"positions array<long>, payloads array<{payload_type}>, failed boolean", "append", "NoTimeout")

@@ -82,14 +82,44 @@ def ramp(spark, width, height, src=0, value="id * 7 % 101 + 1"):
     return spark.range(width * height).select(F.lit(src).alias("src_idx"), F.lit(1).alias("band"), F.expr(f"id div {width}").alias("row"), (F.col("id") % width).alias("col"), F.expr(value).cast("double").alias("value"))
 
 
-def test_too_many_systems_raise(spark):
-    """More names of systems than are handled raise; no source vanishes."""
-    src = X.one_source(spark, 0, (0, 1, 0, 12, 0, -1), 16, 12).drop("crs")
-    many = src.crossJoin(spark.range(1001).select(F.concat(F.lit("EPSG:4326"), F.expr("repeat(' ', cast(id as int))")).alias("crs")))
-    with pytest.raises(ValueError, match="more than 200 names"):
-        gather(ramp(spark, 16, 12), many, X.grid((0, 0, 4, 4), 4, 4))
-    with pytest.raises(ValueError, match="more than 1000 names"):
-        W.plan(many, WarpSpec(te=TE, te_srs="EPSG:4326"))
+def test_any_number_of_spellings(spark):
+    """201 spellings of one system are that system; an unsupported one, or none, raises rather than vanishing."""
+    src = X.one_source(spark, 0, (0, 1, 0, 12, 0, -1), 16, 12).drop("crs", "src_idx")
+    many = src.crossJoin(spark.range(201).select(F.col("id").cast("int").alias("src_idx"), F.concat(F.lit("epsg:4326"), F.expr("repeat(' ', cast(id as int))")).alias("crs")))
+    px = ramp(spark, 16, 12).drop("src_idx").crossJoin(spark.range(201).select(F.col("id").cast("int").alias("src_idx")))
+    grid = X.grid((0, 0, 16, 12), 4, 4, "EPSG:4326")
+    assert gather(px, many, grid).select("src_idx").distinct().count() == 201
+    assert W.plan(many, WarpSpec(te=(0, 0, 9, 9), te_srs="EPSG:4326")).count() == 201
+    assert gather(px, many.limit(0), grid).count() == 0 and W.plan(many.limit(0), WarpSpec(te=(0, 0, 9, 9), te_srs="EPSG:4326")).count() == 0
+    for bad in ("EPSG:9999", None):
+        one = many.limit(3).withColumn("crs", F.lit(bad).cast("string"))
+        with pytest.raises(Exception, match="coordinate system"):
+            gather(px, one, grid).collect()
+        with pytest.raises(Exception, match="coordinate system"):
+            W.plan(one, WarpSpec(te=(0, 0, 9, 9), te_srs="EPSG:4326")).collect()
+
+
+def test_plans_across_systems(spark):
+    """Level and window by the extent in the right system, whichever system it is given in."""
+    src = X.one_source(spark, 0, NORTH, 512, 512)
+    corners = [spark.range(1).select(*crs.transform("EPSG:32631", "EPSG:4326", F.lit(x), F.lit(y))).first() for x, y in ((501000.0, 3999000.0), (504000.0, 4001000.0))]
+    te = (*corners[0], *corners[1])
+    one = W.plan(src, WarpSpec(te=te, te_srs="EPSG:4326", t_srs="EPSG:32631", tr=(10, 10))).first()
+    assert one.level == 1 and abs(one.win_gt.gt0 - 500920) <= 20
+    assert W.plan(src, WarpSpec(te=te, te_srs="EPSG:4326", t_srs="EPSG:32631", tr=(41, 41))).first().level == 3
+    assert W.plan(src, WarpSpec(t_srs="EPSG:4326", tr=(0.01, 0.01))).first().level == 3
+    assert W.plan(src, WarpSpec(te=te, te_srs="EPSG:4326", tr=(21, 21))).first().level == 2
+    g = W.output_grid(src, WarpSpec(te=te, te_srs="EPSG:4326", t_srs="EPSG:32631", tr=(10, 10)))
+    assert (g.xmin, g.crs) == (pytest.approx(501000, abs=10), "EPSG:32631") and g.width == pytest.approx(300, abs=3) and g.height == pytest.approx(200, abs=3)
+    assert W.output_grid(src, WarpSpec()) == X.grid((500000, 3997440, 505120, 4002560), 512, 512, "EPSG:32631")
+    whole = W.output_grid(src, WarpSpec(t_srs="EPSG:4326", ts=(10, 20)))
+    assert (whole.width, whole.height) == (10, 20) and whole.xmin == pytest.approx(3.0, abs=0.01)
+    with pytest.raises(ValueError, match="another system"):
+        WarpSpec(te=te, te_srs="EPSG:4326", t_srs="EPSG:32631", tr=(10, 10)).grid()
+    with pytest.raises(Exception, match="no band 2"):
+        W.plan(src, WarpSpec(bands=(1, 2))).collect()
+    with pytest.raises(Exception, match="no georeference"):
+        W.plan(src.withColumn("gt", F.lit(None).cast(src.schema["gt"].dataType)), WarpSpec()).collect()
 
 
 @pytest.mark.parametrize("method", METHODS)
