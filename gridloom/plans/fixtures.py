@@ -55,7 +55,7 @@ def one_source(spark: SparkSession, src_idx: int, gt: tuple, width: int, height:
 
 
 def emb_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return one_source(spark, 0, EMB_GT, EMB_WIDTH, rows_of(spark, sf_dir, "embeddings", "vec_id", EMB_WIDTH), 3)
+    return one_source(spark, 0, EMB_GT, EMB_WIDTH, rows_of(spark, sf_dir, "embeddings", "vec_id", EMB_WIDTH), 64)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from gridloom.operators.warp import dense, gather, mosaic, scatter
 from gridloom.plans import fixtures as X
 from gridloom.plans import windows as W
 from gridloom.plans.spec import METHODS, WarpSpec, methods_for
-from gridloom.sources.auth import boolean, hadoop_options
+from gridloom.sources.auth import boolean, hadoop_options, settings_for
 
 NORTH = (5e5, 10, 0, 4002560, 0, -10)
 SOUTH = (5e5, 10, 0, 4000960, 0, 10)
@@ -188,3 +188,16 @@ def test_options_from_settings():
         warnings.simplefilter("always")
         hadoop_options({"GS_ACCESS_KEY_ID": "x", "AZURE_STORAGE_CONNECTION_STRING": "y"})
     assert len(found) == 2
+    of = "my.dfs.core.windows.net"
+    assert hadoop_options({"AZURE_STORAGE_ACCOUNT": "my", "AZURE_NO_SIGN_REQUEST": "YES", "AZURE_STORAGE_ACCESS_KEY": "k"}) == {f"fs.azure.account.auth.type.{of}": "Anonymous"}
+    assert hadoop_options({"AZURE_STORAGE_ACCOUNT": "my", "AZURE_STORAGE_ACCESS_KEY": "k", "AZURE_STORAGE_SAS_TOKEN": "t"}) == {f"fs.azure.account.key.{of}": "k"}
+    assert hadoop_options({"AWS_NO_SIGN_REQUEST": "YES", "GS_NO_SIGN_REQUEST": "1"}) == {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider", "fs.gs.auth.type": "UNAUTHENTICATED"}
+
+
+def test_later_settings_win():
+    env = {"AWS_REGION": "b", "PATH": "x", "google_x": "y", "AZURE_STORAGE_SAS_TOKEN": "old"}
+    url = "https://My.blob.core.windows.net:443/c/f.tif?sp=r&sig=x#part"
+    assert settings_for({"AWS_REGION": "a", "AWS_HTTPS": "NO"}, env) == {"AWS_REGION": "b", "AWS_HTTPS": "NO", "google_x": "y", "AZURE_STORAGE_SAS_TOKEN": "old"}
+    assert settings_for({}, env, url)["AZURE_STORAGE_SAS_TOKEN"] == "sp=r&sig=x"
+    for other in (url.replace("https", "http"), url.replace("sig=", "Sig="), url.replace(".blob.", ".x."), "s3://b/k?sig=1", None):
+        assert settings_for({}, env, other)["AZURE_STORAGE_SAS_TOKEN"] == "old"
