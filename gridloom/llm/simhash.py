@@ -16,7 +16,8 @@ instead (0.8 of five words). Groups then come from shared least hashes of shingl
 0.8 shares none once in 2,800 times). Within a group, members themselves are the reference fingerprints: pairs whose
 distances to one of them differ by over WIDE bits are discarded (at 0.8 two fingerprints differ by more than that less
 than once in 100,000 times), and every survivor is decided exactly, by its sets of shingle hashes, unless links connect
-it already. Texts of equal words are one node. A group of over ``crowded`` texts or two million shingles is compared in
+it already. Texts of equal words are one node. Groups that share members form a family, which one task compares as a
+whole; a family of over ``crowded`` texts or two million shingles is compared group by group, and in it a group of over ``crowded`` texts or two million shingles is compared in
 blocks of that size, then block against block, each pair of blocks a task of its own.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows keep their rows; a null
@@ -355,18 +356,31 @@ def link_similar(texts: DataFrame, shingles: DataFrame, similarity: float, crowd
     many = written(many.groupBy("n", "total", "m1", "m2").agg(F.min(F.struct("t", "k")).alias("g")).select("g.t", "g.k", F.ceil(F.greatest(F.col("n") / crowded, F.col("total") / most_shingles)).alias("blocks")))
     members = written(dealt.join(many, ["t", "k"]))
     sets = written(shingles.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    # Whatever groups connect is a family. A family of bounded size is compared as a whole, so each of its sets goes to one
+    # task once; only larger ones are compared group by group.
+    hubs = members.groupBy("t", "k").agg(F.min("node").alias("hub"))
+    families = written(components(members.join(hubs, ["t", "k"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    rows = written(families.join(texts.select("node", "size", "fp"), "node"))
+    bounded = written(rows.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("root", ((F.col("n") <= crowded) & (F.col("total") <= most_shingles)).alias("bounded")))
+    placed = written(lookup(rows, bounded, "root"))
+    zero = F.lit(0).cast("long")
+    small = placed.where("bounded").select(F.lit(-1).alias("t"), F.col("root").alias("k"), zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("root"), zero.alias("side"), "fp")
+    links = compared(small, sets, similarity)
+    if placed.where("not bounded").isEmpty():
+        for t in (many, members, sets, families, rows, bounded, placed):
+            drop_written(t)
+        return links
+    wide = written(members.join(placed.where("not bounded").select("node"), "node", "left_semi"))
     block = F.pmod(F.xxhash64("node", "t", "k"), F.col("blocks"))
-    links = compared(members.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side"), "fp"), sets, similarity)
-    large = members.where("blocks > 1").select("t", "k", "node", "size", "fp")
+    links = links.unionAll(compared(wide.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side"), "fp"), sets, similarity))
+    large = wide.where("blocks > 1").select("t", "k", "node", "size", "fp")
     if large.isEmpty():
-        for t in (many, members, sets):
-            drop_written(t)
         return links
     # What the blocks of a large group have connected so far needn't be compared; all else meets, block by block.
     roots = written(components(links))
     rooted = written(large.join(roots, "node", "left").select("t", "k", "node", "size", "fp", F.coalesce("root", "node").alias("root")))
     across = compared(block_pairs(rooted, crowded, most_shingles), sets, similarity)
-    for t in (many, members, sets, roots, rooted):
+    for t in (many, members, sets, families, rows, bounded, placed, wide, roots, rooted):
         drop_written(t)
     return links.unionAll(across)
 
