@@ -16,9 +16,9 @@ instead (0.8 of five words). Groups then come from shared least hashes of shingl
 0.8 shares none once in 2,800 times). Within a group, members themselves are the reference fingerprints: pairs whose
 distances to one of them differ by over WIDE bits are discarded (at 0.8 two fingerprints differ by more than that less
 than once in 100,000 times), and every survivor is decided exactly, by its sets of shingle hashes, unless links connect
-it already. Texts of equal words are one node. Groups that share members form a family, which one task compares as a
-whole; a family of over ``crowded`` texts or two million shingles is compared group by group, and in it a group of over ``crowded`` texts or two million shingles is compared in
-blocks of that size, then block against block, each pair of blocks a task of its own.
+it already. Texts of equal words are one node. Groups that share members form a family, which one task compares as a whole. A
+family of over ``crowded`` texts or two million shingles is compared group by group, and such a group in blocks of that
+size, then block against block, each pair of blocks a task of its own.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows keep their rows; a null
 doc_id is fingerprinted and gets its component's smallest id, null if there is none; extra columns are ignored; an empty
