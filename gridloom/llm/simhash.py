@@ -46,6 +46,9 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(16)],
 
 #: Bits by which fingerprints of similar documents differ at most, and how many members of a group are its pivots.
 WIDE, REFERENCES = 24, 32
+#: Distinct texts with partners (eight bytes each) up to which their list is broadcast, so that only their shingles are
+#: shuffled; beyond, the shingles of all texts are.
+BROADCAST_NODES = 1_000_000
 #: How many keys of how many least hashes a text has.
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
@@ -355,7 +358,9 @@ def link_similar(texts: DataFrame, shingles: DataFrame, similarity: float, crowd
     # Groups of the same members are one.
     many = written(many.groupBy("n", "total", "m1", "m2").agg(F.min(F.struct("t", "k")).alias("g")).select("g.t", "g.k", F.ceil(F.greatest(F.col("n") / crowded, F.col("total") / most_shingles)).alias("blocks")))
     members = written(dealt.join(many, ["t", "k"]))
-    sets = written(shingles.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    needed = written(members.select("node").distinct())
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
+    sets = written(shingles.join(needed, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
     # Whatever groups connect is a family. A family of bounded size is compared as a whole, so each of its sets goes to one
     # task once; only larger ones are compared group by group.
     hubs = members.groupBy("t", "k").agg(F.min("node").alias("hub"))
