@@ -47,10 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: lineage ends here, and a lost
-    executor costs nothing but a new read."""
+    executor costs nothing but a new read. What was shuffled for it is of no more use; Spark deletes such files once the
+    driver's JVM has collected what referred to them, which is asked for here, as a driver that does little else may not
+    do so for half an hour."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     if getattr(_made, "tables", None) is not None:
         _made.tables.append(out)
@@ -111,6 +114,15 @@ def lookup(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(frequent), key).unionByName(others)
 
 
+def recurring(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys (not null) more than one row has, with the number n of these. Rows of a key that holds over a
+    thousandth of all stay where they are, as in lookup()."""
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+    hot = counts.where(F.col("n") > rows.count() / 1000)
+    others = counts.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(others, list(keys)))
+
+
 def agreed_labels(labels: DataFrame, label: str, train: Column) -> DataFrame:
     """doc_id and label (int) of the rows that ``train`` admits, one for each id. A document with contradicting or null
     labels isn't used."""

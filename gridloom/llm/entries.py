@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, lines, merkle, mixing, packing, quality, rules, simhash, toxicity, warc
+from gridloom.llm import chat, lines, merkle, mixing, packing, quality, rules, simhash, sortmeans, toxicity, warc
 
 QUERIES = {
     "op1_bradley_terry_quality": quality.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_risk_controlled_rules": rules.op8,
     "op9_warc_derivatives": warc.op9,
     "op10_temperature_mixing": mixing.op10,
+    "op13_sort_means": sortmeans.op13,
 }
-ORACLES = {"op2_reply_tree_chat": chat.OP2_SQL, "op4_site_line_dedup": lines.OP4_SQL, "op7_merkle_fingerprints": merkle.OP7_SQL, "op8_risk_controlled_rules": rules.OP8_SQL, "op10_temperature_mixing": mixing.OP10_SQL}
+ORACLES = {"op2_reply_tree_chat": chat.OP2_SQL, "op4_site_line_dedup": lines.OP4_SQL, "op7_merkle_fingerprints": merkle.OP7_SQL, "op8_risk_controlled_rules": rules.OP8_SQL, "op10_temperature_mixing": mixing.OP10_SQL, "op13_sort_means": sortmeans.OP13_SQL}
