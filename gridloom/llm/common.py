@@ -114,13 +114,18 @@ def lookup(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(frequent), key).unionByName(others)
 
 
+def attached(rows: DataFrame, named: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
+    """rows joined with named, which has each key once. hot are the rows of named, or more, whose keys hold over a thousandth
+    of rows (so a thousand at most); it is broadcast, and the rows of such keys stay where they are."""
+    on = list(keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), on, "left_anti").join(named, on)
+    return rows.join(F.broadcast(hot.select(*named.columns)), on).unionByName(others)
+
+
 def recurring(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose keys (not null) more than one row has, with the number n of these. Rows of a key that holds over a
-    thousandth of all stay where they are, as in lookup()."""
+    """The rows whose keys (not null) more than one row has, with the number n of these. rows is read three times."""
     counts = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
-    hot = counts.where(F.col("n") > rows.count() / 1000)
-    others = counts.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
-    return rows.join(F.broadcast(hot), list(keys)).unionByName(rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(others, list(keys)))
+    return attached(rows, counts, counts.where(F.col("n") > rows.count() / 1000), *keys)
 
 
 def agreed_labels(labels: DataFrame, label: str, train: Column) -> DataFrame:

@@ -11,7 +11,7 @@ All arithmetic is exact: in 64-bit integers where components are below 2^27, els
 decimals, of multiples of 2^60 and of what is left.
 
 Defined cases: vectors that are null, of another length, or with null or non-finite components are left aside, and so are
-those with a component of 2^127 and more in size, which no array of floats has; a null vec_id is hashed as empty text, and
+those with a component of 2^128 and more in size, which no array of floats has; a null vec_id is hashed as empty text, and
 of equal hashes the vector that sorts first starts; repeated rows are vectors each; distances and inertias beyond a long
 are its largest value; with fewer than k vectors there are as many centroids as vectors; extra columns are ignored; an
 empty table gives no rows.
@@ -83,7 +83,7 @@ def packed(centroids: list[list[int]]) -> np.ndarray:
 def usable(vectors: DataFrame, column: str, dims: int) -> DataFrame:
     """vec_id and vector of the rows that are kept."""
     v = F.col(column).cast("array<double>")
-    fine = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**121)))
+    fine = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**128)))
     kind = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"
     return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast(kind).alias("vector"))
 
