@@ -77,7 +77,7 @@ def assign(q: np.ndarray, before: np.ndarray, centroids: np.ndarray) -> tuple[np
 
 def packed(centroids: list[list[int]]) -> np.ndarray:
     small = all(abs(x) < SMALL for c in centroids for x in c)
-    return np.array(centroids, dtype=np.int64 if small else object).reshape(len(centroids), -1)
+    return np.array(centroids, dtype=np.int64 if small else object)
 
 
 def usable(vectors: DataFrame, column: str, dims: int) -> DataFrame:
@@ -126,7 +126,7 @@ def sort_means(vectors: DataFrame, k: int = 16, rounds: int = 3, column: str = "
     first = kept.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256), "vector").limit(k).collect()
     centroids = [[int(x) for x in integers(np.array(r.vector, dtype=np.float64), dims)[0]] for r in first]
     if not centroids:
-        return vectors.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long"), packed([])
+        return vectors.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long"), np.zeros((0, dims), dtype=np.int64)
     state, last = kept, None
     for _ in range(rounds):
         now = written(_round(state, packed(centroids), dims, sums=True))
