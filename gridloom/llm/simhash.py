@@ -18,7 +18,8 @@ distances to one of them differ by over WIDE bits are discarded (at 0.8 two fing
 than once in 100,000 times), and every survivor is decided exactly, by its sets of shingle hashes, unless links connect
 it already. Texts of equal words are one node. Groups that share members form a family, which one task compares as a whole. A
 family of over ``crowded`` texts or two million shingles is compared group by group, and such a group in blocks of that
-size, then block against block, each pair of blocks a task of its own.
+size, then block against block, each pair of blocks a task of its own. Texts travel as their words, one of each node, to
+the families (half the bytes of their shingles' hashes), at any size by the same plan.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows keep their rows; a null
 doc_id is fingerprinted and gets its component's smallest id, null if there is none; extra columns are ignored; an empty
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import column, drop_written, fresh, lookup, table, written
+from gridloom.llm.common import column, drop_written, fresh, lookup, table, words, written
 from gridloom.llm.components import components
 
 #: Where the five stretches of the 64 bits begin and end.
@@ -46,9 +47,6 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(16)],
 
 #: Bits by which fingerprints of similar documents differ at most, and how many members of a group are its pivots.
 WIDE, REFERENCES = 24, 32
-#: Distinct texts with partners (eight bytes each) up to which their list is broadcast, so that only their shingles are
-#: shuffled; beyond, the shingles of all texts are.
-BROADCAST_NODES = 1_000_000
 #: How many keys of how many least hashes a text has.
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
@@ -211,7 +209,12 @@ def _id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def _node(ws: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(ws), 7)
+    return xxhash.xxh64_intdigest(b" ".join(ws), 42)
+
+
+def plain_words(text: Column) -> Column:
+    """A text's words, A-Z lowered, joined by one space; the XXH64 of it is the text's node."""
+    return F.array_join(words(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), " ")
 
 
 def _parts(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -246,19 +249,10 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return _id_and_text(docs).mapInArrow(run, "doc_id long, node long, size long, fp long, keys array<long>")
 
 
-def shingled(docs: DataFrame, width: int) -> DataFrame:
-    """node and shingles (the distinct hashes, eight bytes each) of every row."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(it):
-            nodes, sets = [], []
-            for t in batch.column(1).to_pylist():
-                ws = (t or b"").lower().split()
-                nodes.append(_node(ws))
-                sets.append(np.unique(shingle_hashes(ws, width)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    return _id_and_text(docs).mapInArrow(run, "node long, shingles binary")
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """node and plain (its words) of every distinct text."""
+    plain = docs.select(plain_words(F.col("text")).alias("plain"))
+    return plain.select(F.xxhash64("plain").alias("node"), "plain").groupBy("node").agg(F.min("plain").alias("plain"))
 
 
 def exact_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, prints: np.ndarray, sets: list[bytes], similarity: float, wide: int = WIDE, tally: list | None = None) -> list[tuple[int, int]]:
@@ -315,8 +309,8 @@ def block_pairs(members: DataFrame, most: int, most_shingles: int) -> DataFrame:
     return dealt.select(*at, "node", "root", "side", "fp", F.explode(partners).alias("partner")).select(*at, F.least("side", "partner").alias("i"), F.greatest("side", "partner").alias("j"), "node", "root", "side", "fp")
 
 
-def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) within the tasks (t, k, i, j) that members (node, root, side, fp) were dealt to."""
+def compared(dealt: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links (a, b) within the tasks (t, k, i, j) that members (node, root, side, fp, plain) were dealt to."""
     task = ["t", "k", "i", "j"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,94 +324,102 @@ def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 links = exact_links(*(np.concatenate([h[n] for h in held]) for n in range(4)), [s for h in held for s in h[4]], similarity)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-        for batch in it:
+        for batch in _parts(it, 2048):
             if not batch.num_rows:
                 continue
             cols = [batch.column(n).to_numpy() for n in task]
             own = [batch.column(n).to_numpy() for n in ("node", "root", "side", "fp")]
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             bounds = [0, *new.tolist(), batch.num_rows]
-            sets_ = batch.column("shingles").to_pylist()
+            sets = [np.unique(shingle_hashes(t.split(b" "), width)).tobytes() for t in batch.column("plain").to_pylist()]
             for a, b in zip(bounds, bounds[1:], strict=False):
                 now = tuple(int(c[a]) for c in cols)
                 if now != key:
                     yield flush()
                     held, key = [], now
-                held.append((*(x[a:b] for x in own), sets_[a:b]))
+                held.append((*(x[a:b] for x in own), sets[a:b]))
         yield flush()
 
-    rows = dealt.join(sets, "node").select(*task, "node", "root", "side", "fp", "shingles")
+    rows = dealt.select(*task, "node", "root", "side", "fp", F.col("plain").cast("binary").alias("plain"))
     return written(rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, "a long, b long"))
 
 
-def link_similar(texts: DataFrame, shingles: DataFrame, similarity: float, crowded: int = 4000, most_shingles: int = 2_000_000) -> DataFrame:
-    """Edges (a, b) between distinct texts (node, size, fp, keys) that connect the similar ones among those that share a key."""
+def link_similar(texts: DataFrame, plain: DataFrame, similarity: float, width: int, crowded: int = 4000, most_shingles: int = 2_000_000) -> DataFrame:
+    """Edges (a, b) between distinct texts (node, size, fp, keys; node, plain) that connect the similar ones among those that
+    share a key."""
     dealt = texts.select("node", "size", "fp", F.posexplode("keys").alias("t", "k"))
     mark = [F.sum(F.col("node").cast("decimal(38,0)")).alias("m1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("m2")]
     many = dealt.groupBy("t", "k").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *mark).where("n > 1")
     # Groups of the same members are one.
     many = written(many.groupBy("n", "total", "m1", "m2").agg(F.min(F.struct("t", "k")).alias("g")).select("g.t", "g.k", F.ceil(F.greatest(F.col("n") / crowded, F.col("total") / most_shingles)).alias("blocks")))
     members = written(dealt.join(many, ["t", "k"]))
-    needed = written(members.select("node").distinct())
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
-    sets = written(shingles.join(needed, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    # Whatever groups connect is a family. A family of bounded size is compared as a whole, so each of its sets goes to one
+    # Whatever groups connect is a family. A family of bounded size is compared as a whole, so each of its texts goes to one
     # task once; only larger ones are compared group by group.
     hubs = members.groupBy("t", "k").agg(F.min("node").alias("hub"))
     families = written(components(members.join(hubs, ["t", "k"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     rows = written(families.join(texts.select("node", "size", "fp"), "node"))
     bounded = written(rows.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("root", ((F.col("n") <= crowded) & (F.col("total") <= most_shingles)).alias("bounded")))
     placed = written(lookup(rows, bounded, "root"))
+    needed = written(plain.join(placed.select("node", "fp", "root", "bounded"), "node"))
+    for t in (many, families, rows, bounded):
+        drop_written(t)
     zero = F.lit(0).cast("long")
-    small = placed.where("bounded").select(F.lit(-1).alias("t"), F.col("root").alias("k"), zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("root"), zero.alias("side"), "fp")
-    links = compared(small, sets, similarity)
-    if placed.where("not bounded").isEmpty():
-        for t in (many, members, sets, families, rows, bounded, placed):
-            drop_written(t)
-        return links
-    wide = written(members.join(placed.where("not bounded").select("node"), "node", "left_semi"))
-    block = F.pmod(F.xxhash64("node", "t", "k"), F.col("blocks"))
-    links = links.unionAll(compared(wide.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side"), "fp"), sets, similarity))
-    large = wide.where("blocks > 1").select("t", "k", "node", "size", "fp")
-    if large.isEmpty():
-        return links
-    # What the blocks of a large group have connected so far needn't be compared; all else meets, block by block.
-    roots = written(components(links))
-    rooted = written(large.join(roots, "node", "left").select("t", "k", "node", "size", "fp", F.coalesce("root", "node").alias("root")))
-    across = compared(block_pairs(rooted, crowded, most_shingles), sets, similarity)
-    for t in (many, members, sets, families, rows, bounded, placed, wide, roots, rooted):
+    small = needed.where("bounded").select(F.lit(-1).alias("t"), F.col("root").alias("k"), zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("root"), zero.alias("side"), "fp", "plain")
+    links = compared(small, similarity, width)
+    left = placed.where("not bounded")
+    if not left.isEmpty():
+        wide = written(members.join(left.select("node"), "node", "left_semi"))
+        words_of = needed.where("not bounded").select("node", "plain")
+        block = F.pmod(F.xxhash64("node", "t", "k"), F.col("blocks"))
+        within = wide.select("t", "k", block.alias("i"), block.alias("j"), "node", F.col("node").alias("root"), block.alias("side"), "fp")
+        links = links.unionAll(compared(within.join(words_of, "node"), similarity, width))
+        large = wide.where("blocks > 1").select("t", "k", "node", "size", "fp")
+        if not large.isEmpty():
+            # What the blocks of a large group have connected so far needn't be compared; all else meets, block by block.
+            roots = written(components(links))
+            rooted = written(large.join(roots, "node", "left").select("t", "k", "node", "size", "fp", F.coalesce("root", "node").alias("root")))
+            links = links.unionAll(compared(block_pairs(rooted, crowded, most_shingles).join(words_of, "node"), similarity, width))
+            for t in (roots, rooted):
+                drop_written(t)
+        drop_written(wide)
+    for t in (members, placed, needed):
         drop_written(t)
-    return links.unionAll(across)
+    return links
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, crowded: int = 4000) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable over links, of every row. Cases as in near_duplicates; texts
-    without words are of one component."""
+    """doc_id, component_id (the smallest doc_id reachable over links), node (a hash of the row's words) and class_key of every
+    row. Where ids repeat over different texts, only class_key tells components apart: rows of one have one class_key, and
+    rows of two have two. Cases as in near_duplicates; texts without words are of one component."""
     rows = written(sketched(docs, width))
     texts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    roots = written(components(link_similar(texts, shingled(docs, width), similarity, crowded=crowded)))
-    by_node = written(_named(texts.select("node", "first"), roots, "node"))
+    roots = written(components(link_similar(texts, distinct_texts(docs), similarity, width, crowded=crowded)))
+    by_node = written(_named(texts.select("node", "first"), roots, "node").join(roots, "node", "left").select("node", "component_id", F.coalesce("root", "node").alias("class_key")))
     for t in (texts, roots):
         drop_written(t)
-    return lookup(rows.select("doc_id", "node"), by_node, "node").select("doc_id", "component_id")
+    return lookup(rows.select("doc_id", "node"), by_node, "node").select("doc_id", "component_id", "node", "class_key")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """One row of each component of similar documents: the one with the smallest id (of repeated ids the row that comes
-    first as JSON). Rows of null id stay. Columns may be of any type."""
-    classes = similar_documents(docs, similarity, width).where("doc_id is not null")
-    light = written(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first").select("doc_id", "n"))
-    key, row = fresh(docs, "key", "row")
-    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
-    ids = light.select(F.col("doc_id").alias(key), "n")
-    once = keyed.join(ids.where("n = 1").select(key).hint("shuffle_hash"), key, "left_semi").drop(key)
-    kept = once.unionAll(docs.where("doc_id is null"))
-    if light.where("n > 1").isEmpty():
-        return kept
+    """One row of each component of similar documents: of the smallest id; of several texts of that id in the component the
+    one whose words' hash is smallest, and of several rows of that the one that comes first as JSON. Ids may repeat over
+    different texts. Rows of null id stay. Columns may be of any type."""
+    classes = written(similar_documents(docs, similarity, width).where("doc_id is not null"))
+    light = classes.groupBy("class_key", "doc_id", "node").agg(F.count("*").alias("rows"))
+    stays = light.groupBy("class_key").agg(F.min(F.struct("doc_id", "node", "rows")).alias("x")).select("x.*")
+    times = classes.groupBy("doc_id").agg((F.count("*") > 1).alias("again"))
+    stays = written(stays.join(times, "doc_id"))
+    key, node, rows, again, row = fresh(docs, "key", "node", "rows", "again", "row")
+    # The words of a text are looked at only where its id has other rows.
+    own = F.when(F.col(again), F.xxhash64(plain_words(F.col("text"))) == F.col(node)).otherwise(True)
+    ids = stays.select(F.col("doc_id").alias(key), F.col("node").alias(node), F.col("rows").alias(rows), F.col("again").alias(again))
+    chosen = docs.withColumn(key, F.col("doc_id").cast("long")).join(ids.hint("shuffle_hash"), key).where(own)
     whole = F.struct(*map(column, docs.columns))
-    again = keyed.join(ids.where("n > 1").select(key), key, "left_semi")
-    chosen = again.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(row))
-    return kept.unionAll(chosen.select(*[column(row)[c].alias(c) for c in docs.columns]))
+    kept = chosen.where(F.col(rows) == 1).select(*map(column, docs.columns)).unionAll(docs.where("doc_id is null"))
+    if stays.where("rows > 1").isEmpty():
+        return kept
+    one = chosen.where(F.col(rows) > 1).groupBy(key, node).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return kept.unionAll(one.select(*[column(row)[c].alias(c) for c in docs.columns]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -300,3 +300,13 @@ def test_merkle_of_many_equal_ids(spark):
     order = [r.text for r in d.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
     got = {r.text: r.next_text for r in merkle.next_texts(d, bucket_rows=20).collect()}
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_keep_first_of_ids_that_repeat_over_texts(spark):
+    """Each component keeps one row, whichever rows share its ids; each row knows its component."""
+    a, b, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "abz")
+    rows = [(3, a, 1), (5, a, 1), (5, z, 1), (7, b, 1), (7, z + " tail", 1), (7, b, 0), (8, b, 1), (None, z, 1), (5, None, 2), (5, "", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(map(tuple, simhash.keep_first(d).collect()), key=str) == sorted([(3, a, 1), (5, z, 1), (7, b, 0), (None, z, 1), (5, None, 2)], key=str)
+    classes = simhash.similar_documents(d).collect()
+    assert len({r.class_key for r in classes}) == 4 and {(r.component_id, r.doc_id) for r in classes} >= {(3, 5), (5, 5), (7, 8), (5, 7)}
