@@ -11,9 +11,9 @@ window's words also start earlier: in a document of smaller id, or further up in
    has several segments, the windows of their first occurrences are compared one by one in the same way: a window's first
    occurrence always lies in one of these.
 3. Automata. All documents are dealt to blocks of about ``block_words`` words, a shard each. The passages that recur in a
-   block, with the places of their first occurrences anywhere, are compiled into one Aho-Corasick automaton over words (each
-   word of the block's passages is one sign), and all documents of the block stream through it. What each hit covers goes,
-   if it starts later than its passage does first.
+   block, those that continue each other as one, with the places of their first occurrences anywhere, are compiled into one
+   Aho-Corasick automaton over words (each word of the block is one sign), and all documents of the block stream through it.
+   What each hit covers goes, if it starts later than its passage does first.
 
 Hot anchors, segments and windows are counted before they are shuffled, and rows of such keys stay where they are
 (``common.attached``). Texts are shuffled twice: to meet their recurring anchors, and to their block.
@@ -42,8 +42,6 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: A document's id and the lower bits of its text's hash above this many bits of a word's position.
 POSITION, TEXT_BITS = 31, 31
 PLACE = pa.decimal128(38, 0)
-#: What a word that no passage of a block has becomes, and the sign of the first that one has.
-UNKNOWN, FIRST_SIGN = 1, 2
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -62,6 +60,13 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
 
 
+def _mixed(g: np.ndarray) -> np.ndarray:
+    g ^= g >> np.uint64(29)
+    g *= np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(32)
+    return g
+
+
 def rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """A hash of every ``width`` consecutive word hashes."""
     n = max(0, len(h) - width + 1)
@@ -69,30 +74,47 @@ def rolled(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     for j in range(width):
         g *= base
         g += h[j : n + j]
-    g ^= g >> np.uint64(29)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(32)
-    return g
-
-
-def anchors(h: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that stand one behind the other in h: where each anchor begins, its hash, and the windows (all that lie in
-    one text) with the number of the anchor of each: (begins, hashes, windows as rows of (start, number))."""
+    return _mixed(g)
+
+
+def spanned(h: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
+    """A hash of the word hashes from each begin to its end: differences of sums, taken back by a power of the inverse."""
+    power = np.ones(len(h) + 1, dtype=np.uint64)
+    power[1:] = base
+    np.cumprod(power, out=power)
+    inverse = np.ones(len(h) + 1, dtype=np.uint64)
+    inverse[1:] = pow(int(base), -1, 1 << 64)
+    np.cumprod(inverse, out=inverse)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * power[:-1], out=sums[1:])
+    return _mixed((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = np.minimum(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def anchors(h: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that stand one behind the other in h: where each anchor begins, its hash, and the words from which and up to
+    which the windows of this anchor reach."""
     n = max(0, len(h) - window + 1)
     g = rolled(h, anchor, BASES[0])
-    steps = window - anchor + 1
-    least = g[:n].copy()
-    offset = np.zeros(n, dtype=np.int64)
-    for j in range(1, steps):
-        x = g[j : n + j]
-        less = x < least
-        least[less] = x[less]
-        offset[less] = j
+    # Halves of hashes and places in one number: the least has the leftmost of the least halves.
+    packed = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+    least = sliding_least(packed, window - anchor + 1)[:n] if n else packed[:0]
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     starts = np.flatnonzero(owner[:n] == owner[window - 1 : window - 1 + n])
-    at = starts + offset[starts]
-    begins, number = np.unique(at, return_inverse=True)
-    return begins, g[begins], np.stack([starts, number], axis=1)
+    at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)  # never falls from one window to the next
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    last = np.concatenate([new[1:], [len(at)]]) - 1 if len(at) else new
+    begins = at[new]
+    return begins, g[begins], starts[new], starts[last] + window
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -124,7 +146,7 @@ def sketched(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(it):
             words, ends = split_words(batch.column("text"))
-            begins, hashes, _ = anchors(word_hashes(words), ends, window, anchor)
+            begins, hashes, _, _ = anchors(word_hashes(words), ends, window, anchor)
             text = np.searchsorted(ends, begins, side="right") - 1
             key = batch.column("key").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(key[text]), pa.array((begins - ends[text]).astype(np.int32))], ["anchor", "key", "at"])
@@ -132,8 +154,13 @@ def sketched(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.select("text", "key").mapInArrow(run, "anchor long, key long, at int")
 
 
-def _slices(words: list[str], spans: np.ndarray) -> list[str]:
-    return [" ".join(words[a:b]) for a, b in spans.tolist()]
+def joined_words(words: pa.Array, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words from each begin to its end, joined by one space."""
+    sizes = ends - begins
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    each = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], sizes)
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.take(pa.array(each)).cast(pa.large_string()))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
 def segments(rows: DataFrame, found: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -144,22 +171,18 @@ def segments(rows: DataFrame, found: DataFrame, window: int, anchor: int) -> Dat
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(it):
             words, ends = split_words(batch.column("text"))
-            begins, hashes, windows = anchors(word_hashes(words), ends, window, anchor)
+            h = word_hashes(words)
+            begins, hashes, lo, hi = anchors(h, ends, window, anchor)
             lists = batch.column("ats")
             wanted = lists.flatten().to_numpy() + np.repeat(ends[:-1], lists.value_lengths().to_numpy())
-            number = windows[:, 1]
-            lo = np.full(len(begins), len(words), dtype=np.int64)
-            hi = np.zeros(len(begins), dtype=np.int64)
-            np.minimum.at(lo, number, windows[:, 0])
-            np.maximum.at(hi, number, windows[:, 0] + window)
             keep = np.isin(begins, wanted)
-            spans = np.stack([lo[keep], hi[keep]], axis=1)
-            texts = _slices(words.to_pylist(), spans)
-            text = np.searchsorted(ends, spans[:, 0], side="right") - 1
+            lo, hi = lo[keep], hi[keep]
+            text = np.searchsorted(ends, lo, side="right") - 1
             own = {n: batch.column(n).to_numpy()[text] for n in ("doc_id", "th", "key")}
-            prints = np.array([xxhash.xxh64_intdigest(t, 1) for t in texts], dtype=np.uint64).view(np.int64)
-            places = _places(own["doc_id"], own["th"], spans[:, 0] - ends[text])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(prints), places, pa.array(own["key"]), pa.array((spans[:, 1] - spans[:, 0]).astype(np.int32)), pa.array(texts, pa.string())], names)
+            prints = spanned(h, lo, hi, BASES[1]).view(np.int64)
+            places = _places(own["doc_id"], own["th"], lo - ends[text])
+            texts = joined_words(words, lo, hi).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(prints), places, pa.array(own["key"]), pa.array((hi - lo).astype(np.int32)), texts], names)
 
     joined = rows.join(found, "key").select("text", "doc_id", "th", "key", "ats")
     return joined.mapInArrow(run, "anchor long, print long, place decimal(38,0), key long, n int, text string")
@@ -224,34 +247,51 @@ def repeated_passages(docs: DataFrame, window: int, anchor: int) -> tuple[DataFr
     return out, size
 
 
-def _sign(code: int) -> str:
-    """A word's sign: code points without the surrogates, which strings can't hold."""
-    return chr(code if code < 0xD800 else code + 0x800)
+def read_places(places: pa.Array) -> np.ndarray:
+    """Places as rows of their lower and upper 64 bits."""
+    return np.frombuffer(places.buffers()[1], dtype=np.uint64).reshape(-1, 2)[places.offset : places.offset + len(places)]
 
 
-def compiled(passages: dict[tuple[str, ...], int]) -> tuple[ahocorasick.Automaton, dict[str, str]]:
-    """An automaton of passages and their first places, whose payload is a passage's number of words and first place; and
-    the sign of each word."""
-    signs: dict[str, str] = {}
-    found = ahocorasick.Automaton()
-    for words, first in passages.items():
-        for w in words:
-            if w not in signs:
-                signs[w] = _sign(FIRST_SIGN + len(signs))
-        found.add_word("".join(map(signs.__getitem__, words)), (len(words), first))
-    found.make_automaton()
-    return found, signs
+def merged(key: np.ndarray, place: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Passages (key, position, number of words, first place) that overlap and whose first occurrences overlap likewise, as one."""
+    at = (place[:, 0] & np.uint64((1 << POSITION) - 1)).astype(np.int64)
+    low = first[:, 0] - at.astype(np.uint64)  # equal for passages at equal distance from their firsts
+    order = np.lexsort((at, low, first[:, 1], key))
+    key, at, n, low, first = key[order], at[order], n[order].astype(np.int64), low[order], first[order]
+    same = (key[1:] == key[:-1]) & (low[1:] == low[:-1]) & (first[1:, 1] == first[:-1, 1]) & (at[1:] <= at[:-1] + n[:-1])
+    new = np.flatnonzero(np.concatenate([[True], ~same]))
+    reach = np.maximum.reduceat(at + n, new)
+    return key[new], at[new], reach - at[new], first[new]
+
 
+def signs_of(codes: np.ndarray, wide: bool) -> str:
+    """Numbers of words as a string: a code point each (without the surrogates, which strings can't hold) or, if there are too
+    many different words for that, two from different ranges."""
+    if wide:
+        codes = np.stack([codes % 100_000 + 0x10000, codes // 100_000 + 0x40000], axis=1).ravel()
+    else:
+        codes = np.where(codes < 0xD800, codes, codes + 0x800)
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
 
-def without(words: list[str], base: int, found: ahocorasick.Automaton, signs: dict[str, str]) -> list[str]:
-    """What stays of a document whose first word is at place base."""
-    text = "".join([signs.get(w, chr(UNKNOWN)) for w in words])
-    goes = np.zeros(len(words) + 1, dtype=np.int64)
-    for end, (n, first) in found.iter(text):
-        if first < base + end + 1 - n:
-            goes[end + 1 - n] += 1
-            goes[end + 1] -= 1
-    return [w for w, k in zip(words, np.cumsum(goes[:-1]).tolist(), strict=True) if not k]
+
+def goes(codes: np.ndarray, ends: np.ndarray, bases: list[int], passages: dict[tuple[int, int], int]) -> np.ndarray:
+    """Which words of a block go. codes: the words' numbers, document by document; bases: the place of each document's first
+    word; passages: from which word of the block up to which, and where that starts first."""
+    wide = bool(len(codes)) and int(codes.max()) >= 1_000_000
+    per, text = 1 + wide, signs_of(codes, wide)
+    found = ahocorasick.Automaton()
+    for (a, b), first in passages.items():
+        words = text[a * per : b * per]
+        found.add_word(words, (b - a, min(first, found.get(words, (0, first))[1])))
+    found.make_automaton()
+    gone = np.zeros(len(codes) + 1, dtype=np.int64)
+    for at, to, base in zip(ends[:-1].tolist(), ends[1:].tolist(), bases, strict=True):
+        for end, (n, first) in found.iter(text, at * per, to * per):
+            begin = (end + 1) // per - n
+            if first < base + begin - at:
+                gone[begin] += 1
+                gone[begin + n] -= 1
+    return np.cumsum(gone[:-1]) > 0
 
 
 def drop_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, block_words: int = 250_000) -> DataFrame:
@@ -265,45 +305,57 @@ def drop_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, block_words
     marks = passages.select(block, *nothing, *[F.lit(None).cast(t).alias(c) for c, t in (("own_id", "long"), ("doc_id", "long"), ("th", "long"), ("text", "string"))])
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
-    def flush(held: dict, marks: list) -> Iterator[pa.RecordBatch]:
-        """held: of each document (id, place of its first word, words, number of rows)."""
-        known: dict[tuple[str, ...], int] = {}
-        for key, place, n, first in marks:
-            own = held[key]
-            at = place - own[1]
-            passage = tuple(own[2][at : at + n])
-            known[passage] = min(first, known.get(passage, first))
-        found, signs = compiled(known) if known else (None, {})
-        out = []
-        for own_id, base, words, times in held.values():
-            kept = without(words, base, found, signs) if known else words
-            out += [(own_id, len(words), len(words) - len(kept), " ".join(kept))] * times
-        for at in range(0, len(out), 1000):
-            cols = list(zip(*out[at : at + 1000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names)
+    def flush(held: dict[int, list], words: list[pa.Array], marks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """held: of each document's key its id, the place of its first word, its number of words and of rows."""
+        if not held:
+            return
+        all_words = pa.concat_arrays(words)
+        ends = np.concatenate([[0], np.cumsum([d[2] for d in held.values()])])
+        stay = np.ones(len(all_words), dtype=bool)
+        if marks:
+            number = {k: r for r, k in enumerate(held)}
+            key, at, n, first = merged(*(np.concatenate(x) for x in zip(*marks, strict=True)))
+            begin = ends[[number[k] for k in key.tolist()]] + at
+            known: dict[tuple[int, int], int] = {}
+            for a, b, lo, hi in zip(begin.tolist(), (begin + n).tolist(), first[:, 0].tolist(), first[:, 1].view(np.int64).tolist(), strict=True):
+                known[(a, b)] = min((hi << 64) + lo, known.get((a, b), (hi << 64) + lo))
+            codes = all_words.dictionary_encode().indices.to_numpy().astype(np.int64)
+            stay = ~goes(codes, ends, [d[1] for d in held.values()], known)
+        left = np.concatenate([[0], np.cumsum(stay)])[ends]
+        kept = joined_words(all_words.filter(pa.array(stay)), left[:-1], left[1:])
+        total = np.diff(ends)
+        rows = pa.array(np.repeat(np.arange(len(held)), [d[3] for d in held.values()]))
+        cols = [pa.array([d[0] for d in held.values()], pa.int64()), pa.array(total), pa.array(total - np.diff(left)), kept.cast(pa.string())]
+        out = pa.RecordBatch.from_arrays([c.take(rows) for c in cols], names)
+        yield from (out.slice(a, 1000) for a in range(0, out.num_rows, 1000))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, those of documents and those of passages mixed."""
         held: dict[int, list] = {}
+        words: list[pa.Array] = []
         marks: list[tuple] = []
         now = None
-        for batch in _parts(it, 2048):
-            cols = {n: batch.column(n).to_pylist() for n in ("block", "key", "place", "n", "first", "own_id", "doc_id", "th")}
-            words, ends = split_words(batch.column("text"))
-            is_text = batch.column("text").is_valid().to_pylist()
-            for r, b in enumerate(cols["block"]):
-                if b != now:
-                    yield from flush(held, marks)
-                    held, marks, now = {}, [], b
-                key = cols["key"][r]
-                if not is_text[r]:
-                    marks.append((key, int(cols["place"][r]), cols["n"][r], int(cols["first"][r])))
-                elif key in held:
-                    held[key][3] += 1
-                else:
-                    base = (cols["doc_id"][r] << (POSITION + TEXT_BITS)) + (cols["th"][r] << POSITION)
-                    held[key] = [cols["own_id"][r], base, words.slice(ends[r], ends[r + 1] - ends[r]).to_pylist(), 1]
-        yield from flush(held, marks)
+        for batch in _parts(it, 4096):
+            blocks = batch.column("block").to_numpy()
+            bounds = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if blocks[a] != now:
+                    yield from flush(held, words, marks)
+                    held, words, marks, now = {}, [], [], blocks[a]
+                part = batch.slice(a, b - a)
+                is_text = part.column("text").is_valid()
+                ours = part.filter(pc.invert(is_text))
+                if ours.num_rows:
+                    marks.append((ours.column("key").to_numpy(), read_places(ours.column("place")), ours.column("n").to_numpy(), read_places(ours.column("first"))))
+                theirs = part.filter(is_text)
+                flat, ends = split_words(theirs.column("text"))
+                for r, (key, own_id, doc_id, th) in enumerate(zip(*(theirs.column(c).to_pylist() for c in ("key", "own_id", "doc_id", "th")), strict=True)):
+                    if key in held:
+                        held[key][3] += 1
+                    else:
+                        held[key] = [own_id, (doc_id << (POSITION + TEXT_BITS)) + (th << POSITION), int(ends[r + 1] - ends[r]), 1]
+                        words.append(flat.slice(ends[r], ends[r + 1] - ends[r]))
+        yield from flush(held, words, marks)
 
     both = texts.unionByName(marks)
     return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
