@@ -19,13 +19,13 @@ other tags vanish; character references are decoded; runs of blanks become one,
 Defined cases: null html is an empty body, a null url an empty target; rows that repeat keep their rows, with equal record
 ids; extra columns are ignored; an empty table gives no rows; text that isn't HTML is its own plain text; a comment or
 script that isn't closed ends with the page, a title that isn't closed is none; a null record, one that isn't a response
-or one that can't be parsed gives no rows of its own but one whose ``error`` says why.
+or one that can't be parsed (of negative length, say) gives no rows of its own but one whose ``error`` says why, and so does
+one whose compressed body unfolds to more than is allowed; chunks of negative or damaged size aren't decoded.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
@@ -41,6 +41,8 @@ from gridloom.llm.common import table
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gridloom:warc")
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes to which a compressed body may unfold.
+MOST_BYTES = 64 << 20
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(</title\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
@@ -94,6 +96,8 @@ def parse(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
             name, _, value = x.partition(":")
             fields.append((name.strip(), value.strip()))
     length = int(value_of(fields, "Content-Length") or 0)
+    if length < 0:
+        raise ValueError("a negative length")
     if len(rest) < length:
         raise ValueError("the record is cut short")
     return fields, rest[:length]
@@ -104,24 +108,54 @@ def value_of(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
+class TooLarge(ValueError):
+    """A body that unfolds to more than is allowed."""
+
+
 def unchunked(body: bytes) -> bytes:
+    """The chunks' data. A size that isn't plain hexadecimal, or a chunk that ends behind the body, isn't a coding."""
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16) if end >= 0 else 0
-        if not size:
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise ValueError("not a chunk")
+        n = int(size, 16)
+        if not n:
             return b"".join(out)
-        out.append(body[end + 2 : end + 2 + size])
-        at = end + 4 + size
-
-
-def decoded(http: list[tuple[str, str]], body: bytes) -> str:
+        if end + 2 + n > len(body):
+            raise ValueError("a chunk is cut short")
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def inflated(body: bytes, kind: int, most: int) -> bytes:
+    """The members of a zlib (kind 15) or gzip (kind 31) stream, unfolded in steps up to ``most`` bytes together."""
+    out, left = [], most
+    while body:
+        stream = zlib.decompressobj(kind)
+        while not stream.eof:
+            part = stream.decompress(body, min(1 << 20, left + 1))
+            left -= len(part)
+            if left < 0:
+                raise TooLarge(f"a body unfolds to more than {most} bytes")
+            out.append(part)
+            if not part and not stream.unconsumed_tail and not stream.eof:
+                raise EOFError("a stream is cut short")
+            body = stream.unconsumed_tail
+        body = stream.unused_data.lstrip(b"\0") if kind == 31 else b""
+    return b"".join(out)
+
+
+def decoded(http: list[tuple[str, str]], body: bytes, most: int) -> str:
     """The payload as text: codings undone as far as they can be, then the stated character set, else UTF-8."""
     codings = f"{value_of(http, 'Content-Encoding') or ''},{value_of(http, 'Transfer-Encoding') or ''}".lower()
-    undo = {"chunked": unchunked, "gzip": gzip.decompress, "x-gzip": gzip.decompress, "deflate": lambda b: zlib.decompress(b, 47 if b[:2] == b"\x1f\x8b" else 15)}
+    undo = {"chunked": unchunked} | {name: lambda b, k=kind: inflated(b, 31 if b[:2] == b"\x1f\x8b" else k, most) for name, kind in (("gzip", 31), ("x-gzip", 31), ("deflate", 15))}
     for coding in reversed([c.strip() for c in codings.split(",") if c.strip() in undo]):
         try:
             body = undo[coding](body)
+        except TooLarge:
+            raise
         except (OSError, EOFError, ValueError, zlib.error):
             break
     charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value_of(http, "Content-Type") or "", re.I)
@@ -138,7 +172,7 @@ def response(target: str, date: str, own_id: str, status: str, http: list[tuple[
     return record([("WARC-Type", "response"), ("WARC-Record-ID", own_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def derive(data: bytes) -> list[dict]:
+def derive(data: bytes, most: int = MOST_BYTES) -> list[dict]:
     """The metadata and the conversion record of one response record."""
     fields, block = parse(data)
     if (value_of(fields, "WARC-Type") or "").lower() != "response":
@@ -155,7 +189,7 @@ def derive(data: bytes) -> list[dict]:
         if stated[kind].lower().startswith("sha1:") and stated[kind] != own:
             about.append((f"source-{kind}-digest-mismatch", own))
     about += [("source-length", str(len(body))), ("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http)]
-    page = decoded(http, body)
+    page = decoded(http, body, most)
     shown = _GONE.sub(" ", page)
     title = _TITLE.search(shown[: shown.rfind(">") + 1])
     title = title if title and title[2] else None  # one that isn't closed is no title
@@ -188,9 +222,9 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, record binary")
 
 
-def derivatives(records: DataFrame) -> DataFrame:
+def derivatives(records: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Two rows for each response record (page_id, record); ``record`` is the whole derived record, ready to be appended to
-    a file."""
+    a file. A record whose body unfolds to over most_bytes is one with an error."""
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split(" ")[1]] for f in SCHEMA.split(", ")]
 
@@ -199,7 +233,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             rows: list[dict] = []
             for page, data in zip(batch.column("page_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
                 try:
-                    rows += [{"page_id": page} | r for r in derive(data or b"")]
+                    rows += [{"page_id": page} | r for r in derive(data or b"", most_bytes)]
                 except ValueError as e:
                     rows.append({"page_id": page, "error": str(e)})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)

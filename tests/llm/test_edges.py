@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +311,35 @@ def test_keep_first_of_ids_that_repeat_over_texts(spark):
     assert sorted(map(tuple, simhash.keep_first(d).collect()), key=str) == sorted([(3, a, 1), (5, z, 1), (7, b, 0), (None, z, 1), (5, None, 2)], key=str)
     classes = simhash.similar_documents(d).collect()
     assert len({r.class_key for r in classes}) == 4 and {(r.component_id, r.doc_id) for r in classes} >= {(3, 5), (5, 5), (7, 8), (5, 7)}
+
+
+def test_warc_of_hostile_sizes():
+    """Negative chunks and lengths, chunks that end nowhere, bodies that unfold without end: an answer or an error, at once."""
+    for body in (b"-6\r\nabc", b"+3\r\nabc\r\n0\r\n\r\n", b"5\r\nab", b"0x3\r\nabc", b"ffffffffffffffffff\r\na", b"\r\n" * 50_000):
+        with pytest.raises(ValueError):
+            warc.unchunked(body)
+        made = warc.response("u", warc.DATE, "<urn:x>", "HTTP/1.1 200 OK", [("Transfer-Encoding", "chunked")], body)
+        assert parsed(warc.derive(made)[1]["record"])[1].decode() == warc.plain_text(body.decode())
+    good = warc.response("u", warc.DATE, "<urn:x>", "HTTP/1.1 200 OK", [], b"abc")
+    with pytest.raises(ValueError, match="negative"):
+        warc.derive(good.replace(b"Content-Length: ", b"Content-Length: -"))
+    for coding, squeeze in (("gzip", gzip.compress), ("deflate", zlib.compress)):
+        made = warc.response("u", warc.DATE, "<urn:x>", "HTTP/1.1 200 OK", [("Content-Encoding", coding)], squeeze(bytes(3_000_000)))
+        with pytest.raises(ValueError, match="unfolds"):
+            warc.derive(made, 1_000_000)
+        assert len(warc.derive(made, 3_000_000)) == 2
+    assert warc.inflated(gzip.compress(b"ab") + gzip.compress(b"cd"), 31, 10) == b"abcd"
+    cut = warc.response("u", warc.DATE, "<urn:x>", "HTTP/1.1 200 OK", [("Content-Encoding", "gzip")], gzip.compress(b"abc" * 99)[:-9])
+    assert len(warc.derive(cut)) == 2
+
+
+def test_packing_deals_equal_rows_to_many_shards(spark):
+    """Rows that repeat, with and without an id: no shard gets more than its part, and no bin two of them."""
+    rows = spark.range(12_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    out = packing.pack(rows, capacity=30, per_source=10, shard_pieces=500).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault(r.bin_id.split("-")[0], []).append(r)
+    assert len(out) == 12_000 and sum(r.doc_id == 7 for r in out) == 6_000
+    assert len(shards) == 24 and max(map(len, shards.values())) < 700
+    assert len({r.bin_id for r in out}) == 12_000
