@@ -72,9 +72,9 @@ def _planned(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> tuple[D
     grid = None if spec.tr or spec.ts else _copied(planned)
     if grid is None:
         grid = W.output_grid(sound, spec)
-        if spec.te is not None:
-            te = (grid.xmin, grid.ymax - grid.height * grid.yres, grid.xmin + grid.width * grid.xres, grid.ymax)
-            planned = W.require_overlap(W.plan(sound, replace(spec, te=te, te_srs=None, t_srs=grid.crs)))
+        # Again on the grid's system: levels depend on cells there, and tap may have moved the extent.
+        te = (grid.xmin, grid.ymax - grid.height * grid.yres, grid.xmin + grid.width * grid.xres, grid.ymax)
+        planned = W.require_overlap(W.plan(sound, replace(spec, te=None if spec.te is None else te, te_srs=None, t_srs=grid.crs)))
     return W.require_limit(planned), grid
 
 

@@ -1,5 +1,10 @@
-"""Coordinate transforms as column expressions: EPSG:4326, EPSG:3857, the UTM zones of WGS84 (EPSG:326xx, 327xx) and the
-equal-area and conic systems of ``regional``.
+"""Coordinate transforms as column expressions: EPSG:4326, EPSG:3857, the UTM zones of WGS84 (EPSG:326xx, 327xx), the
+equal-area and conic systems of ``regional``, and whatever a proj string describes (``projections``). Systems are told apart
+by their parameters: a proj string with those of a code above has that code's name.
+
+Extents are images of sampled edges. One that crosses the antimeridian is a single interval that goes on beyond 180 degrees,
+and one that holds a pole reaches it; systems whose x repeats with every turn (degrees, Mercator, other cylinders) are met at
+every turn of theirs (windows.plan).
 
 Web Mercator is closed form on the sphere; UTM is the transverse Mercator series in the third flattening to the fourth
 order (Krueger 1912; Karney 2011). Any other pair of different systems raises: nothing is passed through unchanged.
@@ -8,11 +13,13 @@ order (Krueger 1912; Karney 2011). Any other pair of different systems raises: n
 from __future__ import annotations
 
 import math
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import regional
+from gridloom.functions import projections, regional
+from gridloom.functions.projections import Projection
 
 RADIUS = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -24,39 +31,68 @@ _DELTA = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 -
 _E = math.sqrt(FLATTENING * (2 - FLATTENING))
 
 
+@cache
 def normalise(name: str) -> str:
-    """``epsg:4326`` and ``4326`` are EPSG:4326, and so on."""
-    text = str(name).strip().upper()
-    code = text.removeprefix("EPSG:")
+    """``epsg:4326`` and ``4326`` are EPSG:4326, and so on; a proj string is the code with its parameters, if there is one,
+    else these in a fixed order."""
+    text = str(name).strip()
+    if "+proj=" in text or text.startswith("proj="):
+        own = projections.parse(text)
+        return next((code for code in SUPPORTED if projections.same(own, parameters(code))), own.name())
+    code = text.upper().removeprefix("EPSG:")
     if not code.isdigit():
         raise ValueError(f"unknown coordinate system {name!r}")
     code = {"900913": "3857", "102100": "3857"}.get(code, code)
-    if code not in ("4326", "3857", *regional.SYSTEMS) and not (len(code) == 5 and code[:3] in ("326", "327") and 1 <= int(code[3:]) <= 60):
+    if f"EPSG:{code}" not in SUPPORTED:
         raise ValueError(f"unsupported coordinate system {name!r}")
     return f"EPSG:{code}"
 
 
-#: Every system that transform() knows, under its normal name.
+#: Every system with a code that transform() knows, under its normal name.
 SUPPORTED = [f"EPSG:{code}" for code in ("4326", "3857", *regional.SYSTEMS)] + [f"EPSG:{north}{zone:02d}" for north in (326, 327) for zone in range(1, 61)]
 
 
+@cache
+def parameters(name: str) -> Projection:
+    """The parameters of a system by its normal name."""
+    code = name.removeprefix("EPSG:")
+    if code == name:
+        return projections.parse(name)
+    if code == "4326":
+        return Projection("longlat")
+    if code == "3857":
+        return Projection("merc", rf=0.0)
+    if code in regional.SYSTEMS:
+        kind, lat0, lon0, (lat1, lat2), x0, y0 = (*regional.SYSTEMS[code][:3], regional.SYSTEMS[code][3] or (0.0, 0.0), *regional.SYSTEMS[code][4:])
+        return Projection(kind, lon0, lat0, lat1, lat2, 1.0, x0, y0, rf=1 / regional.FLATTENING)
+    lon0, north = _utm(name)
+    return Projection("tmerc", lon0, k=0.9996, x0=500_000.0, y0=north)
+
+
 def normalised(name: Column) -> Column:
-    """normalise() of a column; texts that don't name a supported system stay as they are."""
+    """normalise() of a column of codes; other texts stay as they are (see canonical)."""
     code = F.regexp_extract(F.upper(F.trim(name)), r"^(?:EPSG:)?(\d+)$", 1)
     known = F.concat(F.lit("EPSG:"), F.when(code.isin("900913", "102100"), "3857").otherwise(code))
     return F.when(known.isin(SUPPORTED), known).otherwise(name)
 
 
+def canonical(catalog: DataFrame, most: int = 1000) -> tuple[DataFrame, list[str | None]]:
+    """The catalog with the normal names of its systems, and these (None for sources without one). A system that isn't
+    supported raises, and so do more than ``most`` of them. One job over the catalog."""
+    names = [r[0] for r in catalog.select(normalised(F.col("crs")).alias("n")).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"the sources have more than {most} coordinate systems")
+    strange = {n: normalise(n) for n in sorted(n for n in names if n is not None and n not in SUPPORTED)}
+    crs = normalised(F.col("crs"))
+    for raw, name in strange.items():
+        crs = F.when(F.col("crs") == raw, name).otherwise(crs)
+    found = sorted({strange.get(n, n) for n in names if n is not None})
+    return catalog.withColumn("crs", crs), [*found, *([None] if None in names else [])]
+
+
 def systems(catalog: DataFrame) -> list[str | None]:
-    """The systems of a catalog, normalised: there can't be more than are supported, and any other raises. A source
-    without one is None."""
-    name = normalised(F.col("crs"))
-    known, other, none = catalog.agg(
-        F.array_sort(F.collect_set(F.when(name.isin(SUPPORTED), name))), F.min(F.when(~name.isin(SUPPORTED), name)), F.coalesce(F.bool_or(name.isNull()), F.lit(False))
-    ).first()
-    if other is not None:
-        raise ValueError(f"unsupported coordinate system {other!r}")
-    return [*known, *([None] if none else [])]
+    """The systems of a catalog, normalised. A source without one is None."""
+    return canonical(catalog)[1]
 
 
 def _utm(code: str) -> tuple[float, float]:
@@ -69,6 +105,8 @@ def to_degrees(code: str, x: Column, y: Column) -> tuple[Column, Column]:
         return x, y
     if code == "EPSG:3857":
         return x / RADIUS * (180 / math.pi), F.atan(F.sinh(y / RADIUS)) * (180 / math.pi)
+    if not code.startswith("EPSG:"):
+        return projections.backward(parameters(code), x, y)
     if code[5:] in regional.SYSTEMS:
         return regional.to_degrees(code[5:], x, y)
     lon0, north = _utm(code)
@@ -85,6 +123,8 @@ def from_degrees(code: str, lon: Column, lat: Column) -> tuple[Column, Column]:
         return lon, lat
     if code == "EPSG:3857":
         return lon * (RADIUS * math.pi / 180), F.asinh(F.tan(lat * (math.pi / 180))) * RADIUS
+    if not code.startswith("EPSG:"):
+        return projections.forward(parameters(code), lon, lat)
     if code[5:] in regional.SYSTEMS:
         return regional.from_degrees(code[5:], lon, lat)
     lon0, north = _utm(code)
@@ -125,24 +165,60 @@ def _edges(extent: Column, per_edge: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(per_edge - 1)), points))
 
 
+def turn(name: str) -> float | None:
+    """By how much a system's x grows in a full turn, if it repeats with every turn."""
+    return projections.turn(parameters(name))
+
+
+def _on_the_ground(rows: DataFrame, keys: list[str], extent: Column, sources: list[str], per_edge: int) -> DataFrame:
+    """keys, lon and lat of points along the edges of each row's extent (rows have ``system``), and of a pole within it.
+    Longitudes are within half a turn of the extent's middle, wherever the antimeridian is."""
+    middle = F.struct(((extent["xmin"] + extent["xmax"]) / 2).alias("x"), ((extent["ymin"] + extent["ymax"]) / 2).alias("y"))
+    edges = rows.select(*keys, "system", extent.alias("own"), middle.alias("mid"), F.explode(_edges(extent, per_edge)).alias("p"))
+    choose = lambda of: F.coalesce(*[F.when(F.col("system") == s, v) for s, v in of.items()], F.lit(None).cast("double"))
+    round_ones = [s for s in sources if parameters(s).kind not in (*projections.CYLINDRICAL, "sinu")]
+    at = {s: to_degrees(s, F.col("p.x"), F.col("p.y")) for s in sources}
+    centre = {s: to_degrees(s, F.col("mid.x"), F.col("mid.y"))[0] for s in round_ones}
+    points = edges.select(*keys, "system", "own", choose({s: v[0] for s, v in at.items()}).alias("lon"), choose({s: v[1] for s, v in at.items()}).alias("lat"), (choose(centre) if centre else F.lit(None).cast("double")).alias("mid"))
+    off = F.col("lon") - F.col("mid")
+    points = points.withColumn("lon", F.when(F.abs(off) > 180, F.col("mid") + projections.turned(off)).otherwise(F.col("lon")))
+    shown = points.select(*keys, "lon", "lat")
+    if not round_ones:
+        return shown
+    poles = points.groupBy(*keys).agg(F.first("system").alias("system"), F.first("own").alias("own"), F.first("mid").alias("mid"))
+    for side in (90.0, -90.0):
+        image = {s: from_degrees(s, F.lit(parameters(s).lon0), F.lit(side)) for s in round_ones}
+        px, py = choose({s: v[0] for s, v in image.items()}), choose({s: v[1] for s, v in image.items()})
+        held = poles.where((px >= F.col("own.xmin")) & (px <= F.col("own.xmax")) & (py >= F.col("own.ymin")) & (py <= F.col("own.ymax")))
+        # All around the pole, and close to it for systems that have no pole themselves.
+        ring = F.explode(F.array(*[F.struct((F.col("mid") + d).alias("lon"), F.lit(v).alias("lat")) for d in (-180.0, -90.0, 0.0, 90.0, 180.0) for v in (side, side * 0.99)]))
+        shown = shown.unionByName(held.select(*keys, ring.alias("g")).select(*keys, "g.lon", "g.lat"))
+    return shown
+
+
+def _finite(x: Column) -> Column:
+    return F.when(F.abs(x) < 1e300, x)
+
+
 def with_image(rows: DataFrame, name: str, extent: Column, sources: list[str], target: str, per_edge: int = 21) -> DataFrame:
     """rows (src_idx, crs and whatever else) with an extent's image (struct xmin, ymin, xmax, ymax) in another system. The
     points are rows, so that a plan doesn't repeat the formulas wherever it reads the image."""
     if all(s == target for s in sources):
         return rows.withColumn(name, extent)
-    points = rows.select("src_idx", normalised(F.col("crs")).alias("system"), F.explode(_edges(extent, per_edge)).alias("p"))
-    moved = {s: transform(s, target, F.col("p.x"), F.col("p.y")) for s in sources}
-    u, v = (F.coalesce(*[F.when(F.col("system") == s, xy[i]) for s, xy in moved.items()], F.lit(None)) for i in (0, 1))
+    system = normalised(F.col("crs"))
+    points = _on_the_ground(rows.withColumn("system", system).where(F.col("system") != target), ["src_idx"], extent, [s for s in sources if s != target], per_edge)
+    u, v = map(_finite, from_degrees(target, F.col("lon"), F.col("lat")))
     box = F.struct(F.min(u).alias("xmin"), F.min(v).alias("ymin"), F.max(u).alias("xmax"), F.max(v).alias("ymax"))
-    return rows.join(points.groupBy("src_idx").agg(box.alias(name)), "src_idx", "left")
+    images = points.groupBy("src_idx").agg(box.alias("_image"))
+    return rows.join(images, "src_idx", "left").withColumn(name, F.when(system == target, extent).otherwise(F.col("_image"))).drop("_image")
 
 
 def boxes(spark: SparkSession, te: tuple, source: str, targets: list[str], per_edge: int = 21) -> dict[str, tuple]:
     """The images of one extent in several systems."""
     extent = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), te, strict=True)])
     out = {t: tuple(map(float, te)) for t in targets if t == source}
-    points = spark.range(1).select(F.explode(_edges(extent, per_edge)).alias("p"))
-    moved = {t: transform(source, t, F.col("p.x"), F.col("p.y")) for t in targets if t != source}
+    points = _on_the_ground(spark.range(1).withColumn("system", F.lit(source)), ["id"], extent, [source], per_edge)
+    moved = {t: tuple(map(_finite, from_degrees(t, F.col("lon"), F.col("lat")))) for t in targets if t != source}
     if moved:
         found = points.agg(*[f(xy[i]) for xy in moved.values() for f, i in ((F.min, 0), (F.min, 1), (F.max, 0), (F.max, 1))]).first()
         out |= {t: tuple(found[4 * k : 4 * k + 4]) for k, t in enumerate(moved)}

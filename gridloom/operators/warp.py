@@ -61,7 +61,8 @@ def scatter(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str =
     y = ((F.lit(grid.ymax) - gt["gt3"]) / gt["gt5"], F.lit(-grid.yres) / gt["gt5"], grid.height)
     rows = _axis(rows, "col", "ocol", "wx", *x, method)
     if REACH.get(method, 0) >= 2:
-        rows = rows.groupBy("src_idx", "band", "row", "ocol").agg(F.sum(F.col("wx") * F.col("value")).alias("s"), F.sum("wx").alias("n"), F.first("gt").alias("gt"))
+        windows = ["turn"] if "turn" in rows.columns else []  # a source may be met at two turns
+        rows = rows.groupBy("src_idx", *windows, "band", "row", "ocol").agg(F.sum(F.col("wx") * F.col("value")).alias("s"), F.sum("wx").alias("n"), F.first("gt").alias("gt"))
         rows = _axis(rows, "row", "orow", "wy", *y, method)
         sums = rows.groupBy(*CELL).agg(F.sum(F.col("wy") * F.col("s")).alias("s"), F.sum(F.col("wy") * F.col("n")).alias("n"))
         return sums.where(F.abs("n") > LEAST_OVERLAP).select(*CELL, (F.col("s") / F.col("n")).alias("value"))
@@ -69,21 +70,45 @@ def scatter(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str =
     return combine(rows, CELL, method)
 
 
-def cells(catalog: DataFrame, grid: OutGrid, source: str | None, reach: int) -> DataFrame:
-    """The output cells under the extent of each source of one coordinate system, wider by ``reach`` source pixels and a
-    cell."""
+def cell_blocks(catalog: DataFrame, grid: OutGrid, source: str | None, reach: int, side: int = 64) -> DataFrame:
+    """src_idx, gt, width, height, turn and the cells r0..r1, c0..c1 of each block of ``side`` x ``side`` output cells under
+    the extent of each source of one coordinate system, which is widened by ``reach`` source pixels and a cell. Where the
+    grid's x repeats with every turn, at each of them that the grid has."""
     e = extent(F.col("gt"), F.col("width"), F.col("height"))
-    rows = catalog.withColumn("e", e)
+    turn = "turn" if "turn" in catalog.columns else F.lit(0).alias("turn")
+    rows = catalog.select("src_idx", "crs", "gt", "width", "height", turn).withColumn("e", e)
     if source is not None and grid.crs is not None:
-        rows = projections.with_image(rows.drop("e"), "e", e, [projections.normalise(source)], projections.normalise(grid.crs))
+        target, step = projections.normalise(grid.crs), projections.turn(projections.normalise(grid.crs))
+        key = rows.select("*", F.col("src_idx").alias("_own"), F.struct("src_idx", "turn").alias("_key")).drop("src_idx").withColumnRenamed("_key", "src_idx")
+        rows = projections.with_image(key.drop("e"), "e", e, [projections.normalise(source)], target).drop("src_idx").withColumnRenamed("_own", "src_idx")
+        if step:
+            first, last = F.ceil((F.lit(grid.xmin) - F.col("e.xmax")) / step - 1e-9), F.floor((F.lit(grid.xmin + grid.width * grid.xres) - F.col("e.xmin")) / step + 1e-9)
+            rows = rows.withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array(F.lit(0).cast("long")))))
+            moved = [(F.col(f"e.{n}") + F.col("_k") * step if n[0] == "x" else F.col(f"e.{n}")).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")]
+            rows = rows.withColumn("e", F.struct(*moved))
     lo = lambda v, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.floor(v) - 1))
     hi = lambda v, n: F.least(F.lit(n - 1).cast("long"), F.ceil(v) + 1)
     # What a kernel reaches beyond the extent, in output cells; it stretches if these are larger than source pixels.
     px, py = [reach * F.greatest(F.lit(1.0), (F.col(f"e.{a}max") - F.col(f"e.{a}min")) / F.col(n) / res) for a, n, res in (("x", "width", grid.xres), ("y", "height", grid.yres))]
     c0, c1 = lo((F.col("e.xmin") - grid.xmin) / grid.xres - px, grid.width), hi((F.col("e.xmax") - grid.xmin) / grid.xres + px, grid.width)
     r0, r1 = lo((grid.ymax - F.col("e.ymax")) / grid.yres - py, grid.height), hi((grid.ymax - F.col("e.ymin")) / grid.yres + py, grid.height)
-    wide = rows.where((c0 <= c1) & (r0 <= r1)).withColumns({"_r": F.sequence(r0, r1), "_c": F.sequence(c0, c1)})
-    return wide.withColumn("orow", F.explode("_r")).withColumn("ocol", F.explode("_c")).select("src_idx", "gt", "width", "height", "orow", "ocol")
+    under = rows.select("src_idx", "gt", "width", "height", "turn", r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1"))
+    steps = lambda a, b: F.explode_outer(F.when(F.col(a) <= F.col(b), F.sequence(F.expr(f"{a} div {side}"), F.expr(f"{b} div {side}"))))
+    blocks = under.withColumn("br", steps("r0", "r1")).where("br is not null").withColumn("bc", steps("c0", "c1")).where("bc is not null")
+    at = lambda a, f, v: f(F.col(a), F.col(v))
+    cut = {"r0": at("r0", F.greatest, "br0"), "r1": at("r1", F.least, "br1"), "c0": at("c0", F.greatest, "bc0"), "c1": at("c1", F.least, "bc1")}
+    return blocks.withColumns({"br0": F.col("br") * side, "br1": (F.col("br") + 1) * side - 1, "bc0": F.col("bc") * side, "bc1": (F.col("bc") + 1) * side - 1}).withColumns(cut).select("src_idx", "gt", "width", "height", "turn", "r0", "r1", "c0", "c1", "br", "bc")
+
+
+def cells(catalog: DataFrame, grid: OutGrid, source: str | None, reach: int) -> DataFrame:
+    """The cells of cell_blocks(), each once for each source and turn. Blocks are dealt to tasks before cells are made of them,
+    so a large source's cells, and the formulas that take them back, are spread."""
+    keys = ["src_idx", "turn", "br", "bc"]
+    blocks = cell_blocks(catalog, grid, source, reach)
+    if source is not None and grid.crs is not None and projections.turn(projections.normalise(grid.crs)):  # turns may overlap
+        blocks = blocks.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("gt", "width", "height")], F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    dealt = blocks.repartition(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.withColumn("orow", F.explode(F.sequence("r0", "r1"))).withColumn("ocol", F.explode(F.sequence("c0", "c1"))).select("src_idx", "turn", "gt", "width", "height", "orow", "ocol")
 
 
 def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str, source: str | None) -> DataFrame:
@@ -122,8 +147,9 @@ def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: st
         taps = taps.withColumn("w", F.lit(1.0))
     else:
         taps = taps.withColumn("w", kernel(method, F.abs(F.col("col") + 0.5 - F.col("u")) / F.col("sx")) * kernel(method, F.abs(F.col("row") + 0.5 - F.col("v")) / F.col("sy"))).where("w <> 0")
-    taps = taps.select("src_idx", "row", "col", "orow", "ocol", "w")
-    return combine(valid(pixels, catalog).drop("gt").join(taps, ["src_idx", "row", "col"]), CELL, method)
+    keys = ["src_idx", *(["turn"] if "turn" in pixels.columns else []), "row", "col"]
+    taps = taps.select(*keys, "orow", "ocol", "w")
+    return combine(valid(pixels, catalog).drop("gt").join(taps, keys), CELL, method)
 
 
 def gather(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str = "near") -> DataFrame:
@@ -131,7 +157,7 @@ def gather(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str = "
     source without one raises if the grid has one."""
     if grid.crs is None:
         return _gather_one(pixels, catalog, grid, method, None)
-    names = projections.systems(catalog)
+    catalog, names = projections.canonical(catalog)
     if None in names:
         raise ValueError("a source has no coordinate system")
     crs = projections.normalised(F.col("crs"))
@@ -143,6 +169,7 @@ def warp_windows(pixels: DataFrame, windows: DataFrame, grid: OutGrid, method: s
     """scatter() of the windows that lie parallel to the grid in its own system, gather() of all others."""
     if grid.crs is None:
         return gather(pixels, windows, grid, method)
+    windows, _ = projections.canonical(windows)
     parallel = (projections.normalised(F.col("crs")) == projections.normalise(grid.crs)) & (F.col("gt.gt2") == 0) & (F.col("gt.gt4") == 0)
     straight, other = windows.agg(F.bool_or(parallel), F.bool_or(~F.coalesce(parallel, F.lit(False)))).first()
     if not other:

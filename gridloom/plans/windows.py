@@ -68,21 +68,43 @@ def _box(values: tuple) -> Column:
 
 def extents(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
     """The catalog with two extents a row: ``want``, what is asked of a source, in its own system, and ``target``, the same
-    in the output's. te is in te_srs, else t_srs, else the source's system; the output's is t_srs, else the source's."""
+    in the output's. te is in te_srs, else t_srs, else the source's system; the output's is t_srs, else the source's. Where x
+    repeats with every turn, ``step`` is a turn and ``turn`` says at which one the source meets what is wanted: a row for
+    each, so a source may have two."""
     own = extent(F.col("gt"), F.col("width"), F.col("height"))
+    rows, names = _extents(catalog, spec, own)
+    steps = {n: projections.turn(n) for n in names}
+    steps = {n: t for n, t in steps.items() if t}
+    zero = F.lit(0).cast("int")
+    if spec.te is None or not steps:
+        return rows.withColumns({"step": F.lit(0.0), "turn": zero})
+    crs = projections.normalised(F.col("crs"))
+    rows = rows.withColumn("step", F.coalesce(*[F.when(crs == n, F.lit(t)) for n, t in steps.items()], F.lit(0.0)))
+    reach = lambda a, b: (own[a] - F.col(f"want.{b}")) / F.nullif("step", F.lit(0.0))
+    first, last = F.floor(reach("xmin", "xmax") + 1e-9) + 1, F.ceil(reach("xmax", "xmin") - 1e-9) - 1
+    met = F.when(first <= last, F.sequence(first, last)).otherwise(F.array(F.lit(0).cast("long")))
+    turns = F.explode(F.array_union(F.array(zero), F.coalesce(met, F.array(F.lit(0).cast("long"))).cast("array<int>")))
+    rows = rows.withColumn("turn", turns)
+    moved = [F.col(f"want.{n}") + (F.col("step") * F.col("turn") if n[0] == "x" else 0.0) for n in ("xmin", "ymin", "xmax", "ymax")]
+    return rows.withColumn("want", F.struct(*[m.alias(n) for m, n in zip(moved, ("xmin", "ymin", "xmax", "ymax"), strict=True)]))
+
+
+def _extents(catalog: DataFrame, spec: WarpSpec, own: Column) -> tuple[DataFrame, list[str]]:
+    """want and target at turn 0, and the systems of the sources as far as they matter."""
     t_srs, te_srs = spec.t_srs and projections.normalise(spec.t_srs), spec.te_srs and projections.normalise(spec.te_srs)
     given = te_srs or t_srs
     if spec.te is None and t_srs is None:
-        return catalog.withColumns({"want": own, "target": own})
+        return catalog.withColumns({"want": own, "target": own}), []
     if given is None:
-        return catalog.withColumns({"want": _box(spec.te), "target": _box(spec.te)})
-    names = [n for n in projections.systems(catalog) if n is not None]
+        return catalog.withColumns({"want": _box(spec.te), "target": _box(spec.te)}), []
+    catalog, found = projections.canonical(catalog)
+    names = [n for n in found if n is not None]
     if spec.te is None:
-        return projections.with_image(catalog, "target", own, names or [t_srs], t_srs).withColumn("want", own)
+        return projections.with_image(catalog, "target", own, names or [t_srs], t_srs).withColumn("want", own), names
     images = projections.boxes(catalog.sparkSession, spec.te, given, list({*names, *([t_srs] if t_srs else []), given}))
     crs = projections.normalised(F.col("crs"))
     want = F.coalesce(*[F.when(crs == n, _box(images[n])) for n in names], _box(images[given]))
-    return catalog.withColumns({"want": want, "target": _box(images[t_srs]) if t_srs else want})
+    return catalog.withColumns({"want": want, "target": _box(images[t_srs]) if t_srs else want}), names
 
 
 def problem(spec: WarpSpec) -> Column:
@@ -96,14 +118,16 @@ def problem(spec: WarpSpec) -> Column:
 
 
 def plan(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> DataFrame:
-    """src_idx, level, xoff, yoff, xsize, ysize, the window's transform (win_gt), is_copy, n_bytes, over_limit and sig of
-    each source that the request overlaps; a source without overlap has no row. A request without te wants whole sources.
+    """src_idx, level, xoff, yoff, xsize, ysize, the window's transform (win_gt), is_copy, n_bytes, over_limit, sig and turn of
+    each source that the request overlaps; a source without overlap has no row, and one that it meets at two turns (across
+    the antimeridian) has two. win_gt is at the request's turn. A request without te wants whole sources.
     A source without georeference, system or a band that is asked for raises, or has no row if not strict (see problem)."""
     unfit = problem(spec)
     sound = catalog.where(F.when(unfit.isNotNull(), F.raise_error(unfit).cast("boolean")).otherwise(F.lit(True)) if strict else unfit.isNull())
     gt = F.col("gt")
     same = F.lit(True) if spec.t_srs is None else projections.normalised(F.col("crs")) == projections.normalise(spec.t_srs)
-    rows = extents(sound, spec).withColumn("copy", same & F.lit(spec.tr is None and spec.ts is None))
+    rows = extents(sound, spec)  # with the systems' normal names, if these matter
+    rows = rows.withColumn("copy", same & F.lit(spec.tr is None and spec.ts is None))
     det = gt["gt1"] * gt["gt5"] - gt["gt2"] * gt["gt4"]
     col = lambda x, y: (gt["gt5"] * (x - gt["gt0"]) - gt["gt2"] * (y - gt["gt3"])) / det
     row = lambda x, y: (gt["gt1"] * (y - gt["gt3"]) - gt["gt4"] * (x - gt["gt0"])) / det
@@ -129,11 +153,11 @@ def plan(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> DataFrame:
     # The columns of a transform scale by fx (gt1, gt4) and fy (gt2, gt5): a level's pixel covers fx by fy pixels.
     scaled = {"gt1": gt["gt1"] * F.col("fx"), "gt2": gt["gt2"] * F.col("fy"), "gt4": gt["gt4"] * F.col("fx"), "gt5": gt["gt5"] * F.col("fy")}
     origin = lambda o, a, b: gt[o] + F.col("xoff") * scaled[a] + F.col("yoff") * scaled[b]
-    win = {"gt0": origin("gt0", "gt1", "gt2"), "gt3": origin("gt3", "gt4", "gt5"), **scaled}
+    win = {"gt0": origin("gt0", "gt1", "gt2") - F.col("step") * F.col("turn"), "gt3": origin("gt3", "gt4", "gt5"), **scaled}
     return rows.select(
         "src", "src_idx", "level", *[F.col(c).cast("long").alias(c) for c in ("xoff", "yoff", "xsize", "ysize")],
         F.struct(*[win[f"gt{i}"].alias(f"gt{i}") for i in range(6)]).alias("win_gt"), F.col("copy").alias("is_copy"), "nodata", *_costs(spec),
-        grid_signature(gt, F.col("crs"), F.col("levels")).alias("sig"), F.col("lv.tile_width").alias("tile_width"), F.col("lv.tile_height").alias("tile_height"), "n_bands", "dtype", "crs",
+        grid_signature(gt, F.col("crs"), F.col("levels")).alias("sig"), F.col("lv.tile_width").alias("tile_width"), F.col("lv.tile_height").alias("tile_height"), "n_bands", "dtype", "crs", "turn",
     )
 
 
@@ -149,7 +173,7 @@ def plan_by_grid(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
     or tiles stays its own."""
     own = catalog.withColumn("sig", grid_signature(F.col("gt"), F.col("crs"), F.col("levels")))
     grids = own.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("src", "src_idx", "width", "height", "dtype", "nodata", "gt", "crs", "levels")], F.max("n_bands").alias("n_bands"))
-    windows = plan(grids.drop("sig"), spec).select("sig", "level", "xoff", "yoff", "xsize", "ysize", "win_gt", "is_copy")
+    windows = plan(grids.drop("sig"), spec).select("sig", "level", "xoff", "yoff", "xsize", "ysize", "win_gt", "is_copy", "turn")
     rows = own.select("src", "src_idx", "nodata", "n_bands", "dtype", "crs", "levels", "sig").join(windows, "sig")
     lv = F.get("levels", F.col("level") - 1)
     return rows.select(*windows.columns, "src", "src_idx", "nodata", "n_bands", "dtype", "crs", *_costs(spec), lv["tile_width"].alias("tile_width"), lv["tile_height"].alias("tile_height"))
@@ -158,7 +182,7 @@ def plan_by_grid(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
 def as_catalog(planned: DataFrame) -> DataFrame:
     """The planned windows as rasters of their own: what was read of a window lies on its transform, at the level that was
     picked, and is counted from its corner."""
-    return planned.select("src", "src_idx", F.col("xsize").cast("int").alias("width"), F.col("ysize").cast("int").alias("height"), "n_bands", "dtype", "nodata", "crs", F.col("win_gt").alias("gt"))
+    return planned.select("src", "src_idx", F.col("xsize").cast("int").alias("width"), F.col("ysize").cast("int").alias("height"), "n_bands", "dtype", "nodata", "crs", F.col("win_gt").alias("gt"), "turn")
 
 
 def output_grid(catalog: DataFrame, spec: WarpSpec) -> OutGrid:
@@ -166,10 +190,10 @@ def output_grid(catalog: DataFrame, spec: WarpSpec) -> OutGrid:
     without te it is the joint extent of all sources there. Without tr and ts cells are square, and as many along an
     extent's diagonal as the finest source has pixels there. One small aggregation over the catalog."""
     if not spec.t_srs:
-        first = catalog.agg(F.min_by(projections.normalised(F.col("crs")), "src_idx")).first()[0]
+        first = catalog.agg(F.min_by("crs", "src_idx")).first()[0]
         if first is None:
             raise ValueError("no source, or no coordinate system")
-        spec = replace(spec, t_srs=first)
+        spec = replace(spec, t_srs=projections.normalise(first))
     whole = extents(catalog, replace(spec, te=None))
     e = lambda n: F.col(f"target.{n}")
     diagonal = F.sqrt((e("xmax") - e("xmin")) ** 2 + (e("ymax") - e("ymin")) ** 2) / F.sqrt(F.col("width") ** 2 + F.col("height") ** 2)

@@ -239,34 +239,34 @@ def read_tiles(planned: DataFrame, bands: list[int]) -> DataFrame:
     span = lambda off, size, tile: F.sequence(F.expr(f"{off} div {tile}"), F.expr(f"({off} + {size} - 1) div {tile}"))
     tiled = planned.withColumns({t: F.coalesce(t, F.lit(1 << 30)) for t in ("tile_width", "tile_height")})  # strips fail when read
     wanted = tiled.withColumn("ty", F.explode(span("yoff", "ysize", "tile_height"))).withColumn("tx", F.explode(span("xoff", "xsize", "tile_width")))
-    wanted = wanted.select("src", "src_idx", "level", "ty", "tx", "n_bands", F.coalesce("nodata", F.lit(0.0)).alias("fill")).repartition("src", "ty", "tx")
-    chosen, cols = sorted(set(bands)), ["src_idx", "band", "row0", "col0", "w", "data", "error"]
+    wanted = wanted.select("src", "src_idx", "turn", "level", "ty", "tx", "n_bands", F.coalesce("nodata", F.lit(0.0)).alias("fill")).repartition("src", "ty", "tx")
+    chosen, cols = sorted(set(bands)), ["src_idx", "turn", "band", "row0", "col0", "w", "data", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for (src, level, idx), part in rows.groupby(["src", "level", "src_idx"]):
+            for (src, level, idx, turn), part in rows.groupby(["src", "level", "src_idx", "turn"]):
                 out: list[tuple] = []
                 try:
                     with open_file(src) as f:
                         places = list(zip(part.ty.tolist(), part.tx.tolist(), strict=True))
-                        out = [(idx, *t, None) for t in tiles_of(f, directories(f), level, places, [b for b in chosen if b <= part.n_bands.iloc[0]], float(part.fill.iloc[0]))]
+                        out = [(idx, turn, *t, None) for t in tiles_of(f, directories(f), level, places, [b for b in chosen if b <= part.n_bands.iloc[0]], float(part.fill.iloc[0]))]
                 except Exception as e:
-                    out = [(idx, None, None, None, None, None, f"{src}: {e}")]
+                    out = [(idx, turn, None, None, None, None, None, f"{src}: {e}")]
                 yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in ("band", "row0", "col0", "w")})
 
-    return wanted.mapInPandas(run, "src_idx int, band int, row0 long, col0 long, w int, data array<double>, error string")
+    return wanted.mapInPandas(run, "src_idx int, turn int, band int, row0 long, col0 long, w int, data array<double>, error string")
 
 
 def pixels_of(tiles: DataFrame, planned: DataFrame, bands: list[int]) -> DataFrame:
     """The pixels of planned windows from their tiles, counted from the window's corner, bands in the order asked for, with
     the window's transform and nodata. A tile with an error raises."""
     sound = tiles.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(F.lit(True)))
-    window = planned.select("src_idx", "xoff", "yoff", "xsize", "ysize", F.col("win_gt").alias("gt"), "nodata")
-    own = ["src_idx", "band", "gt", "nodata"]
-    each = sound.join(window, "src_idx").select(*own, "row0", "col0", "w", "xoff", "yoff", "xsize", "ysize", F.posexplode("data").alias("at", "value"))
+    window = planned.select("src_idx", "turn", "xoff", "yoff", "xsize", "ysize", F.col("win_gt").alias("gt"), "nodata")
+    own = ["src_idx", "turn", "band", "gt", "nodata"]
+    each = sound.join(window, ["src_idx", "turn"]).select(*own, "row0", "col0", "w", "xoff", "yoff", "xsize", "ysize", F.posexplode("data").alias("at", "value"))
     row, col = F.col("row0") + F.expr("at div w") - F.col("yoff"), F.col("col0") + F.col("at") % F.col("w") - F.col("xoff")
     inside = each.withColumns({"row": row, "col": col}).where("col >= 0 and col < xsize and row >= 0 and row < ysize")
-    return select_bands(inside.select("src_idx", "band", "row", "col", "value", "gt", "nodata"), bands)
+    return select_bands(inside.select("src_idx", "turn", "band", "row", "col", "value", "gt", "nodata"), bands)
 
 
 def read_pixels(planned: DataFrame, bands: list[int]) -> DataFrame:
