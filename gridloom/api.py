@@ -6,7 +6,7 @@ planned over the catalog alone, and only the tiles that its windows touch are re
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import raster, stack
-from gridloom.operators.warp import dense, mosaic, warp_windows
+from gridloom.operators.warp import covered_blocks, dense, dense_blocks, mosaic, warp_windows
 from gridloom.plans import windows as W
 from gridloom.plans.spec import OutGrid, WarpSpec, methods_for
 from gridloom.sources import tiff
@@ -28,32 +28,56 @@ def sources(spark: SparkSession, paths: list[str] | DataFrame, strict: bool = Tr
 
 @dataclass(frozen=True)
 class Warped:
-    """cells (band, orow, ocol, value) that have a value, on their grid; nodata is that of the first source."""
+    """cells (band, orow, ocol, value) that have a value, on their grid; nodata is that of the first source. copied, if a
+    single source isn't resampled, is its window and the bands: then write() may copy tiles instead of cells."""
 
     cells: DataFrame
     grid: OutGrid
     bands: int
     nodata: float | None
     labels: list[str] | None = None
+    copied: tuple[DataFrame, list[int]] | None = None
+    windows: DataFrame | None = None
 
     def dense(self) -> DataFrame:
         """Every cell; those without a value get nodata, else 0."""
         return dense(self.cells, self.grid, list(range(1, self.bands + 1)), self.nodata)
 
+    def dense_where_covered(self, block: int = 256) -> DataFrame:
+        """dense() in the blocks of the grid that lie under a source, and no cell elsewhere."""
+        return dense_blocks(self.cells, covered_blocks(self.windows, self.grid, block), self.grid, list(range(1, self.bands + 1)), self.nodata, block)
+
     def to_numpy(self, most_bytes: float = 1e9):
         """bands x height x width; raises before anything is collected if that is larger than most_bytes."""
         out = raster.to_numpy(self.cells, self.grid.width, self.grid.height, self.bands, most_bytes, 0.0 if self.nodata is None else self.nodata)
         return out
 
-    def write(self, path: str, dtype: str = "float64", tile: int = 256, compress: str = "deflate") -> str:
-        """A tiled GeoTIFF at the path, which is returned. An existing one is replaced."""
+    def write(self, path: str, dtype: str | None = None, tile: int | None = None, compress: str | None = None, overviews: int = 0, reduce: str = "average") -> str:
+        """A tiled GeoTIFF at the path, which is returned. An existing one is replaced. What is copied from one source without
+        resampling keeps its source's tiles as they are, where these fit and no other dtype, tile, compress (default: float64,
+        256, deflate) or overview is asked for."""
+        if (dtype, tile, compress, overviews) == (None, None, None, 0) and self.labels is None and self._copy(path):
+            return path
         spark = self.cells.sparkSession
         named = self.cells.withColumn("name", F.lit(path))
         labels = spark.createDataFrame([(path, b, t) for b, t in enumerate(self.labels or [], 1)], "name string, band int, label string")
         whole = spark.createDataFrame([(path, self.bands)], "name string, bands int")
-        tiff.write(named, self.grid, None, whole, dtype=dtype, tile=tile, nodata=self.nodata, compress=compress, labels=labels).collect()
+        tiff.write(named, self.grid, None, whole, dtype=dtype or "float64", tile=tile or 256, nodata=self.nodata, compress=compress or "deflate", labels=labels, overviews=overviews, reduce=reduce).collect()
         return path
 
+    def _copy(self, path: str) -> bool:
+        """Whether the file was made of its source's own tiles."""
+        if self.copied is None:
+            return False
+        planned, bands = self.copied
+        r = planned.select("src", "level", "xoff", "yoff", "xsize", "ysize", "n_bands").first()
+        layout = tiff.copy_layout(r.src, r.level, (r.xoff, r.yoff, r.xsize, r.ysize), self.nodata)
+        if layout is None or max(bands) > r.n_bands:
+            return False
+        whole = planned.sparkSession.createDataFrame([(path, 0, self.bands, -2, 0, bytearray())], tiff.PACKED)
+        tiff.files_of(tiff.copied_tiles(planned, bands, layout, path).unionByName(whole), self.grid, layout, None, None, 1).collect()
+        return True
+
 
 def _copied(planned: DataFrame) -> OutGrid | None:
     """The windows' own grid, if they are all copies (nothing is resampled) on a single one."""
@@ -71,10 +95,8 @@ def _planned(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> tuple[D
     planned = W.require_overlap(W.plan(sound, spec))
     grid = None if spec.tr or spec.ts else _copied(planned)
     if grid is None:
-        grid = W.output_grid(sound, spec)
-        # Again on the grid's system: levels depend on cells there, and tap may have moved the extent.
-        te = (grid.xmin, grid.ymax - grid.height * grid.yres, grid.xmin + grid.width * grid.xres, grid.ymax)
-        planned = W.require_overlap(W.plan(sound, replace(spec, te=None if spec.te is None else te, te_srs=None, t_srs=grid.crs)))
+        planned, grid = W.plan_on_grid(sound, spec)
+        planned = W.require_overlap(planned)
     return W.require_limit(planned), grid
 
 
@@ -91,7 +113,8 @@ def warp(catalog: DataFrame, spec: WarpSpec) -> Warped:
     planned, grid = _planned(catalog, spec)
     bands = _chosen(planned, spec)
     cells = mosaic(warp_windows(tiff.read_pixels(planned, bands), W.as_catalog(planned), grid, spec.method))
-    return Warped(cells, grid, len(bands), _nodata(planned))
+    single = (planned, bands) if spec.tr is None and spec.ts is None and _copied(planned) and planned.count() == 1 else None
+    return Warped(cells, grid, len(bands), _nodata(planned), copied=single, windows=W.as_catalog(planned))
 
 
 def _by_method(pixels: DataFrame, windows: DataFrame, grid: OutGrid) -> DataFrame:
@@ -117,7 +140,7 @@ def stacked(catalog: DataFrame, spec: WarpSpec, r: str | list[str] | None = None
     pixels = tiff.read_pixels(planned, _chosen(planned, spec))
     cells = _by_method(pixels, windows, grid).join(offsets.select("src_idx", "band_offset"), "src_idx")
     cells = cells.select((F.col("band") + F.col("band_offset")).cast("long").alias("band"), "orow", "ocol", "value")
-    return Warped(cells, grid, total, _nodata(planned), stack.label_list(windows, total, labels))
+    return Warped(cells, grid, total, _nodata(planned), stack.label_list(windows, total, labels), windows=W.as_catalog(planned))
 
 
 def batch(catalog: DataFrame, spec: WarpSpec, template: str | None = None, stack_groups: bool = False, dtype: str = "float64", tile: int = 256, compress: str = "deflate") -> DataFrame:
@@ -136,7 +159,7 @@ def batch(catalog: DataFrame, spec: WarpSpec, template: str | None = None, stack
     own = catalog.select("src_idx", "group_idx", "band_pos", method.alias("method"))
     planned, grid = _planned(catalog, spec, strict=False)
     bands = _chosen(planned, spec)
-    tiles = tiff.read_tiles(planned, bands).persist(StorageLevel.DISK_ONLY)  # read once, looked at for errors first
+    tiles = tiff.read_tiles(planned, bands).persist(StorageLevel.DISK_ONLY)  # read once, looked at for errors first; see release
     unread = tiles.where("error is not null").groupBy("src_idx").agg(F.min("error").alias("error"))
     unfit = catalog.select("src_idx", F.coalesce("error", W.problem(spec)).alias("error")).where("error is not null")
     failed = unread.unionByName(unfit).join(own, "src_idx").groupBy(*keys).agg(F.min("error").alias("error"))

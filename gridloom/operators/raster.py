@@ -29,11 +29,6 @@ def fill_window(window: DataFrame, planned: DataFrame, bands: list[int]) -> Data
     return grid.join(window, ["src_idx", "band", "row", "col"], "left").select("src_idx", "band", "row", "col", F.coalesce("value", "nodata", F.lit(0.0)).alias("value"))
 
 
-def plane_offsets(xsize: Column, ysize: Column, size: Column, band: Column) -> list[Column]:
-    """Byte offsets of a band-sequential window: of the band's plane, between pixels, between lines."""
-    return [((band - 1) * xsize * ysize * size).cast("long").alias("image_offset"), size.cast("long").alias("pixel_offset"), (xsize * size).cast("long").alias("line_offset")]
-
-
 def to_tiles(pixels: DataFrame, tile: int) -> DataFrame:
     """(src_idx, band, ty, tx, data): a tile's values by place within it, absent ones left out. Written as Parquet sorted
     by these columns, a window's predicates on ty, tx and band prune row groups."""

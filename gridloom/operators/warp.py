@@ -190,3 +190,24 @@ def dense(values: DataFrame, grid: OutGrid, bands: list[int], init: float | None
     spark = values.sparkSession
     all_cells = spark.range(grid.width * grid.height).select(F.expr(f"id div {grid.width}").alias("orow"), (F.col("id") % grid.width).alias("ocol"), F.explode(F.array(*map(F.lit, bands))).alias("band"))
     return all_cells.join(values.select("band", "orow", "ocol", "value"), ["band", "orow", "ocol"], "left").select("band", "orow", "ocol", F.coalesce("value", F.lit(float(init or 0))).alias("value"))
+
+
+def covered_blocks(catalog: DataFrame, grid: OutGrid, block: int = 256) -> DataFrame:
+    """br, bc of the blocks of ``block`` x ``block`` cells that lie under a source (or window), a cell more on each side: an
+    index of where a grid has anything at all, from the catalog alone. Systems as in gather()."""
+    if grid.crs is None:
+        parts = [cell_blocks(catalog, grid, None, 0, block)]
+    else:
+        catalog, names = projections.canonical(catalog)
+        if None in names:
+            raise ValueError("a source has no coordinate system")
+        parts = [cell_blocks(catalog.where(F.col("crs") == n), grid, n, 0, block) for n in names] or [cell_blocks(catalog, grid, grid.crs, 0, block)]
+    return reduce(DataFrame.unionByName, parts).select("br", "bc").distinct()
+
+
+def dense_blocks(values: DataFrame, covered: DataFrame, grid: OutGrid, bands: list[int], init: float | None = None, block: int = 256) -> DataFrame:
+    """As dense(), for the covered blocks only: cells are made, and filled, where a source can have some."""
+    dealt = covered.repartition(int(covered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "br", "bc")
+    side = lambda b, most: F.explode(F.sequence(F.col(b) * block, F.least((F.col(b) + 1) * block, F.lit(most)) - 1))
+    made = dealt.withColumn("orow", side("br", grid.height)).withColumn("ocol", side("bc", grid.width)).select("orow", "ocol", F.explode(F.array(*map(F.lit, bands))).alias("band"))
+    return made.join(values.select("band", "orow", "ocol", "value"), ["band", "orow", "ocol"], "left").select("band", "orow", "ocol", F.coalesce("value", F.lit(float(init or 0))).alias("value"))

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import crs as projections
 from gridloom.functions import metadata as M
+from gridloom.functions.projections import Projection
+from gridloom.functions.projections import forward as projected
 from gridloom.operators import raster, stack
+from gridloom.operators.overlap import overlap_pairs
 from gridloom.operators.resample import FOOTPRINT, REACH
-from gridloom.operators.warp import dense, gather, mosaic, scatter, warp_windows
+from gridloom.operators.warp import covered_blocks, dense, dense_blocks, gather, mosaic, scatter, warp_windows
 from gridloom.plans import fixtures as X
 from gridloom.plans import windows as W
 from gridloom.plans.spec import METHODS, OutGrid, WarpSpec
 from gridloom.sources import dispatch as D
+from gridloom.sources import tiff
 from gridloom.streaming import batch as B
 
 QUERIES: dict = {}
@@ -45,8 +49,7 @@ s AS (SELECT page_id, src, CASE WHEN length(regexp_extract(src, '^([A-Za-z][A-Za
 h AS (SELECT *, regexp_replace(regexp_replace(auth, '^.*@', ''), ':\d*$', '') AS host, list_transform(string_split(q, '&'), lambda x: lower(split_part(x, '=', 1))) AS keys FROM s),
 k AS (SELECT *, coalesce(scheme IN ('http', 'https'), false) AND NOT regexp_matches(host, '\.(blob|dfs)\.core\.windows\.net$')
   AND ((list_contains(keys, 'accesskeyid') AND list_contains(keys, 'signature')) OR list_contains(keys, 'x-amz-signature') OR list_contains(keys, 'x-goog-signature')) AS presigned,
-  coalesce(scheme = 'https', false) AND regexp_matches(host, '\.(blob|dfs)\.core\.windows\.net$') AND len(list_filter(string_split(q, '&'), lambda x: starts_with(x, 'sig='))) > 0 AS azure_sas,
-  scheme || '://' || host || ':' || regexp_extract(auth, ':(\d+)$', 1) || '/' || container || '#' || q AS store_key FROM h)"""
+  coalesce(scheme = 'https', false) AND regexp_matches(host, '\.(blob|dfs)\.core\.windows\.net$') AND len(list_filter(string_split(q, '&'), lambda x: starts_with(x, 'sig='))) > 0 AS azure_sas FROM h)"""
 
 
 @register("dispatch_kind", f"WITH {PARTS} SELECT page_id, CASE WHEN presigned THEN 'http' WHEN scheme IS NOT NULL AND scheme <> 'file' THEN 'store' ELSE 'local' END AS kind FROM k")
@@ -64,16 +67,6 @@ def _(spark, sf):
     return X.urls(spark, sf).select("page_id", D.azure_sas(F.col("src")).alias("azure_sas"))
 
 
-@register("store_key", f"WITH {PARTS} SELECT page_id, store_key FROM k")
-def _(spark, sf):
-    return X.urls(spark, sf).select("page_id", D.store_key(F.col("src")).alias("store_key"))
-
-
-@register("sources_per_store", f"WITH {PARTS} SELECT coalesce(store_key, 'local') AS store_key, count(*) AS n_sources FROM k GROUP BY 1")
-def _(spark, sf):
-    return D.per_store(X.urls(spark, sf))
-
-
 # --- metadata ---------------------------------------------------------------------------------------------------------
 
 
@@ -238,6 +231,53 @@ def _(spark, sf):
     return W.plan(X.sources(spark, sf), WarpSpec(ts=(64, 64), bands=(1, 1), overview=1, max_bytes=1e5)).select("src_idx", "n_bytes", "over_limit")
 
 
+# Sources of two systems: those of odd numbers in degrees, the others in metres of Web Mercator.
+@register("plan_mixed_systems", """WITH k AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 1 THEN 0.001e0 ELSE 50e0 END AS px, CASE WHEN s_suppkey % 2 = 1 THEN radians(0.128e0) * 6378137e0 ELSE 6400e0 END AS span FROM supplier),
+l AS (SELECT k, [x[2] FOR x IN [[1, 1], [2, 2], [4, 3]] IF x[1] <= round(150e0 * (128 * px / span) / px, 9)] AS fits FROM k)
+SELECT k::INTEGER AS src_idx, coalesce(list_max(fits), 1)::INTEGER AS level, (128 >> (coalesce(list_max(fits), 1) - 1))::BIGINT AS xsize FROM l""")
+def _(spark, sf):
+    k, degrees = F.col("src_idx"), F.col("src_idx") % 2 == 1
+    at = [F.when(degrees, 10.0 + k % 10 * 0.128).otherwise(1.2e6 + k % 10 * 6400.0), F.when(degrees, 0.001).otherwise(50.0), F.lit(0.0), F.when(degrees, 40.0 + F.floor(k / 10) * 0.001).otherwise(5e6), F.lit(0.0), F.when(degrees, -0.001).otherwise(-50.0)]
+    src = X.sources(spark, sf).withColumns({"gt": F.struct(*[c.cast("double").alias(f"gt{i}") for i, c in enumerate(at)]), "crs": F.when(degrees, "EPSG:4326").otherwise("+proj=merc +a=6378137 +b=6378137 +no_defs")})
+    return W.plan_on_grid(src.withColumn("src_idx", k), WarpSpec(tr=(150, 150), t_srs="EPSG:3857"))[0].select("src_idx", "level", "xsize")
+
+
+# Sources around the antimeridian, 25.6 minutes wide, under an extent in metres that goes on beyond 180 degrees.
+@register("plan_antimeridian", """WITH s AS (SELECT s_suppkey AS k, (s_suppkey * 7 % 360 - 180)::DOUBLE AS x0 FROM supplier), w AS (SELECT degrees(195e5 / 6378137e0) AS a, degrees(206e5 / 6378137e0) AS b),
+t AS (SELECT k, x0, unnest(range(-1, 2)) AS turn FROM s), c AS (SELECT k, x0, turn, (a + turn * 360 - x0) / 0.02e0 AS c0, (b + turn * 360 - x0) / 0.02e0 AS c1 FROM t, w),
+o AS (SELECT *, greatest(0, floor(round(c0, 9)) - 8) AS o0, least(128, ceil(round(c1, 9)) + 8) AS o1 FROM c WHERE turn = 0 OR (c0 < 128 - 1e-9 AND c1 > 1e-9))
+SELECT k::INTEGER AS src_idx, turn::INTEGER AS turn, o0::BIGINT AS xoff, (o1 - o0)::BIGINT AS xsize, round(x0 + o0 * 0.02e0 - 360 * turn, 6) AS win_x FROM o WHERE o1 > o0""")
+def _(spark, sf):
+    at = [(F.col("src_idx") * 7 % 360 - 180).cast("double"), F.lit(0.02), F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(-0.02)]
+    src = X.sources(spark, sf).withColumns({"gt": F.struct(*[c.alias(f"gt{i}") for i, c in enumerate(at)]), "crs": F.lit("+proj=longlat +datum=WGS84")})
+    planned = W.plan(src, WarpSpec(te=(195e5, 9e5, 206e5, 11e5), t_srs="EPSG:3857", tr=(2000, 2000)))
+    return planned.select("src_idx", "turn", "xoff", "xsize", F.round("win_gt.gt0", 6).alias("win_x"))
+
+
+# Areas of interest of all customers, some larger than the sources, against the sources of all suppliers.
+AREAS = "SELECT c_custkey AS req_idx, 5e5 + c_custkey % 97 * 131 AS xmin, 4002000e0 - c_custkey % 211 * 597 AS ymin, 5e5 + c_custkey % 97 * 131 + 40 + c_custkey % 13 * 90 AS xmax, 4002000e0 - c_custkey % 211 * 597 + 40 + c_custkey % 7 * 50 AS ymax FROM customer"
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    x, y = k % 97 * 131 + 5e5, F.lit(4002000.0) - k % 211 * 597
+    return X.table(spark, sf, "customer").select(k.alias("req_idx"), x.alias("xmin"), y.alias("ymin"), (x + 40 + k % 13 * 90).alias("xmax"), (y + 40 + k % 7 * 50).alias("ymax"))
+
+
+@register("overlap_pairs", f"SELECT req_idx, src_idx FROM ({AREAS}) a JOIN ({SRC}) s ON a.xmin < s.gt0 + 1280 AND a.xmax > s.gt0 AND a.ymin < s.gt3 AND a.ymax > s.gt3 - 1280")
+def _(spark, sf):
+    e = M.extent(F.col("gt"), F.col("width"), F.col("height"))
+    boxes = X.sources(spark, sf).select("src_idx", *[e[n].alias(n) for n in ("xmin", "ymin", "xmax", "ymax")])
+    return overlap_pairs(_areas(spark, sf), boxes, "req_idx", "src_idx")
+
+
+@register("plan_requests", f"""WITH p AS (SELECT req_idx, src_idx, (xmin - gt0) / 20 AS c0, (xmax - gt0) / 20 AS c1, (gt3 - ymax) / 20 AS r0, (gt3 - ymin) / 20 AS r1 FROM ({AREAS}) a JOIN ({SRC}) s ON a.xmin < s.gt0 + 1280 AND a.xmax > s.gt0 AND a.ymin < s.gt3 AND a.ymax > s.gt3 - 1280),
+q AS (SELECT *, greatest(0, floor(round(c0, 9)) - 2) AS x0, least(64, ceil(round(c1, 9)) + 2) AS x1, greatest(0, floor(round(r0, 9)) - 2) AS y0, least(64, ceil(round(r1, 9)) + 2) AS y1 FROM p)
+SELECT req_idx, src_idx, 2 AS level, x0::BIGINT AS xoff, y0::BIGINT AS yoff, (x1 - x0)::BIGINT AS xsize, (y1 - y0)::BIGINT AS ysize FROM q""")
+def _(spark, sf):
+    return W.plan_requests(X.sources(spark, sf), _areas(spark, sf), WarpSpec(tr=(25, 25), margin=2)).select("req_idx", "src_idx", "level", "xoff", "yoff", "xsize", "ysize")
+
+
 SHARED = "CASE WHEN src_idx % 3 = 0 THEN 64 ELSE 32 END"
 
 
@@ -258,12 +298,6 @@ def _(spark, sf):
     return W.tile_cover(W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))))
 
 
-@register("band_ranges", plan_sql(TE, "2", 8) + COVER + " SELECT src_idx, level, ty, tx, b.i AS out_band, b.b AS band, (b.b - 1) * 4 + ty * 2 + tx AS range_no FROM t, (VALUES (1, 3), (2, 1)) b(i, b)")
-def _(spark, sf):
-    src = X.sources(spark, sf)
-    return W.band_ranges(W.tile_cover(W.plan(src, WarpSpec(te=TE, tr=(25, 25)))), src, [3, 1])
-
-
 def emb_sql(bands: tuple) -> str:
     return f"SELECT 0 AS src_idx, b.b AS band, vec_id // 25 AS row, vec_id % 25 AS col, embedding[b.b]::DOUBLE AS value FROM embeddings, (VALUES {', '.join(f'({b})' for b in bands)}) b(b)"
 
@@ -295,37 +329,6 @@ def _(spark, sf):
     return raster.fill_window(raster.cut_window(X.emb64(spark, sf).where("value > 0"), planned), planned, [11, 10])
 
 
-@register("vrt_offsets", plan_sql(TE, "1", 8) + " SELECT src_idx, b AS band, ((b - 1) * xsize * ysize * 2)::BIGINT AS image_offset, 2::BIGINT AS pixel_offset, (xsize * 2)::BIGINT AS line_offset FROM p, range(1, 3) r(b)")
-def _(spark, sf):
-    planned = W.plan(X.sources(spark, sf), WarpSpec(te=TE, tr=(15, 15))).withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
-    return planned.select("src_idx", "band", *raster.plane_offsets(F.col("xsize"), F.col("ysize"), F.lit(2), F.col("band")))
-
-
-def _grid_rows(spark: SparkSession, g: OutGrid) -> DataFrame:
-    cells = spark.range(g.width * g.height)
-    r, c = F.expr(f"id div {g.width}"), F.col("id") % g.width
-    return cells.select(r.alias("orow"), c.alias("ocol"), F.round((c + 0.5) * g.xres + g.xmin, 6).alias("x"), F.round(F.lit(g.ymax) - (r + 0.5) * g.yres, 6).alias("y"))
-
-
-def _grid_sql(xmin: float, ymax: float, xres: float, yres: float, w: int, h: int) -> str:
-    return f"SELECT r AS orow, c AS ocol, round({xmin!r}::DOUBLE + (c + 0.5e0) * {xres!r}::DOUBLE, 6) AS x, round({ymax!r}::DOUBLE - (r + 0.5e0) * {yres!r}::DOUBLE, 6) AS y FROM range({h}) a(r), range({w}) b(c)"
-
-
-@register("grid_tr", _grid_sql(340000.0, 8960000.0, 30.0, 30.0, 267, 267))
-def _(spark, sf):
-    return _grid_rows(spark, WarpSpec(te=(340000, 8952000, 348000, 8960000), tr=(30, 30), tap=False).grid())
-
-
-@register("grid_ts", _grid_sql(340000.0, 8960000.0, 80.0, 125.0, 100, 64))
-def _(spark, sf):
-    return _grid_rows(spark, WarpSpec(te=(340000, 8952000, 348000, 8960000), ts=(100, 64)).grid())
-
-
-@register("grid_tap", _grid_sql(340005.0, 8960010.0, 15.0, 30.0, 66, 34))
-def _(spark, sf):
-    return _grid_rows(spark, WarpSpec(te=(340007, 8959001, 340988, 8960001), tr=(15, 30)).grid())
-
-
 # --- warping ----------------------------------------------------------------------------------------------------------
 
 
@@ -537,6 +540,24 @@ def _(spark, sf):
     return at.select("c_custkey", *[F.round(c, 3).alias(n) for c, n in zip(images, ("albers_x", "albers_y", "lambert_x", "lambert_y"), strict=True)])
 
 
+# Each customer by a projection of its own: a transverse Mercator of its nation's meridian, and a cylindrical equal-area and a
+# Mercator of its nation's parallel of true scale; on the ellipsoid Bessel 1841.
+@register("project_by_row", """WITH e AS (SELECT 6377397.155e0 AS a, 1 / 299.1528128e0 AS f), m AS (SELECT a, f, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e, f / (2 - f) AS n FROM e),
+p AS (SELECT c_custkey, c_nationkey * 6 - 70 + c_custkey % 50 * 0.1e0 - 2.5e0 AS lon, c_custkey % 140 - 70e0 + 0.25e0 AS lat, c_nationkey * 6 - 70e0 AS lon0, 0.9e0 + c_nationkey * 0.004e0 AS k, c_nationkey * 2e0 AS ts FROM customer),
+q AS (SELECT *, radians(lat) AS phi, radians(lon - lon0) AS lam, cos(radians(ts)) / sqrt(1 - e2 * sin(radians(ts)) ** 2) AS scale, a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS big FROM p, m),
+t AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t, (1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) + atanh(e * sin(phi)) / e) AS qq, asinh(tan(phi)) - e * atanh(e * sin(phi)) AS up FROM q),
+x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(t * t + 1)) AS eta, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS a2, 61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS a3, 49561 * n ** 4 / 161280 AS a4 FROM t)
+SELECT c_custkey, round(k * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 3) AS tmerc_x,
+  round(k * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 3) AS tmerc_y,
+  round(lam * scale * a, 3) AS cea_x, round(a * qq / (2 * scale), 3) AS cea_y, round(a * scale * up, 3) AS merc_y FROM x""")
+def _(spark, sf):
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    at = X.table(spark, sf, "customer").select("c_custkey", (nation * 6 - 70 + k % 50 * 0.1 - 2.5).alias("lon"), (k % 140 - 70.0 + 0.25).alias("lat"), (nation * 6 - 70.0).alias("lon0"), (nation * 0.004 + 0.9).alias("k"), (nation * 2.0).alias("ts"))
+    own = {"lon0": F.col("lon0"), "a": 6377397.155, "rf": 299.1528128}
+    found = [projected(Projection(kind, **own, **more), F.col("lon"), F.col("lat")) for kind, more in (("tmerc", {"k": F.col("k")}), ("cea", {"ts": F.col("ts")}), ("merc", {"ts": F.col("ts")}))]
+    return at.select("c_custkey", *[F.round(c, 3).alias(n) for n, c in (("tmerc_x", found[0][0]), ("tmerc_y", found[0][1]), ("cea_x", found[1][0]), ("cea_y", found[1][1]), ("merc_y", found[2][1]))])
+
+
 @register("bounds_densified", """WITH e AS (SELECT s_suppkey AS id, (s_suppkey % 10)::DOUBLE AS x0, 40e0 + s_suppkey // 10 * 0.1e0 AS y0 FROM supplier), s AS (SELECT id, x0, y0, k / 20e0 AS s FROM e, range(21) t(k)),
 p AS (SELECT id, x0 + s AS x, y0 + d AS y FROM s, (VALUES (0e0), (0.5e0)) v(d) UNION ALL SELECT id, x0 + d AS x, y0 + s * 0.5e0 AS y FROM s, (VALUES (0e0), (1e0)) v(d))
 SELECT id, round(min(x * 6378137e0 * pi() / 180), 3) AS xmin, round(min(asinh(tan(y * pi() / 180)) * 6378137e0), 3) AS ymin, round(max(x * 6378137e0 * pi() / 180), 3) AS xmax, round(max(asinh(tan(y * pi() / 180)) * 6378137e0), 3) AS ymax FROM p GROUP BY id""")
@@ -607,6 +628,29 @@ def _(spark, sf):
     return rounded(stack.stack(pixels, src, grid, ["near", "average"], scatter))
 
 
+# Each order as a source of 3 x 3 pixels, on a grid of which they cover little; cells are counted and filled there only.
+SPOTS = "SELECT o_orderkey, (o_orderkey * 7919 % 100003)::BIGINT AS x, (o_orderkey * 104729 % 100019)::BIGINT AS y FROM orders"
+
+
+def _spots(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    at = [(k * 7919 % 100003).cast("double"), F.lit(1.0), F.lit(0.0), -(k * 104729 % 100019).cast("double"), F.lit(0.0), F.lit(-1.0)]
+    return X.table(spark, sf, "orders").select(k.cast("int").alias("src_idx"), F.lit(3).alias("width"), F.lit(3).alias("height"), F.lit("EPSG:32631").alias("crs"), F.struct(*[c.alias(f"gt{i}") for i, c in enumerate(at)]).alias("gt"))
+
+
+@register("covered_blocks", f"""WITH s AS ({SPOTS}), e AS (SELECT greatest(0, y - 1) // 64 AS r0, (y + 4) // 64 AS r1, greatest(0, x - 1) // 64 AS c0, (x + 4) // 64 AS c1 FROM s)
+SELECT DISTINCT br, bc FROM (SELECT unnest(range(r0, r1 + 1)) AS br, c0, c1 FROM e), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS bc)""")
+def _(spark, sf):
+    return covered_blocks(_spots(spark, sf), OutGrid(0.0, 0.0, 1.0, 1.0, 1 << 17, 1 << 17, "EPSG:32631"), 64)
+
+
+# The orders' raster with levels of half its size each, a cell the mean of the cells under it that have a value.
+@register("overview_pyramid", "WITH RECURSIVE p AS (SELECT o_orderkey // 150 AS orow, o_orderkey % 150 AS ocol, o_totalprice::DOUBLE AS value FROM orders), a AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM p GROUP BY ALL), b AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM a GROUP BY ALL), c AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM b GROUP BY ALL) SELECT level::INTEGER AS level, orow, ocol, round(value, 6) AS value FROM (SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c)")
+def _(spark, sf):
+    cells = X.ord1(spark, sf).select(F.lit("x").alias("name"), "band", F.col("row").alias("orow"), F.col("col").alias("ocol"), "value")
+    return rounded(tiff.pyramid(cells, 4).where("level > 0").select("level", "orow", "ocol", "value"))
+
+
 # --- groups -----------------------------------------------------------------------------------------------------------
 
 

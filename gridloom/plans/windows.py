@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import crs as projections
 from gridloom.functions.metadata import extent, grid_signature, number, sample_bytes
+from gridloom.operators.overlap import overlap_pairs
 from gridloom.plans.spec import OutGrid, WarpSpec
 
 
@@ -124,10 +125,30 @@ def plan(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> DataFrame:
     A source without georeference, system or a band that is asked for raises, or has no row if not strict (see problem)."""
     unfit = problem(spec)
     sound = catalog.where(F.when(unfit.isNotNull(), F.raise_error(unfit).cast("boolean")).otherwise(F.lit(True)) if strict else unfit.isNull())
-    gt = F.col("gt")
     same = F.lit(True) if spec.t_srs is None else projections.normalised(F.col("crs")) == projections.normalise(spec.t_srs)
     rows = extents(sound, spec)  # with the systems' normal names, if these matter
-    rows = rows.withColumn("copy", same & F.lit(spec.tr is None and spec.ts is None))
+    return _windows(rows.withColumn("copy", same & F.lit(spec.tr is None and spec.ts is None)), spec)
+
+
+def plan_requests(catalog: DataFrame, requests: DataFrame, spec: WarpSpec) -> DataFrame:
+    """plan() of many requests at once: req_idx, xmin, ymin, xmax, ymax of each, in the system that it shares with the sources
+    it is for (``crs``, if requests have it, else all sources'). A row for each request and source that overlap; they are
+    found by grid cells (operators.overlap), so neither side is read by the driver or meets the other as a whole. te, t_srs
+    and te_srs of spec aren't looked at; with tr or ts it says how large the cells are."""
+    sound = catalog.where(problem(spec).isNull())
+    e = extent(F.col("gt"), F.col("width"), F.col("height"))
+    on = ["crs"] if "crs" in requests.columns else []
+    boxes_ = ("xmin", "ymin", "xmax", "ymax")
+    own = sound.select("src_idx", *on, *[e[n].alias(n) for n in boxes_])
+    pairs = overlap_pairs(requests.select("req_idx", *on, *boxes_), own, "req_idx", "src_idx", on)
+    asked = pairs.join(requests.select("req_idx", F.struct(*boxes_).alias("want")), "req_idx")
+    rows = sound.join(asked, "src_idx").withColumns({"target": F.col("want"), "step": F.lit(0.0), "turn": F.lit(0), "copy": F.lit(spec.tr is None and spec.ts is None)})
+    return _windows(rows, spec, ["req_idx"])
+
+
+def _windows(rows: DataFrame, spec: WarpSpec, keys: list[str] | None = None) -> DataFrame:
+    """The windows of rows that have want and target."""
+    gt = F.col("gt")
     det = gt["gt1"] * gt["gt5"] - gt["gt2"] * gt["gt4"]
     col = lambda x, y: (gt["gt5"] * (x - gt["gt0"]) - gt["gt2"] * (y - gt["gt3"])) / det
     row = lambda x, y: (gt["gt1"] * (y - gt["gt3"]) - gt["gt4"] * (x - gt["gt0"])) / det
@@ -155,7 +176,7 @@ def plan(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> DataFrame:
     origin = lambda o, a, b: gt[o] + F.col("xoff") * scaled[a] + F.col("yoff") * scaled[b]
     win = {"gt0": origin("gt0", "gt1", "gt2") - F.col("step") * F.col("turn"), "gt3": origin("gt3", "gt4", "gt5"), **scaled}
     return rows.select(
-        "src", "src_idx", "level", *[F.col(c).cast("long").alias(c) for c in ("xoff", "yoff", "xsize", "ysize")],
+        *(keys or []), "src", "src_idx", "level", *[F.col(c).cast("long").alias(c) for c in ("xoff", "yoff", "xsize", "ysize")],
         F.struct(*[win[f"gt{i}"].alias(f"gt{i}") for i in range(6)]).alias("win_gt"), F.col("copy").alias("is_copy"), "nodata", *_costs(spec),
         grid_signature(gt, F.col("crs"), F.col("levels")).alias("sig"), F.col("lv.tile_width").alias("tile_width"), F.col("lv.tile_height").alias("tile_height"), "n_bands", "dtype", "crs", "turn",
     )
@@ -207,6 +228,14 @@ def output_grid(catalog: DataFrame, spec: WarpSpec) -> OutGrid:
     return replace(spec, te=tuple(te), te_srs=None, **cells).grid()
 
 
+def plan_on_grid(catalog: DataFrame, spec: WarpSpec) -> tuple[DataFrame, OutGrid]:
+    """The output grid and the windows on it. They are planned in the grid's system, whatever the sources': levels follow from
+    the cells there, not from which source comes first; and tap may have moved the extent."""
+    grid = output_grid(catalog, spec)
+    te = (grid.xmin, grid.ymax - grid.height * grid.yres, grid.xmin + grid.width * grid.xres, grid.ymax)
+    return plan(catalog, replace(spec, te=None if spec.te is None else te, te_srs=None, t_srs=grid.crs)), grid
+
+
 def require_one_grid(catalog: DataFrame) -> None:
     """For requests that plan once for all: raises if the sources don't share one grid. Looks at the catalog only."""
     if catalog.select(grid_signature(F.col("gt"), F.col("crs"), F.col("levels")).alias("s")).distinct().limit(2).count() > 1:
@@ -232,12 +261,3 @@ def tile_cover(planned: DataFrame) -> DataFrame:
     tx = F.sequence(F.floor(F.col("xoff") / F.col("tile_width")), F.floor((F.col("xoff") + F.col("xsize") - 1) / F.col("tile_width")))
     ty = F.sequence(F.floor(F.col("yoff") / F.col("tile_height")), F.floor((F.col("yoff") + F.col("ysize") - 1) / F.col("tile_height")))
     return planned.withColumn("ty", F.explode(ty)).withColumn("tx", F.explode(tx)).select("src_idx", "level", "ty", "tx")
-
-
-def band_ranges(cover: DataFrame, catalog: DataFrame, bands: list[int]) -> DataFrame:
-    """The place of each tile and band among a band-separate level's byte ranges; bands in the order asked for."""
-    lv = F.get("levels", F.col("level") - 1)
-    per_row, rows = F.ceil(lv["width"] / lv["tile_width"]), F.ceil(lv["height"] / lv["tile_height"])
-    joined = cover.join(catalog.select("src_idx", "levels"), "src_idx")
-    wanted = joined.select("*", F.posexplode(F.array(*map(F.lit, bands))).alias("out_pos", "band"))
-    return wanted.select("src_idx", "level", "ty", "tx", (F.col("out_pos") + 1).alias("out_band"), "band", ((F.col("band") - 1) * per_row * rows + F.col("ty") * per_row + F.col("tx")).cast("long").alias("range_no"))

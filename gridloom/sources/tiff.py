@@ -3,8 +3,10 @@
 Reading: a table of paths becomes a catalog (only headers are read, by range), and a table of planned tiles becomes pixels
 (only the byte ranges of those tiles and bands are read). Spark deals paths and tiles to tasks; a task opens its files
 through pyarrow's file systems (local, s3, gs, hdfs). A file that can't be read raises, or is a row whose ``error`` says
-why. Writing: tiles are compressed in parallel, and one task a file puts them together. Compressions: none, deflate, zstd,
-LZW, PackBits; predictors: none, horizontal, floating point. Strips, and anything else, are errors.
+why. Writing: tiles are compressed in parallel, overviews are made level by level, and one task a file puts the tiles
+together; tiles without a value take no bytes. A window that lies on its source's tiles is copied tile by tile, undecoded.
+Compressions: none, deflate, zstd, LZW, PackBits; predictors: none, horizontal, floating point. Strips, and anything else,
+are errors.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import metadata as M
+from gridloom.functions.crs import normalise, parameters
 from gridloom.operators.raster import select_bands
 from gridloom.plans.spec import OutGrid
 
@@ -274,81 +278,223 @@ def read_pixels(planned: DataFrame, bands: list[int]) -> DataFrame:
     return pixels_of(read_tiles(planned, bands), planned, bands)
 
 
-def write(values: DataFrame, grid: OutGrid, folder: str | None, bands: int | DataFrame, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None, compress: str = "deflate", labels: DataFrame | None = None) -> DataFrame:
-    """Writes a tiled, band-separate file for each ``name`` and returns (name, path, n_bytes); an existing one is replaced.
-    values has name, band, orow, ocol and value; absent cells get nodata, else 0. The file is folder/name.tif, or without a
-    folder the name itself. bands is the number of bands, or a table (name, bands) of all files to be made. labels (name,
-    band, label), if given, become the bands' descriptions. Lazily: an action on the result writes."""
-    if compress not in ("deflate", "none"):
-        raise ValueError(f"unsupported compression {compress!r}")
-    squeeze = zlib.compress if compress == "deflate" else bytes
-    fixed = bands if isinstance(bands, int) else None
-    kind, fill = np.dtype(dtype).newbyteorder("<"), float(nodata or 0)
-    place = (F.col("orow") % tile) * tile + F.col("ocol") % tile
-    blocks = values.groupBy(F.col(name).alias("name"), "band", F.expr(f"orow div {tile}").alias("ty"), F.expr(f"ocol div {tile}").alias("tx")).agg(F.collect_list(F.struct(place.cast("int").alias("at"), F.col("value").cast("double").alias("value"))).alias("data"))
-
-    def packing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for cells in rows.data:
-                block = np.full(tile * tile, fill)
-                block[[c["at"] for c in cells]] = [c["value"] for c in cells]
-                if kind.kind != "f":
-                    block = np.clip(np.nan_to_num(block), np.iinfo(kind).min, np.iinfo(kind).max)
-                out.append(squeeze(block.astype(kind).tobytes()))
-            yield rows.drop(columns="data").assign(data=out)
-
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        across, down = -(-grid.width // tile), -(-grid.height // tile)
-        empty = squeeze(np.full(tile * tile, fill).astype(kind).tobytes())
-        have = {(r.band, r.ty, r.tx): bytes(r.data) for r in rows.itertuples()}
-        names = {b: bytes(d).decode() for (b, y, _), d in have.items() if y == -1}
-        n_bands = fixed if fixed is not None else next(b for (b, y, _) in have if y == -2)
-        body = [have.get((b, y, x), empty) for b in range(1, n_bands + 1) for y in range(down) for x in range(across)]
-        epsg = int(grid.crs.split(":")[1]) if grid.crs else 32767
-        keys = [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
+#: Tiles of a file as rows: level 0 is the full resolution.
+PACKED = "name string, level int, band int, ty long, tx long, data binary"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a file's samples are stored: a numpy type, the side of its square tiles, and what TIFF calls compression and predictor."""
+
+    dtype: str = "float64"
+    tile: int = 256
+    compression: int = 8
+    predictor: int = 1
+    nodata: float | None = None
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(self.dtype).newbyteorder("<")
+
+    def packed(self, block: np.ndarray) -> bytes:
+        """A tile of any numbers, whole ones to the nearest limit."""
+        if self.kind.kind != "f":
+            block = np.clip(np.nan_to_num(block), np.iinfo(self.kind).min, np.iinfo(self.kind).max)
+        return ENCODERS[self.compression](block.astype(self.kind).tobytes())
+
+
+ENCODERS = {1: bytes, 8: zlib.compress, 32946: zlib.compress}
+
+
+def system_keys(name: str | None) -> tuple[list[int], list[float]]:
+    """GeoTIFF keys of a coordinate system, and the doubles they refer to; those without a code by their parameters."""
+    if name is None:
+        return [1, 1, 0, 1, 1025, 0, 1, 1], []
+    if name.startswith("EPSG:"):
+        degrees, code = name == "EPSG:4326", int(name[5:])
+        return [1, 1, 0, 3, 1024, 0, 1, 2 if degrees else 1, 1025, 0, 1, 1, 2048 if degrees else 3072, 0, 1, code], []
+    p = parameters(normalise(name))
+    polar = abs(p.lat0) == 90
+    # GeoTIFF codes of methods.
+    method = {"tmerc": 1, "merc": 7, "lcc": 8, "laea": 10, "aea": 11, "stere": 15 if polar else 14, "eqc": 17, "sinu": 24, "cea": 28}.get(p.kind)
+    if p.unit != 1 or (method is None and p.lon0) or (p.kind == "lcc" and p.k != 1):
+        raise ValueError(f"{name!r} can't be written as GeoTIFF keys")
+    whole = {1024: 2 if method is None else 1, 1025: 1, 2048: 32767, 2056: 32767}
+    real = {2057: p.a, 2059: p.rf}
+    if method is not None:
+        whole |= {3072: 32767, 3074: 32767, TRANSFORM: method, 3076: 9001}
+        real |= {3080: p.lon0, 3081: p.lat0, 3082: p.x0, 3083: p.y0}
+        real |= {3078: p.lat1, 3079: p.lat2} if p.kind in ("lcc", "aea") else {3078: p.ts} if p.ts is not None else {3092: p.k} if p.kind in ("tmerc", "merc", "stere") else {}
+    places = {k: n for n, k in enumerate(sorted(real))}
+    entries = [x for k in sorted([*whole, *real]) for x in ((k, 0, 1, whole[k]) if k in whole else (k, 34736, 1, places[k]))]
+    return [1, 1, 0, len(entries) // 4, *entries], [float(real[k]) for k in sorted(real)]
+
+
+def directories_of(grid: OutGrid, layout: Layout, bands: int, bodies: list[list[bytes]], names: dict[int, str]) -> tuple[bytes, list[list[int]]]:
+    """The head of a file with a directory for each level, full resolution first, and where the tiles go: those of the coarsest
+    level follow the head. Tiles without bytes have no place."""
+    kind, tile, per_level = layout.kind, layout.tile, []
+    keys, doubles = system_keys(grid.crs)
+    for level, body in enumerate(bodies):
         tags = [
-            (256, 4, [grid.width]), (257, 4, [grid.height]), (258, 3, [kind.itemsize * 8] * n_bands), (259, 3, [8 if compress == "deflate" else 1]), (262, 3, [1]), (277, 3, [n_bands]), (284, 3, [2]), (322, 4, [tile]), (323, 4, [tile]),
-            (324, 16, [0] * len(body)), (325, 4, [len(x) for x in body]), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * n_bands), (33550, 12, [grid.xres, grid.yres, 0.0]), (33922, 12, [0.0, 0.0, 0.0, grid.xmin, grid.ymax, 0.0]), (34735, 3, keys),
+            (254, 4, [1 if level else 0]), (256, 4, [-(-grid.width // 2**level)]), (257, 4, [-(-grid.height // 2**level)]), (258, 3, [kind.itemsize * 8] * bands), (259, 3, [layout.compression]), (262, 3, [1]), (277, 3, [bands]), (284, 3, [2]),
+            *([(317, 3, [layout.predictor])] if layout.predictor != 1 else []), (322, 4, [tile]), (323, 4, [tile]), (324, 16, [0] * len(body)), (325, 4, [len(x) for x in body]), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind.kind]] * bands),
         ]
-        items = "".join(f'<Item name="DESCRIPTION" sample="{b - 1}" role="description">{escape(t)}</Item>' for b, t in sorted(names.items()))
-        tags += [(42112, 2, [f"<GDALMetadata>{items}</GDALMetadata>\0".encode()])] if names else []
-        tags += [(42113, 2, [f"{nodata!r}\0".encode()])] if nodata is not None else []
-
-        def layout(offsets: list[int]) -> bytes:
-            head, extra = [], b""
-            free = 16 + 8 + 20 * len(tags) + 8
+        if not level:
+            tags += [(33550, 12, [grid.xres, grid.yres, 0.0]), (33922, 12, [0.0, 0.0, 0.0, grid.xmin, grid.ymax, 0.0]), (34735, 3, keys), *([(34736, 12, doubles)] if doubles else [])]
+            items = "".join(f'<Item name="DESCRIPTION" sample="{b - 1}" role="description">{escape(t)}</Item>' for b, t in sorted(names.items()))
+            tags += [(42112, 2, [f"<GDALMetadata>{items}</GDALMetadata>\0".encode()])] if names else []
+        tags += [(42113, 2, [f"{layout.nodata!r}\0".encode()])] if layout.nodata is not None else []
+        per_level.append(tags)
+
+    def laid(offsets: list[list[int]]) -> bytes:
+        out = b"II" + struct.pack("<HHHQ", 43, 8, 0, 16)
+        for level, tags in enumerate(per_level):
+            head, extra, free = [], b"", len(out) + 8 + 20 * len(tags) + 8
             for tag, field, vals in tags:
-                vals = offsets if tag == 324 else vals
+                vals = offsets[level] if tag == 324 else vals
                 raw = vals[0] if field == 2 else struct.pack(f"<{len(vals)}{FIELDS[field]}", *vals)
                 inline = raw.ljust(8, b"\0") if len(raw) <= 8 else struct.pack("<Q", free + len(extra))
                 extra += raw if len(raw) > 8 else b""
                 head.append(struct.pack("<HHQ", tag, field, len(raw) if field == 2 else len(vals)) + inline)
-            return b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) + struct.pack("<Q", len(tags)) + b"".join(head) + struct.pack("<Q", 0) + extra
+            follows = free + len(extra) if level + 1 < len(per_level) else 0
+            out += struct.pack("<Q", len(tags)) + b"".join(head) + struct.pack("<Q", follows) + extra
+        return out
+
+    at, offsets = len(laid([[0] * len(body) for body in bodies])), [[0] * len(body) for body in bodies]
+    for level in range(len(bodies) - 1, -1, -1):
+        for n, x in enumerate(bodies[level]):
+            if x:
+                offsets[level][n], at = at, at + len(x)
+    return laid(offsets), offsets
+
 
-        offsets = [len(layout([0] * len(body)))]
-        for x in body[:-1]:
-            offsets.append(offsets[-1] + len(x))
+def files_of(packed: DataFrame, grid: OutGrid, layout: Layout, folder: str | None, bands: int | None, levels: int) -> DataFrame:
+    """(name, path, n_bytes) of the files that packed tiles (PACKED) make, one task a file. Tiles that aren't among them have no
+    bytes in the file. Labels come as tiles of row -1, and numbers of bands, unless all have ``bands``, of row -2."""
+
+    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        have = {(r.level, r.band, r.ty, r.tx): bytes(r.data) for r in rows.itertuples()}
+        names = {b: d.decode() for (_, b, y, _), d in have.items() if y == -1}
+        n = bands if bands is not None else next(b for (_, b, y, _) in have if y == -2)
+        sizes = [(-(-grid.width // 2**v), -(-grid.height // 2**v)) for v in range(levels)]
+        bodies = [[have.get((v, b, y, x), b"") for b in range(1, n + 1) for y in range(-(-h // layout.tile)) for x in range(-(-w // layout.tile))] for v, (w, h) in enumerate(sizes)]
+        head, _ = directories_of(grid, layout, n, bodies, names)
         path = rows["name"].iloc[0] if folder is None else f"{folder}/{rows['name'].iloc[0]}.tif"
         system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         if "/" in inner.strip("/"):
             system.create_dir(inner.rpartition("/")[0], recursive=True)
         with system.open_output_stream(inner) as f:
-            f.write(layout(offsets))
-            for x in body:
-                f.write(x)
-        return pd.DataFrame({"name": [rows["name"].iloc[0]], "path": [path], "n_bytes": [offsets[-1] + len(body[-1])]})
+            f.write(head)
+            for body in reversed(bodies):
+                for x in body:
+                    f.write(x)
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "path": [path], "n_bytes": [len(head) + sum(len(x) for body in bodies for x in body)]})
+
+    return packed.groupBy("name").applyInPandas(assemble, "name string, path string, n_bytes long")
+
+
+def pyramid(values: DataFrame, levels: int, reduce: str = "average") -> DataFrame:
+    """values (name, band, orow, ocol, value; level 0) with ``levels`` - 1 more levels, each made of the one before: a cell is the
+    mean of the up to four cells that have a value, or with ``near`` the first of them by row and column."""
+    if reduce not in ("average", "near"):
+        raise ValueError(f"unknown reduction {reduce!r}")
+    now = values.withColumn("level", F.lit(0))
+    out = now
+    for level in range(1, levels):
+        cell = ["name", "band", F.expr("orow div 2").alias("orow"), F.expr("ocol div 2").alias("ocol")]
+        value = F.avg("value") if reduce == "average" else F.min_by("value", F.struct("orow", "ocol"))
+        now = now.groupBy(*cell).agg(value.alias("value")).withColumn("level", F.lit(level))
+        out = out.unionByName(now)
+    return out
+
+
+def write(values: DataFrame, grid: OutGrid, folder: str | None, bands: int | DataFrame, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None, compress: str = "deflate", labels: DataFrame | None = None, overviews: int = 0, reduce: str = "average") -> DataFrame:
+    """Writes a tiled, band-separate file for each ``name`` and returns (name, path, n_bytes); an existing one is replaced.
+    values has name, band, orow, ocol and value; absent cells get nodata, else 0, and tiles without any cell take no bytes.
+    The file is folder/name.tif, or without a folder the name itself. bands is the number of bands, or a table (name, bands)
+    of all files to be made. labels (name, band, label), if given, become the bands' descriptions. overviews more levels, each
+    half as large, are made by ``reduce`` (see pyramid). Lazily: an action on the result writes."""
+    if compress not in ("deflate", "none"):
+        raise ValueError(f"unsupported compression {compress!r}")
+    fixed = bands if isinstance(bands, int) else None
+    layout = Layout(dtype, tile, 8 if compress == "deflate" else 1, 1, nodata)
+    place = (F.col("orow") % tile) * tile + F.col("ocol") % tile
+    cells = pyramid(values.select(F.col(name).alias("name"), "band", F.col("orow").cast("long").alias("orow"), F.col("ocol").cast("long").alias("ocol"), F.col("value").cast("double").alias("value")), overviews + 1, reduce)
+    blocks = cells.groupBy("name", "level", "band", F.expr(f"orow div {tile}").alias("ty"), F.expr(f"ocol div {tile}").alias("tx")).agg(F.collect_list(F.struct(place.cast("int").alias("at"), "value")).alias("data"))
+
+    def packing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for level, own in zip(rows.level, rows.data, strict=True):
+                block = np.full(tile * tile, float(nodata or 0))
+                values = np.array([c["value"] for c in own])
+                block[[c["at"] for c in own]] = np.rint(values) if level and layout.kind.kind != "f" else values
+                out.append(layout.packed(block))
+            yield rows.drop(columns="data").assign(data=out)
 
-    packed = blocks.mapInPandas(packing, "name string, band int, ty long, tx long, data binary")
+    packed = blocks.mapInPandas(packing, PACKED)
     # Labels and numbers of bands travel as tiles above the first row.
-    above = lambda ty, band, data: [F.col("name"), F.col(band).cast("int").alias("band"), F.lit(ty).cast("long").alias("ty"), F.lit(0).cast("long").alias("tx"), data.cast("binary").alias("data")]
+    above = lambda ty, band, data: [F.col("name"), F.lit(0).alias("level"), F.col(band).cast("int").alias("band"), F.lit(ty).cast("long").alias("ty"), F.lit(0).cast("long").alias("tx"), data.cast("binary").alias("data")]
     if labels is not None:
         packed = packed.unionByName(labels.select(*above(-1, "band", F.col("label"))))
     if fixed is None:
         packed = packed.unionByName(bands.select(*above(-2, "bands", F.lit(""))))
-    return packed.groupBy("name").applyInPandas(assemble, "name string, path string, n_bytes long")
+    return files_of(packed, grid, layout, folder, fixed, overviews + 1)
+
+
+def copy_layout(src: str, level: int, window: tuple[int, int, int, int], nodata: float | None) -> Layout | None:
+    """The layout in which a window (xoff, yoff, xsize, ysize) of a file's level can be copied tile by tile: it begins on a
+    tile's corner, bands are apart, tiles are square, and where it cuts a tile that can be packed anew. Else None."""
+    with open_file(src) as f:
+        order, images = directories(f)
+    own, (xoff, yoff, xsize, ysize) = images[level - 1], window
+    if "tile_width" not in own or own["tile_width"] != own["tile_height"] or len(set(own["bits"])) > 1 or own["bits"][0] not in (8, 16, 32, 64):
+        return None
+    side, how, predictor = own["tile_width"][0], own["compression"][0], own["predictor"][0]
+    cuts = (xoff + xsize < own["width"][0] and xsize % side) or (yoff + ysize < own["height"][0] and ysize % side)
+    apart = own["planar"][0] == 2 or own["bands"][0] == 1
+    kind = {1: "u", 2: "i", 3: "f"}.get(own["format"][0])
+    if not apart or order != "<" or xoff % side or yoff % side or kind is None or how not in DECODERS or (cuts and (how not in ENCODERS or predictor != 1)):
+        return None
+    return Layout(f"{kind}{own['bits'][0] // 8}", side, how, predictor, nodata)
+
+
+def copied_tiles(planned: DataFrame, bands: list[int], layout: Layout, name: str) -> DataFrame:
+    """The tiles (PACKED) of a window that copy_layout() found fit, as the bytes that the source has; a tile that the window cuts
+    is packed anew. No pixel is a row, and nothing is shuffled but the tiles' places."""
+    side = layout.tile
+    span = lambda off, size: F.sequence(F.expr(f"{off} div {side}"), F.expr(f"({off} + {size} - 1) div {side}"))
+    wanted = planned.withColumn("ty", F.explode(span("yoff", "ysize"))).withColumn("tx", F.explode(span("xoff", "xsize")))
+    wanted = wanted.select("src", "level", "ty", "tx", "xoff", "yoff", "xsize", "ysize", "n_bands", F.coalesce("nodata", F.lit(0.0)).alias("fill")).repartition("src", "ty", "tx")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for (src, level), part in rows.groupby(["src", "level"]):
+                out = []
+                with open_file(src) as f:
+                    order, images = directories(f)
+                    own = images[level - 1]
+                    across, down = (-(-own[n][0] // side) for n in ("width", "height"))
+                    for r in part.itertuples():
+                        right, bottom = r.xoff + r.xsize - r.tx * side, r.yoff + r.ysize - r.ty * side
+                        cut = (right < side and r.xoff + r.xsize < own["width"][0]) or (bottom < side and r.yoff + r.ysize < own["height"][0])
+                        for place, b in enumerate(bands, 1):
+                            n = (b - 1) * across * down + r.ty * across + r.tx
+                            if not own["sizes"][n]:
+                                continue
+                            f.seek(own["offsets"][n])
+                            raw = f.read(own["sizes"][n])
+                            if cut:
+                                block = decode(raw, own, order, 1)[:, :, 0].copy()
+                                block[max(bottom, 0) :], block[:, max(right, 0) :] = r.fill, r.fill
+                                raw = layout.packed(block)
+                            out.append((name, 0, place, r.ty - r.yoff // side, r.tx - r.xoff // side, raw))
+                yield pd.DataFrame(out, columns=["name", "level", "band", "ty", "tx", "data"])
+
+    return wanted.mapInPandas(run, PACKED)
 
 
 def numbered(spark, paths: list[str]) -> DataFrame:
