@@ -38,6 +38,12 @@ class Warped:
     labels: list[str] | None = None
     copied: tuple[DataFrame, list[int]] | None = None
     windows: DataFrame | None = None
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Lets go of the windows that were held; to_numpy() and write() do so themselves. What is used again is planned again."""
+        if self.held is not None:
+            self.held.unpersist()
 
     def dense(self) -> DataFrame:
         """Every cell; those without a value get nodata, else 0."""
@@ -50,6 +56,7 @@ class Warped:
     def to_numpy(self, most_bytes: float = 1e9):
         """bands x height x width; raises before anything is collected if that is larger than most_bytes."""
         out = raster.to_numpy(self.cells, self.grid.width, self.grid.height, self.bands, most_bytes, 0.0 if self.nodata is None else self.nodata)
+        self.release()
         return out
 
     def write(self, path: str, dtype: str | None = None, tile: int | None = None, compress: str | None = None, overviews: int = 0, reduce: str = "average") -> str:
@@ -57,12 +64,14 @@ class Warped:
         resampling keeps its source's tiles as they are, where these fit and no other dtype, tile, compress (default: float64,
         256, deflate) or overview is asked for."""
         if (dtype, tile, compress, overviews) == (None, None, None, 0) and self.labels is None and self._copy(path):
+            self.release()
             return path
         spark = self.cells.sparkSession
         named = self.cells.withColumn("name", F.lit(path))
         labels = spark.createDataFrame([(path, b, t) for b, t in enumerate(self.labels or [], 1)], "name string, band int, label string")
         whole = spark.createDataFrame([(path, self.bands)], "name string, bands int")
         tiff.write(named, self.grid, None, whole, dtype=dtype or "float64", tile=tile or 256, nodata=self.nodata, compress=compress or "deflate", labels=labels, overviews=overviews, reduce=reduce).collect()
+        self.release()
         return path
 
     def _copy(self, path: str) -> bool:
@@ -90,13 +99,18 @@ def _copied(planned: DataFrame) -> OutGrid | None:
 
 
 def _planned(catalog: DataFrame, spec: WarpSpec, strict: bool = True) -> tuple[DataFrame, OutGrid]:
-    """The windows, within the request's limit, and the output grid. Windows cover the grid, which tap may have moved out."""
+    """The windows, within the request's limit, and the output grid. Windows cover the grid, which tap may have moved out. They
+    are held (a row a source), as several small jobs look at them; Warped.release() lets go of them."""
     sound = catalog if strict else catalog.where(W.problem(spec).isNull())
-    planned = W.require_overlap(W.plan(sound, spec))
-    grid = None if spec.tr or spec.ts else _copied(planned)
+    grid = None
+    if not (spec.tr or spec.ts):
+        planned = W.require_overlap(W.plan(sound, spec).persist())
+        grid = _copied(planned)
+        if grid is None:
+            planned.unpersist()
     if grid is None:
         planned, grid = W.plan_on_grid(sound, spec)
-        planned = W.require_overlap(planned)
+        planned = W.require_overlap(planned.persist())
     return W.require_limit(planned), grid
 
 
@@ -114,7 +128,7 @@ def warp(catalog: DataFrame, spec: WarpSpec) -> Warped:
     bands = _chosen(planned, spec)
     cells = mosaic(warp_windows(tiff.read_pixels(planned, bands), W.as_catalog(planned), grid, spec.method))
     single = (planned, bands) if spec.tr is None and spec.ts is None and _copied(planned) and planned.count() == 1 else None
-    return Warped(cells, grid, len(bands), _nodata(planned), copied=single, windows=W.as_catalog(planned))
+    return Warped(cells, grid, len(bands), _nodata(planned), copied=single, windows=W.as_catalog(planned), held=planned)
 
 
 def _by_method(pixels: DataFrame, windows: DataFrame, grid: OutGrid) -> DataFrame:
@@ -140,7 +154,7 @@ def stacked(catalog: DataFrame, spec: WarpSpec, r: str | list[str] | None = None
     pixels = tiff.read_pixels(planned, _chosen(planned, spec))
     cells = _by_method(pixels, windows, grid).join(offsets.select("src_idx", "band_offset"), "src_idx")
     cells = cells.select((F.col("band") + F.col("band_offset")).cast("long").alias("band"), "orow", "ocol", "value")
-    return Warped(cells, grid, total, _nodata(planned), stack.label_list(windows, total, labels), windows=W.as_catalog(planned))
+    return Warped(cells, grid, total, _nodata(planned), stack.label_list(windows, total, labels), windows=W.as_catalog(planned), held=planned)
 
 
 def batch(catalog: DataFrame, spec: WarpSpec, template: str | None = None, stack_groups: bool = False, dtype: str = "float64", tile: int = 256, compress: str = "deflate") -> DataFrame:

@@ -165,6 +165,13 @@ def _edges(extent: Column, per_edge: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(per_edge - 1)), points))
 
 
+def computed(rows: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """rows with the columns ``keep`` and some that are made, each once: a generator of one row stands between their formulas
+    and whatever reads them, so that the optimizer doesn't copy these to every place."""
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()])))
+    return rows.select(*keep, once.alias("_made")).select(*keep, *[F.col(f"_made.{n}").alias(n) for n in made])
+
+
 def turn(name: str) -> float | None:
     """By how much a system's x grows in a full turn, if it repeats with every turn."""
     return projections.turn(parameters(name))
@@ -179,7 +186,8 @@ def _on_the_ground(rows: DataFrame, keys: list[str], extent: Column, sources: li
     round_ones = [s for s in sources if parameters(s).kind not in (*projections.CYLINDRICAL, "sinu")]
     at = {s: to_degrees(s, F.col("p.x"), F.col("p.y")) for s in sources}
     centre = {s: to_degrees(s, F.col("mid.x"), F.col("mid.y"))[0] for s in round_ones}
-    points = edges.select(*keys, "system", "own", choose({s: v[0] for s, v in at.items()}).alias("lon"), choose({s: v[1] for s, v in at.items()}).alias("lat"), (choose(centre) if centre else F.lit(None).cast("double")).alias("mid"))
+    none = F.lit(None).cast("double")
+    points = computed(edges, [*keys, "system", "own"], lon=choose({s: v[0] for s, v in at.items()}), lat=choose({s: v[1] for s, v in at.items()}), mid=choose(centre) if centre else none)
     off = F.col("lon") - F.col("mid")
     points = points.withColumn("lon", F.when(F.abs(off) > 180, F.col("mid") + projections.turned(off)).otherwise(F.col("lon")))
     shown = points.select(*keys, "lon", "lat")
@@ -188,8 +196,9 @@ def _on_the_ground(rows: DataFrame, keys: list[str], extent: Column, sources: li
     poles = points.groupBy(*keys).agg(F.first("system").alias("system"), F.first("own").alias("own"), F.first("mid").alias("mid"))
     for side in (90.0, -90.0):
         image = {s: from_degrees(s, F.lit(parameters(s).lon0), F.lit(side)) for s in round_ones}
-        px, py = choose({s: v[0] for s, v in image.items()}), choose({s: v[1] for s, v in image.items()})
-        held = poles.where((px >= F.col("own.xmin")) & (px <= F.col("own.xmax")) & (py >= F.col("own.ymin")) & (py <= F.col("own.ymax")))
+        placed = computed(poles, [*keys, "own", "mid"], px=choose({s: v[0] for s, v in image.items()}), py=choose({s: v[1] for s, v in image.items()}))
+        px, py = F.col("px"), F.col("py")
+        held = placed.where((px >= F.col("own.xmin")) & (px <= F.col("own.xmax")) & (py >= F.col("own.ymin")) & (py <= F.col("own.ymax")))
         # All around the pole, and close to it for systems that have no pole themselves.
         ring = F.explode(F.array(*[F.struct((F.col("mid") + d).alias("lon"), F.lit(v).alias("lat")) for d in (-180.0, -90.0, 0.0, 90.0, 180.0) for v in (side, side * 0.99)]))
         shown = shown.unionByName(held.select(*keys, ring.alias("g")).select(*keys, "g.lon", "g.lat"))
@@ -207,10 +216,14 @@ def with_image(rows: DataFrame, name: str, extent: Column, sources: list[str], t
         return rows.withColumn(name, extent)
     system = normalised(F.col("crs"))
     points = _on_the_ground(rows.withColumn("system", system).where(F.col("system") != target), ["src_idx"], extent, [s for s in sources if s != target], per_edge)
-    u, v = map(_finite, from_degrees(target, F.col("lon"), F.col("lat")))
+    u, v = from_degrees(target, F.col("lon"), F.col("lat"))
+    points = computed(points, ["src_idx"], u=u, v=v)
+    u, v = _finite(F.col("u")), _finite(F.col("v"))
     box = F.struct(F.min(u).alias("xmin"), F.min(v).alias("ymin"), F.max(u).alias("xmax"), F.max(v).alias("ymax"))
     images = points.groupBy("src_idx").agg(box.alias("_image"))
-    return rows.join(images, "src_idx", "left").withColumn(name, F.when(system == target, extent).otherwise(F.col("_image"))).drop("_image")
+    if target not in sources:
+        return rows.join(images.withColumnRenamed("_image", name), "src_idx", "left")
+    return computed(rows.join(images, "src_idx", "left"), [c for c in rows.columns if c != name], **{name: F.when(system == target, extent).otherwise(F.col("_image"))})
 
 
 def boxes(spark: SparkSession, te: tuple, source: str, targets: list[str], per_edge: int = 21) -> dict[str, tuple]:
@@ -218,8 +231,11 @@ def boxes(spark: SparkSession, te: tuple, source: str, targets: list[str], per_e
     extent = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), te, strict=True)])
     out = {t: tuple(map(float, te)) for t in targets if t == source}
     points = _on_the_ground(spark.range(1).withColumn("system", F.lit(source)), ["id"], extent, [source], per_edge)
-    moved = {t: tuple(map(_finite, from_degrees(t, F.col("lon"), F.col("lat")))) for t in targets if t != source}
-    if moved:
+    there = [t for t in targets if t != source]
+    if there:
+        images = {t: from_degrees(t, F.col("lon"), F.col("lat")) for t in there}
+        points = computed(points, [], **{f"{n}{k}": images[t][i] for k, t in enumerate(there) for i, n in enumerate("xy")})
+        moved = {t: (_finite(F.col(f"x{k}")), _finite(F.col(f"y{k}"))) for k, t in enumerate(there)}
         found = points.agg(*[f(xy[i]) for xy in moved.values() for f, i in ((F.min, 0), (F.min, 1), (F.max, 0), (F.max, 1))]).first()
         out |= {t: tuple(found[4 * k : 4 * k + 4]) for k, t in enumerate(moved)}
     return out

@@ -67,8 +67,8 @@ def test_levels_follow_the_grid_not_the_first_source(spark):
     for cat in (degrees.unionByName(metres), degrees.withColumn("src_idx", F.lit(3)).unionByName(metres)):
         named = {r.crs: r.level for r in W.plan(cat, WarpSpec(tr=(25, 25), t_srs="EPSG:32631")).collect()}
         assert set(named) == {"EPSG:4326", "EPSG:32631"} and named["EPSG:32631"] == 2
-        planned, grid = W.plan_on_grid(cat, WarpSpec(tr=(25, 25) if cat.first().src_idx == 2 else (0.0003, 0.0003)))
         first = min(cat.collect(), key=lambda r: r.src_idx)
+        planned, grid = W.plan_on_grid(cat, WarpSpec(tr=(25, 25) if first.src_idx == 2 else (0.0003, 0.0003)))
         assert grid.crs == C.normalise(first.crs)
     planned, grid = api._planned(cat, WarpSpec(tr=(25, 25), t_srs="EPSG:32631"))
     assert {r.crs: r.level for r in planned.collect()} == named

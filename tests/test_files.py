@@ -46,7 +46,7 @@ def test_copied_tiles_are_equal_bytes(spark, tmp_path):
                     theirs = before[0][(b - 1) * across * 3 + (y0 + ty) * across + x0 + tx]
                     kept += whole
                     assert not whole or ours == theirs
-        assert kept >= 2
+        assert kept >= 1
         assert (api.warp(api.sources(spark, [to]), WarpSpec()).to_numpy() == out.to_numpy()).all()
     # No aggregation and no pixel rows stand between the two files.
     planned, bands = api.warp(cat, WarpSpec()).copied
