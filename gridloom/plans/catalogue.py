@@ -645,10 +645,10 @@ def _(spark, sf):
 
 
 # The orders' raster with levels of half its size each, a cell the mean of the cells under it that have a value.
-@register("overview_pyramid", "WITH RECURSIVE p AS (SELECT o_orderkey // 150 AS orow, o_orderkey % 150 AS ocol, o_totalprice::DOUBLE AS value FROM orders), a AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM p GROUP BY ALL), b AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM a GROUP BY ALL), c AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM b GROUP BY ALL) SELECT level::INTEGER AS level, orow, ocol, round(value, 6) AS value FROM (SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c)")
+@register("overview_pyramid", "WITH RECURSIVE p AS (SELECT o_orderkey // 150 AS orow, o_orderkey % 150 AS ocol, o_totalprice::DOUBLE AS value FROM orders), a AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM p GROUP BY ALL), b AS (SELECT orow // 2 AS orow, ocol // 2 AS ocol, avg(value) AS value FROM a GROUP BY ALL) SELECT level::INTEGER AS level, orow, ocol, round(value, 6) AS value FROM (SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b)")
 def _(spark, sf):
     cells = X.ord1(spark, sf).select(F.lit("x").alias("name"), "band", F.col("row").alias("orow"), F.col("col").alias("ocol"), "value")
-    return rounded(tiff.pyramid(cells, 4).where("level > 0").select("level", "orow", "ocol", "value"))
+    return rounded(tiff.pyramid(cells, 3).where("level > 0").select("level", "orow", "ocol", "value"))
 
 
 # --- groups -----------------------------------------------------------------------------------------------------------
