@@ -97,24 +97,75 @@ def relist(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("group_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("band_pos", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def stack_stream(done: DataFrame, group_type: str = "long", payload_type: str = "string") -> DataFrame:
-    """As stacked(), over a stream whose rows also carry ``need``, the group's number of windows: a group comes out once,
-    when its last window arrives, and its state is freed. The order of arrival and the batch size don't matter."""
+def window_stream(planned: DataFrame, folder: str, per_file: int = 64, files_per_batch: int = 8) -> DataFrame:
+    """Planned windows (see needed) as a stream that admits at most per_file x files_per_batch of them a batch (twice as many
+    in the first after a stop, if some had been admitted and not taken), groups after each other. They are written to folder first, unless it has them already; so a query that was stopped goes on from its
+    checkpoint, over the same files, where it was."""
+    spark = planned.sparkSession
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        near = planned.repartitionByRange("group_idx", "band_pos").sortWithinPartitions("group_idx", "band_pos")
+        near.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(folder)
+    return spark.readStream.schema(planned.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
-    def collect(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        positions, payloads, failed = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], False)
-        need = None
-        for rows in batches:
-            positions += rows.band_pos.tolist()
-            payloads += [None if p is None or p is pd.NA or p != p else p for p in rows.payload]
-            failed = bool(failed) or bool(rows.error.notna().any())
-            need = int(rows.need.max())
-        if need is not None and len(positions) >= need:
-            state.remove()
-            order = sorted(range(len(positions)), key=lambda i: (positions[i], payloads[i] is not None, payloads[i]) if payloads[i] is not None else (positions[i], False))
-            yield pd.DataFrame({"group_idx": [key[0]], "failed": [failed], "n_windows": [len(positions)], "payloads": [None if failed else [payloads[i] for i in order]]})
-        elif need is not None:
-            state.update((positions, payloads, failed))
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stack_stream(done: DataFrame, group_type: str = "long", payload_type: str = "string", patience: int | None = None) -> DataFrame:
+    """As stacked(), over a stream whose rows also carry ``need``, the group's number of windows: a group comes out once,
+    when its last window arrives, and its state is freed. The order of arrival and the batch size don't matter.
+
+    A window's payload is written to the state once, under its own key, and not at all once its group has failed; what is
+    rewritten with each batch is the group's count. With patience (seconds), a group whose windows stay away for so long
+    comes out as failed with those that came; a window that comes later still begins the group anew. The session's state
+    store becomes RocksDB, which keyed states need."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Groups(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.count = handle.getValueState("count", "n long, need long, failed boolean, due long")
+            self.windows = handle.getMapState("windows", "band_pos long, at long", f"payload {payload_type}")
+
+        def finished(self, key, n, failed):
+            payloads = None
+            if not failed:
+                have = [(k[0], v[0]) for k, v in self.windows.iterator()]
+                # Windows of equal place come in the order of their payloads, those without one first.
+                have.sort(key=lambda x: (x[0], x[1] is not None, x[1] if x[1] is not None else 0))
+                payloads = [p for _, p in have]
+            self.count.clear()
+            self.windows.clear()
+            return pd.DataFrame({"group_idx": [key[0]], "failed": [failed], "n_windows": [n], "payloads": [payloads]})
+
+        def handleInputRows(self, key, rows, timerValues):
+            n, need, failed, due = self.count.get() if self.count.exists() else (0, 0, False, None)
+            for part in rows:
+                for pos, payload, error, most in zip(part.band_pos, part.payload, part.error, part.need, strict=True):
+                    failed, need, n = failed or not pd.isna(error), int(most), n + 1
+                    if not failed:
+                        self.windows.updateValue((int(pos), n), (None if payload is None or payload is pd.NA or payload != payload else payload,))
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if n >= need:
+                yield self.finished(key, n, failed)
+                return
+            if failed:
+                self.windows.clear()
+            if patience is not None:
+                due = timerValues.getCurrentProcessingTimeInMs() + patience * 1000
+                self.handle.registerTimer(due)
+            self.count.update((n, need, failed, due))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.count.exists():
+                yield self.finished(key, self.count.get()[0], True)
+
+        def close(self):
+            pass
+
+    done.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = f"group_idx {group_type}, failed boolean, n_windows long, payloads array<{payload_type}>"
-    return done.groupBy("group_idx").applyInPandasWithState(collect, out, f"positions array<long>, payloads array<{payload_type}>, failed boolean", "append", "NoTimeout")
+    return done.groupBy("group_idx").transformWithStateInPandas(Groups(), out, "append", "none" if patience is None else "processingTime")
