@@ -17,12 +17,14 @@ from gridloom.operators import raster, stack
 from gridloom.operators.warp import covered_blocks, dense, dense_blocks, mosaic, warp_windows
 from gridloom.plans import windows as W
 from gridloom.plans.spec import OutGrid, WarpSpec, methods_for
-from gridloom.sources import tiff
+from gridloom.sources import datasource, tiff
+from gridloom.sources.shipping import ship
 from gridloom.streaming import batch as groups
 
 
 def sources(spark: SparkSession, paths: list[str] | DataFrame, strict: bool = True) -> DataFrame:
-    """The catalog of paths, or of a table (src, src_idx, and whatever else)."""
+    """The catalog of paths, or of a table (src, src_idx, and whatever else). Sends the package to the executors first."""
+    ship(spark)
     return tiff.catalog(paths if isinstance(paths, DataFrame) else tiff.numbered(spark, paths), strict)
 
 
@@ -74,6 +76,13 @@ class Warped:
         self.release()
         return path
 
+    def write_blocks(self, folder: str, block: int = 8192, dtype: str = "float64", tile: int = 256, overviews: int = 0, reduce: str = "average") -> str:
+        """As write(), but a folder of files, one for each block x block cells that have a value, put together by many tasks
+        (sources/datasource.py): for grids that are too large for a task to join. Its files are the sources of a mosaic."""
+        datasource.write_blocks(self.cells, self.grid, self.bands, folder, block, tiff.Layout(dtype, tile, 8, 1, self.nodata), overviews, reduce)
+        self.release()
+        return folder
+
     def _copy(self, path: str) -> bool:
         """Whether the file was made of its source's own tiles."""
         if self.copied is None:
@@ -164,6 +173,7 @@ def batch(catalog: DataFrame, spec: WarpSpec, template: str | None = None, stack
     the template ``dir/stem.ext``, or ``out``, a path for each output; and ``method``. An output is a source, or with
     stack_groups a whole group. A source that can't be read costs its output, or its group; one that the request doesn't
     overlap has no output, or is left out of its group. Such outputs have no path."""
+    ship(catalog.sparkSession)
     for name in ("group_name", "band_name"):
         catalog = catalog if name in catalog.columns else catalog.withColumn(name, F.lit(None).cast("string"))
     keys = ["group_idx"] if stack_groups else ["group_idx", "band_pos"]

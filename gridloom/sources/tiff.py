@@ -369,6 +369,13 @@ def directories_of(grid: OutGrid, layout: Layout, bands: int, bodies: list[list[
     return laid(offsets), offsets
 
 
+def laid_out(grid: OutGrid, layout: Layout, bands: int, levels: int, have: dict[tuple, bytes], names: dict[int, str] | None = None) -> tuple[bytes, list[list[bytes]]]:
+    """A file's head, and the tiles of each level in their order, from tiles by (level, band, ty, tx)."""
+    sizes = [(-(-grid.width // 2**v), -(-grid.height // 2**v)) for v in range(levels)]
+    bodies = [[have.get((v, b, y, x), b"") for b in range(1, bands + 1) for y in range(-(-h // layout.tile)) for x in range(-(-w // layout.tile))] for v, (w, h) in enumerate(sizes)]
+    return directories_of(grid, layout, bands, bodies, names or {})[0], bodies
+
+
 def files_of(packed: DataFrame, grid: OutGrid, layout: Layout, folder: str | None, bands: int | None, levels: int) -> DataFrame:
     """(name, path, n_bytes) of the files that packed tiles (PACKED) make, one task a file. Tiles that aren't among them have no
     bytes in the file. Labels come as tiles of row -1, and numbers of bands, unless all have ``bands``, of row -2."""
@@ -379,9 +386,7 @@ def files_of(packed: DataFrame, grid: OutGrid, layout: Layout, folder: str | Non
         have = {(r.level, r.band, r.ty, r.tx): bytes(r.data) for r in rows.itertuples()}
         names = {b: d.decode() for (_, b, y, _), d in have.items() if y == -1}
         n = bands if bands is not None else next(b for (_, b, y, _) in have if y == -2)
-        sizes = [(-(-grid.width // 2**v), -(-grid.height // 2**v)) for v in range(levels)]
-        bodies = [[have.get((v, b, y, x), b"") for b in range(1, n + 1) for y in range(-(-h // layout.tile)) for x in range(-(-w // layout.tile))] for v, (w, h) in enumerate(sizes)]
-        head, _ = directories_of(grid, layout, n, bodies, names)
+        head, bodies = laid_out(grid, layout, n, levels, have, names)
         path = rows["name"].iloc[0] if folder is None else f"{folder}/{rows['name'].iloc[0]}.tif"
         system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         if "/" in inner.strip("/"):
@@ -411,31 +416,37 @@ def pyramid(values: DataFrame, levels: int, reduce: str = "average") -> DataFram
     return out
 
 
-def write(values: DataFrame, grid: OutGrid, folder: str | None, bands: int | DataFrame, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None, compress: str = "deflate", labels: DataFrame | None = None, overviews: int = 0, reduce: str = "average") -> DataFrame:
-    """Writes a tiled, band-separate file for each ``name`` and returns (name, path, n_bytes); an existing one is replaced.
-    values has name, band, orow, ocol and value; absent cells get nodata, else 0, and tiles without any cell take no bytes.
-    The file is folder/name.tif, or without a folder the name itself. bands is the number of bands, or a table (name, bands)
-    of all files to be made. labels (name, band, label), if given, become the bands' descriptions. overviews more levels, each
-    half as large, are made by ``reduce`` (see pyramid). Lazily: an action on the result writes."""
-    if compress not in ("deflate", "none"):
-        raise ValueError(f"unsupported compression {compress!r}")
-    fixed = bands if isinstance(bands, int) else None
-    layout = Layout(dtype, tile, 8 if compress == "deflate" else 1, 1, nodata)
+def pack(values: DataFrame, layout: Layout, overviews: int = 0, reduce: str = "average") -> DataFrame:
+    """The tiles (PACKED) of name, band, orow, ocol and value, and of as many overviews (see pyramid)."""
+    tile = layout.tile
     place = (F.col("orow") % tile) * tile + F.col("ocol") % tile
-    cells = pyramid(values.select(F.col(name).alias("name"), "band", F.col("orow").cast("long").alias("orow"), F.col("ocol").cast("long").alias("ocol"), F.col("value").cast("double").alias("value")), overviews + 1, reduce)
+    cells = pyramid(values.select("name", "band", F.col("orow").cast("long").alias("orow"), F.col("ocol").cast("long").alias("ocol"), F.col("value").cast("double").alias("value")), overviews + 1, reduce)
     blocks = cells.groupBy("name", "level", "band", F.expr(f"orow div {tile}").alias("ty"), F.expr(f"ocol div {tile}").alias("tx")).agg(F.collect_list(F.struct(place.cast("int").alias("at"), "value")).alias("data"))
 
     def packing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for level, own in zip(rows.level, rows.data, strict=True):
-                block = np.full(tile * tile, float(nodata or 0))
+                block = np.full(tile * tile, float(layout.nodata or 0))
                 values = np.array([c["value"] for c in own])
                 block[[c["at"] for c in own]] = np.rint(values) if level and layout.kind.kind != "f" else values
                 out.append(layout.packed(block))
             yield rows.drop(columns="data").assign(data=out)
 
-    packed = blocks.mapInPandas(packing, PACKED)
+    return blocks.mapInPandas(packing, PACKED)
+
+
+def write(values: DataFrame, grid: OutGrid, folder: str | None, bands: int | DataFrame, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None, compress: str = "deflate", labels: DataFrame | None = None, overviews: int = 0, reduce: str = "average") -> DataFrame:
+    """Writes a tiled, band-separate file for each ``name`` and returns (name, path, n_bytes); an existing one is replaced.
+    values has name, band, orow, ocol and value; absent cells get nodata, else 0, and tiles without any cell take no bytes.
+    The file is folder/name.tif, or without a folder the name itself. bands is the number of bands, or a table (name, bands)
+    of all files to be made. labels (name, band, label), if given, become the bands' descriptions. overviews more levels, each
+    half as large, are made by ``reduce`` (see pyramid). Lazily: an action on the result writes."""
+    if compress not in ("deflate", "none"):
+        raise ValueError(f"unsupported compression {compress!r}")
+    fixed = bands if isinstance(bands, int) else None
+    layout = Layout(dtype, tile, 8 if compress == "deflate" else 1, 1, nodata)
+    packed = pack(values.select(F.col(name).alias("name"), "band", "orow", "ocol", "value"), layout, overviews, reduce)
     # Labels and numbers of bands travel as tiles above the first row.
     above = lambda ty, band, data: [F.col("name"), F.lit(0).alias("level"), F.col(band).cast("int").alias("band"), F.lit(ty).cast("long").alias("ty"), F.lit(0).cast("long").alias("tx"), data.cast("binary").alias("data")]
     if labels is not None:
