@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import raster, stack
 from gridloom.operators.warp import covered_blocks, dense, dense_blocks, mosaic, warp_windows
 from gridloom.plans import windows as W
+from gridloom.plans.preflight import preflight as _preflight
 from gridloom.plans.spec import OutGrid, WarpSpec, methods_for
 from gridloom.sources import datasource, tiff
 from gridloom.sources.shipping import ship
@@ -181,11 +182,11 @@ def batch(catalog: DataFrame, spec: WarpSpec, template: str | None = None, stack
     outputs = groups.require_distinct(outputs).drop("n_same")
     method = F.coalesce("method", F.lit(spec.method)) if "method" in catalog.columns else F.lit(spec.method)
     own = catalog.select("src_idx", "group_idx", "band_pos", method.alias("method"))
-    planned, grid = _planned(catalog, spec, strict=False)
+    unfit = _preflight(catalog, spec).where("error is not null").select("src_idx", "error").persist()
+    planned, grid = _planned(catalog.join(unfit.select("src_idx"), "src_idx", "left_anti"), spec, strict=False)
     bands = _chosen(planned, spec)
     tiles = tiff.read_tiles(planned, bands).persist(StorageLevel.DISK_ONLY)  # read once, looked at for errors first; see release
     unread = tiles.where("error is not null").groupBy("src_idx").agg(F.min("error").alias("error"))
-    unfit = catalog.select("src_idx", F.coalesce("error", W.problem(spec)).alias("error")).where("error is not null")
     failed = unread.unionByName(unfit).join(own, "src_idx").groupBy(*keys).agg(F.min("error").alias("error"))
     sound = planned.join(own, "src_idx").join(failed.select(*keys), keys, "left_anti")
     named = sound.join(outputs, keys)
@@ -207,6 +208,11 @@ def batch(catalog: DataFrame, spec: WarpSpec, template: str | None = None, stack
     return out.select(*keys, F.col("made").alias("path"), "error", F.coalesce("n_windows", F.lit(0)).alias("n_windows"))
 
 
+def preflight(catalog: DataFrame, spec: WarpSpec) -> DataFrame:
+    """src_idx, src and error (null: none) of every source: what the request would fail on, before any tile is read."""
+    return _preflight(catalog, spec)
+
+
 def info(catalog: DataFrame) -> DataFrame:
     """Eight facts of each source, as text."""
     return W.described(catalog)

@@ -15,6 +15,7 @@ from gridloom.operators.resample import FOOTPRINT, REACH
 from gridloom.operators.warp import covered_blocks, dense, dense_blocks, gather, mosaic, scatter, warp_windows
 from gridloom.plans import fixtures as X
 from gridloom.plans import windows as W
+from gridloom.plans.preflight import preflight
 from gridloom.plans.spec import METHODS, OutGrid, WarpSpec
 from gridloom.sources import dispatch as D
 from gridloom.sources import tiff
@@ -651,6 +652,24 @@ def _(spark, sf):
     return rounded(tiff.pyramid(cells, 3).where("level > 0").select("level", "orow", "ocol", "value"))
 
 
+# --- a request tried out ----------------------------------------------------------------------------------------------
+
+FAULT = """CASE WHEN src_idx % 10 = 1 THEN 'no coordinate system in ' WHEN n_bands < 2 THEN 'no band 2 in ' WHEN src_idx % 10 = 3 THEN 'a transform that can''t be inverted in '
+  WHEN src_idx % 10 = 6 THEN 'no tiles in ' WHEN src_idx % 10 = 2 THEN 'an unknown coordinate system in ' WHEN src_idx % 10 = 4 THEN 'no image in EPSG:3857 of ' WHEN src_idx % 10 = 5 THEN 'an image in EPSG:3857 that doesn''t lead back to ' END"""
+
+
+@register("preflight", f"SELECT src_idx, {FAULT} || src AS error FROM ({SRC})")
+def _(spark, sf):
+    """Suppliers' sources with faults of every kind: in the header, and far outside what their system can show."""
+    k = F.col("src_idx") % 10
+    crs = F.when(k == 1, F.lit(None)).when(k == 2, "EPSG:9999").otherwise(F.col("crs"))
+    east = F.col("gt.gt0") + F.when(k == 4, 1e12).when(k == 5, 3e7).otherwise(0.0)
+    cell = F.when(k == 3, 0.0).otherwise(F.col("gt.gt1"))
+    gt = F.struct(east.alias("gt0"), cell.alias("gt1"), *[F.col(f"gt.gt{i}").alias(f"gt{i}") for i in range(2, 6)])
+    levels = F.transform("levels", lambda v: F.struct(v["level"], v["width"], v["height"], F.when(k != 6, v["tile_width"]).alias("tile_width"), v["tile_height"]))
+    return preflight(X.sources(spark, sf).withColumns({"crs": crs, "gt": gt, "levels": levels}), WarpSpec(t_srs="EPSG:3857", bands=(2,))).select("src_idx", "error")
+
+
 # --- groups -----------------------------------------------------------------------------------------------------------
 
 
