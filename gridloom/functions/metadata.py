@@ -75,6 +75,11 @@ def proj_string(code: Column, lon_0: Column, lat_0: Column, x_0: Column, y_0: Co
     return F.when(name.isNotNull() & ~(code.isin(TWO_PARALLELS) & extra.isNull()), whole)
 
 
+def degrees_string(model: Column, code: Column, meridian: Column, ellps: Column) -> Column:
+    """A proj string of a user-defined geographic system; null for all others."""
+    return F.when((model == 2) & (code == 32767), F.concat_ws(" ", F.lit("+proj=longlat"), meridian, ellps, F.lit("+no_defs")))
+
+
 def crs(epsg: Column, citations: list[Column], proj: Column) -> Column:
     """EPSG code (0 and 32767 say user-defined), else the first citation that is WKT, else a proj string."""
     return F.coalesce(F.when(~epsg.isin(0, 32767), F.concat(F.lit("EPSG:"), epsg.cast("string"))), *[F.when(is_wkt(c), c) for c in citations], proj)

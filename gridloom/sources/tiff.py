@@ -131,6 +131,7 @@ def catalog(paths: DataFrame, strict: bool = True) -> DataFrame:
     code = lambda k: key(k).cast("int")
     meridian, ellps = M.prime_meridian(code(2051), key(2061)), M.ellipsoid(code(2056), key(2057), key(2058), key(2059))
     proj = M.proj_string(code(TRANSFORM), key(3080, 3088, 3084, 3095), key(3081, 3089, 3085), key(3082, 3086), key(3083, 3087), key(3078), key(3079), key(3092), meridian, ellps)
+    proj = F.coalesce(proj, M.degrees_string(code(1024), code(GEOGRAPHIC), meridian, ellps))
     name = M.crs(F.coalesce(code(PROJECTED), code(GEOGRAPHIC)), [F.try_element_at("texts", F.lit(k)) for k in (PROJ_CITATION, GEOG_CITATION, CITATION)], proj)
     done = read.select(
         "src", "src_idx", "width", "height", "n_bands", M.dtype(F.col("format"), F.col("bits")).alias("dtype"), M.nodata(F.col("nodata_text")).alias("nodata"), name.alias("crs"),
