@@ -18,7 +18,8 @@ from gridloom.plans import windows as W
 from gridloom.plans.preflight import preflight
 from gridloom.plans.spec import METHODS, OutGrid, WarpSpec
 from gridloom.sources import dispatch as D
-from gridloom.sources import tiff
+from gridloom.sources import datasource, tiff
+from gridloom.sources.shared import shared_folder
 from gridloom.streaming import batch as B
 
 QUERIES: dict = {}
@@ -652,6 +653,18 @@ def _(spark, sf):
     return rounded(tiff.pyramid(cells, 3).where("level > 0").select("level", "orow", "ocol", "value"))
 
 
+# The orders' raster as a folder of files, one for each 1024 x 1024 cells, and the first overview read back from them.
+@register("blocks_overview", "WITH p AS (SELECT o_orderkey // 150 AS orow, o_orderkey % 150 AS ocol, o_totalprice::DOUBLE AS value FROM orders) SELECT orow // 2 AS orow, ocol // 2 AS ocol, round(avg(value), 6) AS value FROM p GROUP BY 1, 2")
+def _(spark, sf):
+    cells = X.ord1(spark, sf).select("band", F.col("row").alias("orow"), F.col("col").alias("ocol"), "value")
+    height = X.rows_of(spark, sf, "orders", "o_orderkey", 150)
+    folder = datasource.write_blocks(cells, OutGrid(5e5, 4e6, 10.0, 10.0, 150, height, "EPSG:32631"), 1, shared_folder(spark), 1024, tiff.Layout(tile=64, nodata=-1.0), 1)
+    tiles = spark.read.format(datasource.FORMAT).load(folder).where("level = 2 and band = 1")
+    block = F.regexp_extract("src", r"block_(\d+)_(\d+)\.tif$", 1).cast("long")
+    each = tiles.select((block * 512 + F.col("row0")).alias("row0"), "col0", "w", F.posexplode("data").alias("at", "value")).where("value <> -1")
+    return rounded(each.select((F.col("row0") + F.expr("at div w")).alias("orow"), (F.col("col0") + F.col("at") % F.col("w")).alias("ocol"), "value"))
+
+
 # --- a request tried out ----------------------------------------------------------------------------------------------
 
 FAULT = """CASE WHEN src_idx % 10 = 1 THEN 'no coordinate system in ' WHEN n_bands < 2 THEN 'no band 2 in ' WHEN src_idx % 10 = 3 THEN 'a transform that can''t be inverted in '
@@ -683,6 +696,17 @@ def _(spark, sf):
     return B.stacked(X.windows_done(spark, sf)).withColumn("payloads", F.array_join("payloads", ","))
 
 
+@register("stream_stacked", ORACLES["batch_stacked"])
+def _(spark, sf):
+    """The same groups from a stream of all windows, run to its end."""
+    folder = shared_folder(spark)
+    stream = B.window_stream(B.needed(X.windows_done(spark, sf)), f"{folder}/in", per_file=1 << 16, files_per_batch=64)
+    out = B.stack_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    done = spark.read.schema("group_idx long, failed boolean, n_windows long, payloads array<string>").parquet(f"{folder}/out")
+    return done.withColumn("payloads", F.array_join("payloads", ","))
+
+
 @register("batch_failures", "SELECT user_id AS group_idx, count(*) FILTER (WHERE event_type = 'error') AS n_failed, count(*) AS n_windows FROM events GROUP BY 1")
 def _(spark, sf):
     return B.failures(X.windows_done(spark, sf))
