@@ -103,7 +103,7 @@ def parse(text: str) -> Projection:
     if left := set(said) - IGNORED:
         raise ValueError(f"{text!r}: {', '.join(sorted(left))} isn't supported")
     if kind == "longlat":
-        return Projection(kind, pm, a=a, rf=rf)
+        return Projection(kind, (lon0 or 0.0) + pm, a=a, rf=rf)
     lat0 = 0.0 if lat0 is None else lat0
     if kind in ("lcc", "aea"):
         lat1 = lat0 if lat1 is None else lat1
