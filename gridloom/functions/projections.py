@@ -130,7 +130,12 @@ def _either(name: str) -> Callable:
     return lambda *x: getattr(F, name)(*x) if any(isinstance(v, Column) for v in x) else getattr(math, name)(*x)
 
 
-sin, cos, tan, asin, atan, atan2, sinh, cosh, asinh, atanh, exp, sqrt = (_either(n) for n in ("sin", "cos", "tan", "asin", "atan", "atan2", "sinh", "cosh", "asinh", "atanh", "exp", "sqrt"))
+sin, cos, tan, asin, atan, atan2, sinh, cosh, atanh, exp, sqrt = (_either(n) for n in ("sin", "cos", "tan", "asin", "atan", "atan2", "sinh", "cosh", "atanh", "exp", "sqrt"))
+
+
+def asinh(x: Number) -> Number:
+    """Spark's own loses the digits of large negative numbers, and is infinite below -1e8: those are taken from the other side."""
+    return F.signum(x) * F.asinh(F.abs(x)) if isinstance(x, Column) else math.asinh(x)
 
 
 def log(x: Number) -> Number:

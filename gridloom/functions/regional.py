@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.projections import asinh
+
 # EPSG parameters. Kind, latitude and longitude of the origin, standard parallels, false easting and northing.
 SYSTEMS = {
     "3034": ("lcc", 52.0, 10.0, (35.0, 65.0), 4_000_000.0, 2_800_000.0),
@@ -104,7 +106,7 @@ def from_degrees(code: str, lon: Column, lat: Column) -> tuple[Column, Column]:
     if kind == "aea":
         rho = F.sqrt(F.greatest(F.lit(0.0), k - _authalic(phi) * (n * QP))) * (RADIUS / n)
     else:
-        up = F.when(F.abs(lat) < 90, F.asinh(F.tan(phi)) - F.atanh(F.sin(phi) * E) * E)
+        up = F.when(F.abs(lat) < 90, asinh(F.tan(phi)) - F.atanh(F.sin(phi) * E) * E)
         rho = F.exp(up * -n) * (RADIUS * k)
     return rho * F.sin(lam * n) + east, F.lit(_origin_radius(kind, lat0, n, k) + north) - rho * F.cos(lam * n)
 
