@@ -81,6 +81,10 @@ def cell_blocks(catalog: DataFrame, grid: OutGrid, source: str | None, reach: in
         target, step = projections.normalise(grid.crs), projections.turn(projections.normalise(grid.crs))
         key = rows.select("*", F.col("src_idx").alias("_own"), F.struct("src_idx", "turn").alias("_key")).drop("src_idx").withColumnRenamed("_key", "src_idx")
         rows = projections.with_image(key.drop("e"), "e", e, [projections.normalise(source)], target).drop("src_idx").withColumnRenamed("_own", "src_idx")
+        if projections.parameters(projections.normalise(source)).kind == "longlat" and projections.parameters(target).kind == "merc":
+            # Beyond a pole there is no bound: cells come ever closer to it.
+            beyond = {"ymin": F.when(e["ymin"] <= -90, -1e15), "ymax": F.when(e["ymax"] >= 90, 1e15)}
+            rows = rows.withColumn("e", F.struct(*[F.coalesce(beyond.get(n, F.lit(None)), F.col(f"e.{n}")).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")]))
         if step:
             first, last = F.ceil((F.lit(grid.xmin) - F.col("e.xmax")) / step - 1e-9), F.floor((F.lit(grid.xmin + grid.width * grid.xres) - F.col("e.xmin")) / step + 1e-9)
             rows = rows.withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array(F.lit(0).cast("long")))))

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crs as C
+from gridloom.operators.warp import cells
+from gridloom.plans import fixtures as X
 from gridloom.plans.catalogue import ORACLES, QUERIES
+from gridloom.plans.spec import OutGrid
 from tests.conftest import SMALL, _plain
 
 
@@ -35,3 +38,19 @@ def test_southern_latitudes_are_as_exact_as_northern_ones(spark):
     lat = spark.createDataFrame([(v,) for v in (0.0, 1e-9, 45.0, 89.0, 89.99999, 90.0)], "lat double")
     north, south = (C.transform("EPSG:4326", "EPSG:3857", F.lit(0.0), F.col("lat") * s)[1] for s in (1, -1))
     assert all(r.n == -r.s for r in lat.select(north.alias("n"), south.alias("s")).collect())
+
+
+def parts(times):
+    return f"SELECT p.* REPLACE (p_partkey + k * 200 AS p_partkey) FROM {{}} p, range({times}) t(k)"
+
+
+def test_cells_up_to_a_pole(held):
+    held("reproject_3857_near", part=parts(1790))
+
+
+@pytest.mark.parametrize("target", ["EPSG:3857", "+proj=merc +lon_0=10 +ellps=WGS84"])
+def test_a_source_of_the_whole_world_covers_mercator(spark, target):
+    """As far south as north, whichever points of its edges are looked at."""
+    world = X.one_source(spark, 1, (-180.0, 1.0, 0.0, 90.0, 0.0, -1.0), 360, 180, crs="EPSG:4326")
+    grid = OutGrid(-1.8e7, 1.9e7, 1e6, 1e6, 36, 38, C.normalise(target))
+    assert cells(world, grid, "EPSG:4326", 0).select("orow", "ocol").distinct().count() == 36 * 38
