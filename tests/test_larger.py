@@ -56,6 +56,6 @@ def test_a_source_of_the_whole_world_covers_mercator(spark, target):
     assert cells(world, grid, "EPSG:4326", 0).select("orow", "ocol").distinct().count() == 36 * 38
 
 
-@pytest.mark.parametrize("name", ["warp_te_srs"])
+@pytest.mark.parametrize("name", ["warp_te_srs", "warp_whole_extent"])
 def test_extents_between_degrees_and_mercator_are_those_of_their_corners(held, name):
     held(name, part=parts(3125))
