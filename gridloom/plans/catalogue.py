@@ -36,7 +36,8 @@ def register(name: str, sql: str):
 
 
 def rounded(df: DataFrame, digits: int = 6, column: str = "value") -> DataFrame:
-    return df.withColumn(column, F.round(column, digits))
+    c = F.col(column)
+    return df.withColumn(column, F.when(c < 0, -F.round(-c, digits)).otherwise(F.round(c, digits)))  # -0.0 as SQL's
 
 
 # --- source strings ---------------------------------------------------------------------------------------------------

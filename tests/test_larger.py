@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import crs as C
 from gridloom.operators.warp import cells
 from gridloom.plans import fixtures as X
-from gridloom.plans.catalogue import ORACLES, QUERIES
+from gridloom.plans.catalogue import ORACLES, QUERIES, rounded
 from gridloom.plans.spec import OutGrid
 from tests.conftest import SMALL, _plain
 
@@ -59,3 +59,11 @@ def test_a_source_of_the_whole_world_covers_mercator(spark, target):
 @pytest.mark.parametrize("name", ["warp_te_srs", "warp_whole_extent"])
 def test_extents_between_degrees_and_mercator_are_those_of_their_corners(held, name):
     held(name, part=parts(3125))
+
+
+def test_rounding_keeps_the_sign_of_small_numbers(spark):
+    """As DuckDB's: over a larger table warp_cubicspline differed from its SQL in nothing else."""
+    values = [-3e-7, -5e-7, -0.1234565, 0.1234565, 3e-7, 0.0, None]
+    got = [r.value for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value double").repartition(1)).orderBy("i").collect()]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(v, 6) FROM (SELECT unnest(range({len(values)})) AS i, unnest([{', '.join('NULL' if v is None else f'{v!r}::DOUBLE' for v in values)}]) AS v) ORDER BY i").fetchall()]
+    assert list(map(repr, got)) == list(map(repr, want)) and repr(got[0]) == "-0.0"
