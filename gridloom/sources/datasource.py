@@ -147,7 +147,7 @@ class BlockWriter(D.DataSourceArrowWriter):
                 done.append((staged, f"{name}.tif"))
 
         for batch in iterator:
-            for r in batch.to_pylist():
+            for r in (batch.slice(n, 1).to_pylist()[0] for n in range(batch.num_rows)):
                 if r["name"] != name:
                     end()
                     name, have = r["name"], {}

@@ -422,19 +422,20 @@ def pack(values: DataFrame, layout: Layout, overviews: int = 0, reduce: str = "a
     tile = layout.tile
     place = (F.col("orow") % tile) * tile + F.col("ocol") % tile
     cells = pyramid(values.select("name", "band", F.col("orow").cast("long").alias("orow"), F.col("ocol").cast("long").alias("ocol"), F.col("value").cast("double").alias("value")), overviews + 1, reduce)
-    blocks = cells.groupBy("name", "level", "band", F.expr(f"orow div {tile}").alias("ty"), F.expr(f"ocol div {tile}").alias("tx")).agg(F.collect_list(F.struct(place.cast("int").alias("at"), "value")).alias("data"))
-
-    def packing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for level, own in zip(rows.level, rows.data, strict=True):
-                block = np.full(tile * tile, float(layout.nodata or 0))
-                values = np.array([c["value"] for c in own])
-                block[[c["at"] for c in own]] = np.rint(values) if level and layout.kind.kind != "f" else values
-                out.append(layout.packed(block))
-            yield rows.drop(columns="data").assign(data=out)
-
-    return blocks.mapInPandas(packing, PACKED)
+    own = ["name", "level", "band", "ty", "tx"]
+    # One key, no part of which is a constant by itself, so that both groupings share a shuffle.
+    key = F.struct(*own[:3], F.expr(f"orow div {tile}").alias("ty"), F.expr(f"ocol div {tile}").alias("tx"))
+    placed = cells.select(key.alias("tile"), F.struct(place.cast("int").alias("at"), "value").alias("cell"))
+    blocks = placed.groupBy("tile").agg(F.collect_list("cell").alias("data"))
+
+    def packing(rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.full(tile * tile, float(layout.nodata or 0))
+        for at, values in zip(rows["at"], rows["value"], strict=True):
+            block[at] = np.rint(values) if rows["level"].iloc[0] and layout.kind.kind != "f" else values
+        return rows[own].iloc[:1].assign(data=layout.packed(block))
+
+    # A group is a tile, so a task holds the cells of one, however many there are; plain arrays, not an object for each cell.
+    return blocks.select("tile", "tile.*", F.col("data.at").alias("at"), F.col("data.value").alias("value")).groupBy("tile").applyInPandas(packing, PACKED)
 
 
 def write(values: DataFrame, grid: OutGrid, folder: str | None, bands: int | DataFrame, name: str = "name", dtype: str = "float64", tile: int = 256, nodata: float | None = None, compress: str = "deflate", labels: DataFrame | None = None, overviews: int = 0, reduce: str = "average") -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries against their SQL on tables of other sizes than the smallest ones."""
 
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from gridloom.operators.warp import cells
 from gridloom.plans import fixtures as X
 from gridloom.plans.catalogue import ORACLES, QUERIES, rounded
 from gridloom.plans.spec import OutGrid
+from gridloom.sources import tiff
 from tests.conftest import SMALL, _plain
 
 
@@ -67,3 +70,15 @@ def test_rounding_keeps_the_sign_of_small_numbers(spark):
     got = [r.value for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value double").repartition(1)).orderBy("i").collect()]
     want = [r[0] for r in duckdb.sql(f"SELECT round(v, 6) FROM (SELECT unnest(range({len(values)})) AS i, unnest([{', '.join('NULL' if v is None else f'{v!r}::DOUBLE' for v in values)}]) AS v) ORDER BY i").fetchall()]
     assert list(map(repr, got)) == list(map(repr, want)) and repr(got[0]) == "-0.0"
+
+
+def test_a_task_packs_one_tile_at_a_time(spark):
+    """Whatever the number of tiles in a partition."""
+
+    class Held(tiff.Layout):
+        def packed(self, block):
+            return len(sys._getframe(1).f_locals["rows"]).to_bytes(4, "little")
+
+    cells = spark.range(40 * 64).select(F.lit("x").alias("name"), F.lit(1).alias("band"), F.expr("id div 8").alias("orow"), (F.col("id") % 8).alias("ocol"), F.rand(1).alias("value"))
+    made = tiff.pack(cells.repartition(1), Held(tile=8), 1).select("level", "data").collect()
+    assert len(made) == 40 + 20 and {int.from_bytes(r.data, "little") for r in made} == {1}
