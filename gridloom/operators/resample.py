@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 REACH = {"bilinear": 1, "cubic": 2, "cubicspline": 2, "lanczos": 3}
 FOOTPRINT = ("average", "rms", "sum", "min", "max", "med", "q1", "q3", "mode")
 QUANTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
-#: Overlaps below this many pixels are rounding.
+#: Kernels with negative lobes, whose weights may cancel out.
+LOBES = ("cubic", "lanczos")
+#: Overlaps below this many pixels are rounding, as is what is left of weights that cancel out to below this part of them.
 LEAST_OVERLAP = 1e-9
 
 
@@ -36,11 +38,18 @@ def kernel(method: str, d: Column) -> Column:
     return F.when(d < REACH[method], inner).otherwise(0.0)
 
 
+def weighted_mean(rows: DataFrame, keys: list[str], method: str, s: Column, n: Column, size: Column) -> DataFrame:
+    """Sum of s over sum of n, the weights, for each key, however small these are; a key whose weights cancel out has no
+    value. size is the weights' magnitude, of which only kernels with negative lobes need the sum."""
+    sums = rows.groupBy(*keys).agg(F.sum(s).alias("s"), F.sum(n).alias("n"), *([F.sum(size).alias("size")] if method in LOBES else []))
+    kept = sums.where(F.abs("n") > LEAST_OVERLAP * F.col("size")) if method in LOBES else sums
+    return kept.select(*keys, (F.col("s") / F.col("n")).alias("value"))
+
+
 def combine(weighted: DataFrame, keys: list[str], method: str) -> DataFrame:
     """One value for each key from rows (keys, row, col, value, w) of valid pixels, with partial aggregation."""
     if method in ("average", *REACH):
-        sums = weighted.groupBy(*keys).agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("n"))
-        return sums.where(F.abs("n") > LEAST_OVERLAP).select(*keys, (F.col("s") / F.col("n")).alias("value"))
+        return weighted_mean(weighted, keys, method, F.col("w") * F.col("value"), F.col("w"), F.abs("w"))
     if method == "rms":
         return weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("value") * F.col("value")) / F.sum("w")).alias("value"))
     if method == "sum":

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import crs as projections
 from gridloom.functions.metadata import extent
-from gridloom.operators.resample import FOOTPRINT, LEAST_OVERLAP, REACH, combine, kernel
+from gridloom.operators.resample import FOOTPRINT, LEAST_OVERLAP, LOBES, REACH, combine, kernel, weighted_mean
 from gridloom.plans.spec import OutGrid
 
 CELL = ["src_idx", "band", "orow", "ocol"]
@@ -62,10 +62,9 @@ def scatter(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str =
     rows = _axis(rows, "col", "ocol", "wx", *x, method)
     if REACH.get(method, 0) >= 2:
         windows = ["turn"] if "turn" in rows.columns else []  # a source may be met at two turns
-        rows = rows.groupBy("src_idx", *windows, "band", "row", "ocol").agg(F.sum(F.col("wx") * F.col("value")).alias("s"), F.sum("wx").alias("n"), F.first("gt").alias("gt"))
+        rows = rows.groupBy("src_idx", *windows, "band", "row", "ocol").agg(F.sum(F.col("wx") * F.col("value")).alias("s"), F.sum("wx").alias("n"), *([F.sum(F.abs("wx")).alias("size")] if method in LOBES else []), F.first("gt").alias("gt"))
         rows = _axis(rows, "row", "orow", "wy", *y, method)
-        sums = rows.groupBy(*CELL).agg(F.sum(F.col("wy") * F.col("s")).alias("s"), F.sum(F.col("wy") * F.col("n")).alias("n"))
-        return sums.where(F.abs("n") > LEAST_OVERLAP).select(*CELL, (F.col("s") / F.col("n")).alias("value"))
+        return weighted_mean(rows, CELL, method, F.col("wy") * F.col("s"), F.col("wy") * F.col("n"), F.abs("wy") * F.col("size"))
     rows = _axis(rows, "row", "orow", "wy", *y, method).withColumn("w", F.col("wx") * F.col("wy"))
     return combine(rows, CELL, method)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crs as C
+from gridloom.operators.resample import combine
 from gridloom.operators.warp import cells
 from gridloom.plans import fixtures as X
 from gridloom.plans.catalogue import ORACLES, QUERIES, rounded
@@ -72,6 +73,18 @@ def test_rounding_keeps_the_sign_of_small_numbers(spark):
     assert list(map(repr, got)) == list(map(repr, want)) and repr(got[0]) == "-0.0"
 
 
+@pytest.mark.parametrize("vectors", [211, 236, 239])
+def test_cells_of_the_least_weights_have_values(held, vectors):
+    """Where the last row of pixels ends early, a cell may have one pixel of a weight of 1e-11."""
+    held("warp_cubicspline", embeddings=f"SELECT * FROM {{}} WHERE vec_id < {vectors}")
+
+
+def test_weights_that_cancel_out_make_no_cell(spark):
+    rows = spark.createDataFrame([(1, 3.0, 1e-12), (2, 3.0, 0.1), (2, 5.0, -0.1 + 1e-12), (3, 3.0, 0.0625), (3, 5.0, -0.03125)], "k int, value double, w double")
+    assert sorted(map(tuple, combine(rows, ["k"], "cubic").collect())) == [(1, 3.0), (3, 1.0)]
+    assert sorted(r.k for r in combine(rows, ["k"], "cubicspline").collect()) == [1, 2, 3]
+
+
 def test_a_task_packs_one_tile_at_a_time(spark):
     """Whatever the number of tiles in a partition."""
 
