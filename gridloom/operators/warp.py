@@ -152,7 +152,9 @@ def _gather_one(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: st
         taps = taps.withColumn("w", kernel(method, F.abs(F.col("col") + 0.5 - F.col("u")) / F.col("sx")) * kernel(method, F.abs(F.col("row") + 0.5 - F.col("v")) / F.col("sy"))).where("w <> 0")
     keys = ["src_idx", *(["turn"] if "turn" in pixels.columns else []), "row", "col"]
     taps = taps.select(*keys, "orow", "ocol", "w")
-    return combine(valid(pixels, catalog).drop("gt").join(taps, keys), CELL, method)
+    # Spark's size check doesn't count what explode() makes of a catalog's row, so taps would be broadcast however many they
+    # are. They are the streamed side: of a pixel with many taps its bands are held, not the taps.
+    return combine(taps.hint("merge").join(valid(pixels, catalog).drop("gt"), keys), CELL, method)
 
 
 def gather(pixels: DataFrame, catalog: DataFrame, grid: OutGrid, method: str = "near") -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries against their SQL on tables of other sizes than the smallest ones."""
 
+import re
 import sys
 
 import duckdb
@@ -52,6 +53,13 @@ def test_cells_up_to_a_pole(held):
     held("reproject_3857_near", part=parts(1790))
 
 
+@pytest.mark.parametrize("name", ["reproject_3857_near", "warp_whole_extent", "gather_bilinear"])
+def test_taps_are_not_broadcast(spark, name):
+    """They are as many as the grid has cells, though they come of a catalog's one row."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[[^\]]*\brow#", plan) == ["SortMergeJoin"]
+
+
 @pytest.mark.parametrize("target", ["EPSG:3857", "+proj=merc +lon_0=10 +ellps=WGS84"])
 def test_a_source_of_the_whole_world_covers_mercator(spark, target):
     """As far south as north, whichever points of its edges are looked at."""
